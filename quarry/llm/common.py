@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so lost executors cost no recomputation.
+    """df, computed once and read back from a Parquet table in the shared checkpoint folder.
 
-    The folder is the one named by spark.checkpoint.dir; a temporary one is set only where none is named.
+    So lineage is cut, and a lost executor costs no recomputation. The folder is the one named by
+    spark.checkpoint.dir; a temporary one is set only where none is named, as in tests.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fold(key: str, mod: int) -> Column:
