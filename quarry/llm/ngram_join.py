@@ -4,18 +4,18 @@ A document's set holds the hashes of its distinct shingles of `words` words. Two
 Jaccard similarity of their sets reaches `percent`; classes are connected components of links.
 
 1. Equal sets are one node (a 64-bit hash of the set, told apart by size too), whatever the number of copies.
-2. The n-grams have one global order: those common in a seeded sample last, else by hash. Nodes that link
-   share an n-gram of their prefixes, the first n - ceil(t n) + 1 in that order. Prefix n-grams are dealt to
-   buckets; those that one node alone has go.
+2. The n-grams have one global order: those common in a seeded sixteenth of the nodes last, the rarer first,
+   all else by hash. Nodes that link share an n-gram of their prefixes, the first n - ceil(t n) + 1 in that
+   order. Prefix n-grams are dealt to buckets; those that one node alone has go.
 3. Star round: each node is compared with one hub only, the one that it shares most prefix n-grams with
-   among the least nodes of its size that have them. So a large group of near copies, in which all pairs
-   link, costs one comparison a node. Links give first classes.
-4. Cross round: pairs of nodes of different classes that share as many prefix n-grams as a link needs.
-   Pairs within a class are known and never listed.
-5. Comparison: nodes to compare with a hub are stored in a prefix tree of their globally ordered sets, and
-   the hub's set is run through it: shared prefixes are intersected once, and a subtree is left when what
-   remains of the hub and of the subtree's longest set can't reach the overlap that its shortest needs.
-   Hubs of many nodes are salted.
+   among the least nodes of like size that have them. Links give first classes.
+4. Block round: nodes with one hub form blocks of at most BLOCK nodes. A node is compared with a block if it
+   shares as many prefix n-grams with the block's nodes of other classes as a link needs; pairs of nodes are
+   never listed. A group in which the hub links with all is one class by then, and costs nothing more.
+5. Comparison: a hub's or block's nodes are stored in a prefix tree of their globally ordered sets, and a
+   probing set is run through it: shared prefixes are intersected once, and a subtree is left when what
+   remains of the probe and of the subtree's longest set can't reach the overlap that its shortest needs.
+   Trees of many nodes, and trees with many probes, are salted.
 
 Shingle and set hashes have 64 bits; different shingles or sets with equal hashes would be taken as equal.
 Documents without words, or null text, have empty sets, link with nothing and are classes of their own.
@@ -37,15 +37,11 @@ from pyspark.sql import functions as F
 from quarry.llm.common import durable
 
 WORDS, PERCENT = 5, 75
-SAMPLE, COMMON_AT, MOST_COMMON = 4000, 3, 200_000
-BUCKET_ROWS, HUB_NODES, GROUP_ROWS, BLOOM_WORDS = 200_000, 128, 600, 1 << 17
-MEMO_WORDS = 500_000
-
-
-@functools.cache
-def memo() -> dict[bytes, int]:
-    """Hashes of words, kept by a Python worker, bounded."""
-    return {}
+SAMPLE_EVERY, COMMON_AT, MOST_COMMON = 16, 4, 1_000_000
+BUCKET_ROWS, BLOCK, GROUP_ROWS, BLOOM_WORDS = 200_000, 256, 600, 1 << 17
+LIKE_SIZE, SLICE, PART, BASE = 1.15, 512, 1 << 18, 0xD1342543DE82EF95
+SPACE_BYTES = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"]
+IS_SPACE = np.isin(np.arange(256), [c[0] for c in SPACE_BYTES])
 
 
 def mixed_bits(h: np.ndarray) -> np.ndarray:
@@ -54,24 +50,66 @@ def mixed_bits(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Hashes of the distinct shingles, ascending. A-Z are lower-cased; fewer words than `words` are one shingle."""
-    found = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not found:
-        return np.zeros(0, np.int64)
-    known = memo()
-    if missing := set(found).difference(known):
-        if len(known) + len(missing) > MEMO_WORDS:
-            known.clear()
-            missing = set(found)
-        known.update((w, xxhash.xxh64_intdigest(w)) for w in missing)
-    w = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    size = min(words, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
+@functools.cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2 ** 64, and of its inverse."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        table = np.full(PART + 1, base, np.uint64)
+        table[0] = 1
+        out.append(np.multiply.accumulate(table))
+    return tuple(out)
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word between ASCII white space and where it starts, from running sums over parts that end between words."""
+    out, starts, at = [], [], 0
+    while at < len(raw):
+        to = min(len(raw), at + PART)
+        if to < len(raw) and (gap := max(raw.rfind(c, at, to) for c in SPACE_BYTES)) >= at:
+            to = gap + 1
+        elif to < len(raw):  # one word of more than a part
+            to = min((k for c in SPACE_BYTES if (k := raw.find(c, to)) >= 0), default=len(raw))
+            out.append(np.array([xxhash.xxh64_intdigest(raw[at:to])], np.uint64))
+            starts.append(np.array([at]))
+            at = to
+            continue
+        b = np.frombuffer(raw, np.uint8, to - at, at)
+        edge = np.flatnonzero(np.diff(IS_SPACE[b], prepend=True, append=True))
+        start, end = edge[::2], edge[1::2]
+        power, inverse = powers()
+        run = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(power[: len(b)] * (b.astype(np.uint64) + np.uint64(1)), out=run[1:])
+        out.append(mixed_bits((run[end] - run[start]) * inverse[start] + (end - start).astype(np.uint64)))
+        starts.append(start + at)
+        at = to
+    return (np.concatenate(out), np.concatenate(starts)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def runs(w: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` words."""
+    h = np.full(max(0, len(w) - size + 1), size, np.uint64)
     for k in range(size):
         h = h * np.uint64(0xD6E8FEB86659FD93) + w[k : len(w) - size + 1 + k]
-    h = np.sort(mixed_bits(h).view(np.int64))
-    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+    return mixed_bits(h).view(np.int64)
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Of each text the hashes of its distinct shingles, ascending. A-Z are lower-cased; fewer words than `words` are one shingle."""
+    raws = [(t or "").encode().lower() for t in texts]  # of bytes: only A-Z change
+    w, start = word_hashes(b"\n".join(raws))
+    first = np.searchsorted(start, np.cumsum([0, *[len(r) + 1 for r in raws]])).tolist()
+    h, out = runs(w, words), []
+    for a, b in zip(first, first[1:], strict=False):
+        if a == b:
+            out.append(np.zeros(0, np.int64))
+            continue
+        s = np.sort(h[a : b - words + 1]) if b - a >= words else runs(w[a:b], b - a)
+        new = np.empty(len(s), bool)
+        new[0] = True
+        np.not_equal(s[1:], s[:-1], out=new[1:])
+        out.append(s[new])
+    return out
 
 
 def set_id(s: np.ndarray) -> int:
@@ -136,15 +174,21 @@ class Tree:
         return out
 
 
+def sliced(batches):
+    """The batches in parts of few rows, to bound memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def base_rows(docs: DataFrame, words: int, every: int) -> DataFrame:
     """doc_id, n, node of each row; of every so many nodes also the set, once a task."""
 
     def run(batches):
         seen = set()
-        for batch in batches:
+        for batch in sliced(batches):
             size, node, some = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, words)
+            for s in shingle_sets(batch.column(1).to_pylist(), words):
                 k = set_id(s)
                 size.append(len(s))
                 node.append(k)
@@ -157,15 +201,15 @@ def base_rows(docs: DataFrame, words: int, every: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, some array<long>")
 
 
-def prefix_rows(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """gram, node, n for each n-gram in each node's prefix; each node once a task."""
+def prefix_rows(docs: DataFrame, common: np.ndarray, late_order: np.ndarray, words: int, percent: int) -> DataFrame:
+    """gram, node, n for each n-gram in each node's prefix; each node once a task. common: ascending; late_order: their places."""
+    sent = docs.sparkSession.sparkContext.broadcast((common, late_order))  # MOST_COMMON numbers at most
 
     def run(batches):
-        seen = set()
-        for batch in batches:
+        seen, (common, late_order) = set(), sent.value
+        for batch in sliced(batches):
             grams, nodes, sizes = [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingles(text, words)
+            for s in shingle_sets(batch.column(0).to_pylist(), words):
                 if (n := len(s)) and (k := set_id(s)) not in seen:
                     seen.add(k)
                     p = prefix_length(n, percent)
@@ -173,7 +217,8 @@ def prefix_rows(docs: DataFrame, common: np.ndarray, words: int, percent: int) -
                         at = np.searchsorted(common, s)
                         at[at == len(common)] = 0
                         late = common[at] == s
-                        s = np.concatenate([s[~late], s[late]])[:p] if late.any() else s[:p]
+                        if late.any():
+                            s = np.concatenate([s[~late], s[late][np.argsort(late_order[at[late]])]])
                     grams.append(s[:p])
                     nodes.append(k)
                     sizes.append(n)
@@ -187,10 +232,15 @@ def columns(batch: pa.Table, *names: str) -> list[np.ndarray]:
     return [batch.column(k).to_numpy() for k in names]
 
 
+def kind_of(n: np.ndarray) -> np.ndarray:
+    """Classes of like size."""
+    return (np.log(n) / np.log(LIKE_SIZE)).astype(np.int64)
+
+
 def shared_grams(batch: pa.Table) -> pa.Table:
     """Of a bucket: the rows of n-grams that two or more nodes have, with the least node of like size as hub."""
     gram, node, n = columns(batch, "gram", "node", "n")
-    kind = (np.log(n) / np.log(1.15)).astype(np.int64)
+    kind = kind_of(n)
     order = np.lexsort((node, kind, gram))
     gram, node, n, kind = gram[order], node[order], n[order], kind[order]
     keep = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
@@ -199,44 +249,50 @@ def shared_grams(batch: pa.Table) -> pa.Table:
     of = np.cumsum(new) - 1
     many = np.bincount(of)[of] > 1
     begin = np.flatnonzero(new | np.concatenate([[True], kind[1:] != kind[:-1]]))
-    hub = np.repeat(node[begin], np.diff(np.append(begin, len(node))))
-    return pa.table({"gram": gram[many], "node": node[many], "n": n[many], "hub": hub[many]})
-
-
-def cross_pairs(percent: int):
-    def run(batch: pa.Table) -> pa.Table:
-        """Of a bucket: pairs of nodes of different classes and how many of its n-grams they share."""
-        gram, node, n, group = columns(batch, "gram", "node", "n", "class")
-        order = np.lexsort((node, group, gram))
-        gram, node, n, group = gram[order], node[order], n[order], group[order]
-        begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        parts = []
-        for a, b in zip(begin.tolist(), np.append(begin[1:], len(gram)).tolist(), strict=True):
-            if group[a] == group[b - 1]:
-                continue
-            # each row with the rows of later classes
-            later = np.searchsorted(group[a:b], group[a:b], "right")
-            count = (b - a) - later
-            i = np.repeat(np.arange(a, b), count)
-            j = a + np.repeat(later, count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-            fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            i, j = i[fit], j[fit]
-            swap = node[i] > node[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            parts.append(np.stack([node[i], node[j], n[i], n[j]], axis=1))
-        every = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
-        order = np.lexsort((every[:, 1], every[:, 0]))
-        every = every[order]
-        first = np.flatnonzero(np.concatenate([[True], (every[1:, :2] != every[:-1, :2]).any(axis=1)])) if len(every) else np.zeros(0, np.int64)
-        shared = np.diff(np.append(first, len(every)))
-        return pa.table({k: every[first, c] for c, k in enumerate(("hub", "node", "n_hub", "n_node"))} | {"shared": shared.astype(np.int64)})
-
-    return run
-
-
-def needed_filter(pairs: DataFrame) -> np.ndarray:
-    """A bounded filter of the nodes in pairs (hub, node): 64-bit words with three bits a node."""
-    nodes = pairs.select(F.col("hub").alias("k")).unionByName(pairs.select(F.col("node").alias("k"))).distinct()
+    times = np.diff(np.append(begin, len(node)))
+    hub, n_hub = np.repeat(node[begin], times), np.repeat(n[begin], times)
+    return pa.table({"gram": gram[many], "node": node[many], "n": n[many], "hub": hub[many], "n_hub": n_hub[many]})
+
+
+def block_counts(batch: pa.Table) -> pa.Table:
+    """Of a bucket: how many n-grams each node shares with nodes of other classes in its own and later blocks."""
+    order = np.lexsort(columns(batch, "class", "block", "gram"))
+    gram, node, n, group, block, low, high = (c[order] for c in columns(batch, "gram", "node", "n", "class", "block", "low", "high"))
+    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
+    begin = np.flatnonzero(new_gram | np.concatenate([[True], block[1:] != block[:-1]]))  # of each block in each n-gram
+    end = np.append(begin[1:], len(gram))
+    own = np.repeat(np.arange(len(begin)), end - begin)
+    last = np.searchsorted(gram[begin], gram, "right")  # after the n-gram's last block
+    times = last - own
+    i = np.repeat(np.arange(len(gram)), times)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(own, times)
+    other = (group[begin[j]] != group[i]) | (group[end[j] - 1] != group[i])
+    i, j = i[other], j[other]
+    x, at = node[i], begin[j]
+    order = np.lexsort((block[at], x))
+    x, at, i = x[order], at[order], i[order]
+    b = block[at]
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (b[1:] != b[:-1])])) if len(x) else np.zeros(0, np.int64)
+    return pa.table({"node": x[first], "block": b[first], "n": n[i[first]], "low": low[at[first]], "high": high[at[first]], "shared": np.diff(np.append(first, len(x)))})
+
+
+def needs(a: str, b: str, percent: int) -> str:
+    """SQL: how many prefix n-grams sets of sizes a and b that link share at least.
+
+    What two sets share is in both prefixes, or in the rest of the one whose prefix ends first.
+    """
+    rest = [f"floor(({percent} * {k} + 99) / 100) - 1" for k in (a, b)]
+    return f"greatest(1, ceil({percent} * ({a} + {b}) / {100 + percent}) - greatest({rest[0]}, {rest[1]}))"
+
+
+def enough(counts: DataFrame, percent: int) -> DataFrame:
+    """Rows of counts (n, low, high, shared) that may link with a set of low to high n-grams; what they need is least at an end of the sizes that may."""
+    ends = counts.withColumn("_l", F.expr(f"greatest(low, ceil({percent} * n / 100))")).withColumn("_h", F.expr(f"least(high, floor(100 * n / {percent}))"))
+    return ends.where("_l <= _h").where(f"shared >= least({needs('n', '_l', percent)}, {needs('n', '_h', percent)})").drop("_l", "_h")
+
+
+def needed_filter(nodes: DataFrame) -> np.ndarray:
+    """A bounded filter of the distinct nodes (k): 64-bit words with three bits a node."""
     count, words = nodes.count(), 64
     while words * 4 < count and words < BLOOM_WORDS:
         words *= 2
@@ -253,16 +309,15 @@ def passes(bits: np.ndarray, k: int) -> bool:
     return all(word >> ((u >> at) & 63) & 1 for at in (24, 32, 40))
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """node, set (8 bytes an n-gram) of the nodes in pairs, each once, and of a few others that pass the filter."""
-    sent = docs.sparkSession.sparkContext.broadcast(needed_filter(pairs))
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, set (8 bytes an n-gram) of the nodes (k), each once, and of a few others that pass the filter."""
+    sent = docs.sparkSession.sparkContext.broadcast(needed_filter(nodes))
 
     def run(batches):
         seen, bits = set(), sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, sets = [], []
-            for text in batch.column(0).to_pylist():
-                s = shingles(text, words)
+            for s in shingle_sets(batch.column(0).to_pylist(), words):
                 if len(s) and (k := set_id(s)) not in seen and passes(bits, k):
                     seen.add(k)
                     nodes.append(k)
@@ -272,31 +327,36 @@ def sets_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
-def links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b for each pair of pairs (hub, node) that links."""
+def links(docs: DataFrame, stored: DataFrame, probes: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b for each node of probes (key, node) that links with a node of stored (key, node) under its key."""
 
     def run(batch: pa.Table) -> pa.Table:
-        key, role, node = batch.column("key").to_pylist(), batch.column("is_hub").to_pylist(), batch.column("node").to_pylist()
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]
-        trees: dict[tuple, Tree] = {}
-        for i, k in enumerate(key):
-            if not role[i]:
-                trees.setdefault((k["hub"], k["salt"]), Tree(np.zeros(0, np.int64))).add(sets[i], node[i])
+        key, node = columns(batch, "key", "node")
+        probe = batch.column("probe").to_numpy().astype(bool)
+        sets = batch.column("set").combine_chunks()
+        trees: dict[int, Tree] = {}
+        for i in np.flatnonzero(~probe).tolist():
+            trees.setdefault(key[i], Tree(np.zeros(0, np.int64))).add(np.frombuffer(sets[i].as_buffer(), np.int64), int(node[i]))
         a, b = [], []
-        for i, k in enumerate(key):
-            if role[i] and (tree := trees.get((k["hub"], k["salt"]))):
-                found = tree.linked(sets[i], percent)
+        for i in np.flatnonzero(probe).tolist():
+            if tree := trees.get(key[i]):
+                found = [k for k in tree.linked(np.frombuffer(sets[i].as_buffer(), np.int64), percent) if k != node[i]]
                 b += found
-                a += [node[i]] * len(found)
+                a += [int(node[i])] * len(found)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sets = sets_of(docs, pairs, words)
-    load = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_NODES).cast("int").alias("salts"))
-    salted = pairs.join(load, "hub").select(F.struct("hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt")).alias("key"), "node")
-    hubs = load.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(F.col("hub").alias("hub"), k.alias("salt")))).alias("key"), F.col("hub").alias("node"))
-    rows = salted.withColumn("is_hub", F.lit(False)).unionByName(hubs.withColumn("is_hub", F.lit(True))).join(sets, "node")
-    groups = max(1, round(pairs.count() / GROUP_ROWS))
-    return rows.withColumn("_g", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("_g").applyInArrow(run, "a long, b long")
+    rows = durable(stored.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True))))
+    sets = sets_of(docs, rows.select(F.col("node").alias("k")).distinct(), words)
+    groups = max(1, round(rows.count() / GROUP_ROWS))
+    return rows.join(sets, "node").groupBy(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("_g")).applyInArrow(run, "a long, b long")
+
+
+def dealt(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """rows (by, node) as (key, node), with keys of about `most` rows each, and all keys as (by, key)."""
+    load = durable(rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("salts")))
+    key = F.xxhash64(F.col(by), F.col("salt")).alias("key")
+    salted = rows.join(load, by).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select(key, "node")
+    return salted, load.select(by, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(by, key)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -328,26 +388,37 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the class) for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    base = durable(base_rows(docs, words, max(1, docs.count() // SAMPLE)))
+    base = durable(base_rows(docs, words, SAMPLE_EVERY))
     some = base.where(F.col("some").isNotNull()).groupBy("node").agg(F.first("some").alias("some")).select(F.explode("some").alias("gram"))
-    often = some.groupBy("gram").count().where(F.col("count") >= COMMON_AT).orderBy(F.desc("count"), "gram").limit(MOST_COMMON)
-    common = np.sort(often.toPandas()["gram"].to_numpy(np.int64))
+    often = some.groupBy("gram").count().where(F.col("count") >= COMMON_AT).orderBy(F.desc("count"), "gram").limit(MOST_COMMON).toPandas()
+    often = often.sort_values(["gram"])
+    late_order = np.lexsort((often["gram"].to_numpy(np.int64), often["count"].to_numpy(np.int64))).argsort()
     rows = base.agg(F.sum(F.expr(f"n - floor(({percent} * n + 99) / 100) + 1"))).first()[0] or 0
-    buckets = max(1, round(rows / BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("_b")
-    dense = durable(prefix_rows(docs, common, words, percent).groupBy(bucket).applyInArrow(shared_grams, "gram long, node long, n long, hub long"))
-
-    star = dense.where("node <> hub").groupBy("node", "hub").count()
-    star = durable(star.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub").cast("decimal(20,0)")).alias("first"), "hub"))["hub"].alias("hub")))
-    near = components(links(docs, star, words, percent))
-
-    known = dense.select("gram", "node", "n").join(near.toDF("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    pairs = known.groupBy(bucket).applyInArrow(cross_pairs(percent), "hub long, node long, n_hub long, n_node long, shared long")
-    pairs = pairs.groupBy("hub", "node").agg(F.sum("shared").alias("shared"), F.first("n_hub").alias("a"), F.first("n_node").alias("b"))
-    # what two sets share is in both prefixes, or in the rest of the one whose prefix ends first
-    needs = F.expr(f"ceil({percent} * (a + b) / {100 + percent}) - greatest(floor(({percent} * a + 99) / 100), floor(({percent} * b + 99) / 100)) + 1")
-    pairs = durable(pairs.where(F.col("shared") >= needs).select("hub", "node"))
-    more = links(docs, pairs, words, percent)
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(max(1, round(rows / BUCKET_ROWS)))).alias("_b")
+    grams = prefix_rows(docs, often["gram"].to_numpy(np.int64), late_order, words, percent)
+    dense = durable(grams.groupBy(bucket).applyInArrow(shared_grams, "gram long, node long, n long, hub long, n_hub long"))
+
+    star = dense.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("n_hub").alias("n_hub"))
+    star = star.where(f"shared >= {needs('n', 'n_hub', percent)}")
+    best = F.max(F.struct("shared", F.expr("hub ^ -1L").alias("first"), "hub", "n", "n_hub")).alias("_s")
+    star = durable(star.groupBy("node").agg(best).select("node", "_s.hub", "_s.n", "_s.n_hub"))
+    stored, keys = dealt(star.select("hub", "node"), "hub", BLOCK)
+    near = durable(components(links(docs, stored, keys.select("key", F.col("hub").alias("node")), words, percent)))
+
+    # each node's block, and the least and greatest size in it
+    size = star.select("node", "hub", "n").unionByName(star.select(F.col("hub").alias("node"), "hub", F.col("n_hub").alias("n")).distinct().join(star.select("node"), "node", "left_anti"))
+    member = dealt(size.select("hub", "node"), "hub", BLOCK)[0].withColumnRenamed("key", "block").join(size.select("node", "n"), "node")
+    member = durable(member)
+    ends = member.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    known = dense.select("gram", "node", "n").join(member.drop("n").join(ends, "block"), "node", "left").join(near.toDF("node", "class"), "node", "left")
+    known = known.withColumn("block", F.coalesce("block", F.xxhash64("node", "n"))).withColumn("class", F.coalesce("class", "node"))
+    known = known.withColumn("low", F.coalesce("low", "n")).withColumn("high", F.coalesce("high", "n"))
+    counts = known.groupBy(bucket).applyInArrow(block_counts, "node long, block long, n long, low long, high long, shared long")
+    counts = counts.groupBy("node", "block").agg(F.sum("shared").alias("shared"), *[F.first(k).alias(k) for k in ("n", "low", "high")])
+    probes = durable(enough(counts, percent).select("block", "node"))
+    probes, keys = dealt(probes, "block", BLOCK)
+    every = member.select("block", "node").unionByName(dense.select(F.xxhash64("node", "n").alias("block"), "node").distinct().join(member.select("node"), "node", "left_anti"))
+    more = links(docs, every.join(keys, "block").select("key", "node"), probes, words, percent)
     classes = components(near.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(more))
 
     rows = base.select("doc_id", "n", "node").join(classes.toDF("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
