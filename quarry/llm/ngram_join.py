@@ -8,7 +8,8 @@ Jaccard similarity of their sets reaches `percent`; classes are connected compon
    all else by hash. Nodes that link share an n-gram of their prefixes, the first n - ceil(t n) + 1 in that
    order. Prefix n-grams are dealt to buckets; those that one node alone has go.
 3. Star round: each node is compared with one hub only, the one that it shares most prefix n-grams with
-   among the least nodes of like size that have them. Links give first classes.
+   among the least nodes of like size that have them (at least a twentieth of its own n-grams, and what a
+   link needs). Links give first classes.
 4. Block round: nodes with one hub form blocks of at most BLOCK nodes. A node is compared with a block if it
    shares as many prefix n-grams with the block's nodes of other classes as a link needs; pairs of nodes are
    never listed. A group in which the hub links with all is one class by then, and costs nothing more.
@@ -38,7 +39,7 @@ from quarry.llm.common import durable
 
 WORDS, PERCENT = 5, 75
 SAMPLE_EVERY, COMMON_AT, MOST_COMMON = 16, 4, 1_000_000
-BUCKET_ROWS, BLOCK, GROUP_ROWS, BLOOM_WORDS = 200_000, 256, 600, 1 << 17
+BUCKET_ROWS, BLOCK, GROUP_ROWS, BLOOM_WORDS, EXPAND = 200_000, 256, 600, 1 << 17, 1 << 19
 LIKE_SIZE, SLICE, PART, BASE = 1.15, 512, 1 << 18, 0xD1342543DE82EF95
 SPACE_BYTES = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"]
 IS_SPACE = np.isin(np.arange(256), [c[0] for c in SPACE_BYTES])
@@ -254,7 +255,7 @@ def shared_grams(batch: pa.Table) -> pa.Table:
     return pa.table({"gram": gram[many], "node": node[many], "n": n[many], "hub": hub[many], "n_hub": n_hub[many]})
 
 
-def block_counts(batch: pa.Table) -> pa.Table:
+def block_counts(batch: pa.Table, percent: int) -> pa.Table:
     """Of a bucket: how many n-grams each node shares with nodes of other classes in its own and later blocks."""
     order = np.lexsort(columns(batch, "class", "block", "gram"))
     gram, node, n, group, block, low, high = (c[order] for c in columns(batch, "gram", "node", "n", "class", "block", "low", "high"))
@@ -264,16 +265,38 @@ def block_counts(batch: pa.Table) -> pa.Table:
     own = np.repeat(np.arange(len(begin)), end - begin)
     last = np.searchsorted(gram[begin], gram, "right")  # after the n-gram's last block
     times = last - own
-    i = np.repeat(np.arange(len(gram)), times)
-    j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(own, times)
-    other = (group[begin[j]] != group[i]) | (group[end[j] - 1] != group[i])
-    i, j = i[other], j[other]
-    x, at = node[i], begin[j]
-    order = np.lexsort((block[at], x))
-    x, at, i = x[order], at[order], i[order]
-    b = block[at]
-    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (b[1:] != b[:-1])])) if len(x) else np.zeros(0, np.int64)
-    return pa.table({"node": x[first], "block": b[first], "n": n[i[first]], "low": low[at[first]], "high": high[at[first]], "shared": np.diff(np.append(first, len(x)))})
+    parts = []
+    for at, to in spans(times, EXPAND):  # to bound memory
+        t = times[at:to]
+        i = np.repeat(np.arange(at, to), t)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(t) - t, t) + np.repeat(own[at:to], t)
+        k = begin[j]
+        fit = (percent * n[i] <= 100 * high[k]) & (percent * low[k] <= 100 * n[i]) & ((group[k] != group[i]) | (group[end[j] - 1] != group[i]))
+        parts.append(counted(np.stack([node[i[fit]], block[k[fit]], n[i[fit]], low[k[fit]], high[k[fit]], np.ones(int(fit.sum()), np.int64)], axis=1)))
+        if sum(map(len, parts[1:])) > EXPAND:
+            parts = [counted(np.concatenate(parts))]
+    every = counted(np.concatenate(parts)) if parts else np.zeros((0, 6), np.int64)
+    return pa.table({k: every[:, c] for c, k in enumerate(("node", "block", "n", "low", "high", "shared"))})
+
+
+def spans(times: np.ndarray, most: int):
+    """Ranges of rows whose times sum to about `most`."""
+    total, at = np.cumsum(times), 0
+    while at < len(times):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def counted(rows: np.ndarray) -> np.ndarray:
+    """Rows with the same first two numbers as one, their last numbers summed."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    if not len(rows):
+        return rows
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+    out = rows[first]
+    out[:, -1] = np.add.reduceat(rows[:, -1], first)
+    return out
 
 
 def needs(a: str, b: str, percent: int) -> str:
@@ -399,10 +422,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     dense = durable(grams.groupBy(bucket).applyInArrow(shared_grams, "gram long, node long, n long, hub long, n_hub long"))
 
     star = dense.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("n_hub").alias("n_hub"))
-    star = star.where(f"shared >= {needs('n', 'n_hub', percent)}")
+    star = star.where("20 * shared >= n")
     best = F.max(F.struct("shared", F.expr("hub ^ -1L").alias("first"), "hub", "n", "n_hub")).alias("_s")
-    star = durable(star.groupBy("node").agg(best).select("node", "_s.hub", "_s.n", "_s.n_hub"))
-    stored, keys = dealt(star.select("hub", "node"), "hub", BLOCK)
+    star = durable(star.groupBy("node").agg(best).select("node", "_s.hub", "_s.n", "_s.n_hub", "_s.shared"))
+    stored, keys = dealt(star.where(f"shared >= {needs('n', 'n_hub', percent)}").select("hub", "node"), "hub", BLOCK)
     near = durable(components(links(docs, stored, keys.select("key", F.col("hub").alias("node")), words, percent)))
 
     # each node's block, and the least and greatest size in it
@@ -413,7 +436,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     known = dense.select("gram", "node", "n").join(member.drop("n").join(ends, "block"), "node", "left").join(near.toDF("node", "class"), "node", "left")
     known = known.withColumn("block", F.coalesce("block", F.xxhash64("node", "n"))).withColumn("class", F.coalesce("class", "node"))
     known = known.withColumn("low", F.coalesce("low", "n")).withColumn("high", F.coalesce("high", "n"))
-    counts = known.groupBy(bucket).applyInArrow(block_counts, "node long, block long, n long, low long, high long, shared long")
+    counts = known.groupBy(bucket).applyInArrow(lambda batch: block_counts(batch, percent), "node long, block long, n long, low long, high long, shared long")
     counts = counts.groupBy("node", "block").agg(F.sum("shared").alias("shared"), *[F.first(k).alias(k) for k in ("n", "low", "high")])
     probes = durable(enough(counts, percent).select("block", "node"))
     probes, keys = dealt(probes, "block", BLOCK)
