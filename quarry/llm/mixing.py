@@ -71,6 +71,7 @@ def with_repeats(docs: DataFrame, weights: list[float], epochs: float, seed: int
     first = cut.select(F.col("_src").alias("_s2"), F.col("_b").alias("_cb"))
     plan = plan.join(first, F.col("source").eqNullSafe(F.col("_s2")), "left").join(last, F.col("source").eqNullSafe(F.col("_src")), "left")
     plan = plan.select(F.col("source").alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_whole", "_rest", "_cb", "_last")
+    plan = durable(plan)  # a row a source, of known size: broadcast if that is small, else joined by sorting
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("_src")))
     o, at = F.col("_o"), F.shiftright("_o", BUCKET_SHIFT)
     more = F.when(F.col("_rest") <= 0, 0).when(F.col("_cb").isNull(), 1).when(at < F.col("_cb"), 1).when((at == F.col("_cb")) & (o <= F.coalesce("_last", F.lit(-1))), 1).otherwise(0)

@@ -126,11 +126,11 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
 def quality_rules(docs: DataFrame, least_words: int = 50, repeat_percent: int = 50, part: float = 0.75, least: int = 40, cut: float = CUT_4) -> DataFrame:
     """doc_id, the five statistics, base_failed, distance and kept for each row of docs (doc_id, text, lang, source)."""
     stats = base_stats(docs).withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
-    stats = durable(stats.select("*", *[v.alias(f"x{i}") for i, v in enumerate(vector())]))
-    good = stats.where(~F.col("base_failed")).select("lang", "source", *[f"x{i}" for i in range(4)])
+    stats = durable(stats.select("*", F.lit(1).alias("_all"), *[v.alias(f"x{i}") for i, v in enumerate(vector())]))
+    good = stats.where(~F.col("base_failed")).select("lang", "source", "_all", *[f"x{i}" for i in range(4)])
     each = durable(estimates(good, ["lang", "source"], part).where(F.col("_n") >= least))
-    every = durable(estimates(good.withColumn("_all", F.lit(1)), ["_all"], part))
-    judged = joined(stats.withColumn("_all", F.lit(1)), each.select("lang", "source", F.col("_m").alias("_g"), F.col("_scale").alias("_gs")), ["lang", "source"], "left")
+    every = durable(estimates(good, ["_all"], part))
+    judged = joined(stats, each.select("lang", "source", F.col("_m").alias("_g"), F.col("_scale").alias("_gs")), ["lang", "source"], "left")
     judged = joined(judged, every.select("_all", F.col("_m").alias("_e"), F.col("_scale").alias("_es")), ["_all"], "left")
     judged = judged.withColumn("_m", F.coalesce("_g", "_e")).withColumn("distance", distance() / F.coalesce("_gs", "_es"))
     stays = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)
