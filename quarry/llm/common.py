@@ -33,6 +33,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches in parts of few rows, so a Python worker holds few texts at once; its unused memory is given back."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def fold(key: str, mod: int) -> Column:
     """crc32 of the key as text, modulo mod; a null key counts as empty text (crc 0)."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod

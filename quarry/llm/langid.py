@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import sliced
+
 PROFILE, PER_LANG = 400, 1500
 
 
@@ -92,7 +94,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
         return langs[best], float(rest / (rest + away[best])) if rest else 0.5
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             lang, score = zip(*map(judge, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import sliced
+
 FRAME, RATE, PEAKS, FAN, BLOCK = 192, 8000, 2, 2, 8192
 
 
@@ -84,7 +86,7 @@ def media_features(docs: DataFrame, frame: int = FRAME, keep_media: bool = False
     """SCHEMA for each row of docs (doc_id, text); with keep_media also media binary and the arrays times, codes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = {k.split(" ")[0]: [] for k in SCHEMA.split(", ")[1:]} | ({"media": [], "times": [], "codes": []} if keep_media else {})
             for text in batch.column(1).to_pylist():
                 raw = (text or "").encode()

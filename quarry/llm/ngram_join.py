@@ -35,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import durable
+from quarry.llm.common import durable, sliced
 
 WORDS, PERCENT = 5, 75
 SAMPLE_EVERY, COMMON_AT, MOST_COMMON = 16, 4, 1_000_000
 BUCKET_ROWS, BLOCK, GROUP_ROWS, BLOOM_WORDS, EXPAND = 200_000, 256, 600, 1 << 17, 1 << 19
-LIKE_SIZE, SLICE, PART, BASE = 1.15, 512, 1 << 18, 0xD1342543DE82EF95
+LIKE_SIZE, PART, BASE = 1.15, 1 << 18, 0xD1342543DE82EF95
 SPACE_BYTES = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"]
 IS_SPACE = np.isin(np.arange(256), [c[0] for c in SPACE_BYTES])
 
@@ -175,13 +175,6 @@ class Tree:
         return out
 
 
-def sliced(batches):
-    """The batches in parts of few rows, to bound memory."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
 def base_rows(docs: DataFrame, words: int, every: int) -> DataFrame:
     """doc_id, n, node of each row; of every so many nodes also the set, once a task."""
 

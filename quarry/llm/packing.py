@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import durable
+from quarry.llm.common import durable, sliced
 from quarry.llm.token_counts import encoder
 
 SHARD_ROWS, TRIALS, PAIR_ITEMS = 4096, 4000, 12
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame
 
     def run(batches):
         enc, end, width = encoder(tokenizer), int(end_id).to_bytes(4, "little"), 4 * size
-        for batch in batches:
+        for batch in sliced(batches):
             of, number, crc, length = [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = enc.packed(text or "") + end

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import labelled_sample
+from quarry.llm.common import labelled_sample, sliced
 
 BITS, PER_CLASS, MAX_CHARS = 17, 2500, 60_000
 TAIL = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
@@ -157,7 +157,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
 
     def run(batches):
         m = packed.value
-        for batch in batches:
+        for batch in sliced(batches):
             score = np.array([m.score(t) for t in batch.column(1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -171,7 +171,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
 
     def run(batches):
         m = packed.value
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([m.score(t) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_WORDS, MEMO_BYTES = 1_000_000, 48
+from quarry.llm.common import sliced
+
+MEMO_WORDS, MEMO_BYTES = 400_000, 48
 #: May follow a word as a pre-token of its own; an apostrophe may not, as it can start one.
 MARKS = b'!"#$%&()*+,-./:;<=>?@[]^_`{|}~'
 HUGE, CHUNK, OVERLAP = 32_768, 16_384, 256
@@ -184,7 +186,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, huge: int =
 
     def run(batches):
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             counts = []
             for text in batch.column(1).to_pylist():
                 if not text:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import labelled_sample
+from quarry.llm.common import labelled_sample, sliced
 from quarry.llm.quality_nbsvm import logistic_fit
 
 WORD_BITS, CHAR_BITS, WIDE, HIDDEN, WIDTH, STRIDE, BATCH = 16, 14, 8, 8, 40, 32, 1024
@@ -247,7 +247,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
     return train(labelled_sample(docs, labels, label, learn, per_class, max_chars), 0.5 if share is None else float(share))
 
 
-def batch_scores(net: Net, texts: list[str | None], chars: int = 4_000_000) -> np.ndarray:
+def batch_scores(net: Net, texts: list[str | None], chars: int = 1_000_000) -> np.ndarray:
     """Scores in groups of texts of about so many characters, to bound memory."""
     out, group, size = [], [], 0
     for t in texts:
@@ -266,7 +266,7 @@ def score_toxicity(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             score = batch_scores(sent.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -279,7 +279,7 @@ def drop_toxic(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(batch_scores(sent.value, batch.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, schema)
