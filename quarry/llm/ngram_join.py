@@ -16,7 +16,7 @@ Jaccard similarity of their sets reaches `percent`; classes are connected compon
 5. Comparison: a hub's or block's nodes are stored in a prefix tree of their globally ordered sets, and a
    probing set is run through it: shared prefixes are intersected once, and a subtree is left when what
    remains of the probe and of the subtree's longest set can't reach the overlap that its shortest needs.
-   Trees of many nodes, and trees with many probes, are salted.
+   Trees of many nodes, and trees with many probes, are salted. A task gives a spanning forest of its links.
 
 Shingle and set hashes have 64 bits; different shingles or sets with equal hashes would be taken as equal.
 Documents without words, or null text, have empty sets, link with nothing and are classes of their own.
@@ -343,8 +343,30 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
+def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Those of the links (a, b) that join nodes which the links before them leave apart."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for x, y in zip(a, b, strict=True):
+        if (r := root(x)) != (q := root(y)):
+            up[r] = q
+            out[0].append(x)
+            out[1].append(y)
+    return out
+
+
 def links(docs: DataFrame, stored: DataFrame, probes: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b for each node of probes (key, node) that links with a node of stored (key, node) under its key."""
+    """Links a, b between nodes of probes (key, node) and of stored (key, node) under their keys.
+
+    Of the links that a task finds, those that join nothing new are left out: the classes are the same, and
+    a task gives fewer links than it has nodes, whatever the size of the group.
+    """
 
     def run(batch: pa.Table) -> pa.Table:
         key, node = columns(batch, "key", "node")
@@ -359,6 +381,7 @@ def links(docs: DataFrame, stored: DataFrame, probes: DataFrame, words: int, per
                 found = [k for k in tree.linked(np.frombuffer(sets[i].as_buffer(), np.int64), percent) if k != node[i]]
                 b += found
                 a += [int(node[i])] * len(found)
+        a, b = forest(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     rows = durable(stored.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True))))

@@ -83,3 +83,20 @@ def test_tree_finds_what_pairs_find(seed):
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     assert {(r["id"], r["class"]) for r in J.components(edges).collect()} == {(i, 0) for i in range(41)} | {(99, 99), (100, 99)}
+
+
+def test_forest_keeps_components():
+    draw = random.Random(2)
+    a, b = ([draw.randrange(60) for _ in range(400)] for _ in range(2))
+    x, y = J.forest(a, b)
+    assert len(x) < 60 and set(zip(x, y)) <= set(zip(a, b))
+
+    def parts(edges):
+        up = {i: i for i in range(60)}
+        for _ in range(60):
+            for i, j in edges:
+                up[i] = up[j] = min(up[i], up[j])
+        return up
+
+    assert parts(list(zip(x, y))) == parts(list(zip(a, b)))
+    assert J.forest([], []) == ([], [])
