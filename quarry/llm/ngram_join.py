@@ -9,10 +9,12 @@ Jaccard similarity of their sets reaches `percent`; classes are connected compon
    order. Prefix n-grams are dealt to buckets; those that one node alone has go.
 3. Star round: each node is compared with one hub only, the one that it shares most prefix n-grams with
    among the least nodes of like size that have them (at least a twentieth of its own n-grams, and what a
-   link needs). Links give first classes.
-4. Block round: nodes with one hub form blocks of at most BLOCK nodes. A node is compared with a block if it
-   shares as many prefix n-grams with the block's nodes of other classes as a link needs; pairs of nodes are
-   never listed. A group in which the hub links with all is one class by then, and costs nothing more.
+   link needs). Links give first classes. A node that shares less than a twentieth with each such node has
+   the least of them as its loose hub, and isn't compared with it.
+4. Block round: nodes with one hub form blocks of about BLOCK nodes, those that have it as loose hub apart. A
+   node is compared with a block if it shares as many prefix n-grams with the block's nodes of other classes as
+   a link needs; pairs of nodes are never listed. A group in which the hub links with all is one class by
+   then, and costs nothing more; nodes of like size that only share a common passage fill few blocks.
 5. Comparison: a hub's or block's nodes are stored in a prefix tree of their globally ordered sets, and a
    probing set is run through it: shared prefixes are intersected once, and a subtree is left when what
    remains of the probe and of the subtree's longest set can't reach the overlap that its shortest needs.
@@ -438,14 +440,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     dense = durable(grams.groupBy(bucket).applyInArrow(shared_grams, "gram long, node long, n long, hub long, n_hub long"))
 
     star = dense.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("n_hub").alias("n_hub"))
-    star = star.where("20 * shared >= n")
-    best = F.max(F.struct("shared", F.expr("hub ^ -1L").alias("first"), "hub", "n", "n_hub")).alias("_s")
-    star = durable(star.groupBy("node").agg(best).select("node", "_s.hub", "_s.n", "_s.n_hub", "_s.shared"))
-    stored, keys = dealt(star.where(f"shared >= {needs('n', 'n_hub', percent)}").select("hub", "node"), "hub", BLOCK)
+    tight = F.expr("if(20 * shared >= n, shared, 0)").alias("tight")
+    best = F.max(F.struct(tight, F.expr("hub ^ -1L").alias("first"), "hub", "n", "n_hub", "shared")).alias("_s")
+    star = star.groupBy("node").agg(best).select("node", "_s.hub", "_s.n", "_s.n_hub", "_s.shared", (F.col("_s.tight") == 0).alias("loose"))
+    star = durable(star)
+    stored, keys = dealt(star.where(f"not loose and shared >= {needs('n', 'n_hub', percent)}").select("hub", "node"), "hub", BLOCK)
     near = durable(components(links(docs, stored, keys.select("key", F.col("hub").alias("node")), words, percent)))
 
     # each node's block, and the least and greatest size in it
-    size = star.select("node", "hub", "n").unionByName(star.select(F.col("hub").alias("node"), "hub", F.col("n_hub").alias("n")).distinct().join(star.select("node"), "node", "left_anti"))
+    hubs = star.groupBy("hub").agg(F.first("n_hub").alias("n"), F.min("loose").alias("loose")).select(F.col("hub").alias("node"), "hub", "n", "loose")
+    size = star.select("node", "hub", "n", "loose").unionByName(hubs.join(star.select("node"), "node", "left_anti")).withColumn("hub", F.xxhash64("hub", "loose"))
     member = dealt(size.select("hub", "node"), "hub", BLOCK)[0].withColumnRenamed("key", "block").join(size.select("node", "n"), "node")
     member = durable(member)
     ends = member.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
