@@ -65,8 +65,8 @@ def improved(lengths: list[int], bins: list[list[int]], size: int, trials: int =
     def step(e: int) -> bool:
         free = np.where((fill > 0) & (np.arange(len(fill)) != e), size - fill, -1)
         mine = sorted(bins[e], key=lambda i: (-item[i], i))
-        for i in mine:  # move to the bin that it fills best
-            fits = free - item[i]
+        for i in mine:  # move to the bin that it fills best, if that one gets fuller than this one is
+            fits = np.where(fill + item[i] > fill[e], free - item[i], -1)
             if (fits >= 0).any():
                 move(i, int(np.argmin(np.where(fits >= 0, fits, size + 1))))
                 return True
@@ -107,14 +107,18 @@ def improved(lengths: list[int], bins: list[list[int]], size: int, trials: int =
 
     while trials > 0:
         under = [b for b in np.flatnonzero((fill > 0) & (fill < size)).tolist() if b not in given_up]
-        if len(under) < 2 or fill[fill > 0].sum() > size * (np.count_nonzero(fill) - 1):
+        if not under or fill[fill > 0].sum() > size * (np.count_nonzero(fill) - 1):
             break  # no bin can be saved any more
         e = min(under, key=lambda b: (fill[b], b))
+        stepped = False
         while bins[e] and trials > 0:
             trials -= 1
             if not step(e):
-                given_up.add(e)
                 break
+            stepped = True
+        if stepped:  # other bins have changed and may be emptied now
+            given_up.clear()
+        given_up.add(e)
     return [sorted(b, key=lambda i: (-lengths[i], i)) for b in bins if b]
 
 
