@@ -41,7 +41,8 @@ def water_fill(sources: DataFrame, weights: list[float], epochs: float) -> DataF
     before, every = by_ratio.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     w = w.withColumn("_left", F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
     w = w.withColumn("_rate", F.col("_left") / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
-    w = w.withColumn("_rate", F.min(F.when(F.col("_cap") / F.col("_w") >= F.col("_rate"), F.struct(F.col("_cap") / F.col("_w"), F.col("_rate").alias("_r")))).over(every)["_r"])
+    # the rates fall from that source on, so its rate is the greatest of those that fit, ties or not
+    w = w.withColumn("_rate", F.max(F.when(F.col("_cap") / F.col("_w") >= F.col("_rate"), F.col("_rate"))).over(every))
     return w.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_w") * F.col("_rate"), F.col("_cap"))).alias("target"))
 
 
@@ -86,6 +87,6 @@ def mix_plan(docs: DataFrame, weights: list[float], epochs: float = 3, seed: int
 
 
 def mixed(docs: DataFrame, weights: list[float], epochs: float = 3, seed: int = 13) -> DataFrame:
-    """The mix: the rows of docs, all columns, each as often as it is taken. Columns of docs must not start with _."""
-    rows = with_repeats(docs, weights, epochs, seed).where(F.col("_times") > 0)
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The mix: the rows of docs, all columns, each as often as it is taken."""
+    rows = with_repeats(docs.select("doc_id", "text", "source", F.struct("*").alias("row")), weights, epochs, seed).where(F.col("_times") > 0)
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")

@@ -115,7 +115,7 @@ WITH d AS (
   SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS rate
   FROM w WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, least(cap, coalesce(w * (SELECT arg_min(rate, cap / w) FROM r WHERE cap / w >= rate), cap)) AS target FROM r
+  SELECT source, source_size, least(cap, coalesce(w * (SELECT max(rate) FROM r WHERE cap / w >= rate), cap)) AS target FROM r
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t
 ), q AS (
