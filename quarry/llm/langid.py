@@ -40,7 +40,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     c, gap = c[keep], gap[keep]
     two = (c[:-1] << 21) | c[1:]
     codes = np.sort(np.concatenate([c[~gap], two, (two[:-1] << 21) | c[2:]]))
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
     return codes[first], np.diff(np.append(first, len(codes)))
 
 
