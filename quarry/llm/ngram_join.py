@@ -472,4 +472,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def keep_one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the least of its class. Rows with one doc_id are one document."""
     ones = near_duplicates(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_one")).distinct()
-    return docs.join(ones, F.col("doc_id").eqNullSafe(F.col("_one")), "left_semi")
+    return docs.join(ones, docs["doc_id"].eqNullSafe(ones["_one"]), "left_semi")
