@@ -122,7 +122,7 @@ def plain_words(path: str, tok):
 
     def fast(word: bytes) -> bytes | None:
         body = word.rstrip(MARKS)
-        if not body.isalpha():
+        if not body.isalpha() or not body.islower():  # capitals stay in texts with special strings
             text = body.decode()
             if not text.isalpha() or not text.islower() or max(text) > "\u017e" or "\u0149" in text:
                 return None

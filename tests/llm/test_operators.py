@@ -259,6 +259,13 @@ def test_token_counts_are_the_library_s(spark):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((texts[r.doc_id] or "").encode()), n, n > 2048)
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|> Hello World", "Hello <| World", "x<|y Hello, WORLD. <|endoftext|>", "<|ENDOFTEXT|> \u00c9T\u00c9 \u00c9t\u00e9!", "<| A hELLo hello"])
+def test_capitals_beside_special_strings(text):
+    enc = token_counts.Encoder(queries.vocabulary())
+    assert enc.fast is not None
+    assert np.frombuffer(enc.packed(text), "<u4").tolist() == tok().encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(400, 8), (1000, 64), (150, 140)])
 def test_splices_of_chunks(spark, chunk, overlap):
     t, enc = tok(), token_counts.encoder(queries.vocabulary())
