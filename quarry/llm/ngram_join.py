@@ -304,9 +304,16 @@ def needs(a: str, b: str, percent: int) -> str:
 
 
 def enough(counts: DataFrame, percent: int) -> DataFrame:
-    """Rows of counts (n, low, high, shared) that may link with a set of low to high n-grams; what they need is least at an end of the sizes that may."""
+    """Rows of counts (n, low, high, shared) that may link with a set of low to high n-grams.
+
+    Up to size n the need grows with the size, so it is least at the low end. From there on it is over f and
+    less than f + 2, where f falls by percent ** 2 / (100 (100 + percent)) a size: a lesser need than that of
+    the high end is at one of the few sizes below it only. So this is the least need of all sizes that may link.
+    """
     ends = counts.withColumn("_l", F.expr(f"greatest(low, ceil({percent} * n / 100))")).withColumn("_h", F.expr(f"least(high, floor(100 * n / {percent}))"))
-    return ends.where("_l <= _h").where(f"shared >= least({needs('n', '_l', percent)}, {needs('n', '_h', percent)})").drop("_l", "_h")
+    steps = (100 * (100 + percent) - 1) // (percent * percent)  # times the fall are less than 1
+    sizes = ["_l", *[f"greatest(_l, _h - {k})" for k in range(steps + 1)]]
+    return ends.where("_l <= _h").where(f"shared >= least({', '.join(needs('n', k, percent) for k in sizes)})").drop("_l", "_h")
 
 
 def needed_filter(nodes: DataFrame) -> np.ndarray:

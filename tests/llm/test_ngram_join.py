@@ -80,6 +80,24 @@ def test_tree_finds_what_pairs_find(seed):
         assert sorted(tree.linked(s, 75)) == want
 
 
+@pytest.mark.parametrize("percent", [75, 50, 90])
+def test_enough_is_the_least_need_of_all_sizes(spark, percent):
+    def need(a, b):  # in whole numbers
+        return max(1, J.least_overlap(a, b, percent) - max(-(-percent * k // 100) - 1 for k in (a, b)))
+
+    rows, want = [], {}
+    for n in (1, 2, 5, 9, 20, 33, 60, 100, 150):
+        like = [m for m in range(1, 2 * n + 3) if percent * n <= 100 * m and percent * m <= 100 * n]
+        for low in range(max(1, like[0] - 2), like[-1] + 3, 1 if n < 60 else 4):
+            for high in range(low, like[-1] + 3):
+                least = min((need(n, m) for m in like if low <= m <= high), default=None)
+                want[n, low, high] = least
+                rows += [(n, low, high, k) for k in ([least - 1, least] if least else [10 * n])]
+    assert percent != 75 or (100, 76, 132, 1) in J.enough(spark.createDataFrame([(100, 76, 132, 1)], "n long, low long, high long, shared long"), 75).collect()
+    got = J.enough(spark.createDataFrame(rows, "n long, low long, high long, shared long"), percent).collect()
+    assert sorted(map(tuple, got)) == sorted((*k, least) for k, least in want.items() if least)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     assert {(r["id"], r["class"]) for r in J.components(edges).collect()} == {(i, 0) for i in range(41)} | {(99, 99), (100, 99)}
