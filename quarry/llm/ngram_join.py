@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import durable, sliced
+from quarry.llm.common import WORD, durable, sliced
 
 WORDS, PERCENT = 5, 75
 SAMPLE_EVERY, COMMON_AT, MOST_COMMON = 16, 4, 1_000_000
@@ -178,7 +178,7 @@ class Tree:
 
 
 def base_rows(docs: DataFrame, words: int, every: int) -> DataFrame:
-    """doc_id, n, node of each row; of every so many nodes also the set, once a task."""
+    """doc_id, hash of the text, n, node of each row; of every so many nodes also the set, once a task."""
 
     def run(batches):
         seen = set()
@@ -192,9 +192,9 @@ def base_rows(docs: DataFrame, words: int, every: int) -> DataFrame:
                 if pick:
                     seen.add(k)
                 some.append(s if pick else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(some, pa.list_(pa.int64()))], ["doc_id", "n", "node", "some"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(some, pa.list_(pa.int64()))], ["doc_id", "h", "n", "node", "some"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, some array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n long, node long, some array<long>")
 
 
 def prefix_rows(docs: DataFrame, common: np.ndarray, late_order: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -433,8 +433,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("class")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("class")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id of the class) for each row of docs (doc_id, text)."""
+def classed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, h (hash of the text), n, node, class (a node) for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     base = durable(base_rows(docs, words, SAMPLE_EVERY))
     some = base.where(F.col("some").isNotNull()).groupBy("node").agg(F.first("some").alias("some")).select(F.explode("some").alias("gram"))
@@ -471,12 +471,30 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     more = links(docs, every.join(keys, "block").select("key", "node"), probes, words, percent)
     classes = components(near.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(more))
 
-    rows = base.select("doc_id", "n", "node").join(classes.toDF("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    return base.select("doc_id", "h", "n", "node").join(classes.toDF("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id of the class) for each row of docs (doc_id, text)."""
+    rows = classed(docs, words, percent)
     least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the least of its class. Rows with one doc_id are one document."""
-    ones = near_duplicates(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_one")).distinct()
-    return docs.join(ones, docs["doc_id"].eqNullSafe(ones["_one"]), "left_semi")
+    """One row of each class of docs, all columns: of the least doc_id (null last), then the least hash of the text, then of the row.
+
+    Rows without words are classes of their own, and all stay.
+    """
+    id_, text, names = F.col("doc_id").cast("long"), F.col("text"), docs.columns
+    rows = classed(docs, words, percent).where("n > 0").groupBy("class", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    ones = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "rows")).alias("_s"))
+    ones = durable(ones.select(F.col("_s.doc_id").alias("_one"), F.col("_s.h").alias("_h"), F.col("_s.rows").alias("_rows")))
+    some = F.coalesce(text.rlike(WORD), F.lit(False))
+
+    def of(these: DataFrame) -> DataFrame:
+        return docs.where(some).join(these, id_.eqNullSafe(these["_one"]) & (F.xxhash64(text) == these["_h"]), "left_semi")
+
+    # few: only rows with equal doc_id and text have to be told apart by their other columns
+    again = of(ones.where("_rows > 1")).groupBy(id_.alias("_one"), F.xxhash64(text).alias("_h")).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_s"))
+    return docs.where(~some).unionByName(of(ones.where("_rows = 1"))).unionByName(again.select(*[F.col("_s")[k].alias(k) for k in names]))

@@ -67,6 +67,18 @@ def test_empty_null_and_repeated_rows(spark):
     assert got == sorted([(5, 2, 5), (5, 2, 5), (None, 2, 5), (7, 0, 7), (8, 0, 8)], key=repr)
 
 
+def test_one_row_of_each_class_stays(spark):
+    t, u, v = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
+    rows = [(5, t, "x"), (5, t, "x"), (5, t, "y"), (None, t, "x"), (None, u, "x"), (None, u, None), (7, v, "x"), (7, v.upper(), "x"), (9, v, "x"), (None, "", "x"), (None, None, "x"), (8, " ", "x"), (8, " ", "x"), (11, "one two", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _one string")
+    got = J.keep_one_each(df)
+    assert got.columns == df.columns
+    got = [tuple(r) for r in got.collect()]
+    assert set(got) <= set(rows)
+    want = [(5, "a"), (None, "k"), (7, "s"), (None, ""), (None, ""), (8, ""), (8, ""), (11, "o")]
+    assert sorted(((k, (x or "").strip().lower()[:1]) for k, x, _ in got), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_tree_finds_what_pairs_find(seed):
     draw = np.random.default_rng(seed)
