@@ -37,12 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, durable, sliced
+from quarry.llm.common import WORD, durable, release, sliced
 
 WORDS, PERCENT = 5, 75
 SAMPLE_EVERY, COMMON_AT, MOST_COMMON = 16, 4, 1_000_000
-BUCKET_ROWS, BLOCK, GROUP_ROWS, BLOOM_WORDS, EXPAND = 200_000, 256, 600, 1 << 17, 1 << 19
-LIKE_SIZE, PART, BASE = 1.15, 1 << 18, 0xD1342543DE82EF95
+BUCKET_ROWS, BLOCK, BLOCK_SHINGLES, GROUP_SHINGLES, BLOOM_WORDS = 200_000, 256, 1 << 20, 1 << 19, 1 << 17
+LIKE_SIZE, CELL_SIZE, TURNS, PART, BASE = 1.15, 1.03, 3, 1 << 18, 0xD1342543DE82EF95
 SPACE_BYTES = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"]
 IS_SPACE = np.isin(np.arange(256), [c[0] for c in SPACE_BYTES])
 
@@ -197,14 +197,16 @@ def base_rows(docs: DataFrame, words: int, every: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n long, node long, some array<long>")
 
 
-def prefix_rows(docs: DataFrame, common: np.ndarray, late_order: np.ndarray, words: int, percent: int) -> DataFrame:
-    """gram, node, n for each n-gram in each node's prefix; each node once a task. common: ascending; late_order: their places."""
-    sent = docs.sparkSession.sparkContext.broadcast((common, late_order))  # MOST_COMMON numbers at most
+def prefix_rows(docs: DataFrame, sent, late: bool, words: int, percent: int) -> DataFrame:
+    """gram, node, kind for each n-gram in each node's prefix that is a common one (late) or not; each node once a task.
+
+    sent: a broadcast of the common n-grams, ascending, and their places in the order.
+    """
 
     def run(batches):
-        seen, (common, late_order) = set(), sent.value
+        seen, (common, place) = set(), sent.value
         for batch in sliced(batches):
-            grams, nodes, sizes = [], [], []
+            grams, nodes, kinds = [], [], []
             for s in shingle_sets(batch.column(0).to_pylist(), words):
                 if (n := len(s)) and (k := set_id(s)) not in seen:
                     seen.add(k)
@@ -212,86 +214,52 @@ def prefix_rows(docs: DataFrame, common: np.ndarray, late_order: np.ndarray, wor
                     if len(common):
                         at = np.searchsorted(common, s)
                         at[at == len(common)] = 0
-                        late = common[at] == s
-                        if late.any():
-                            s = np.concatenate([s[~late], s[late][np.argsort(late_order[at[late]])]])
-                    grams.append(s[:p])
+                        known = common[at] == s
+                        rare = s[~known]
+                        s = s[known][np.argsort(place[at[known]])][: max(0, p - len(rare))] if late else rare[:p]
+                    else:
+                        s = s[:0] if late else s[:p]
+                    grams.append(s)
                     nodes.append(k)
-                    sizes.append(n)
+                    kinds.append(int(np.log(n) / np.log(LIKE_SIZE)))
             count = [len(g) for g in grams]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), count)), pa.array(np.repeat(np.array(sizes, np.int64), count))], ["gram", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), count)), pa.array(np.repeat(np.array(kinds, np.int32), count))], ["gram", "node", "kind"])
 
-    return docs.select("text").mapInArrow(run, "gram long, node long, n long")
+    return docs.select("text").mapInArrow(run, "gram long, node long, kind int")
 
 
 def columns(batch: pa.Table, *names: str) -> list[np.ndarray]:
     return [batch.column(k).to_numpy() for k in names]
 
 
-def kind_of(n: np.ndarray) -> np.ndarray:
-    """Classes of like size."""
-    return (np.log(n) / np.log(LIKE_SIZE)).astype(np.int64)
-
-
 def shared_grams(batch: pa.Table) -> pa.Table:
     """Of a bucket: the rows of n-grams that two or more nodes have, with the least node of like size as hub."""
-    gram, node, n = columns(batch, "gram", "node", "n")
-    kind = kind_of(n)
+    gram, node, kind = columns(batch, "gram", "node", "kind")
     order = np.lexsort((node, kind, gram))
-    gram, node, n, kind = gram[order], node[order], n[order], kind[order]
+    gram, node, kind = gram[order], node[order], kind[order]
     keep = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
-    gram, node, n, kind = gram[keep], node[keep], n[keep], kind[keep]
+    gram, node, kind = gram[keep], node[keep], kind[keep]
     new = np.concatenate([[True], gram[1:] != gram[:-1]])
-    of = np.cumsum(new) - 1
-    many = np.bincount(of)[of] > 1
+    many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
     begin = np.flatnonzero(new | np.concatenate([[True], kind[1:] != kind[:-1]]))
-    times = np.diff(np.append(begin, len(node)))
-    hub, n_hub = np.repeat(node[begin], times), np.repeat(n[begin], times)
-    return pa.table({"gram": gram[many], "node": node[many], "n": n[many], "hub": hub[many], "n_hub": n_hub[many]})
-
-
-def block_counts(batch: pa.Table, percent: int) -> pa.Table:
-    """Of a bucket: how many n-grams each node shares with nodes of other classes in its own and later blocks."""
-    order = np.lexsort(columns(batch, "class", "block", "gram"))
-    gram, node, n, group, block, low, high = (c[order] for c in columns(batch, "gram", "node", "n", "class", "block", "low", "high"))
-    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-    begin = np.flatnonzero(new_gram | np.concatenate([[True], block[1:] != block[:-1]]))  # of each block in each n-gram
-    end = np.append(begin[1:], len(gram))
-    own = np.repeat(np.arange(len(begin)), end - begin)
-    last = np.searchsorted(gram[begin], gram, "right")  # after the n-gram's last block
-    times = last - own
-    parts = []
-    for at, to in spans(times, EXPAND):  # to bound memory
-        t = times[at:to]
-        i = np.repeat(np.arange(at, to), t)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(t) - t, t) + np.repeat(own[at:to], t)
-        k = begin[j]
-        fit = (percent * n[i] <= 100 * high[k]) & (percent * low[k] <= 100 * n[i]) & ((group[k] != group[i]) | (group[end[j] - 1] != group[i]))
-        parts.append(counted(np.stack([node[i[fit]], block[k[fit]], n[i[fit]], low[k[fit]], high[k[fit]], np.ones(int(fit.sum()), np.int64)], axis=1)))
-        if sum(map(len, parts[1:])) > EXPAND:
-            parts = [counted(np.concatenate(parts))]
-    every = counted(np.concatenate(parts)) if parts else np.zeros((0, 6), np.int64)
-    return pa.table({k: every[:, c] for c, k in enumerate(("node", "block", "n", "low", "high", "shared"))})
-
-
-def spans(times: np.ndarray, most: int):
-    """Ranges of rows whose times sum to about `most`."""
-    total, at = np.cumsum(times), 0
-    while at < len(times):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
-        yield at, to
-        at = to
+    hub = np.repeat(node[begin], np.diff(np.append(begin, len(node))))
+    return pa.table({"gram": gram[many], "node": node[many], "hub": hub[many]})
 
 
-def counted(rows: np.ndarray) -> np.ndarray:
-    """Rows with the same first two numbers as one, their last numbers summed."""
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    if not len(rows):
-        return rows
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
-    out = rows[first]
-    out[:, -1] = np.add.reduceat(rows[:, -1], first)
-    return out
+def shared_prefixes(docs: DataFrame, common: np.ndarray, place: np.ndarray, rows: int, words: int, percent: int) -> DataFrame:
+    """gram, node, hub for the prefix n-grams that nodes share.
+
+    What isn't common is few rows an n-gram, and is dealt to buckets by it. A common n-gram may be that of a third
+    of the nodes: its hubs are an aggregate, combined before the shuffle, and are joined back by n-gram and size.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((common, place))  # MOST_COMMON numbers at most
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(max(1, round(rows / BUCKET_ROWS)))).alias("_b")
+    rare = prefix_rows(docs, sent, False, words, percent).groupBy(bucket).applyInArrow(shared_grams, "gram long, node long, hub long")
+    if not len(common):
+        return rare
+    late = durable(prefix_rows(docs, sent, True, words, percent).distinct())
+    hubs = durable(late.groupBy("gram", "kind").agg(F.min("node").alias("hub")))
+    return rare.unionByName(late.join(hubs, ["gram", "kind"]).select("gram", "node", "hub"))
 
 
 def needs(a: str, b: str, percent: int) -> str:
@@ -370,11 +338,12 @@ def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return out
 
 
-def links(docs: DataFrame, stored: DataFrame, probes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links a, b between nodes of probes (key, node) and of stored (key, node) under their keys.
+def links(docs: DataFrame, stored: DataFrame, probes: DataFrame, words: int, percent: int, turns: int = 1) -> DataFrame:
+    """Links a, b between nodes of probes (key, node, n) and of stored (key, node, n) under their keys.
 
     Of the links that a task finds, those that join nothing new are left out: the classes are the same, and
-    a task gives fewer links than it has nodes, whatever the size of the group.
+    a task gives fewer links than it has nodes, whatever the size of the group. Keys are worked off in so
+    many turns, so that only a part of the sets is on disk at once.
     """
 
     def run(batch: pa.Table) -> pa.Table:
@@ -393,22 +362,31 @@ def links(docs: DataFrame, stored: DataFrame, probes: DataFrame, words: int, per
         a, b = forest(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = durable(stored.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True))))
-    sets = sets_of(docs, rows.select(F.col("node").alias("k")).distinct(), words)
-    groups = max(1, round(rows.count() / GROUP_ROWS))
-    return rows.join(sets, "node").groupBy(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("_g")).applyInArrow(run, "a long, b long")
+    rows = durable(stored.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True))).withColumn("_t", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(turns))))
+    out = None
+    for turn in range(turns):
+        some = rows.where(F.col("_t") == turn).drop("_t")
+        sets = sets_of(docs, some.select(F.col("node").alias("k")).distinct(), words)
+        groups = max(1, -(-(some.agg(F.sum("n")).first()[0] or 0) // GROUP_SHINGLES))
+        found = durable(some.join(sets, "node").groupBy(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("_g")).applyInArrow(run, "a long, b long"))
+        out = found if out is None else out.unionByName(found)
+    release(rows)
+    return out
 
 
-def dealt(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """rows (by, node) as (key, node), with keys of about `most` rows each, and all keys as (by, key)."""
-    load = durable(rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("salts")))
+def dealt(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """rows (by, node, n) as (key, node, n), and all keys as (by, key): of about BLOCK rows and BLOCK_SHINGLES n-grams a key at most, or one row."""
+    load = durable(rows.groupBy(by).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("salts")))
     key = F.xxhash64(F.col(by), F.col("salt")).alias("key")
-    salted = rows.join(load, by).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select(key, "node")
+    salted = rows.join(load, by).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select(key, "node", "n")
     return salted, load.select(by, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(by, key)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, class (the least id reachable) for each end of edges (a, b), by alternating large and small stars."""
+    """id, class (the least id reachable) for each end of edges (a, b), by alternating large and small stars.
+
+    The least neighbours are a table of their own, so Spark can split the join of a node with a great many edges.
+    """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -416,69 +394,98 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-            return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+            least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+            out = durable(both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        else:
+            down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            least = durable(down.groupBy("a").agg(F.min("b").alias("m")))
+            moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            out = durable(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        release(e, least)
+        return out
 
     e = durable(edges.where("a <> b").select("a", "b").distinct())
     before = state(e)
     while before[0]:
-        e = durable(star(star(e, True), False))
+        e = star(star(e, True), False)
         if (now := state(e)) == before:
             break
         before = now
     return e.select(F.col("a").alias("id"), F.col("b").alias("class")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("class")).distinct())
 
 
-def classed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, h (hash of the text), n, node, class (a node) for each row of docs (doc_id, text)."""
+def common_grams(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of sampled sets (some): the common n-grams, ascending, and their places in the global order, the rarer first."""
+    often = some.select(F.explode("some").alias("gram")).groupBy("gram").count().where(F.col("count") >= COMMON_AT)
+    often = often.orderBy(F.desc("count"), "gram").limit(MOST_COMMON).toPandas().sort_values(["gram"])
+    gram = often["gram"].to_numpy(np.int64)
+    return gram, np.lexsort((gram, often["count"].to_numpy(np.int64))).argsort()
+
+
+def block_probes(known: DataFrame, percent: int) -> DataFrame:
+    """block, node, n: the nodes of known (gram, node, n, block, cell, low, high, class) that may link with a node of a block.
+
+    Counted for each cell (nodes of a block of like size): how many n-grams a node shares with nodes of other classes
+    in the cell. Of two cells, the one that is first in order has the probes. What is joined are nodes with cells of
+    an n-gram, without those all of the node's own class, so a group that is one class gives no rows.
+    """
+    cells = known.groupBy("gram", F.col("block").alias("b"), F.col("cell").alias("c")).agg(F.first("low").alias("l"), F.first("high").alias("h"), F.min("class").alias("c1"), F.max("class").alias("c2"))
+    later = "(b > block or b = block and c >= cell)"
+    fit = f"{percent} * n <= 100 * h and {percent} * l <= 100 * n"
+    met = known.drop("low", "high").join(cells, "gram").where(f"{later} and (c1 <> class or c2 <> class) and {fit}")
+    counts = met.groupBy("node", "b", "c").agg(F.count(F.lit(1)).alias("shared"), *[F.first(k).alias(k) for k in ("n", "l", "h")])
+    return enough(counts.withColumnsRenamed({"l": "low", "h": "high"}), percent).select(F.col("b").alias("block"), "node", "n").distinct()
+
+
+def classed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h (hash of the text), n, node) for each row of docs (doc_id, text), and (node, class) of the nodes that have links."""
     docs = docs.select("doc_id", "text")
-    base = durable(base_rows(docs, words, SAMPLE_EVERY))
-    some = base.where(F.col("some").isNotNull()).groupBy("node").agg(F.first("some").alias("some")).select(F.explode("some").alias("gram"))
-    often = some.groupBy("gram").count().where(F.col("count") >= COMMON_AT).orderBy(F.desc("count"), "gram").limit(MOST_COMMON).toPandas()
-    often = often.sort_values(["gram"])
-    late_order = np.lexsort((often["gram"].to_numpy(np.int64), often["count"].to_numpy(np.int64))).argsort()
+    first = durable(base_rows(docs, words, SAMPLE_EVERY))
+    common, place = common_grams(first.where(F.col("some").isNotNull()).groupBy("node").agg(F.first("some").alias("some")))
+    base = durable(first.drop("some"))
+    release(first)
     rows = base.agg(F.sum(F.expr(f"n - floor(({percent} * n + 99) / 100) + 1"))).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("gram"), F.lit(max(1, round(rows / BUCKET_ROWS)))).alias("_b")
-    grams = prefix_rows(docs, often["gram"].to_numpy(np.int64), late_order, words, percent)
-    dense = durable(grams.groupBy(bucket).applyInArrow(shared_grams, "gram long, node long, n long, hub long, n_hub long"))
+    dense = durable(shared_prefixes(docs, common, place, rows, words, percent))
+    nodes = durable(base.where("n > 0").join(dense.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n")))
 
-    star = dense.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("n_hub").alias("n_hub"))
+    # star round
+    star = dense.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    star = star.join(nodes, "node").join(nodes.toDF("hub", "n_hub"), "hub")
     tight = F.expr("if(20 * shared >= n, shared, 0)").alias("tight")
     best = F.max(F.struct(tight, F.expr("hub ^ -1L").alias("first"), "hub", "n", "n_hub", "shared")).alias("_s")
-    star = star.groupBy("node").agg(best).select("node", "_s.hub", "_s.n", "_s.n_hub", "_s.shared", (F.col("_s.tight") == 0).alias("loose"))
-    star = durable(star)
-    stored, keys = dealt(star.where(f"not loose and shared >= {needs('n', 'n_hub', percent)}").select("hub", "node"), "hub", BLOCK)
-    near = durable(components(links(docs, stored, keys.select("key", F.col("hub").alias("node")), words, percent)))
-
-    # each node's block, and the least and greatest size in it
-    hubs = star.groupBy("hub").agg(F.first("n_hub").alias("n"), F.min("loose").alias("loose")).select(F.col("hub").alias("node"), "hub", "n", "loose")
-    size = star.select("node", "hub", "n", "loose").unionByName(hubs.join(star.select("node"), "node", "left_anti")).withColumn("hub", F.xxhash64("hub", "loose"))
-    member = dealt(size.select("hub", "node"), "hub", BLOCK)[0].withColumnRenamed("key", "block").join(size.select("node", "n"), "node")
-    member = durable(member)
-    ends = member.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    known = dense.select("gram", "node", "n").join(member.drop("n").join(ends, "block"), "node", "left").join(near.toDF("node", "class"), "node", "left")
-    known = known.withColumn("block", F.coalesce("block", F.xxhash64("node", "n"))).withColumn("class", F.coalesce("class", "node"))
-    known = known.withColumn("low", F.coalesce("low", "n")).withColumn("high", F.coalesce("high", "n"))
-    counts = known.groupBy(bucket).applyInArrow(lambda batch: block_counts(batch, percent), "node long, block long, n long, low long, high long, shared long")
-    counts = counts.groupBy("node", "block").agg(F.sum("shared").alias("shared"), *[F.first(k).alias(k) for k in ("n", "low", "high")])
-    probes = durable(enough(counts, percent).select("block", "node"))
-    probes, keys = dealt(probes, "block", BLOCK)
-    every = member.select("block", "node").unionByName(dense.select(F.xxhash64("node", "n").alias("block"), "node").distinct().join(member.select("node"), "node", "left_anti"))
-    more = links(docs, every.join(keys, "block").select("key", "node"), probes, words, percent)
-    classes = components(near.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(more))
-
-    return base.select("doc_id", "h", "n", "node").join(classes.toDF("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    star = durable(star.groupBy("node").agg(best).select("node", "_s.hub", "_s.n", "_s.n_hub", "_s.shared", (F.col("_s.tight") == 0).alias("loose")))
+    stored, keys = dealt(star.where(f"not loose and shared >= {needs('n', 'n_hub', percent)}").select("hub", "node", "n"), "hub")
+    probes = keys.join(nodes.toDF("hub", "n"), "hub").select("key", F.col("hub").alias("node"), "n")
+    near = durable(components(links(docs, stored, probes, words, percent)))
+
+    # block round: each node's block, and the cell of like size in it
+    hubs = star.groupBy(F.col("hub").alias("node")).agg(F.min("loose").alias("also"))
+    owner = nodes.join(star.select("node", "hub", "loose"), "node", "left").join(hubs, "node", "left")
+    owner = owner.select(F.xxhash64(F.coalesce("hub", "node"), F.coalesce("loose", "also", F.lit(False))).alias("hub"), "node", "n")
+    member = dealt(owner, "hub")[0].withColumnRenamed("key", "block").withColumn("cell", F.floor(F.log("n") / np.log(CELL_SIZE)).cast("int"))
+    member = durable(member.join(near.toDF("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node")))
+    ends = member.groupBy("block", "cell").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    known = durable(dense.select("gram", "node").join(member.join(ends, ["block", "cell"]), "node"))
+    release(dense)
+    probes = durable(block_probes(known, percent))
+    release(known)
+    probes, keys = dealt(probes, "block")
+    more = links(docs, member.select("block", "node", "n").join(keys, "block").select("key", "node", "n"), probes, words, percent, TURNS)
+    classes = durable(components(near.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(more)).toDF("node", "class"))
+    release(star, nodes, member, near)
+    return base, classes
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the class) for each row of docs (doc_id, text)."""
-    rows = classed(docs, words, percent)
-    least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    base, classes = classed(docs, words, percent)
+    own = durable(base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")))
+    linked = classes.join(own, "node")
+    least = durable(linked.groupBy("class").agg(F.min("least").alias("least")))
+    # the least of all nodes, linked or not: a table, so Spark can split the join of a node with a great many rows
+    named = durable(own.join(classes.join(least, "class").select("node", F.col("least").alias("of_class")), "node", "left").select("node", F.coalesce("of_class", "least").alias("least")))
+    release(own)
+    return base.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -487,9 +494,12 @@ def keep_one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     Rows without words are classes of their own, and all stay.
     """
     id_, text, names = F.col("doc_id").cast("long"), F.col("text"), docs.columns
-    rows = classed(docs, words, percent).where("n > 0").groupBy("class", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
-    ones = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "rows")).alias("_s"))
+    base, classes = classed(docs, words, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "rows")).alias("_s")
+    own = base.where("n > 0").groupBy("node", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows")).groupBy("node").agg(first)
+    ones = own.join(classes, "node", "left").groupBy(F.coalesce("class", "node").alias("class")).agg(F.min("_s").alias("_s"))
     ones = durable(ones.select(F.col("_s.doc_id").alias("_one"), F.col("_s.h").alias("_h"), F.col("_s.rows").alias("_rows")))
+    release(base, classes)
     some = F.coalesce(text.rlike(WORD), F.lit(False))
 
     def of(these: DataFrame) -> DataFrame:
