@@ -4,7 +4,8 @@ A profile is the list of the most frequent character n-grams (1 to 3 letters of
 what stands between words), most frequent first, ties by code points. A document's own list is compared
 with each language's: the sum of the differences of ranks, `size` for an n-gram that a profile lacks.
 
-Profiles are learned from at most about `per_lang` documents of each language, drawn by a seeded hash.
+Profiles are learned from about `per_lang` documents of each language at most, drawn by a seeded hash of doc_id
+and text; rows that repeat count once among those drawn. Texts are counted whole, long ones in chunks.
 Null text or text without a letter gets `und` and score 0, and so does all if nothing could be learned.
 Equal distances go to the language that sorts first. Rows are independent: repeated rows get equal
 results; other columns of the input are not read.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import sliced
 
-PROFILE, PER_LANG = 400, 1500
+PROFILE, PER_LANG, CHUNK = 400, 1500, 1 << 18
 
 
 @functools.cache
@@ -30,18 +31,29 @@ def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams, sorted, and their counts."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    c = np.where(letters()[c], c, ord("_")).astype(np.int64)
-    gap = c == ord("_")
-    keep = np.ones(len(c), bool)
-    keep[1:] = ~(gap[1:] & gap[:-1])
-    c, gap = c[keep], gap[keep]
-    two = (c[:-1] << 21) | c[1:]
-    codes = np.sort(np.concatenate([c[~gap], two, (two[:-1] << 21) | c[2:]]))
-    first = np.flatnonzero(np.diff(codes, prepend=-1))
-    return codes[first], np.diff(np.append(first, len(codes)))
+def grams(text: str, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-grams, sorted, and their counts; a text of any length is counted in chunks, so memory for it is bounded."""
+    lower, gap = f" {text.lower()} ", ord("_")
+    tail, parts = np.zeros(0, np.int64), []  # the last two characters before the chunk
+    for at in range(0, len(lower), chunk):
+        c = np.frombuffer(lower[at : at + chunk].encode("utf-32-le", "replace"), np.uint32)
+        c = np.where(letters()[c], c, gap).astype(np.int64)
+        keep = (c != gap) | (np.concatenate([tail[-1:] if len(tail) else [0], c[:-1]]) != gap)
+        c = c[keep]
+        both = np.concatenate([tail, c])
+        two = (both[:-1] << 21) | both[1:]
+        codes = np.concatenate([c[c != gap], two[max(0, len(tail) - 1) :], ((two[:-1] << 21) | both[2:])])
+        parts.append(np.unique(codes, return_counts=True))
+        tail = both[-2:]
+        if len(parts) > 1:
+            parts = [merged(parts)]
+    return parts[0]
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, sorted, and the sums of their counts."""
+    codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -49,21 +61,29 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 def learn_profiles(docs: DataFrame, learn: Column, size: int = PROFILE, per_lang: int = PER_LANG) -> dict[str, list[int]]:
-    """The profile of each language in docs (doc_id, text, lang) among rows that satisfy `learn`."""
+    """The profile of each language in docs (doc_id, text, lang) among rows that satisfy `learn`.
+
+    Only sampled texts are shuffled. The counts of the languages come to the driver, as the profiles do: a row a language.
+    """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    n = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003
-    sample = known.join(n, "lang").where(unit < per_lang / F.col("_n")).select("lang", "text")
+    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n:
+        return {}
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / v)) for k, v in n.items()], "lang string, _rate double")
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_003)) / 1_000_003
+    sample = known.join(F.broadcast(rates), "lang").where(unit < F.col("_rate")).select("lang", "text").distinct()
 
     def count(frames):
         for frame in frames:
             for lang, texts in frame.groupby("lang")["text"]:
-                parts = [grams(t) for t in texts]
-                codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                yield pd.DataFrame({"lang": lang, "code": codes, "n": np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)})
+                codes, counts = merged([grams(t) for t in texts])
+                yield pd.DataFrame({"lang": lang, "code": codes, "n": counts})
 
     total = sample.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    best = total.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("_r") <= size)
+    # one language's n-grams may be in all rows: the first `size` of each of 64 parts, then of these
+    part = F.pmod(F.xxhash64("code"), F.lit(64)).alias("_p")
+    best = total.withColumn("_p", part).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_p").orderBy(F.desc("n"), "code"))).where(F.col("_r") <= size)
+    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("_r") <= size)
     out: dict[str, list[int]] = {}
     for r in sorted(best.collect(), key=lambda r: (r["lang"], r["_r"])):  # `size` rows for each language
         out.setdefault(r["lang"], []).append(r["code"])
