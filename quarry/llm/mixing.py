@@ -46,12 +46,18 @@ def water_fill(sources: DataFrame, weights: list[float], epochs: float) -> DataF
     return w.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_w") * F.col("_rate"), F.col("_cap"))).alias("target"))
 
 
-def with_repeats(docs: DataFrame, weights: list[float], epochs: float, seed: int, size: Column | None = None) -> DataFrame:
-    """docs with _size, _source_size, _target and _times (how often the mix takes the row)."""
+def sized(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with _size (words) and _o (the place in the seeded order)."""
     seeded = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce("text", F.lit(""))).cast("binary"))
-    order = F.conv(F.substring(seeded, 1, ORDER_HEX), 16, 10).cast("long")
-    rows = docs.withColumn("_size", by_word_count("text") if size is None else size).withColumn("_o", order)
-    slim = durable(rows.select("source", "_size", "_o")).withColumn("_b", F.shiftright("_o", BUCKET_SHIFT))
+    return docs.withColumn("_size", by_word_count("text")).withColumn("_o", F.conv(F.substring(seeded, 1, ORDER_HEX), 16, 10).cast("long"))
+
+
+def with_repeats(rows: DataFrame, slim: DataFrame, weights: list[float], epochs: float) -> DataFrame:
+    """rows (source, _size, _o, ..) with _source_size, _target and _times (how often the mix takes the row).
+
+    slim: source, _size, _o of the same rows, a table of its own, so texts are not read again for the sums.
+    """
+    slim = slim.withColumn("_b", F.shiftright("_o", BUCKET_SHIFT))
     sums = durable(slim.groupBy("source", "_b").agg(F.sum("_size").alias("_s")))
     plan = water_fill(sums.groupBy("source").agg(F.sum("_s").alias("source_size")), weights, epochs)
     plan = plan.withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -82,11 +88,13 @@ def with_repeats(docs: DataFrame, weights: list[float], epochs: float, seed: int
 
 def mix_plan(docs: DataFrame, weights: list[float], epochs: float = 3, seed: int = 13) -> DataFrame:
     """doc_id, size, source_size, target, taken (words) for each row of docs (doc_id, text, source)."""
-    rows = with_repeats(docs.select("doc_id", "text", "source"), weights, epochs, seed)
+    slim = durable(sized(docs, seed).select("doc_id", "source", "_size", "_o"))
+    rows = with_repeats(slim, slim, weights, epochs)
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: list[float], epochs: float = 3, seed: int = 13) -> DataFrame:
     """The mix: the rows of docs, all columns, each as often as it is taken."""
-    rows = with_repeats(docs.select("doc_id", "text", "source", F.struct("*").alias("row")), weights, epochs, seed).where(F.col("_times") > 0)
+    rows = sized(docs.select("doc_id", "text", "source", F.struct("*").alias("row")), seed)
+    rows = with_repeats(rows, durable(rows.select("source", "_size", "_o")), weights, epochs).where(F.col("_times") > 0)
     return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
