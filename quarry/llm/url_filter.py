@@ -3,8 +3,8 @@
 Rules of hosts and path prefixes decide first; the longest that fits wins. What no rule decides is blocked
 if its canonical form is listed, else allowed. The filter is a table of blocks of four 64-bit lanes, one
 bit of each lane set by a URL, as many blocks as the list needs but at most MAX_BLOCKS, so what is broadcast
-has a proven bound (40 bytes a block); a longer list only makes more possible hits, which the exact join
-of distinct listed URLs removes. Possible hits are salted, so a hot URL is not one task's.
+has a proven bound (40 bytes a block, 10.5 MB in all); a longer list only makes more possible hits. The exact
+join removes those: of the possible hits' distinct keys, those that are listed are joined back to the pages.
 
 A null url, or one without `://`, has empty host and path, fits no rule and is never listed. Host case
 counts only beyond A-Z. Every row of pages is judged, repeated rows too; rule strings must differ;
@@ -18,7 +18,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BLOCKS, PER_BLOCK, SALTS = 1 << 18, 16, 16
+from quarry.llm.common import durable, release
+
+MAX_BLOCKS, PER_BLOCK = 1 << 18, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,16 +74,15 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     page = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     name, verdict = rule_for(rules, F.col("host"), F.col("path"))
     page = page.withColumn("rule", name).withColumn("_said", verdict).withColumn("_key", F.when(F.col("host") != "", canonical(F.col("host"), F.col("path"))))
-    keys = listed.toDF("_key").where(F.col("_key").isNotNull()).distinct()
+    keys = durable(listed.toDF("_key").where(F.col("_key").isNotNull()).distinct())
     table, blocks = bloom(keys, "_key")
     probe = page.withColumn("block", block_of("_key", blocks))
-    probe = probe.join(F.broadcast(table), "block", "left")  # at most MAX_BLOCKS rows
+    probe = probe.join(F.broadcast(durable(table)), "block", "left")  # at most MAX_BLOCKS rows
     hit = reduce(lambda a, b: a & b, [F.col(f"b{k}").bitwiseAND(m) == m for k, m in enumerate(lanes("_key"))])
     maybe = F.col("_key").isNotNull() & F.col("_said").isNull() & F.coalesce(hit, F.lit(False))
-    out = ["page_id", "host", "path", "rule", "_said"]
-    passed = probe.where(~maybe).select(*out, F.lit(False).alias("listed"))
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    salted = keys.select("_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("_listed"))
-    possible = probe.where(maybe).withColumn("_salt", salt).join(salted, ["_key", "_salt"], "left").select(*out, F.coalesce("_listed", F.lit(False)).alias("listed"))
-    every = passed.unionByName(possible)
+    probe = probe.select("page_id", "host", "path", "rule", "_said", F.when(maybe, F.col("_key")).alias("_key"))
+    # the listed keys among the possible hits, once each: a table, so Spark can split the join of a hot URL, or send a small one
+    found = durable(probe.where("_key is not null").select("_key").distinct().join(keys, "_key", "left_semi"))
+    release(keys)
+    every = probe.join(found.withColumn("listed", F.lit(True)), "_key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     return every.select("page_id", "host", "path", "rule", F.coalesce("_said", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
