@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import durable, sliced
 from quarry.llm.token_counts import encoder
 
-SHARD_ROWS, TRIALS, PAIR_ITEMS = 4096, 4000, 12
+#: A shard takes time, not space: shards are dealt to as many tasks, not by their bytes.
+SHARD_ROWS, MOST_TASKS = 4096, 20_000
+#: Bounds of the search in a shard.
+TRIALS, PAIR_ITEMS, OPEN_BINS = 4000, 12, 64
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -90,7 +93,7 @@ def improved(lengths: list[int], bins: list[list[int]], size: int, trials: int =
                     move(mine[y], b)
                     move(j, e)
                     return True
-        for b in np.argsort(-free)[:64].tolist():  # one of this bin for two of another
+        for b in np.argsort(-free)[:OPEN_BINS].tolist():  # one of this bin for two of another
             if free[b] <= 0 or fill[b] < fill[e]:
                 continue
             other = sorted(bins[b], key=lambda i: (item[i], i))[:PAIR_ITEMS]
@@ -164,6 +167,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, sha
         return out.append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    packed = cut.where(F.col("length") < size).withColumn("_shard", F.floor(F.col("_u") * shards).cast("long")).groupBy("_shard").applyInArrow(place, schema)
+    packed = cut.where(F.col("length") < size).withColumn("_shard", F.floor(F.col("_u") * shards).cast("long")).repartition(min(shards, MOST_TASKS), "_shard").groupBy("_shard").applyInArrow(place, schema)
     full = cut.where(F.col("length") == size).drop("_u").withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(full)
