@@ -82,8 +82,8 @@ def fingerprint(samples: np.ndarray, frame: int = FRAME) -> tuple[np.ndarray, np
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_peak_pairs long, feature string"
 
 
-def media_features(docs: DataFrame, frame: int = FRAME, keep_media: bool = False) -> DataFrame:
-    """SCHEMA for each row of docs (doc_id, text); with keep_media also media binary and the arrays times, codes."""
+def media_features(docs: DataFrame, frame: int = FRAME, keep_media: bool = True) -> DataFrame:
+    """SCHEMA for each row of docs (doc_id, text), with the media column (WAV bytes) and the arrays times, codes unless keep_media is off."""
 
     def run(batches):
         for batch in sliced(batches):
