@@ -1,9 +1,13 @@
 """Quality rules: counts of a text's words, symbols, lines and repetitions, then robust multivariate outliers.
 
-For each language and source the centre and scatter of a vector of transformed statistics are those of
-the part of its texts with the smallest determinant of covariance, found by concentration steps: start from
-medians and absolute deviations, keep the `part` of texts nearest by Mahalanobis distance, take their
-mean and covariance, and again. Distances are scaled so that their median is that of a chi-square
+For each language and source the centre and scatter of a vector of transformed statistics are those of the
+`part` of its texts with the smallest determinant of covariance (minimum covariance determinant). Concentration
+steps look for it from several starts: medians with absolute deviations, mean and covariance of all, covariance
+of the directions from the median, the half nearest to the median, and ELEMENTAL small subsets drawn by seeded
+hashes. A step keeps the `part` of texts nearest by Mahalanobis distance and takes their mean and covariance. All
+starts make two steps; the BEST with the least determinants go on until the logarithm of the determinant falls
+by less than TOLERANCE, and the least of all is taken. Covariances have the squared FLOORS added, quantiles are
+approximate (1 in ACCURACY of the ranks). Distances are scaled so that their median is that of a chi-square
 distribution; texts beyond the cut are rejected. Texts that fail the base rules are rejected first and
 don't enter the estimates.
 
@@ -15,17 +19,17 @@ results; extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NO_WORDS, SPACES, durable
+from quarry.llm.common import NO_WORDS, SPACES, durable, release
 
 SYMBOLS = "#*$%&|<>"
 #: Floors of the standard deviations of the statistics, in their transformed units: a statistic that hardly varies must not reject.
 FLOORS = (0.15, 0.5, 0.35, 0.12)
 #: Medians and 1 - 1e-6 quantiles of the chi-square distribution with 4 degrees of freedom.
 MEDIAN_4, CUT_4 = 3.3567, 33.377
-STEPS = 3
+ELEMENTAL, SUBSET, BEST, TOLERANCE, ACCURACY = 4, 6, 2, 1e-4, 2000
 
 
 def base_stats(docs: DataFrame) -> DataFrame:
@@ -37,20 +41,20 @@ def base_stats(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", text.alias("_t"))
-    d = d.withColumn("_w", F.filter(F.split("_t", NO_WORDS, -1), lambda x: x != "")).withColumn("_l", lines_of("_t"))
+    d = d.withColumn("_w", F.split(F.trim("_t", F.lit(SPACES)), NO_WORDS, -1)).withColumn("_l", lines_of("_t"))
     d = d.select(
         "doc_id", "lang", "source", "_w",
-        F.size("_w").cast("long").alias("n_words"),
+        F.when(F.col("_w")[0] == "", 0).otherwise(F.size("_w")).cast("long").alias("n_words"),
         F.length(F.translate("_t", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
     )
-    d = d.withColumn("_h", F.expr("transform(_w, x -> xxhash64(x))"))
-    d = d.withColumn("_p", F.expr("if(size(_h) < 3, array(), zip_with(zip_with(slice(_h, 1, size(_h) - 2), slice(_h, 2, size(_h) - 2), (a, b) -> xxhash64(a, b)), slice(_h, 3, size(_h) - 2), (a, b) -> xxhash64(a, b)))"))
-    d = d.withColumn("_p", F.expr("array_sort(transform(_p, (h, i) -> struct(h as h, i as i)))")).drop("_w", "_h")
+    d = d.withColumn("_p", F.expr("if(size(_w) < 3, array(), transform(slice(_w, 1, size(_w) - 2), (x, i) -> xxhash64(x, _w[i + 1], _w[i + 2])))")).drop("_w")
+    # most texts have no window twice and need no order
+    d = d.withColumn("_p", F.expr("if(size(array_distinct(_p)) = size(_p), array(), sort_array(transform(_p, (h, i) -> struct(h as h, i as i))))"))
     # true where the next window in the order is the same
     d = d.withColumn("_e", F.expr("if(size(_p) < 2, array(), zip_with(slice(_p, 1, size(_p) - 1), slice(_p, 2, size(_p) - 1), (a, b) -> a.h = b.h))"))
-    d = d.withColumn("_q", F.expr("if(size(_p) < 2 or not exists(_e, x -> x), array(), array_sort(filter(zip_with(zip_with(array_append(_e, false), array_prepend(_e, false), (a, b) -> a or b), _p, (e, p) -> if(e, p.i, null)), x -> x is not null)))"))
+    d = d.withColumn("_q", F.expr("if(size(_p) < 2, array(), sort_array(filter(zip_with(zip_with(array_append(_e, false), array_prepend(_e, false), (a, b) -> a or b), _p, (e, p) -> if(e, p.i, null)), x -> x is not null)))"))
     repeat = F.expr("if(size(_q) = 0, 0, 3 + aggregate(zip_with(slice(_q, 2, size(_q)), slice(_q, 1, size(_q) - 1), (b, a) -> least(3, b - a)), 0, (s, x) -> s + x))")
     return d.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.cast("long").alias("n_repeat_words"))
 
@@ -95,43 +99,97 @@ def moments() -> list[Column]:
 
 
 PARAMS = [f"m{i}" for i in range(4)] + [f"l{i}{j}" for i in range(4) for j in range(i + 1)]
-
-
-def estimates(rows: DataFrame, keys: list[str], part: float, steps: int = STEPS) -> DataFrame:
-    """keys, _n, _m (centre and factor), _scale of each group of rows (keys, x0..x3): deterministic concentration steps."""
-    start = rows.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(4)], F.count(F.lit(1)).alias("_n"))
-    zero = [F.lit(0.0).alias(f"c{i}{j}") for i in range(4) for j in range(i)]
-    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2).alias(f"c{i}{i}") for i in range(4)]
-    now = factor(start.select(*keys, "_n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(4)], *zero, *spread))
-    for step in range(steps + 1):
-        now = durable(now.select(*keys, "_n", F.struct(*PARAMS).alias("_m")))
-        near = joined(rows, now, keys).withColumn("_d", distance())
-        if step == steps:
-            scale = near.groupBy(*keys).agg(F.percentile_approx("_d", 0.5, 1000).alias("_md"))
-            return joined(now, scale.select(*keys, F.greatest(F.col("_md") / MEDIAN_4, F.lit(1.0)).alias("_scale")), keys)
-        bound = near.groupBy(*keys).agg(F.percentile_approx("_d", part, 1000).alias("_top"))
-        kept = joined(near.drop("_m", "_n"), bound, keys).where(F.col("_d") <= F.col("_top"))
-        now = factor(joined(kept.groupBy(*keys).agg(*moments()).drop("_n"), now.select(*keys, "_n"), keys))
-
-
-def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on keys, of which nulls are equal; right has a row for each group at most."""
-    other = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return left.join(other, on, how).drop(*[f"_k_{k}" for k in keys])
+LOG_DET = "2 * (ln(l00) + ln(l11) + ln(l22) + ln(l33))"
+
+
+def covariance(value) -> list[Column]:
+    """c00, c10, .. by a function of two places."""
+    return [value(i, j).cast("double").alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)]
+
+
+def started(rows: DataFrame, key: str, starts: list[str] | None = None) -> DataFrame:
+    """key, s (the start) and PARAMS for each group of rows (key, x0..x3); starts: those wanted, or all."""
+    quarters = [F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], ACCURACY).alias(f"q{i}") for i in range(4)]
+    drawn = [F.min_by(F.struct(*[f"x{i}" for i in range(4)]), F.xxhash64(*[f"x{i}" for i in range(4)], F.lit(k))).alias(f"d{k}") for k in range(ELEMENTAL * SUBSET)]
+    first = durable(rows.groupBy(key).agg(*quarters, *moments(), *drawn))
+    median, scale = [F.col(f"q{i}")[1] for i in range(4)], [F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOORS[i] ** 2) for i in range(4)]
+    out = [first.select(key, F.lit("median").alias("s"), *[m.alias(f"m{i}") for i, m in enumerate(median)], *covariance(lambda i, j: scale[i] * scale[i] if i == j else F.lit(0.0)))]
+    out.append(first.select(key, F.lit("mean").alias("s"), *[f"m{i}" for i in range(4)], *[f"c{i}{j}" for i in range(4) for j in range(i + 1)]))
+    for k in range(ELEMENTAL):
+        d = [F.col(f"d{k * SUBSET + n}") for n in range(SUBSET)]
+        mean = [sum((x[f"x{i}"] for x in d[1:]), d[0][f"x{i}"]) / SUBSET for i in range(4)]
+        out.append(first.select(key, F.lit(f"drawn {k}").alias("s"), *[m.alias(f"m{i}") for i, m in enumerate(mean)], *covariance(lambda i, j: sum((x[f"x{i}"] * x[f"x{j}"] for x in d[1:]), d[0][f"x{i}"] * d[0][f"x{j}"]) / SUBSET - mean[i] * mean[j])))
+    # standard units about the median: directions, and the nearest half
+    units = rows.join(first.select(key, *[m.alias(f"_m{i}") for i, m in enumerate(median)], *[v.alias(f"_s{i}") for i, v in enumerate(scale)]), key)
+    units = units.withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"_m{i}")) / F.col(f"_s{i}") for i in range(4)}).withColumn("_r", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, 4)), F.col("z0") * F.col("z0")))
+    signs = [F.avg(F.when(F.col("_r") > 0, F.col(f"z{i}") * F.col(f"z{j}") / F.col("_r")).otherwise(0.0) * F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)]
+    way = durable(units.groupBy(key).agg(*[F.first(f"_m{i}").alias(f"m{i}") for i in range(4)], *signs, F.percentile_approx("_r", 0.5, ACCURACY).alias("_half")))
+    out.append(way.select(key, F.lit("signs").alias("s"), *out[1].columns[2:]))
+    near = units.join(way.select(key, "_half"), key).where("_r <= _half").groupBy(key).agg(*moments())
+    out.append(near.select(key, F.lit("near half").alias("s"), *out[1].columns[2:]))
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    every = durable(factor(every if starts is None else every.where(F.col("s").isin(starts))).select(key, "s", *PARAMS))
+    release(first, way)
+    return every
+
+
+def concentrated(rows: DataFrame, now: DataFrame, key: str, part: float) -> DataFrame:
+    """now (key, s, PARAMS) after a concentration step on rows (key, x0..x3), with log_det."""
+    params = F.struct(*PARAMS).alias("_m")
+    top = durable(rows.join(now.select(key, "s", params), key).groupBy(key, "s").agg(F.percentile_approx(distance(), part, ACCURACY).alias("_top")))
+    kept = rows.join(now.join(top, [key, "s"]).select(key, "s", "_top", params), key).where(distance() <= F.col("_top"))
+    out = durable(factor(kept.groupBy(key, "s").agg(*moments())).select(key, "s", *PARAMS).withColumn("log_det", F.expr(LOG_DET)))
+    release(top)
+    return out
+
+
+def least_first(now: DataFrame, key: str, most: int) -> DataFrame:
+    """Of each group the `most` rows of least determinant, ties by the start's name; a group has few rows, one a start."""
+    return now.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("log_det", "s"))).where(F.col("_r") <= most).drop("_r")
+
+
+def estimates(rows: DataFrame, key: str, part: float, starts: list[str] | None = None) -> DataFrame:
+    """key, s (the start that won), log_det, _m (centre and factor), _scale of each group of rows (key, x0..x3)."""
+    now = started(rows, key, starts)
+    for _ in range(2):
+        now, before = concentrated(rows, now, key, part), now
+        release(before)
+    now, before = durable(least_first(now, key, BEST)), now
+    release(before)
+    ended = None
+    while True:
+        after = concentrated(rows, now, key, part)
+        both = after.join(now.select(key, "s", F.col("log_det").alias("_was")), [key, "s"])
+        falls = F.col("log_det") < F.col("_was") - TOLERANCE
+        stays = durable(now.join(both.where(~falls).select(key, "s"), [key, "s"], "left_semi"))
+        ended = stays if ended is None else ended.unionByName(stays)
+        now = durable(both.where(falls).drop("_was"))
+        release(after)
+        if now.isEmpty():
+            break
+    best = durable(least_first(ended, key, 1).select(key, "s", "log_det", F.struct(*PARAMS).alias("_m")))
+    scale = rows.join(best, key).groupBy(key).agg(F.percentile_approx(distance(), 0.5, ACCURACY).alias("_md"))
+    return best.join(scale.select(key, F.greatest(F.col("_md") / MEDIAN_4, F.lit(1.0)).alias("_scale")), key)
 
 
 def quality_rules(docs: DataFrame, least_words: int = 50, repeat_percent: int = 50, part: float = 0.75, least: int = 40, cut: float = CUT_4) -> DataFrame:
     """doc_id, the five statistics, base_failed, distance and kept for each row of docs (doc_id, text, lang, source)."""
     stats = base_stats(docs).withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
-    stats = durable(stats.select("*", F.lit(1).alias("_all"), *[v.alias(f"x{i}") for i, v in enumerate(vector())]))
-    good = stats.where(~F.col("base_failed")).select("lang", "source", "_all", *[f"x{i}" for i in range(4)])
-    each = durable(estimates(good, ["lang", "source"], part).where(F.col("_n") >= least))
-    every = durable(estimates(good, ["_all"], part))
-    judged = joined(stats, each.select("lang", "source", F.col("_m").alias("_g"), F.col("_scale").alias("_gs")), ["lang", "source"], "left")
-    judged = joined(judged, every.select("_all", F.col("_m").alias("_e"), F.col("_scale").alias("_es")), ["_all"], "left")
-    judged = judged.withColumn("_m", F.coalesce("_g", "_e")).withColumn("distance", distance() / F.coalesce("_gs", "_es"))
+    group = F.to_json(F.struct("lang", "source")).alias("_g")  # nulls are left out, so they are a group of their own
+    stats = durable(stats.select("*", group, *[v.alias(f"x{i}") for i, v in enumerate(vector())]))
+    good = stats.where(~F.col("base_failed")).select("_g", *[f"x{i}" for i in range(4)])
+    large = durable(good.groupBy("_g").count().where(F.col("count") >= least).select("_g"))
+    # all texts together are one more group, of the empty name
+    rows = durable(good.join(large, "_g").unionByName(good.withColumn("_g", F.lit(""))))
+    found = durable(estimates(rows, "_g", part))
+    every = found.where(F.col("_g") == "").first()  # a row of 15 numbers
+    judged = stats.join(found.where(F.col("_g") != "").select("_g", "_m", "_scale"), "_g", "left")
+    if every:
+        other = F.struct(*[F.lit(every["_m"][k]).alias(k) for k in PARAMS])
+        judged = judged.withColumn("_m", F.coalesce("_m", other)).withColumn("_scale", F.coalesce("_scale", F.lit(every["_scale"])))
+    judged = judged.withColumn("distance", distance() / F.col("_scale"))
+    release(large, rows)
     stays = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(~F.col("base_failed"), F.col("distance")).alias("distance"), stays.alias("kept"))
