@@ -93,7 +93,7 @@ def runs(w: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the runs of `size` words."""
     h = np.full(max(0, len(w) - size + 1), size, np.uint64)
     for k in range(size):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + w[k : len(w) - size + 1 + k]
+        h = h * np.uint64(0xD6E8FEB86659FD93) + w[k : k + len(h)]
     return mixed_bits(h).view(np.int64)
 
 
@@ -446,7 +446,7 @@ def classed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     release(first)
     rows = base.agg(F.sum(F.expr(f"n - floor(({percent} * n + 99) / 100) + 1"))).first()[0] or 0
     dense = durable(shared_prefixes(docs, common, place, rows, words, percent))
-    nodes = durable(base.where("n > 0").join(dense.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n")))
+    nodes = durable(base.where("n > 0").groupBy("node").agg(F.first("n").alias("n")).join(dense.select("node").distinct(), "node", "left_semi"))
 
     # star round
     star = dense.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))

@@ -1,20 +1,20 @@
 """Quality classifier: Naive Bayes support vectors.
 
-A text's features are indicators of hashed n-grams: of its bytes (3), and of the run of its lines and
-words seen as new, repeated or repeating the word before, in capitals or not (see marks()). An indicator
-is scaled by the log of the ratio of the class frequencies of its feature, and a linear hinge-loss model
-is fitted by dual coordinate descent. A logistic curve fitted to the margins of a part held back turns
-margins into probabilities at the true share of the classes.
-
-Learned from at most `per_class` labelled texts of each class, each of at most `max_chars` characters;
-everything is scored whole. Null text counts as empty, and empty text has a score like any other. If one
-class is missing among the labels, all scores are that class's share (0.5 if there is no label at all).
-Repeated rows get equal scores; other columns of the input are not read.
+A text's features are indicators of hashed n-grams of four sequences: its bytes (3), its words (1 and 2,
+A-Z lower-cased), the shapes of its words (1 to 4: runs of small letters, capitals and digits as one sign each,
+all else as it stands, and whether the word repeats the one before), and its words and its lines as new or
+seen before in the text (8 words, 1 and 3 lines). An indicator is scaled by the log of the ratio of the class
+frequencies of its feature, and a linear hinge-loss model is fitted by dual coordinate descent. A logistic
+curve fitted to the margins of a part held back turns margins into probabilities at the true share of the classes.
+
+Learned from at most `per_class` labelled texts of each class, of `max_chars` characters in sum;
+everything is scored whole, long texts with temporary memory of a few bytes a byte. Null text counts as empty,
+and empty text has a score like any other. If one class is missing among the labels, all scores are that class's
+share (0.5 if there is no label at all). Repeated rows get equal scores; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -24,40 +24,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import labelled_sample, sliced
+from quarry.llm.ngram_join import mixed_bits, runs, word_hashes
 
-BITS, PER_CLASS, MAX_CHARS = 17, 2500, 60_000
-TAIL = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
-
-
-def marks(raw: bytes) -> list[str]:
-    """What the words and lines look like: repetition, capitals and attached symbols, as shares in tenths."""
-    words = raw.split()
-    n = max(1, len(words))
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    shares = {
-        "again": sum(map(bytes.__eq__, words, words[1:])) / n,
-        "known": 1 - len(set(words)) / n,
-        "line": 1 - len(set(lines)) / max(1, len(lines)),
-        "capital": sum(map(bytes.isupper, words)) / n,
-        "symbol": len(raw.translate(None, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\t.,;:'-!?" + bytes(range(128, 256)))) / n,
-        "bang": raw.count(b"!!") / n,
-    }
-    out = []
-    for k, v in shares.items():
-        level = min(10, int(v * 10 + 0.5))
-        out += [f"{k}{x}" for x in range(1, level + 1)]
-    return [*out, f"length{len(words).bit_length()}"]
+BITS, PER_CLASS, MAX_CHARS, PART = 18, 2500, 12_000_000, 1 << 20
+#: The sign of each byte in a shape.
+SIGNS = np.arange(256, dtype=np.uint8)
+for low, high, sign in ((ord("a"), ord("z"), "a"), (ord("A"), ord("Z"), "A"), (ord("0"), ord("9"), "0"), (128, 255, "a")):
+    SIGNS[low : high + 1] = ord(sign)
+
+
+def seen_before(h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    out[np.unique(h, return_index=True)[1]] = False
+    return out
+
+
+def shapes(raw: bytes) -> bytes:
+    """The text with runs of equal signs as one sign; white space stays white space."""
+    c = SIGNS[np.frombuffer(raw, np.uint8)]
+    return c[np.diff(c, prepend=0) != 0].tobytes()
 
 
 def features(text: str | None) -> np.ndarray:
     """Numbers of the features that the text has, ascending."""
     raw = (text or "").encode()
     has = np.zeros(1 << BITS, bool)
-    if len(raw) >= 3:
-        b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+
+    def mark(h: np.ndarray, kind: int) -> None:
+        has[mixed_bits(h.view(np.uint64) + np.uint64(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - BITS)] = True
+
+    for at in range(0, len(raw) - 2, PART):
+        b = np.frombuffer(raw, np.uint8, min(PART + 2, len(raw) - at), at).astype(np.uint32)
         has[((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)] = True
-    for m in marks(raw):
-        has[zlib.crc32(m.encode()) >> (32 - BITS)] = True
+    word, shape = word_hashes(raw.lower())[0], word_hashes(shapes(raw))[0]
+    for n in (1, 2):
+        mark(runs(word, n), n)
+    again = np.diff(word, prepend=np.zeros(1, np.uint64)) == 0
+    for n in (1, 2, 3, 4):
+        mark(runs(shape * np.uint64(2) + again.astype(np.uint64), n), 4 + n)
+    mark(runs(seen_before(word).astype(np.uint64), 8), 9)
+    line = np.array([zlib.crc32(x) for x in raw.split(b"\n") if x.strip()], np.uint64)
+    for n in (1, 3):
+        mark(runs(seen_before(line).astype(np.uint64), n), 9 + n)
     return np.flatnonzero(has)
 
 
@@ -68,8 +76,8 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0)
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost: float = 0.1, epochs: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L1-loss linear support vector machine on rows scaled to length 1."""
+def dual_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost: float = 0.1, epochs: int = 12, seed: int = 3) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of the L1-loss linear support vector machine on rows scaled to length 1."""
     norm = np.array([max(1e-12, np.sqrt((values[x] ** 2).sum())) for x in rows])
     w, bias, alpha = np.zeros(len(values)), 0.0, np.zeros(len(rows))
     draw = np.random.default_rng(seed)
@@ -86,7 +94,7 @@ def dual_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost
                 moved = max(moved, abs(d))
         if moved < 1e-4 * cost:
             break
-    return w, bias
+    return w, bias, alpha
 
 
 def logistic_fit(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -137,7 +145,7 @@ def fit(sample: list[tuple[str, int]], share: float) -> Model:
     learn = np.flatnonzero(~back)
     some = [rows[i] for i in learn]
     ratio = log_count_ratios(some, y[learn])
-    w, bias = dual_descent(some, ratio, y[learn])
+    w, bias, _ = dual_descent(some, ratio, y[learn])
     model = Model(w, ratio, bias, 1.0, 0.0)
     test = np.flatnonzero(back) if back.any() else learn
     margin, yt = np.array([model.margin(rows[i]) for i in test]), y[test]
