@@ -1,14 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A text's words (lower-cased, without punctuation around them) are read in windows of WIDTH words that
-overlap by WIDTH - STRIDE. Each word enters as two vectors: one of the hashed word and the mean of those of
-its hashed character trigrams, so unseen forms of known words count too. Both tables hold a learned
-class log-odds beside fixed random numbers. The text's score is that of its highest window.
+overlap by WIDTH - STRIDE, so every run of that many words and one more lies whole in some window. Each word
+enters as two vectors: one of the hashed word and the mean of those of its hashed character trigrams, so unseen
+forms of known words count too. Both tables start from small random numbers, with the class log-odds in the
+first column, and are trained with the rest. The text's score is that of its highest window.
 
 The network is trained on windows: those of clean texts, and of each toxic text the highest under the
 present model. A logistic curve fitted to the highest windows of held-back texts at the true share of the
-classes gives probabilities. Learned from at most `per_class` labelled texts of each class, each of at
-most `max_chars` characters; everything is scored whole.
+classes gives probabilities. Learned from at most `per_class` labelled texts of each class, of `max_chars`
+characters in sum; everything is scored whole, a long text part by part.
 
 Null text counts as empty: one window without words, with a score like any other. If one class is missing
 among the labels, all scores are that class's share (0.5 if there is no label). Repeated rows get equal
@@ -17,6 +18,7 @@ scores; other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import labelled_sample, sliced
 from quarry.llm.quality_nbsvm import logistic_fit
 
-WORD_BITS, CHAR_BITS, WIDE, HIDDEN, WIDTH, STRIDE, BATCH = 16, 14, 8, 8, 40, 32, 1024
-PER_CLASS, MAX_CHARS = 1200, 40_000
+WORD_BITS, CHAR_BITS, WIDE, HIDDEN, WIDTH, STRIDE, BATCH = 16, 14, 8, 8, 40, 20, 1024
+PER_CLASS, MAX_CHARS, PART_CHARS = 1200, 8_000_000, 1_000_000
+SPACE = re.compile(r"[ \t\n\x0b\x0c\r]")
 AROUND = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -109,10 +112,11 @@ class Net:
         return {s: x @ self.p[f"w{s}"] + self.p[f"b{s}"] for s in "fb"}
 
     def highest(self, texts: list[str | None]) -> np.ndarray:
-        """The highest window's logit of each text."""
-        index, first = indexed(texts)
-        logit = self.logits(self.gates(self.inputs(index.pop("words"))), index["index"])
-        return np.maximum.reduceat(logit, first) if len(first) else logit
+        """The highest window's logit of each text. Texts are read in groups of about PART_CHARS characters, longer ones in parts."""
+        out = np.full(len(texts), -np.inf, np.float32)
+        for names, index, of in indexed(texts):
+            np.maximum.at(out, of, self.logits(self.gates(self.inputs(names)), index))
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.p:
@@ -120,25 +124,50 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.highest(texts).astype(float) + self.offset, -30, 30)))
 
 
-def indexed(texts: list[str | None]) -> tuple[dict, np.ndarray]:
-    """All windows of the texts as numbers of their distinct words (from 1), and each text's first window."""
+def parts_of(text: str, most: int):
+    """The text in parts of about so many characters that end at white space; a longer word stays whole."""
+    at = 0
+    while at < len(text):
+        to = at + most
+        if to < len(text):
+            space = SPACE.search(text, to)
+            to = space.start() if space else len(text)
+        yield text[at:to]
+        at = to
+
+
+def indexed(texts: list[str | None], most: int = PART_CHARS):
+    """Groups of windows: distinct words, windows as numbers of these words (from 1; 0 pads), and whose text each window is.
+
+    A part of a long text takes over the last words of the part before, so the windows are those of the whole text.
+    """
     known: dict[bytes, int] = {}  # words as they stand, to numbers of stripped words; 0: nothing is left
     names: dict[bytes, int] = {}
-    parts, first, n = [], [], 0
-    for text in texts:
-        raw = (text or "").encode().lower().split()
-        for w in set(raw).difference(known):
-            bare = w.strip(AROUND)
-            known[w] = names.setdefault(bare, len(names) + 1) if bare else 0
-        ids = np.fromiter(map(known.__getitem__, raw), np.int32, len(raw))
-        ids = ids[ids > 0]
-        starts = windows(len(ids))
-        padded = np.zeros(starts[-1] + WIDTH, np.int32)
-        padded[: len(ids)] = ids
-        parts.append(np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[::STRIDE])
-        first.append(n)
-        n += len(starts)
-    return {"words": list(names), "index": np.concatenate(parts) if parts else np.zeros((0, WIDTH), np.int32)}, np.array(first, np.int64)
+    index, of, size = [], [], 0
+    for k, text in enumerate(texts):
+        carry: list[bytes] = []
+        pieces = list(parts_of(text or "", most)) or [""]
+        for j, piece in enumerate(pieces):
+            words = carry + [w for w in piece.encode().lower().split() if w.strip(AROUND)]
+            last = j + 1 == len(pieces)
+            count = len(windows(len(words))) if last else max(0, (len(words) - WIDTH) // STRIDE + 1)  # whole ones, but at the end
+            if not last and (len(words) - WIDTH) % STRIDE == 0 and count:
+                count -= 1  # it may be the last window, which is this one
+            for w in set(words).difference(known):
+                known[w] = names.setdefault(w.strip(AROUND), len(names) + 1)
+            padded = np.zeros(max(len(words), count * STRIDE + WIDTH), np.int32)
+            padded[: len(words)] = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+            if count:
+                index.append(np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[: count * STRIDE : STRIDE])
+                of.append(np.full(count, k))
+            carry = words[count * STRIDE :]
+            size += len(piece)
+            if size >= most:
+                if index:
+                    yield list(names), np.concatenate(index), np.concatenate(of)
+                known, names, index, of, size = {}, {}, [], [], 0
+    if index:
+        yield list(names), np.concatenate(index), np.concatenate(of)
 
 
 def log_odds(ids: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
@@ -149,7 +178,8 @@ def log_odds(ids: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     return np.clip(np.log(n[1] / total[1]) - np.log(n[0] / total[0]), -3, 5) / 2
 
 
-def backward(net: Net, side: str, keep: list, dh: np.ndarray, x: np.ndarray, mask: np.ndarray, grad: dict) -> None:
+def backward(net: Net, side: str, keep: list, dh: np.ndarray, x: np.ndarray, mask: np.ndarray, grad: dict) -> np.ndarray:
+    """Puts the gradients of a direction into grad; gives that of its inputs."""
     u = net.p[f"u{side}"]
     du, carry, dg = np.zeros_like(u), 0.0, np.zeros((*dh.shape[:2], 3 * HIDDEN), np.float32)
     for t, h, z, r, n, hn in reversed(keep):
@@ -164,10 +194,11 @@ def backward(net: Net, side: str, keep: list, dh: np.ndarray, x: np.ndarray, mas
     grad[f"u{side}"] = du
     grad[f"w{side}"] = np.tensordot(x, dg, ([0, 1], [0, 1]))
     grad[f"b{side}"] = dg.sum(axis=(0, 1))
+    return dg @ net.p[f"w{side}"].T
 
 
 def gradients(net: Net, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict:
-    """x: time x batch x inputs."""
+    """x: time x batch x inputs. Gradients by the name of the parameter, and "x"."""
     grad: dict = {}
     keep = {"f": [], "b": []}
     h = np.concatenate([net.scan(x @ net.p[f"w{s}"] + net.p[f"b{s}"], mask, s, keep[s]) for s in "fb"], axis=2)
@@ -183,12 +214,41 @@ def gradients(net: Net, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict:
     grad["wa"] = np.tensordot(h, dq, ([0, 1], [0, 1]))
     grad["ba"] = dq.sum(axis=(0, 1))
     dh = a[..., None] * dpool + dq @ net.p["wa"].T
-    for s, part in (("f", dh[..., :HIDDEN]), ("b", dh[..., HIDDEN:])):
-        backward(net, s, keep[s], part, x, mask, grad)
+    grad["x"] = sum(backward(net, s, keep[s], part, x, mask, grad) for s, part in (("f", dh[..., :HIDDEN]), ("b", dh[..., HIDDEN:])))
     return grad
 
 
-def train(sample: list[tuple[str, int]], share: float, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Net:
+class Tables:
+    """The word and character tables of a network in training, by the distinct words of the texts learned from."""
+
+    def __init__(self, net: Net, words: list[bytes]):
+        self.net, self.word = net, np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & ((1 << WORD_BITS) - 1)
+        self.code, begin = trigrams(words)
+        self.count = np.diff(np.append(begin, len(self.code)))
+        self.begin = begin
+        self.square = {"word": np.full(len(net.word), 1e-6, np.float32), "char": np.full(len(net.char), 1e-6, np.float32)}
+
+    def step(self, ix: np.ndarray, dx: np.ndarray, rate: float) -> None:
+        """One step of the rows that the batch's words (numbers from 1) use, scaled by each row's past gradients."""
+        at, of = np.unique(ix[ix > 0] - 1, return_inverse=True)
+        g = np.zeros((len(at), 2 * WIDE), np.float32)
+        np.add.at(g, of, dx[ix > 0])
+        self.moved("word", self.word[at], g[:, :WIDE], rate)
+        n = self.count[at]
+        codes = self.code[np.repeat(self.begin[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        self.moved("char", codes, np.repeat(g[:, WIDE:] / n[:, None], n, axis=0), rate)
+
+    def moved(self, name: str, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
+        table, square = getattr(self.net, name), self.square[name]
+        at, of = np.unique(rows, return_inverse=True)
+        total = np.zeros((len(at), WIDE), np.float32)
+        np.add.at(total, of, g)
+        square[at] += (total**2).mean(axis=1)
+        table[at] -= rate * total / np.sqrt(square[at])[:, None]
+
+
+def train(sample: list[tuple[str, int]], share: float, epochs: int = 8, least_steps: int = 1000, batch: int = 48, rate: float = 0.01, table_rate: float = 0.1, seed: int = 5) -> Net:
+    """share: of class 1 among all labels. Few texts are gone through more often, for at least so many steps."""
     y = np.array([k for _, k in sample], np.int64)
     draw = np.random.default_rng(seed)
     net = Net((0.3 * draw.standard_normal((1 << WORD_BITS, WIDE))).astype(np.float32), (0.3 * draw.standard_normal((1 << CHAR_BITS, WIDE))).astype(np.float32))
@@ -207,13 +267,13 @@ def train(sample: list[tuple[str, int]], share: float, epochs: int = 6, batch: i
     for s in "fb":
         net.p |= {f"w{s}": (draw.standard_normal((2 * WIDE, 3 * HIDDEN)) * 0.3).astype(np.float32), f"u{s}": (draw.standard_normal((HIDDEN, 3 * HIDDEN)) * 0.3).astype(np.float32), f"b{s}": np.zeros(3 * HIDDEN, np.float32)}
     net.p |= {"wa": (draw.standard_normal((2 * HIDDEN, HIDDEN)) * 0.3).astype(np.float32), "ba": np.zeros(HIDDEN, np.float32), "va": (draw.standard_normal(HIDDEN) * 0.3).astype(np.float32), "w": (draw.standard_normal(2 * HIDDEN) * 0.3).astype(np.float32), "b": np.float32(0)}
-    data, first = indexed(texts)
-    index, x = data["index"], net.inputs(data["words"])
-    of = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(index))))
+    (names, index, of), = indexed(texts, 1 << 62)
+    first = np.searchsorted(of, np.arange(len(texts)))
+    tables, x = Tables(net, names), net.inputs(names)
     strength = np.where(index > 0, np.maximum(x[index, 0], 0) ** 2, 0).sum(axis=1)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    steps = 0
-    for epoch in range(epochs):
+    steps, epoch = 0, 0
+    while epoch < epochs or steps < least_steps:
         order = np.lexsort((-strength, of))
         place = np.arange(len(order)) - first[of[order]]
         positive = order[(yl[of[order]] == 1) & (place < 2)]
@@ -226,15 +286,20 @@ def train(sample: list[tuple[str, int]], share: float, epochs: int = 6, batch: i
             ix = index[some].T
             mask = (ix > 0).astype(np.float32)[..., None]
             xs = x[ix]
-            xs[..., :WIDE] *= draw.random((*ix.shape, 1)) > 0.25  # now and then only the characters are seen
+            seen = draw.random((*ix.shape, 1)) > 0.25  # now and then only the characters are seen
+            xs[..., :WIDE] *= seen
             steps += 1
-            for k, g in gradients(net, xs, mask, yl[of[some]].astype(np.float32)).items():
+            grad = gradients(net, xs, mask, yl[of[some]].astype(np.float32))
+            dx = grad.pop("x")
+            dx[..., :WIDE] *= seen
+            tables.step(ix, dx, table_rate)
+            for k, g in grad.items():
                 m = moment[k]
                 m[0] = 0.9 * m[0] + 0.1 * g
                 m[1] = 0.999 * m[1] + 0.001 * g * g
                 net.p[k] = (net.p[k] - rate * (m[0] / (1 - 0.9**steps)) / (np.sqrt(m[1] / (1 - 0.999**steps)) + 1e-8)).astype(np.float32)
-        if epoch + 1 < epochs:
-            strength = net.logits(net.gates(x), index)
+        epoch, x = epoch + 1, net.inputs(names)
+        strength = net.logits(net.gates(x), index)
     test = np.flatnonzero(back) if back.any() else learn
     yt = y[test]
     weight = np.where(yt == 1, share / max(1, (yt == 1).sum()), (1 - share) / max(1, (yt == 0).sum())) * len(yt)
@@ -247,27 +312,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
     return train(labelled_sample(docs, labels, label, learn, per_class, max_chars), 0.5 if share is None else float(share))
 
 
-def batch_scores(net: Net, texts: list[str | None], chars: int = 1_000_000) -> np.ndarray:
-    """Scores in groups of texts of about so many characters, to bound memory."""
-    out, group, size = [], [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t or "")
-        if size >= chars:
-            out.append(net.scores(group))
-            group, size = [], 0
-    if group:
-        out.append(net.scores(group))
-    return np.concatenate(out) if out else np.zeros(0)
-
-
 def score_toxicity(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted for each row of docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches):
         for batch in sliced(batches):
-            score = batch_scores(sent.value, batch.column(1).to_pylist())
+            score = sent.value.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
@@ -280,6 +331,6 @@ def drop_toxic(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
 
     def run(batches):
         for batch in sliced(batches):
-            yield batch.filter(pa.array(batch_scores(sent.value, batch.column(at).to_pylist()) < threshold))
+            yield batch.filter(pa.array(sent.value.scores(batch.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, schema)
