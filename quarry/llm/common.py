@@ -85,25 +85,29 @@ def by_word_count(text: str) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most per_class texts of each class (0 and 1), drawn by a seeded hash of doc_id, in a stable order.
+    """At most per_class texts of each class (0 and 1), of max_chars characters in sum, drawn by a seeded hash of doc_id, in a stable order.
 
-    Only label rows that satisfy `learn` (a condition on doc_id) are seen. Rows with null label, null text
-    or over max_chars characters are not drawn. The result is bounded by 2 * per_class * max_chars characters.
+    Only label rows that satisfy `learn` (a condition on doc_id) are seen; rows with null label or doc_id are not
+    drawn, nor are documents with null text. Of documents with one doc_id one text is taken, and a doc_id that is
+    labelled with both classes counts for both. Whole texts are taken, long ones too, until max_chars is used up;
+    one that would pass it is left out, and shorter ones after it may still come. So the driver gets at most
+    2 * max_chars characters, whatever the tables hold.
     """
-    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label")).where(learn & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(learn & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
     picked = None
     for k in (0, 1):
         part = known.where(F.col("label") == k).withColumn("_h", F.xxhash64("doc_id", F.lit(17))).orderBy("_h", "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     # at most 2 * per_class rows of three numbers: a proven bound for the broadcast
-    rows = texts.join(F.broadcast(picked), "doc_id").select("_h", "doc_id", "text", "label").collect()
-    seen: dict = {}
-    for r in sorted(rows, key=lambda r: (r["_h"], r["doc_id"], r["text"])):
-        seen.setdefault((r["doc_id"], r["label"], r["text"]), (r["text"], r["label"]))
-    out, count = [], [0, 0]
-    for text, y in seen.values():
-        if count[y] < per_class:
-            count[y] += 1
-            out.append((text, y))
-    return out
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("_h", "doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = durable(rows.withColumn("n", F.length("text")))
+    taken, used = [], [0, 0]
+    for r in sorted(rows.select("_h", "doc_id", "label", "n").collect()):  # at most 2 * per_class rows of four numbers
+        if used[r["label"]] + r["n"] <= max_chars:
+            used[r["label"]] += r["n"]
+            taken.append((r["doc_id"], r["label"]))
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, label int") if taken else None
+    found = rows.join(F.broadcast(wanted), ["doc_id", "label"]).select("_h", "doc_id", "label", "text").collect() if taken else []
+    release(rows)
+    return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["_h"], r["doc_id"], r["label"]))]
