@@ -3,7 +3,8 @@
 A huge document is encoded in overlapping chunks with offsets. Two neighbouring encodings are spliced at
 a character position where both start a token and where the text itself proves that no token and no
 pre-token can span it (see stable()). If the overlap holds no such position it is widened, in the end to
-the whole unspliced rest, so the result is always the library's own.
+the whole unspliced rest, so the result is always the library's own. Only .json vocabularies are spliced; a text
+for a .model vocabulary is encoded in one piece, however long.
 
 Null text counts as empty: 0 bytes, 0 tokens. Rows are handled one by one, so repeated rows, ties and
 empty tables need no special care; other columns of the input are not read and cannot clash.
