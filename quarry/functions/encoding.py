@@ -9,7 +9,7 @@ import hmac as _hmac
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 #: Block sizes in bytes of the digests.
 BLOCK_BYTES = {"md5": 64, "sha1": 64, "sha256": 64, "sha384": 128, "sha512": 128}
@@ -148,16 +148,107 @@ def matches_expected(data: Column, expected: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.exists(tokens, hit))
 
 
-@F.pandas_udf(StringType())
-def totp(secret: pd.Series, at_second: pd.Series) -> pd.Series:
-    """Six-digit time-based code of a base32 secret at a Unix time, 30-second steps, SHA-1."""
-
-    def one(s, t):
-        if s is None or pd.isna(t):
-            return None
-        bare = s.replace(" ", "").upper().rstrip("=")
-        mac = _hmac.new(_b64.b32decode(bare + "=" * (-len(bare) % 8)), int(t // 30).to_bytes(8, "big"), "sha1").digest()
-        at = mac[-1] & 15
-        return f"{(int.from_bytes(mac[at : at + 4], 'big') & 0x7FFFFFFF) % 1_000_000:06d}"
-
-    return pd.Series([one(s, t) for s, t in zip(secret, at_second, strict=True)])
+def totp(secret: Column, at_second: Column, digits: int = 6, period: int = 30, algorithm: str = "sha1") -> Column:
+    """Time-based code of a base32 secret (spaces, = and small letters allowed) at a Unix time; null for a secret that is none."""
+
+    @F.pandas_udf(StringType())
+    def code(secrets: pd.Series, seconds: pd.Series) -> pd.Series:
+        def one(s, t):
+            if s is None or pd.isna(t):
+                return None
+            bare = "".join(s.split()).upper().rstrip("=")
+            try:
+                key = _b64.b32decode(bare + "=" * (-len(bare) % 8))
+            except ValueError:
+                return None
+            mac = _hmac.new(key, int(t // period).to_bytes(8, "big", signed=True), algorithm).digest()
+            at = mac[-1] & 15
+            return str((int.from_bytes(mac[at : at + 4], "big") & 0x7FFFFFFF) % 10**digits).zfill(digits)
+
+        return pd.Series([one(s, t) for s, t in zip(secrets, seconds, strict=True)], dtype=object)
+
+    return code(secret, at_second)
+
+
+def from_radix(text: Column, alphabet: str) -> Column:
+    """Bytes of text that radix() wrote; null if it has other characters. 32 signs by bits, any other number as one big number."""
+
+    @F.pandas_udf(BinaryType())
+    def convert(values: pd.Series) -> pd.Series:
+        place = {c: k for k, c in enumerate(alphabet)}
+
+        def one(t):
+            if t is None or any(c not in place for c in t):
+                return None
+            if len(alphabet) == 32:
+                n = 0
+                for c in t:
+                    n = n * 32 + place[c]
+                size = len(t) * 5 // 8
+                return (n >> (len(t) * 5 - size * 8)).to_bytes(size, "big")
+            n = 0
+            for c in t:
+                n = n * len(alphabet) + place[c]
+            return b"\0" * (len(t) - len(t.lstrip(alphabet[0]))) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+
+        return values.map(one)
+
+    return convert(text)
+
+
+def unescape_unicode(text: Column) -> Column:
+    r"""Inverse of escape_unicode(): \uXXXX units become characters, everything else stays."""
+    units = F.regexp_extract_all(text, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|.)"), F.lit(1))
+    return F.decode(F.unhex(F.array_join(F.transform(units, lambda u: F.when(u.rlike(r"^\\u[0-9A-Fa-f]{4}$"), F.substring(u, 3, 4)).otherwise(F.hex(F.encode(u, "UTF-16BE")))), "")), "UTF-16BE")
+
+
+def from_binary_text(bits: Column) -> Column:
+    """Text of groups of eight bits split by white space or commas; null if a group is something else."""
+    groups = F.filter(F.split(bits, r"[\s,]+"), lambda g: g != "")
+    good = F.forall(groups, lambda g: g.rlike("^[01]{8}$"))
+    return F.when(good, F.try_validate_utf8(F.unhex(F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 2, 16), 2, "0")), "")).cast("string")))
+
+
+#: Characters that have a name in HTML text.
+ENTITIES = {"&": "amp", "<": "lt", ">": "gt", '"': "quot", "'": "apos", "\u00a0": "nbsp", "\u00a9": "copy", "\u00ae": "reg", "\u2122": "trade", "\u20ac": "euro", "\u00a3": "pound", "\u00a5": "yen", "\u00a2": "cent"}
+
+
+def escape_html(text: Column, numeric: bool = False) -> Column:
+    """Named entities of the characters that have one, or all of them and everything beyond ASCII as numbers."""
+    if not numeric:
+        for c, name in ENTITIES.items():
+            text = F.replace(text, F.lit(c), F.lit(f"&{name};"))
+        return text
+    units = F.regexp_extract_all(text, F.lit(r"(?s)(.)"), F.lit(1))
+    number = lambda u: F.conv(F.hex(F.encode(u, "UTF-32")), 16, 10)
+    return F.array_join(F.transform(units, lambda u: F.when(u.isin(*"&<>\"'") | (u > "\x7f"), F.concat(F.lit("&#"), number(u), F.lit(";"))).otherwise(u)), "")
+
+
+def unescape_html(text: Column) -> Column:
+    """Characters of named entities; those of & last, so that nothing is read twice."""
+    for c, name in reversed(ENTITIES.items()):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(c))
+    return text
+
+
+def jwt_parts(token: Column) -> Column:
+    """header and claims (JSON text), algorithm, subject, expiry and start of a compact token; null unless it has three base64url parts with JSON in the first two."""
+    part = F.split(F.regexp_replace(token, r"\s+", ""), r"\.", -1)
+    text = lambda k: F.try_validate_utf8(from_base64(F.get(part, k)).cast("string"))
+    header, claims = text(0), text(1)
+    good = (F.size(part) == 3) & F.schema_of_variant(F.try_parse_json(header)).startswith("OBJECT") & F.schema_of_variant(F.try_parse_json(claims)).startswith("OBJECT")
+    number = lambda k: F.get_json_object(claims, f"$.{k}").try_cast("long")
+    return F.when(good, F.struct(header.alias("header"), claims.alias("claims"), F.get_json_object(header, "$.alg").alias("alg"), F.get_json_object(claims, "$.sub").alias("sub"), number("exp").alias("exp"), number("nbf").alias("nbf")))
+
+
+def jwt_status(token: Column, secret: str, now: Column, leeway: int = 0) -> Column:
+    """valid, expired, not-yet-valid or invalid-signature of a token signed by HS256, HS384 or HS512; null for anything else. Time claims count before the signature does."""
+    parts, compact = jwt_parts(token), F.regexp_replace(token, r"\s+", "")
+    signed, mac = F.substring_index(compact, ".", 2), F.substring_index(compact, ".", -1)
+    said = F.lower(parts["alg"])
+    right = F.lit(False)
+    for a in ("256", "384", "512"):
+        right = right | ((said == "hs" + a) & (hmac(as_bytes(signed), secret, "sha" + a) == F.lower(F.hex(from_base64(mac)))))
+    held = max(0, min(3600, leeway))
+    late, early = F.coalesce(now - held > parts["exp"], F.lit(False)), F.coalesce(now + held < parts["nbf"], F.lit(False))
+    return F.when(said.isin("hs256", "hs384", "hs512"), F.when(late, "expired").when(early, "not-yet-valid").when(right, "valid").otherwise("invalid-signature"))

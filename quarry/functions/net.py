@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Well-known ports (port, service, transport).
+#: Well-known ports (port, service, transport, description).
 PORTS = [
-    (20, "FTP data", "TCP"), (21, "FTP", "TCP"), (22, "SSH", "TCP"), (23, "Telnet", "TCP"), (25, "SMTP", "TCP"), (53, "DNS", "TCP/UDP"), (67, "DHCP", "UDP"), (80, "HTTP", "TCP"),
-    (110, "POP3", "TCP"), (123, "NTP", "UDP"), (143, "IMAP", "TCP"), (443, "HTTPS", "TCP"), (445, "SMB", "TCP"), (465, "SMTPS", "TCP"), (587, "SMTP submission", "TCP"),
-    (993, "IMAPS", "TCP"), (995, "POP3S", "TCP"), (3306, "MySQL", "TCP"), (3389, "RDP", "TCP"), (5432, "PostgreSQL", "TCP"), (6379, "Redis", "TCP"), (27017, "MongoDB", "TCP"),
+    (20, "FTP data", "TCP", "File transfer data channel"), (21, "FTP control", "TCP", "File transfer control channel"), (22, "SSH", "TCP", "Secure shell"), (23, "Telnet", "TCP", "Unencrypted remote terminal"),
+    (25, "SMTP", "TCP", "Mail transfer"), (53, "DNS", "TCP/UDP", "Domain name system"), (67, "DHCP server", "UDP", "Dynamic host configuration"), (68, "DHCP client", "UDP", "Dynamic host configuration"),
+    (80, "HTTP", "TCP", "Web traffic"), (110, "POP3", "TCP", "Mail retrieval"), (123, "NTP", "UDP", "Network time"), (143, "IMAP", "TCP", "Mail retrieval"), (161, "SNMP", "UDP", "Network management"),
+    (389, "LDAP", "TCP", "Directory service"), (443, "HTTPS", "TCP", "Encrypted web traffic"), (445, "SMB", "TCP", "Windows file sharing"), (465, "SMTPS", "TCP", "SMTP over implicit TLS"), (587, "SMTP submission", "TCP", "Mail submission"),
+    (993, "IMAPS", "TCP", "IMAP over TLS"), (995, "POP3S", "TCP", "POP3 over TLS"), (1433, "Microsoft SQL Server", "TCP", "Database service"), (3306, "MySQL", "TCP", "Database service"), (3389, "RDP", "TCP", "Remote desktop"),
+    (5432, "PostgreSQL", "TCP", "Database service"), (6379, "Redis", "TCP", "In-memory data store"), (8080, "HTTP alternate", "TCP", "Common alternate web port"), (8443, "HTTPS alternate", "TCP", "Common alternate secure web port"), (27017, "MongoDB", "TCP", "Database service"),
 ]
-#: Browser tokens in the order in which they decide.
-BROWSERS = [("Edg", "Edge"), ("OPR", "Opera"), ("Firefox", "Firefox"), ("Chrome", "Chrome"), ("Version", "Safari")]
+#: Browser tokens in the order in which they decide; Safari has its version elsewhere.
+BROWSERS = [("edge", "Microsoft Edge"), ("edga", "Microsoft Edge"), ("edgios", "Microsoft Edge"), ("edg", "Microsoft Edge"), ("opr", "Opera"), ("opera", "Opera"), ("firefox", "Firefox"), ("crios", "Chrome"), ("chrome", "Chrome"), ("version", "Safari")]
 
 
 def ipv4_number(text: Column) -> Column:
@@ -43,31 +46,40 @@ def ipv4_subnet(number: Column, prefix: Column) -> Column:
     )
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that its expression names many times, computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ipv6_expand(text: Column) -> Column:
     """Eight groups of four digits; null if the text is no address. A dotted tail counts as two groups."""
     tail = F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1)
-    n = ipv4_number(tail)
-    bare = F.when(tail != "", F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535)))))).otherwise(text)
-    half = F.split(bare, "::", -1)
+    pair = bound(ipv4_number(tail), lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535))))))
+    bare = F.when(tail != "", F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""), pair)).otherwise(text)
     groups = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ":", -1))
-    head, rest = groups(F.get(half, 0)), groups(F.coalesce(F.get(half, 1), F.lit("")))
-    missing = 8 - F.size(head) - F.size(rest)
-    whole = F.when(F.size(half) == 2, F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rest)).otherwise(head)
-    good = (F.size(half) <= 2) & (F.size(whole) == 8) & ((F.size(half) == 1) | (missing >= 1)) & F.forall(whole, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
-    return F.when(good, F.array_join(F.transform(whole, lambda g: F.lpad(F.lower(g), 4, "0")), ":"))
+
+    def filled(half: Column) -> Column:
+        """The two sides of ::, or the whole, with zeros between."""
+        head, rest = groups(half[0]), groups(F.coalesce(F.get(half, 1), F.lit("")))
+        missing = 8 - F.size(head) - F.size(rest)
+        zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+        return F.when(F.size(half) == 1, head).when((F.size(half) == 2) & (missing >= 1), F.concat(head, zeros, rest))
+
+    good = lambda whole: (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+    return bound(bound(F.split(bare, "::", -1), filled), lambda w: F.when(good(w), F.array_join(F.transform(w, lambda g: F.lpad(F.lower(g), 4, "0")), ":")))
 
 
 def ipv6_compress(text: Column) -> Column:
     """The shortest form: no leading zeros, the first longest run of two or more zero groups as ::."""
-    flat = F.array_join(F.transform(F.split(ipv6_expand(text), ":"), lambda g: F.regexp_replace(g, "^0{1,3}", "")), ":")
-    out = flat
-    done = F.lit(False)
-    for n in range(8, 1, -1):
-        run = r"(^|:)0(:0){%d}(:|$)" % (n - 1)
-        hit = ~done & flat.rlike(run)
-        out = F.when(hit, F.regexp_replace(F.concat(F.regexp_extract(flat, "^(.*?)" + run, 1), F.lit("::"), F.regexp_replace(flat, "^.*?" + run, "")), ":::+", "::")).otherwise(out)
-        done = done | flat.rlike(run)
-    return out
+
+    def shortened(flat: Column) -> Column:
+        out = flat
+        for n in range(2, 9):  # the longest decides, so it comes last
+            run = r"(^|:)0(:0){%d}(:|$)" % (n - 1)
+            out = F.when(flat.rlike(run), F.regexp_replace(F.concat(F.regexp_extract(flat, "^(.*?)" + run, 1), F.lit("::"), F.regexp_replace(flat, "^.*?" + run, "")), ":::+", "::")).otherwise(out)
+        return out
+
+    return bound(F.array_join(F.transform(F.split(ipv6_expand(text), ":"), lambda g: F.regexp_replace(g, "^0{1,3}", "")), ":"), lambda flat: F.when(flat != "", shortened(flat)))
 
 
 def url_parts(url: Column) -> Column:
@@ -81,10 +93,10 @@ def url_parts(url: Column) -> Column:
 
 
 def with_service(df: DataFrame, port: str) -> DataFrame:
-    """df with service and transport of the port, `unknown` where it isn't listed."""
-    known = df.sparkSession.createDataFrame(PORTS, "_port int, service string, transport string")
+    """df with service, transport and description of the port; service is `unknown` where it isn't listed."""
+    known = df.sparkSession.createDataFrame(PORTS, "_port int, service string, transport string, description string")
     out = df.join(F.broadcast(known), F.col(port) == F.col("_port"), "left").drop("_port")  # the fixed list
-    return out.fillna("unknown", ["service", "transport"])
+    return out.fillna("unknown", ["service"])
 
 
 def spf_record(mx: bool, a: bool, ip4: Column, include: Column, rest: str = "~all") -> Column:
@@ -110,10 +122,20 @@ def robots_txt(agent: Column, allow: Column, disallow: Column, sitemap: Column)
 
 
 def user_agent(text: Column) -> Column:
-    """browser, version and system of a user agent string."""
-    name, version = F.lit("unknown"), F.lit(None).cast("string")
+    """browser with version, system and device class of a user agent string, whatever its case; Unknown where nothing fits.
+
+    A browser token decides only if a version follows its first place.
+    """
+    low = F.lower(F.trim(text))
+    first = lambda token: F.regexp_extract(F.regexp_replace(low, rf"(?s)^.*?(?={token})", ""), rf"^{token}/([0-9.]+)", 1)
+    name = F.lit("Unknown")
     for token, label in reversed(BROWSERS):
-        hit = text.contains(token + "/")
-        name, version = F.when(hit, label).otherwise(name), F.when(hit, F.regexp_extract(text, token + r"/([\d.]+)", 1)).otherwise(version)
-    system = F.when(text.rlike("iPhone|iPad"), "iOS").when(text.contains("Android"), "Android").when(text.contains("Windows"), "Windows").when(text.contains("Mac OS X"), "macOS").when(text.contains("Linux"), "Linux").otherwise("unknown")
-    return F.struct(name.alias("browser"), version.alias("version"), system.alias("system"))
+        hit = low.contains(token) & (first(token) != "") & (low.contains("safari") if label == "Safari" else F.lit(True))
+        name = F.when(hit, F.concat(F.lit(label + " "), first(token))).otherwise(name)
+    android, mac = F.regexp_extract(low, r"(?s)^(?:(?!android ).)*android ([0-9.]*)", 1), F.regexp_extract(low, r"(?s)^(?:(?!mac os x ).)*mac os x ([0-9_]*)", 1)
+    system = (
+        F.when(low.contains("windows nt 10"), "Windows 10/11").when(low.contains("windows nt 6.1"), "Windows 7").when(android.rlike("[0-9]"), F.concat(F.lit("Android "), android))
+        .when(low.rlike("iphone|ipad|ipod"), "iOS / iPadOS").when(mac.rlike("[0-9]"), F.concat(F.lit("macOS "), F.replace(mac, F.lit("_"), F.lit(".")))).when(low.contains("linux"), "Linux").otherwise("Unknown")
+    )
+    device = F.when(low.contains("ipad"), "Tablet").when(low.rlike("mobile|iphone|android"), "Mobile").when(low.rlike("windows|macintosh|x11|linux"), "Desktop").otherwise("Unknown")
+    return F.when(text.isNotNull(), F.struct(name.alias("browser"), system.alias("system"), device.alias("device")))

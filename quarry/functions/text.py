@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Capital numerals and units of amounts.
 NUMERALS, UNITS, GROUPS = "零壹贰叁肆伍陆柒捌玖", ["", "拾", "佰", "仟"], ["", "万", "亿", "兆"]
+#: Signs that amounts are read from, plain and traditional ones too.
+PLAIN_NUMERALS = {
+    "零": "0", "〇": "0", "壹": "1", "一": "1", "贰": "2", "弍": "2", "二": "2", "叁": "3", "參": "3", "三": "3", "肆": "4", "四": "4", "伍": "5", "五": "5", "陆": "6", "陸": "6", "六": "6", "柒": "7", "七": "7",
+    "捌": "8", "八": "8", "玖": "9", "九": "9", "拾": "S", "十": "S", "佰": "B", "百": "B", "仟": "Q", "千": "Q", "万": "W", "萬": "W", "亿": "Y", "億": "Y", "兆": "Z", "圆": "元", "圓": "元",
+}
 
 
 def words(text: Column) -> Column:
@@ -90,14 +95,68 @@ def password_classes(text: Column) -> Column:
     return sum((F.when(text.rlike(p), 1).otherwise(0) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0))
 
 
-def password_score(text: Column) -> Column:
-    """0 to 4 by length bands (8, 10, 14, 20) and kinds; repeats of one character give 1 at most."""
-    n = F.length(text)
-    score = sum((F.when(n >= k, 1).otherwise(0) for k in (8, 10, 14, 20)), F.lit(0))
-    kinds = password_classes(text)
-    score = score + F.when(kinds >= 3, 1).otherwise(0) - F.when(kinds <= 1, 1).otherwise(0)
-    score = F.when(text.rlike(r"^(.)\1+$"), F.least(score, F.lit(1))).otherwise(score)
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(4), score)))
+#: What makes a password common wherever it stands, and the rows of keys and signs that it may follow.
+COMMON = ["password", "passw0rd", "admin", "welcome", "letmein", "qwerty", "iloveyou", "monkey", "dragon", "123456", "123456789", "abc123", "111111", "000000"]
+SEQUENCES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "qwertyuiop", "asdfghjkl", "zxcvbnm"]
+#: Kinds of characters: small, capital, number, neither letter nor number, beyond ASCII.
+KINDS = [r"\p{IsLowercase}", r"\p{IsUppercase}", r"\p{N}", r"[^\p{IsAlphabetic}\p{N}]", r"[^\x00-\x7F]"]
+
+
+def password_strength(text: Column) -> Column:
+    """score (0 to 4), length and tips (length, variety, common, repeated) of a password.
+
+    A common word anywhere gives 0; four equal characters in a row, or four that follow a sequence either way, 1 at most.
+    """
+    n, low = F.length(text), F.lower(text)
+    kinds = sum((F.when(text.rlike(k), 1).otherwise(0) for k in KINDS), F.lit(0))
+    fours = sorted({x for q in SEQUENCES for i in range(len(q) - 3) for x in (q[i : i + 4], q[i : i + 4][::-1])})
+    common = low.rlike("|".join(COMMON))
+    repeated = text.rlike(r"(?s)^(.)\1*$|(.)\2{3}") | low.rlike("|".join(fours))
+    score = sum((F.when(n >= k, 1).otherwise(0) for k in (8, 10, 14, 20)), F.lit(0)) + F.when((kinds >= 4) & (n >= 10), 1).otherwise(0)
+    score = F.greatest(score - F.when(kinds == 1, 1).otherwise(0), F.lit(0))
+    score = F.least(F.when(common, 0).when(repeated, F.least(score, F.lit(1))).otherwise(score), F.lit(4))
+    none = n == 0
+    tips = {"length": n < 14, "variety": kinds < 3, "common": common & ~none, "repeated": repeated & ~none}
+    said = F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in tips.items()]), lambda x: x.isNotNull())
+    return F.when(text.isNotNull(), F.struct(F.when(none, 0).otherwise(score).alias("score"), n.alias("length"), said.alias("tips")))
+
+
+def amount_of_words(text: Column) -> Column:
+    """The number that an amount in capital (or plain) numerals names, with two decimals; null if it is none.
+
+    The inverse of amount_in_words(): digits gather in sections up to 万, 亿 or 兆; what follows 元 is 角 and 分.
+    """
+    bare = F.replace(F.regexp_replace(F.regexp_replace(F.trim(text), "^(人民币)+", ""), "^[¥￥]+", ""), F.lit(" "))
+    plain = F.translate(bare, "".join(PLAIN_NUMERALS), "".join(PLAIN_NUMERALS.values()))
+    minus = plain.rlike("^[负-]")
+    part = F.split(F.regexp_replace(plain, "^[负-]", ""), "元", -1)
+    whole, rest = part[0], F.coalesce(F.get(part, 1), F.lit(""))
+    good = whole.rlike(r"^[0-9SBQWYZ]*$") & ~whole.rlike("(^|[^1-9])[BQ]") & rest.rlike(r"^整*(0(?=[0-9]))*([0-9]角)?整*(0(?=[0-9]))*([0-9]分)?整*$") & (F.size(part) <= 2)
+    start = F.struct(F.lit(0).cast("decimal(38,0)").alias("t"), F.lit(0).cast("decimal(38,0)").alias("s"), F.lit(0).cast("decimal(38,0)").alias("d"))
+    big = lambda c: c.cast("decimal(38,0)")
+
+    def fold(acc: Column, c: Column) -> Column:
+        one = lambda v: F.when(v == 0, big(F.lit(1))).otherwise(v)
+        small = F.when(c == "S", 10).when(c == "B", 100).otherwise(1000)
+        large = F.when(c == "W", F.lit(10_000)).when(c == "Y", F.lit(100_000_000)).otherwise(F.lit(1_000_000_000_000))
+        made = lambda t, s, d: F.struct(big(t).alias("t"), big(s).alias("s"), big(d).alias("d"))
+        zero = F.lit(0)
+        return F.when(c.rlike("[0-9]"), made(acc["t"], acc["s"], c.try_cast("decimal(38,0)"))).when(c.isin("S", "B", "Q"), made(acc["t"], acc["s"] + one(acc["d"]) * small, zero)).otherwise(
+            made(acc["t"] + one(acc["s"] + acc["d"]) * large, zero, zero)
+        )
+
+    signs = F.filter(F.split(whole, ""), lambda c: c != "")
+    n = F.aggregate(signs, start, fold, lambda acc: acc["t"] + acc["s"] + acc["d"])
+    cents = lambda u: F.coalesce(F.regexp_extract(rest, f"([0-9]){u}", 1).try_cast("int"), F.lit(0))
+    value = (n + cents("角") * F.lit("0.1").cast("decimal(2,1)") + cents("分") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(20,2)")
+    return F.when(good & (n <= 999_999_999_999_999), F.when(minus, -value).otherwise(value))
+
+
+def unique_names(df: DataFrame, keys: list[str], name: str, order: list[Column]) -> DataFrame:
+    """df with `unique_name`: of equal names of a key all but the first get ` (2)`, ` (3)` .. before the extension."""
+    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))
+    stem, ext = F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(?s)^.+?(\.[^.]*)?$", 1)
+    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)))
 
 
 def output_name(pattern: str, fields: dict[str, Column]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +88,49 @@ def relative_phrase(millis: Column) -> Column:
     said = F.concat(n.cast("string"), F.lit(" "), unit, F.when(n > 1, "s").otherwise(""))
     day = (unit == "day") & (n == 1)
     return F.when(day & (millis < 0), "yesterday").when(day, "tomorrow").when(millis < 0, F.concat(said, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), said))
+
+
+#: Words that a relative time may begin with, the longest first, and what they mean.
+PHRASES = [("quarter-start", "quarter"), ("month-start", "month"), ("week-start", "week"), ("year-start", "year"), ("yesterday", "-1"), ("tomorrow", "1"), ("today", "0"), ("now", "now"), ("前天", "-2"), ("后天", "2"), ("昨天", "-1"), ("明天", "1"), ("今天", "0"), ("现在", "now")]
+
+
+def relative_instant(text: Column, now: Column) -> Column:
+    """The instant of a phrase against now: a word of PHRASES, then offsets `+1d -2h` (y M w d h m s, in any number) and a time of day; null if it is none.
+
+    Without a word the offsets count from now. Years and months clamp to the month's end; a time of day comes last.
+    """
+    low = F.trim(text)
+    base, word = now, F.lit("")
+    for key, kind in reversed(PHRASES):
+        start = now if kind == "now" else F.date_trunc(kind, now) if kind.isalpha() else F.date_add(F.to_date(now), int(kind)).cast("timestamp")
+        hit = F.lower(low).startswith(key)
+        base, word = F.when(hit, start).otherwise(base), F.when(hit, key).otherwise(word)
+    rest = F.trim(F.substring(low, F.length(word) + 1, F.lit(1 << 30)))
+    offset, clock = r"[+-]\d+\s*[yMwdhms]", r"\d{1,2}:\d{2}(?::\d{2})?"
+    good = rest.rlike(rf"^({offset}\s*)*({clock})?$") & ((word != "") | rest.rlike(rf"^{offset}"))
+    total = lambda u: F.aggregate(F.regexp_extract_all(rest, F.lit(rf"([+-]\d+)\s*{u}"), F.lit(1)), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x.try_cast("long"), F.lit(0).cast("long")))
+    moved = add_months_at(base, (12 * total("y") + total("M")).cast("int"))
+    moved = F.timestamp_micros(F.unix_micros(moved) + (total("w") * 604_800 + total("d") * 86_400 + total("h") * 3600 + total("m") * 60 + total("s")) * 1_000_000)
+    at = F.regexp_extract(rest, rf"({clock})$", 1)
+    part = lambda k: F.coalesce(F.get(F.split(at, ":"), F.lit(k)).try_cast("long"), F.lit(0))
+    timed = F.timestamp_seconds(F.unix_seconds(F.date_trunc("day", moved)) + part(0) * 3600 + part(1) * 60 + part(2))
+    return F.when(good, F.when(at != "", timed).otherwise(moved))
+
+
+#: Tokens of a format, and Spark's for them.
+TOKENS = {"YYYY": "yyyy", "MM": "MM", "DD": "dd", "HH": "HH", "mm": "mm", "ss": "ss", "SSS": "SSS", "ZZ": "xx", "A": "a", "ddd": "EEE", "dddd": "EEEE"}
+
+
+def format_tokens(ts: Column, form: str) -> Column:
+    """ts by a format of runs of one letter: those of TOKENS stand for parts of the time, all else for itself."""
+    runs = [m[0] for m in re.finditer(r"(.)\1*", form, re.S)]
+    return F.concat(*[F.date_format(ts, TOKENS[r]) if r in TOKENS else F.lit(r) for r in runs]) if runs else F.lit("")
+
+
+def zone_board(ts: Column, zone: str) -> Column:
+    """local (yyyy-MM-dd HH:mm:ss), weekday (0 is Sunday), offset_minutes and dst of an instant in a zone; dst: the offset is over the least of that year's January and July."""
+    local = F.from_utc_timestamp(ts, zone)
+    off = lambda t: ((F.unix_seconds(F.from_utc_timestamp(t, zone)) - F.unix_seconds(t)) / 60).cast("int")
+    year = F.date_trunc("year", ts)
+    least = F.least(off(year), off(F.add_months(year, 6).cast("timestamp")))
+    return F.struct(F.date_format(local, "yyyy-MM-dd HH:mm:ss").alias("local"), (F.dayofweek(local) - 1).alias("weekday"), off(ts).alias("offset_minutes"), (off(ts) > least).alias("dst"))

@@ -1,7 +1,10 @@
-"""Relational operators on files, pages and days: keep-first, natural order, ranges, islands, plans, calendars, schedules, cells."""
+"""Relational operators on files and days: keep-first, natural order, ranges, islands, calendars, schedules, modes, sizes."""
 
 from __future__ import annotations
 
+import re
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,21 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 4, "0"), bare(x))).otherwise(x)), "\x01")
 
 
+def natural_rank(df: DataFrame, name: str, tie: str, parts: int = 200, seed: int = 7) -> DataFrame:
+    """df with `rank` (from 1) in natural order of a name: by natural_key, then bytes of the name, then `tie`.
+
+    Rows are dealt to about `parts` ranges of the key, whose bounds are from a seeded sample of a few thousand
+    names, are counted for each range, and numbered within it; no task sees all rows. The bounds don't change the result.
+    """
+    keyed = df.withColumn("_k", natural_key(F.col(name))).withColumn("_n", F.octet_length(name))
+    bounds = sorted({r["_k"] for r in keyed.where("_k is not null").select("_k").orderBy(F.xxhash64("_k", F.lit(seed))).limit(20 * parts).collect()})[:: 20]
+    array = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
+    keyed = keyed.withColumn("_b", F.coalesce(F.size(F.filter(array, lambda b: b <= F.col("_k"))), F.lit(0)))
+    before = keyed.groupBy("_b").count().withColumn("_before", F.sum("count").over(Window.orderBy("_b")) - F.col("count")).select("_b", "_before")  # `parts` rows
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(F.col("_k").asc_nulls_first(), "_n", tie))
+    return keyed.withColumn("_i", inside).join(F.broadcast(before), "_b").withColumn("rank", (F.col("_before") + F.col("_i")).cast("int")).drop("_k", "_n", "_b", "_i", "_before")
+
+
 def selected_pages(selector: Column, total: Column) -> Column:
     """Page numbers that a selector names, in its order, repeats kept: all, odd, even, a, a-b, a-, -b joined by , ; ，、.
 
@@ -66,41 +84,73 @@ def _grown(acc: Column, x: Column) -> Column:
     return F.when(last["b"] == x.cast("int") - 1, wider).otherwise(F.concat(acc, one))
 
 
-def plan_pages(plan: DataFrame, pages: DataFrame) -> DataFrame:
-    """Rows of plan (pos, file_id, page) with their page's columns, `found` false where there is none."""
-    return plan.join(pages.withColumn("found", F.lit(True)), ["file_id", "page"], "left").fillna(False, ["found"])
+#: Sunday is 0; 1970-01-01 was a Thursday.
+def weekday(day: Column) -> Column:
+    return F.dayofweek(day) - 1
 
 
-def calendar_days(spark_df: DataFrame, start: str, end: str, holidays: DataFrame, weekend: tuple[int, ...] = (0, 6)) -> DataFrame:
-    """Each row of spark_df once a day from start to end with is_weekend, is_holiday (not at a weekend) and is_work.
+def rest_days(holidays: list[str], weekend: tuple[int, ...] = (0, 6)) -> Column:
+    """Holidays that aren't at a weekend, sorted: a literal, as a calendar has few a year."""
+    days = sorted({date.fromisoformat(str(h)) for h in holidays})
+    kept = [d for d in days if (d.weekday() + 1) % 7 not in weekend]
+    return F.array(*[F.lit(d) for d in kept]) if kept else F.array().cast("array<date>")
 
-    holidays: one column of dates, a small table of known size (a few days a year). 0 is Sunday.
-    """
-    h = holidays.toDF("_h").where("_h is not null").distinct()
-    d = spark_df.withColumn("day", F.explode(F.sequence(F.col(start), F.col(end))))
-    d = d.join(h, F.col("day") == F.col("_h"), "left").withColumn("is_weekend", (F.dayofweek("day") - 1).isin(*weekend))
-    return d.withColumn("is_holiday", ~F.col("is_weekend") & F.col("_h").isNotNull()).withColumn("is_work", ~F.col("is_weekend") & ~F.col("is_holiday")).drop("_h")
 
+def day_tally(start: Column, end: Column, holidays: list[str], weekend: tuple[int, ...] = (0, 6)) -> Column:
+    """days, weekend_days, holiday_days (not at a weekend) and work_days of a closed interval; all 0 if it is empty, null if an end is.
 
-def day_tally(df: DataFrame, keys: list[str], start: str, end: str, holidays: DataFrame, weekend: tuple[int, ...] = (0, 6)) -> DataFrame:
-    """keys, days, weekend_days, holiday_days, work_days of each row's closed interval."""
-    d = calendar_days(df.select(*keys, start, end), start, end, holidays, weekend)
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("days"), F.count_if("is_weekend").alias("weekend_days"), F.count_if("is_holiday").alias("holiday_days"), F.count_if("is_work").alias("work_days"))
+    Weekend days are counted from the two ends by arithmetic, so no day is listed and nothing is joined.
+    """
+    a, b = F.unix_date(start), F.unix_date(end)
+    days = F.greatest(b - a + 1, F.lit(0))
+    at_weekend = sum((F.floor((b + 4 - w) / 7) - F.floor((a + 3 - w) / 7) for w in weekend), F.lit(0))
+    at_weekend = F.when(days > 0, at_weekend).otherwise(0)
+    off = F.size(F.filter(rest_days(holidays, weekend), lambda h: h.between(start, end)))
+    counts = {"days": days, "weekend_days": at_weekend, "holiday_days": off, "work_days": days - at_weekend - off}
+    return F.when(start.isNotNull() & end.isNotNull(), F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]))
 
 
 def nth_workday(start: Column, n: int, holidays: list[str], weekend: tuple[int, ...] = (0, 6), reach: int | None = None) -> Column:
     """The n-th working day after (or before, n < 0) a date, which isn't counted; null if it lies beyond `reach` days."""
     span = reach or abs(n) * 7 // max(1, 7 - len(weekend)) + 10 + 2 * len(holidays)
-    sign = 1 if n >= 0 else -1
-    rest = F.array(*[F.lit(h).cast("date") for h in holidays]) if holidays else F.array().cast("array<date>")
+    sign, off = 1 if n >= 0 else -1, rest_days(holidays, weekend)
     days = F.transform(F.sequence(F.lit(1), F.lit(span)), lambda k: F.date_add(start, k * sign))
-    work = F.filter(days, lambda d: ~(F.dayofweek(d) - 1).isin(*weekend) & ~F.array_contains(rest, d))
+    work = F.filter(days, lambda d: ~weekday(d).isin(*weekend) & ~F.array_contains(off, d))
     return start if n == 0 else F.get(work, F.lit(abs(n) - 1))
 
 
-def cron_values(field: str, low: int, high: int) -> list[int]:
-    """Values of a schedule field: * ? a a-b a,b with /n."""
+def rolled(day: Column, holidays: list[str], weekend: tuple[int, ...] = (0, 6)) -> Column:
+    """The first working day from a date on, up to 28 days later; the date itself if there is none."""
+    off = rest_days(holidays, weekend)
+    work = F.filter(F.transform(F.sequence(F.lit(0), F.lit(28)), lambda k: F.date_add(day, k)), lambda d: ~weekday(d).isin(*weekend) & ~F.array_contains(off, d))
+    return F.coalesce(F.get(work, F.lit(0)), day)
+
+
+def work_ranges(df: DataFrame, keys: list[str], start: str, end: str, holidays: list[str], weekend: tuple[int, ...] = (0, 6)) -> DataFrame:
+    """keys, first, last, length of each run of working days in each row's closed interval, found within the row.
+
+    A run starts at a working day after a rest day (or at the start) and ends before the next rest day.
+    """
+    off = rest_days(holidays, weekend)
+    rest = lambda d: weekday(d).isin(*weekend) | F.array_contains(off, d)
+    days = F.when(F.col(start) <= F.col(end), F.sequence(F.col(start), F.col(end))).otherwise(F.array().cast("array<date>"))
+    firsts = F.filter(days, lambda d: ~rest(d) & ((d == F.col(start)) | rest(F.date_sub(d, 1))))
+    lasts = F.filter(days, lambda d: ~rest(d) & ((d == F.col(end)) | rest(F.date_add(d, 1))))
+    runs = df.select(*keys, F.explode(F.arrays_zip(firsts.alias("first"), lasts.alias("last"))).alias("r")).select(*keys, "r.first", "r.last")
+    return runs.withColumn("length", (F.datediff("last", "first") + 1).cast("long"))
+
+
+#: Schedules with a name, and names of months and weekdays.
+MACROS = {"@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0", "@daily": "0 0 * * *", "@hourly": "0 * * * *"}
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+WEEKDAYS = ["sun", "mon", "tue", "wed", "thu", "fri", "sat"]
+
+
+def cron_values(field: str, low: int, high: int, names: list[str] | None = None) -> list[int]:
+    """Values of a schedule field: * ? a a-b a,b with /n; names stand for numbers from `low` on."""
     out: set[int] = set()
+    for k, name in enumerate(names or []):
+        field = re.sub(rf"(?i)\b{name}\b", str(low + k), field)
     for part in field.split(","):
         span, _, step = part.partition("/")
         if span in ("*", "?"):
@@ -110,46 +160,79 @@ def cron_values(field: str, low: int, high: int) -> list[int]:
         else:
             a = int(span)
             b = high if step else a
-        if not (low <= a <= b <= high):
+        if not (low <= a <= b <= high) or step and int(step) < 1:
             raise ValueError(f"{part} is outside {low} to {high}")
         out.update(range(a, b + 1, int(step or 1)))
     return sorted(out)
 
 
-def cron_next(df: DataFrame, keys: list[str], after: str, expression: str, count: int = 5, horizon_days: int = 62) -> DataFrame:
-    """keys, run, n of the first `count` runs after each row's time of a five-field schedule (minute hour day month weekday).
-
-    If both day and weekday are limited, either suffices; 7 is Sunday. Days are filtered before times are made.
+def cron_day(field: str, of_month: bool):
+    """A condition on a date for the day field of a schedule, or None if it fits all. Of the month: values, L, LW, nW; of the week: values (7 is Sunday), L (the last Saturday), nL, n#k."""
+    f = field.upper()
+    last = lambda d: F.dayofmonth(F.last_day(d))
+    if f in ("*", "?"):
+        return None
+    if of_month and f == "L":
+        return lambda d: F.dayofmonth(d) == last(d)
+    if of_month and f == "LW":
+        return lambda d: d == F.date_sub(F.last_day(d), F.greatest(weekday(F.last_day(d)) - 5, F.lit(0)) + F.when(weekday(F.last_day(d)) == 0, 2).otherwise(0))
+    if of_month and (m := re.fullmatch(r"(\d+)W", f)):
+
+        def nearest(d: Column) -> Column:
+            t = F.least(F.lit(int(m[1])), last(d))
+            w = weekday(F.date_add(F.trunc(d, "month"), t - 1))
+            return F.dayofmonth(d) == F.when(w == 6, F.when(t > 1, t - 1).otherwise(t + 2)).when(w == 0, F.when(t < last(d), t + 1).otherwise(t - 2)).otherwise(t)
+
+        return nearest
+    if not of_month and (m := re.fullmatch(r"([0-7]?)L", f)):
+        which = int(m[1] or 6) % 7
+        return lambda d: (weekday(d) == which) & (F.dayofmonth(d) + 7 > last(d))
+    if not of_month and (m := re.fullmatch(r"([0-7])#([1-5])", f)):
+        return lambda d: (weekday(d) == int(m[1]) % 7) & (F.floor((F.dayofmonth(d) - 1) / 7) + 1 == int(m[2]))
+    values = cron_values(field, 1, 31) if of_month else sorted({x % 7 for x in cron_values(re.sub(r"\b7\b", "7", field), 0, 7, WEEKDAYS)})
+    return lambda d: (F.dayofmonth(d) if of_month else weekday(d)).isin(*values)
+
+
+def cron_next(df: DataFrame, keys: list[str], after: str, expression: str, count: int = 5, months: int = 96) -> DataFrame:
+    """keys, run, n of the first `count` runs after each row's time, within so many months, of a schedule of five fields
+    (minute hour day month weekday), with seconds as sixth, or of a named one.
+
+    If both day and weekday are limited, either suffices. Days are looked for within the row, first in the next
+    two months, and beyond them only where these have too few; at most count + 1 days a row become times.
     """
-    minute, hour, day, month, week = expression.split()
-    m, h = cron_values(minute, 0, 59), cron_values(hour, 0, 23)
-    d, mon, w = cron_values(day, 1, 31), cron_values(month, 1, 12), sorted({x % 7 for x in cron_values(week, 0, 7)})
-    free_day, free_week = day in ("*", "?"), week in ("*", "?")
-    rows = df.select(*keys, F.col(after).alias("_t")).withColumn("_d", F.explode(F.sequence(F.to_date("_t"), F.date_add(F.to_date("_t"), horizon_days))))
-    by_day, by_week = F.dayofmonth("_d").isin(*d), (F.dayofweek("_d") - 1).isin(*w)
-    fits = F.lit(True) if free_day and free_week else by_week if free_day else by_day if free_week else by_day | by_week
-    rows = rows.where(F.month("_d").isin(*mon) & fits)
-    times = F.array(*[F.lit(60 * x + y) for x in h for y in m])
-    rows = rows.withColumn("_m", F.explode(times)).withColumn("run", F.timestamp_seconds(F.unix_date("_d").cast("long") * 86400 + F.col("_m") * 60)).where(F.col("run") > F.col("_t"))
+    fields = MACROS.get(expression.strip().lower(), expression).split()
+    if len(fields) not in (5, 6):
+        raise ValueError(f"{expression} has {len(fields)} fields")
+    minute, hour, day, month, week = fields[:5]
+    seconds = cron_values(fields[5], 0, 59) if len(fields) == 6 else [0]
+    m, h, mon = cron_values(minute, 0, 59), cron_values(hour, 0, 23), cron_values(month, 1, 12, MONTHS)
+    by_day, by_week = cron_day(day, True), cron_day(week, False)
+    either = (lambda d: by_day(d) | by_week(d)) if by_day and by_week else by_day or by_week or (lambda d: F.lit(True))
+    fits = lambda d: F.month(d).isin(*mon) & either(d)
+    first = F.to_date("_t")
+    found = lambda to: F.slice(F.filter(F.sequence(first, to), fits), 1, count + 1)
+    rows = df.select(*keys, F.col(after).alias("_t")).where("_t is not null").withColumn("_near", found(F.date_add(first, 62)))
+    days = F.when(F.size("_near") > count, F.col("_near")).otherwise(found(F.add_months(first, months)))
+    rows = rows.withColumn("_days", days)
+    # within a day: hours, then minutes, then seconds, as far as `count` times after _t need them
+    numbers = lambda values: F.array(*map(F.lit, values))
+    since = F.when(F.to_date("_t") == F.col("_d"), F.unix_seconds("_t") - F.unix_date("_d").cast("long") * 86400).otherwise(-1)
+    rows = rows.select(*keys, "_t", F.explode("_days").alias("_d")).withColumn("_s", since)
+    hours = F.slice(F.filter(numbers(h), lambda x: x * 3600 + 3599 > F.col("_s")), 1, count + 1)
+    minutes = F.slice(F.filter(F.flatten(F.transform(hours, lambda x: F.transform(numbers(m), lambda y: x * 60 + y))), lambda x: x * 60 + 59 > F.col("_s")), 1, count + 1)
+    times = F.slice(F.filter(F.flatten(F.transform(minutes, lambda x: F.transform(numbers(seconds), lambda y: x * 60 + y))), lambda x: x > F.col("_s")), 1, count)
+    rows = rows.select(*keys, F.col("_d"), F.explode(times).alias("_at")).withColumn("run", F.timestamp_seconds(F.unix_date("_d").cast("long") * 86400 + F.col("_at")))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("run")))
     return rows.where(F.col("n") <= count).select(*keys, "run", "n")
 
 
-def weighted_mode(df: DataFrame, keys: list[str], value: Column, weight: Column) -> DataFrame:
-    """keys, mode, weight: the value of greatest weight sum, the least on ties."""
-    s = df.groupBy(*keys, value.alias("_v")).agg(F.sum(weight).alias("_w"))
-    best = F.min(F.struct((-F.col("_w")).alias("w"), F.col("_v").alias("v"))).alias("_b")
+def weighted_mode(df: DataFrame, keys: list[str], value: Column, weight: Column, order: Column | None = None) -> DataFrame:
+    """keys, mode, weight: the value of greatest weight sum; on ties the one first seen in `order`, else the least."""
+    s = df.groupBy(*keys, value.alias("_v")).agg(F.sum(weight).alias("_w"), F.min(F.lit(0) if order is None else order).alias("_o"))
+    best = F.min(F.struct((-F.col("_w")).alias("w"), F.col("_o").alias("o"), F.col("_v").alias("v"))).alias("_b")
     return s.groupBy(*keys).agg(best).select(*keys, F.col("_b.v").alias("mode"), (-F.col("_b.w")).alias("weight"))
 
 
-def table_cells(runs: DataFrame, keys: list[str], gap: float = 8.0) -> DataFrame:
-    """keys, cell, text: runs (x, w, text) of a row joined into cells; a new one starts where the gap to the run before exceeds `gap`."""
-    row = Window.partitionBy(*keys).orderBy("x", "text")
-    d = runs.withColumn("_new", F.when(F.col("x") - F.lag(F.col("x") + F.col("w")).over(row) > gap, 1).otherwise(0)).withColumn("cell", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.groupBy(*keys, "cell").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("_t"))
-    return d.select(*keys, "cell", F.array_join(F.col("_t.text"), " ").alias("text"))
-
-
 def size_metrics(df: DataFrame, keys: list[str], before: Column, after: Column) -> DataFrame:
     """keys, input_bytes, output_bytes, delta_percent (rounded half up)."""
     s = df.groupBy(*keys).agg(F.sum(before).alias("input_bytes"), F.sum(after).alias("output_bytes"))

@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import encoding as enc
 from quarry.functions import net, text, time
 from quarry.operators import relational as rel
-from quarry.plans.flagship import flagship
-
-QUERIES = {"document_profile": flagship}
-SQL = {
-    "document_profile": """
-WITH f AS (SELECT lang, md5(text) AS digest, count(*) AS copies, min(doc_id) AS kept_id, first(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1, 2)
-SELECT lang, sum(copies)::BIGINT AS documents, count(*) AS distinct_texts, sum(bytes)::BIGINT AS kept_bytes, sum(bytes * (copies - 1))::BIGINT AS saved_bytes, min(kept_id) AS first_id FROM f GROUP BY lang
-""",
-}
-
-
-def query(table: str, sql: str | None = None):
-    """Registers a function of (table as DataFrame, reader of other tables) as a query."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            return f(read(table), read)
-
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def utc(c: str):
-    return F.col(c).cast("timestamp")
-
+from quarry.plans.registry import QUERIES, SQL, query, utc
 
 @query("documents", "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
 def hash_digests(d, read):
@@ -86,10 +56,13 @@ def period_bounds(d, read):
     return d.select("event_id", *[time.period_bounds(utc("ts"), u)[e].alias(f"{u}_{e}") for u in ("day", "week", "month", "year") for e in ("first", "last")])
 
 
-@query("events", "SELECT event_id, z.zone, strftime(timezone(z.zone, timezone('UTC', ts)), '%Y-%m-%d %H:%M:%S') AS local FROM events, (VALUES ('Asia/Shanghai'), ('America/New_York'), ('Europe/Berlin')) z(zone)")
+@query("events", """
+WITH z AS (SELECT event_id, zone, ts, timezone(zone, timezone('UTC', ts)) AS l, date_trunc('year', ts) AS y FROM events, (VALUES ('Asia/Shanghai'), ('America/New_York'), ('Europe/Berlin')) v(zone)),
+o AS (SELECT *, date_diff('minute', ts, l) AS m, date_diff('minute', y, timezone(zone, timezone('UTC', y))) AS jan, date_diff('minute', y + interval 6 month, timezone(zone, timezone('UTC', y + interval 6 month))) AS jul FROM z)
+SELECT event_id, zone, strftime(l, '%Y-%m-%d %H:%M:%S') AS local, dayofweek(l)::INTEGER AS weekday, m::INTEGER AS offset_minutes, m > least(jan, jul) AS dst FROM o""")
 def timezone_board(d, read):
-    zones = F.explode(F.array(*map(F.lit, ("Asia/Shanghai", "America/New_York", "Europe/Berlin"))))
-    return d.withColumn("zone", zones).select("event_id", "zone", F.date_format(F.convert_timezone(F.lit("UTC"), F.col("zone"), F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("local"))
+    boards = F.explode(F.array(*[F.struct(F.lit(z).alias("zone"), time.zone_board(utc("ts"), z).alias("b")) for z in ("Asia/Shanghai", "America/New_York", "Europe/Berlin")])).alias("z")
+    return d.select("event_id", boards).select("event_id", "z.zone", "z.b.*")
 
 
 @query("orders", "SELECT o_orderkey, isoyear(o_orderdate)::INTEGER AS iso_year, weekofyear(o_orderdate)::INTEGER AS iso_week, strftime(o_orderdate, '%Y/%m/%d %a') AS said, o_orderdate + interval 1 month AS next_month FROM orders")
@@ -122,9 +95,15 @@ def ipv4_subnet(d, read):
     return d.select("c_custkey", *[s[k].alias(k) for k in ("mask", "network", "broadcast", "hosts")])
 
 
-@query("events", "SELECT event_id, coalesce(s, 'unknown') AS service FROM events LEFT JOIN (VALUES (22, 'SSH'), (25, 'SMTP'), (53, 'DNS'), (80, 'HTTP'), (20, 'FTP data'), (21, 'FTP'), (23, 'Telnet'), (67, 'DHCP')) p(n, s) ON user_id % 100 = n AND n < 100")
+@query("events", """
+WITH p AS (SELECT * FROM (VALUES (20, 'FTP data', 'TCP', 'File transfer data channel'), (21, 'FTP control', 'TCP', 'File transfer control channel'), (67, 'DHCP server', 'UDP', 'Dynamic host configuration'), (68, 'DHCP client', 'UDP', 'Dynamic host configuration'),
+  (389, 'LDAP', 'TCP', 'Directory service'), (1433, 'Microsoft SQL Server', 'TCP', 'Database service'), (8443, 'HTTPS alternate', 'TCP', 'Common alternate secure web port'), (27017, 'MongoDB', 'TCP', 'Database service')) v(n, service, transport, description))
+SELECT event_id, port, coalesce(service, 'unknown') AS service, transport, description
+FROM (SELECT event_id, (CASE event_id % 10 WHEN 0 THEN 21 WHEN 1 THEN 67 WHEN 2 THEN 68 WHEN 3 THEN 389 WHEN 4 THEN 1433 WHEN 5 THEN 8443 WHEN 6 THEN 27017 WHEN 7 THEN 20 WHEN 8 THEN 8081 ELSE 60000 + event_id % 5000 END)::INTEGER AS port FROM events) LEFT JOIN p ON port = n""")
 def port_reference(d, read):
-    return net.with_service(d.withColumn("port", (F.col("user_id") % 100).cast("int")), "port").select("event_id", "service")
+    ports = [21, 67, 68, 389, 1433, 8443, 27017, 20, 8081]
+    port = F.coalesce(F.get(F.array(*map(F.lit, ports)), (F.col("event_id") % 10).cast("int")), 60000 + F.col("event_id") % 5000).cast("int")
+    return net.with_service(d.withColumn("port", port), "port").select("event_id", "port", "service", "transport", "description")
 
 
 @query("part", "SELECT p_partkey, printf('#%02X%02X%02X', p_partkey * 7 % 256, p_partkey * 13 % 256, p_partkey * 29 % 256) AS hex FROM part")
@@ -193,9 +172,9 @@ f AS (SELECT l_orderkey, dayofweek(day) IN (0, 6) AS we, month(day) = 1 AND dayo
 SELECT l_orderkey, count(*) AS days, count(*) FILTER (we) AS weekend_days, count(*) FILTER (ho AND NOT we) AS holiday_days, count(*) FILTER (NOT we AND NOT ho) AS work_days FROM f GROUP BY 1""")
 def day_tally(d, read):
     o = read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("a"))
-    span = d.select("l_orderkey", F.to_date("l_shipdate").alias("b")).join(o, "l_orderkey").groupBy("l_orderkey").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("b >= a")
-    days = d.sparkSession.createDataFrame([(f"{y}-{m}",) for y in range(1990, 2031) for m in ("01-01", "12-25")], "h string").select(F.col("h").cast("date"))
-    return rel.day_tally(span, ["l_orderkey"], "a", "b", days)
+    last = d.groupBy("l_orderkey").agg(F.max(F.to_date("l_shipdate")).alias("b"))
+    tally = rel.day_tally(F.col("a"), F.col("b"), [f"{y}-{m}" for y in range(1990, 2031) for m in ("01-01", "12-25")])
+    return last.join(o, "l_orderkey").where("b >= a").select("l_orderkey", tally.alias("t")).select("l_orderkey", "t.*")
 
 
 @query("events", """
@@ -209,9 +188,7 @@ def cron_next(d, read):
 
 @query("supplier", "SELECT s_suppkey, row_number() OVER (ORDER BY regexp_extract(s_name, '([0-9]+)$', 1)::BIGINT)::INTEGER AS rank FROM supplier")
 def natural_rank(d, read):
-    from pyspark.sql import Window
-
-    return d.select("s_suppkey", F.row_number().over(Window.orderBy(rel.natural_key(F.col("s_name")))).alias("rank"))
+    return rel.natural_rank(d, "s_name", "s_suppkey").select("s_suppkey", "rank")
 
 
 @query("lineitem", "SELECT l_orderkey, l_linenumber, l_shipdate AS a, o_orderdate AS b, epoch_ms(l_shipdate) - epoch_ms(o_orderdate) AS millis, date_diff('day', o_orderdate, l_shipdate)::INTEGER AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -222,14 +199,29 @@ def date_difference(d, read):
     return j.select("l_orderkey", "l_linenumber", "a", "b", s["millis"].alias("millis"), s["days"].alias("days"))
 
 
-@query("customer", "SELECT c_custkey, (regexp_matches(c_name, '[a-z]')::INTEGER + regexp_matches(c_name, '[A-Z]')::INTEGER + regexp_matches(c_name, '[0-9]')::INTEGER + regexp_matches(c_name, '[^A-Za-z0-9]')::INTEGER) AS kinds FROM customer")
-def password_kinds(d, read):
-    return d.select("c_custkey", text.password_classes(F.col("c_name")).alias("kinds"))
-
-
-@query("documents", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0")
+@query("customer", """
+WITH p AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_mktsegment || c_custkey WHEN 1 THEN lower(c_mktsegment) WHEN 2 THEN 'My-passw0rd-' || c_custkey WHEN 3 THEN repeat('a', (c_custkey % 23)::INTEGER) WHEN 4 THEN 'Xk9!' || c_nationkey || 'Zuq?' || c_custkey || 'é' ELSE c_nationkey || 'trewq-Zz' || c_custkey || '!' END AS t FROM customer),
+f AS (SELECT *, length(t) AS n, lower(t) AS l,
+  regexp_matches(t, '[a-zé]')::INTEGER + regexp_matches(t, '[A-Z]')::INTEGER + regexp_matches(t, '[0-9]')::INTEGER + regexp_matches(t, '[^A-Za-z0-9é]')::INTEGER + regexp_matches(t, '[^\\x00-\\x7F]')::INTEGER AS kinds,
+  list_aggregate([contains(lower(t), w) for w in ['password', 'passw0rd', 'admin', 'welcome', 'letmein', 'qwerty', 'iloveyou', 'monkey', 'dragon', '123456', '123456789', 'abc123', '111111', '000000']], 'bool_or') AS common,
+  coalesce(list_aggregate([t[i:i+3] = repeat(t[i], 4) for i in range(1, length(t) - 2)], 'bool_or'), false) OR (t <> '' AND t = repeat(t[1], length(t)::INTEGER)) AS same,
+  coalesce(list_aggregate([list_aggregate([contains(q, lower(t[i:i+3])) OR contains(reverse(q), lower(t[i:i+3])) for q in ['0123456789', 'abcdefghijklmnopqrstuvwxyz', 'qwertyuiop', 'asdfghjkl', 'zxcvbnm']], 'bool_or') for i in range(1, length(t) - 2)], 'bool_or'), false) AS follows FROM p),
+s AS (SELECT *, (n >= 8)::INTEGER + (n >= 10)::INTEGER + (n >= 14)::INTEGER + (n >= 20)::INTEGER + (kinds >= 4 AND n >= 10)::INTEGER AS b FROM f)
+SELECT c_custkey, CASE WHEN n = 0 OR common THEN 0 ELSE least(CASE WHEN same OR follows THEN 1 ELSE 4 END, greatest(0, b - (kinds = 1)::INTEGER)) END::INTEGER AS score,
+  array_to_string(list_filter([CASE WHEN n < 14 THEN 'length' END, CASE WHEN kinds < 3 THEN 'variety' END, CASE WHEN common AND n > 0 THEN 'common' END, CASE WHEN (same OR follows) AND n > 0 THEN 'repeated' END], lambda x: x IS NOT NULL), ' ') AS tips FROM s""")
+def password_strength(d, read):
+    k, seg, nation = F.col("c_custkey").cast("string"), F.col("c_mktsegment"), F.col("c_nationkey").cast("string")
+    m = F.col("c_custkey") % 6
+    t = F.when(m == 0, F.concat(seg, k)).when(m == 1, F.lower(seg)).when(m == 2, F.concat(F.lit("My-passw0rd-"), k)).when(m == 3, F.repeat(F.lit("a"), (F.col("c_custkey") % 23).cast("int"))).when(m == 4, F.concat(F.lit("Xk9!"), nation, F.lit("Zuq?"), k, F.lit("é"))).otherwise(F.concat(nation, F.lit("trewq-Zz"), k, F.lit("!")))
+    s = text.password_strength(t)
+    return d.select("c_custkey", s["score"].alias("score"), F.array_join(s["tips"], " ").alias("tips"))
+
+
+@query("documents", "SELECT a.doc_id, CASE WHEN a.text = b.text THEN 'matched' ELSE 'mismatched' END AS verdict FROM documents a JOIN documents b ON b.doc_id = a.doc_id - a.doc_id % 5")
 def expected_checksum(d, read):
-    """Documents whose expected text names their digest: every even one by construction."""
-    b = enc.as_bytes(F.col("text"))
-    want = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("sha256="), F.upper(F.sha2(b, 256)))).otherwise("sha256=" + "0" * 64)
-    return d.where(enc.matches_expected(b, want)).select("doc_id")
+    """Each document against the digest, tagged in one of several ways, of the document at the next lower multiple of five."""
+    b, k = enc.as_bytes(F.col("text")), F.col("doc_id") % 4
+    want = F.when(k == 0, F.concat(F.lit("sha256="), F.upper(F.sha2(b, 256)))).when(k == 1, F.concat(F.lit("SHA-1:"), F.sha1(b))).when(k == 2, F.concat(F.lit("0123456789abcdef "), enc.base64(F.unhex(F.md5(b))))).otherwise(F.concat_ws("; ", F.repeat(F.lit("f"), 64), F.sha2(b, 512)))
+    base = d.where("doc_id % 5 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("doc_id", F.col("doc_id") + F.col("k"))
+    base = base.select("doc_id", want.alias("want"))
+    return d.join(base, "doc_id").select("doc_id", F.when(enc.matches_expected(b, F.col("want")), "matched").otherwise("mismatched").alias("verdict"))

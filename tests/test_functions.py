@@ -47,8 +47,33 @@ def one(spark, column):
         (lambda: text.change_case(F.lit("fooBar baz"), "camel"), "fooBarBaz"),
         (lambda: F.to_json(text.rgb(F.lit("#0fA"))), '{"r":0,"g":255,"b":170}'),
         (lambda: F.to_json(text.hsl(F.lit(255), F.lit(0), F.lit(0))), '{"h":0,"s":100,"l":50}'),
-        (lambda: text.password_score(F.lit("aaaaaaaa")), 0),
-        (lambda: text.password_score(F.lit("My-passw0rd-2026")), 4),
+        (lambda: F.to_json(text.password_strength(F.lit(""))), '{"score":0,"length":0,"tips":["length","variety"]}'),
+        (lambda: F.to_json(text.password_strength(F.lit("My-passw0rd-2026"))), '{"score":0,"length":16,"tips":["common"]}'),
+        (lambda: F.to_json(text.password_strength(F.lit("aaaaaaaa"))), '{"score":0,"length":8,"tips":["length","variety","repeated"]}'),
+        (lambda: F.to_json(text.password_strength(F.lit("CorrectHorse7!x"))), '{"score":4,"length":15,"tips":[]}'),
+        (lambda: text.password_strength(F.lit("abcdef"))["score"], 0),
+        (lambda: text.password_strength(F.lit("xKlpoi9!éZz"))["score"], 3),
+        (lambda: text.password_strength(F.lit("xKlpoiu9!éZz"))["score"], 1),
+        (lambda: text.amount_of_words(F.lit("人民币 负壹拾万零贰佰零叁元伍角整")).cast("string"), "-100203.50"),
+        (lambda: text.amount_of_words(F.lit("十二万")).cast("string"), "120000.00"),
+        (lambda: text.amount_of_words(F.lit("壹兆零壹元零伍分")).cast("string"), "1000000000001.05"),
+        (lambda: text.amount_of_words(F.lit("佰元")), None),
+        (lambda: text.amount_of_words(F.lit("壹元贰元")), None),
+        (lambda: enc.from_radix(F.lit("MZXW6YTBOI"), enc.BASE32).cast("string"), "foobar"),
+        (lambda: F.hex(enc.from_radix(F.lit("118wr"), enc.BASE58)), "00006869"),
+        (lambda: enc.from_radix(F.lit("0"), enc.BASE58), None),
+        (lambda: enc.unescape_unicode(F.lit("a\\u00e9\\ud83d\\ude00\\u12")), "aé😀\\u12"),
+        (lambda: enc.escape_html(F.lit("<é&😀>"), True), "&#60;&#233;&#38;&#128512;&#62;"),
+        (lambda: enc.unescape_html(F.lit("&lt;a&gt; &amp;lt; &copy;")), "<a> &lt; ©"),
+        (lambda: enc.from_binary_text(F.lit("01101000 01101001")), "hi"),
+        (lambda: enc.totp(F.lit("not base32!"), F.lit(59)), None),
+        (lambda: enc.totp(F.lit("GEZDGNBVGY3TQOJQGEZDGNBVGY3TQOJQ"), F.lit(1111111109), 8), "07081804"),
+        (lambda: enc.jwt_parts(F.lit("e30.e30"))["alg"], None),
+        (lambda: enc.jwt_parts(F.lit("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.x"))["sub"], "1"),
+        (lambda: enc.jwt_parts(F.lit("bm8.eyJzdWIiOiIxIn0.x"))["sub"], None),
+        (lambda: time.format_tokens(F.lit("2024-03-10 02:30:00").cast("timestamp"), "YYYY/MM/DDD"), "2024/03/DDD"),
+        (lambda: time.relative_instant(F.lit("tomorrow +1y"), F.lit("2024-02-28 10:00:00").cast("timestamp")).cast("string"), "2025-02-28 00:00:00"),
+        (lambda: time.relative_instant(F.lit("tomorrow or so"), F.lit("2024-02-28").cast("timestamp")), None),
         (lambda: text.csv_line([F.lit("b,c"), F.lit('say "hi"')]), '"b,c","say ""hi"""'),
         (lambda: text.output_name("{name}-{tool}", {"name": F.lit("a/b"), "tool": F.lit("x..y")}), "a-b-x.y"),
         (lambda: net.ipv4_number(F.lit("10.0.0.256")), None),
@@ -59,7 +84,8 @@ def one(spark, column):
         (lambda: net.dmarc_record(F.lit("odd"), F.lit(120), F.lit("a@b.org")), "v=DMARC1; p=quarantine; pct=100; rua=mailto:a@b.org"),
         (lambda: net.spf_record(True, False, F.array(F.lit("1.2.3.4")), F.array(F.lit("x.org"))), "v=spf1 mx ip4:1.2.3.4 include:x.org ~all"),
         (lambda: net.robots_txt(F.lit("*"), F.array(F.lit("a")), F.array(F.lit("/b")), F.lit("https://x/s")), "User-agent: *\nAllow: /a\nDisallow: /b\nSitemap: https://x/s"),
-        (lambda: net.user_agent(F.lit("Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537 Edg/120.1"))["browser"], "Edge"),
+        (lambda: F.to_json(net.user_agent(F.lit("Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537 Edg/120.1"))), '{"browser":"Microsoft Edge 120.1","system":"Windows 10/11","device":"Desktop"}'),
+        (lambda: F.to_json(net.user_agent(F.lit("OPR/9 edge"))), '{"browser":"Opera 9","system":"Unknown","device":"Unknown"}'),
         (lambda: rel.range_text(F.array(*map(F.lit, [5, 1, 2, 3, 5]))), "1-3,5"),
     ],
 )
@@ -85,18 +111,51 @@ def test_workdays(spark):
     assert str(one(spark, rel.nth_workday(friday, -5, []))) == "2024-02-23"
 
 
-def test_cells_plan_and_first(spark):
-    runs = spark.createDataFrame([(1, 0.0, 5.0, "ab"), (1, 15.0, 5.0, "cd"), (1, 21.0, 4.0, "ef")], "row int, x double, w double, text string")
-    assert [(r.cell, r.text) for r in rel.table_cells(runs, ["row"]).orderBy("cell").collect()] == [(0, "ab"), (1, "cd ef")]
-    plan = spark.createDataFrame([(1, "f", 2), (2, "g", 1)], "pos int, file_id string, page int")
-    pages = spark.createDataFrame([("f", 2, 90)], "file_id string, page int, rotation int")
-    assert [(r.pos, r.rotation, r.found) for r in rel.plan_pages(plan, pages).orderBy("pos").collect()] == [(1, 90, True), (2, None, False)]
+def test_keep_first_and_ties(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), (None, 2)], "k string, v int")
     assert sorted((r.k or "", r.v) for r in rel.keep_first(df, [F.col("k")], [F.col("v")]).collect()) == [("", 2), ("a", 1)]
+    sizes = spark.createDataFrame([("f", 12, 5, 2), ("f", 10, 5, 1), ("f", 8, 4, 0)], "f string, s int, n int, pos int")
+    assert rel.weighted_mode(sizes, ["f"], F.col("s"), F.col("n"), F.col("pos")).first()["mode"] == 10
+    assert rel.weighted_mode(sizes.where("pos > 0"), ["f"], F.col("s"), F.col("n"), -F.col("pos")).first()["mode"] == 12
+
+
+def test_natural_rank(spark):
+    names = [f"f{k}" for k in (10, 9, 2, 100, 1)] + ["a", "f02", None]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, name string")
+    for parts in (1, 3, 200):
+        got = [r.name for r in rel.natural_rank(df, "name", "k", parts).orderBy("rank").collect()]
+        assert got == [None, "a", "f1", "f2", "f02", "f9", "f10", "f100"]
+
+
+def test_day_tally(spark):
+    row = spark.range(1).select(rel.day_tally(F.lit("2024-02-28").cast("date"), F.lit("2024-03-10").cast("date"), ["2024-03-01", "2024-03-02"]).alias("t"), rel.day_tally(F.lit("2024-02-28").cast("date"), F.lit("2024-02-27").cast("date"), []).alias("e")).first()
+    assert tuple(row.t) == (12, 4, 1, 7) and tuple(row.e) == (0, 0, 0, 0)
+    assert str(one(spark, rel.rolled(F.lit("2024-03-01").cast("date"), ["2024-03-01", "2024-03-04"]))) == "2024-03-05"
+
+
+@pytest.mark.parametrize(
+    "expression, runs",
+    [
+        ("0 0 29 2 *", ["2024-02-29 00:00:00", "2028-02-29 00:00:00"]),
+        ("0 9 15W * *", ["2023-02-15 09:00:00", "2023-03-15 09:00:00", "2023-04-14 09:00:00"]),
+        ("0 9 1W 4,7 *", ["2023-04-03 09:00:00", "2023-07-03 09:00:00"]),
+        ("0 0 L feb *", ["2023-02-28 00:00:00", "2024-02-29 00:00:00"]),
+        ("0 0 * * L", ["2023-02-25 00:00:00", "2023-03-25 00:00:00"]),
+        ("5 4 * * mon-tue 7,8", ["2023-02-14 04:05:07", "2023-02-14 04:05:08", "2023-02-20 04:05:07"]),
+        ("@hourly", ["2023-02-13 11:00:00", "2023-02-13 12:00:00"]),
+        ("20 10 13 * 0", ["2023-02-19 10:20:00", "2023-02-26 10:20:00"]),
+    ],
+)
+def test_cron(spark, expression, runs):
+    df = spark.createDataFrame([(1, "2023-02-13 10:20:30"), (2, None)], "k int, t string").withColumn("t", F.col("t").cast("timestamp"))
+    got = rel.cron_next(df, ["k"], "t", expression, len(runs)).orderBy("n").select(F.col("run").cast("string").alias("run")).collect()
+    assert [r.run for r in got] == runs
 
 
 def test_cron_fields():
     assert rel.cron_values("*/20", 0, 59) == [0, 20, 40]
     assert rel.cron_values("1-3,7", 0, 7) == [1, 2, 3, 7]
-    with pytest.raises(ValueError):
-        rel.cron_values("61", 0, 59)
+    assert rel.cron_values("jan-Mar", 1, 12, rel.MONTHS) == [1, 2, 3]
+    for bad in ("61", "*/0"):
+        with pytest.raises(ValueError):
+            rel.cron_values(bad, 0, 59)

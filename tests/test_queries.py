@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans.queries import QUERIES, SQL
+from quarry.plans import page_queries, queries, tool_queries  # noqa: F401  they register
+from quarry.plans.registry import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
 
