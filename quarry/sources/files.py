@@ -15,7 +15,7 @@ MOST_FILES, MOST_BYTES, MOST_TOTAL = 2000, 100 << 20, 2 << 30
 def scan_files(spark: SparkSession, folder: str, extensions: list[str] | None = None, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES, most_total: int = MOST_TOTAL, excluded: str | None = None) -> DataFrame:
     """path, relative_path, name, extension, size, status of the files under a folder, in order of path; status is ok, too-large or over-limit.
 
-    Limits are parts of the scan: a file is over the limit if so many files, or so many bytes, that are ok come before it.
+    Limits are parts of the scan: a file is over the limit if so many files, or so many bytes with its own, that aren't too large come before it.
     Hidden files and folders are left out by Spark; those under `excluded` and other extensions by a filter. Contents
     aren't read.
     """
