@@ -43,7 +43,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(TIDY)
+    before = spark.conf.get(TIDY, "false")
     spark.conf.set(TIDY, "true")
     try:
         df.write.parquet(path)

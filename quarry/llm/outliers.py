@@ -29,7 +29,7 @@ SYMBOLS = "#*$%&|<>"
 FLOORS = (0.15, 0.5, 0.35, 0.12)
 #: Medians and 1 - 1e-6 quantiles of the chi-square distribution with 4 degrees of freedom.
 MEDIAN_4, CUT_4 = 3.3567, 33.377
-ELEMENTAL, SUBSET, BEST, TOLERANCE, ACCURACY = 4, 6, 2, 1e-4, 2000
+ELEMENTAL, SUBSET, BEST, TOLERANCE, ACCURACY, MOST_SENT = 4, 6, 2, 1e-4, 2000, 20_000
 
 
 def base_stats(docs: DataFrame) -> DataFrame:
@@ -120,12 +120,12 @@ def started(rows: DataFrame, key: str, starts: list[str] | None = None) -> DataF
         mean = [sum((x[f"x{i}"] for x in d[1:]), d[0][f"x{i}"]) / SUBSET for i in range(4)]
         out.append(first.select(key, F.lit(f"drawn {k}").alias("s"), *[m.alias(f"m{i}") for i, m in enumerate(mean)], *covariance(lambda i, j: sum((x[f"x{i}"] * x[f"x{j}"] for x in d[1:]), d[0][f"x{i}"] * d[0][f"x{j}"]) / SUBSET - mean[i] * mean[j])))
     # standard units about the median: directions, and the nearest half
-    units = rows.join(first.select(key, *[m.alias(f"_m{i}") for i, m in enumerate(median)], *[v.alias(f"_s{i}") for i, v in enumerate(scale)]), key)
+    units = rows.join(sent(first).select(key, *[m.alias(f"_m{i}") for i, m in enumerate(median)], *[v.alias(f"_s{i}") for i, v in enumerate(scale)]), key)
     units = units.withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"_m{i}")) / F.col(f"_s{i}") for i in range(4)}).withColumn("_r", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, 4)), F.col("z0") * F.col("z0")))
     signs = [F.avg(F.when(F.col("_r") > 0, F.col(f"z{i}") * F.col(f"z{j}") / F.col("_r")).otherwise(0.0) * F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)]
     way = durable(units.groupBy(key).agg(*[F.first(f"_m{i}").alias(f"m{i}") for i in range(4)], *signs, F.percentile_approx("_r", 0.5, ACCURACY).alias("_half")))
     out.append(way.select(key, F.lit("signs").alias("s"), *out[1].columns[2:]))
-    near = units.join(way.select(key, "_half"), key).where("_r <= _half").groupBy(key).agg(*moments())
+    near = units.join(sent(way).select(key, "_half"), key).where("_r <= _half").groupBy(key).agg(*moments())
     out.append(near.select(key, F.lit("near half").alias("s"), *out[1].columns[2:]))
     every = out[0]
     for more in out[1:]:
@@ -138,13 +138,18 @@ def started(rows: DataFrame, key: str, starts: list[str] | None = None) -> DataF
 def concentrated(rows: DataFrame, now: DataFrame, key: str, part: float) -> DataFrame:
     """now (key, s, PARAMS) after a concentration step on rows (key, x0..x3), with log_det."""
     params = F.struct(*PARAMS).alias("_m")
-    top = durable(rows.join(now.select(key, "s", params), key).groupBy(key, "s").agg(F.percentile_approx(distance(), part, ACCURACY).alias("_top")))
-    kept = rows.join(now.join(top, [key, "s"]).select(key, "s", "_top", params), key).where(distance() <= F.col("_top"))
+    top = durable(rows.join(sent(now).select(key, "s", params), key).groupBy(key, "s").agg(F.percentile_approx(distance(), part, ACCURACY).alias("_top")))
+    kept = rows.join(sent(now.join(top, [key, "s"])).select(key, "s", "_top", params), key).where(distance() <= F.col("_top"))
     out = durable(factor(kept.groupBy(key, "s").agg(*moments())).select(key, "s", *PARAMS).withColumn("log_det", F.expr(LOG_DET)))
     release(top)
     return out
 
 
+def sent(params: DataFrame) -> DataFrame:
+    """A table with a row a group and start, sent to all tasks if it has at most MOST_SENT rows (of 16 numbers); else it is joined by sorting."""
+    return F.broadcast(params) if params.count() <= MOST_SENT else params
+
+
 def least_first(now: DataFrame, key: str, most: int) -> DataFrame:
     """Of each group the `most` rows of least determinant, ties by the start's name; a group has few rows, one a start."""
     return now.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("log_det", "s"))).where(F.col("_r") <= most).drop("_r")
@@ -170,7 +175,7 @@ def estimates(rows: DataFrame, key: str, part: float, starts: list[str] | None =
         if now.isEmpty():
             break
     best = durable(least_first(ended, key, 1).select(key, "s", "log_det", F.struct(*PARAMS).alias("_m")))
-    scale = rows.join(best, key).groupBy(key).agg(F.percentile_approx(distance(), 0.5, ACCURACY).alias("_md"))
+    scale = rows.join(sent(best), key).groupBy(key).agg(F.percentile_approx(distance(), 0.5, ACCURACY).alias("_md"))
     return best.join(scale.select(key, F.greatest(F.col("_md") / MEDIAN_4, F.lit(1.0)).alias("_scale")), key)
 
 
@@ -182,10 +187,10 @@ def quality_rules(docs: DataFrame, least_words: int = 50, repeat_percent: int =
     good = stats.where(~F.col("base_failed")).select("_g", *[f"x{i}" for i in range(4)])
     large = durable(good.groupBy("_g").count().where(F.col("count") >= least).select("_g"))
     # all texts together are one more group, of the empty name
-    rows = durable(good.join(large, "_g").unionByName(good.withColumn("_g", F.lit(""))))
+    rows = durable(good.join(sent(large), "_g").unionByName(good.withColumn("_g", F.lit(""))))
     found = durable(estimates(rows, "_g", part))
     every = found.where(F.col("_g") == "").first()  # a row of 15 numbers
-    judged = stats.join(found.where(F.col("_g") != "").select("_g", "_m", "_scale"), "_g", "left")
+    judged = stats.join(sent(found).where(F.col("_g") != "").select("_g", "_m", "_scale"), "_g", "left")
     if every:
         other = F.struct(*[F.lit(every["_m"][k]).alias(k) for k in PARAMS])
         judged = judged.withColumn("_m", F.coalesce("_m", other)).withColumn("_scale", F.coalesce("_scale", F.lit(every["_scale"])))

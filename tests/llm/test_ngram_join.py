@@ -110,6 +110,39 @@ def test_enough_is_the_least_need_of_all_sizes(spark, percent):
     assert sorted(map(tuple, got)) == sorted((*k, least) for k, least in want.items() if least)
 
 
+def test_no_link_is_lost_to_sets_of_other_sizes(spark):
+    """Pairs that just link, with two more documents that share a shingle with one of them and widen the range of sizes around it."""
+    fresh, rows, pairs = iter(range(10**6)), [], []
+    words = lambda k: [f"w{next(fresh)}" for _ in range(k)]
+    for n, b, low, high in [(19, 23, 22, 24), (21, 23, 22, 24), (24, 27, 25, 28), (27, 31, 29, 32)] * 40:
+        o = -(-75 * (n + b) // 175)
+        both = words(o + 4)
+        x, y = words(n - o) + both, words(b - o) + both
+        more = [y[:5] + words(k - 1) for k in (low, high)]
+        at = len(rows)
+        rows += [(at + k, " ".join(t)) for k, t in enumerate([x, y, *more])]
+        pairs.append(at)
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == got[k + 1] == k for k in pairs)
+    assert all(got[k + 2] == k + 2 and got[k + 3] == k + 3 for k in pairs)
+
+
+def test_a_giant_class_and_many_copies(spark):
+    """A third of all rows are one text, a third near copies of another one, over several keys, blocks and turns."""
+    draw = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(500)]
+    base = [draw.choice(vocabulary) for _ in range(120)]
+    near = []
+    for k in range(400):
+        t = list(base)
+        t[draw.randrange(len(t))] = f"x{k}"
+        near.append(" ".join(t))
+    rows = near + [" ".join(base[:80])] * 400 + [" ".join(draw.choice(vocabulary) for _ in range(60)) for _ in range(300)]
+    got = J.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    label = {r.doc_id: r.component_id for r in got}
+    assert {label[k] for k in range(400)} == {0} and {label[k] for k in range(400, 800)} == {400} and all(label[k] == k for k in range(800, 1100))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     assert {(r["id"], r["class"]) for r in J.components(edges).collect()} == {(i, 0) for i in range(41)} | {(99, 99), (100, 99)}
