@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import labelled_sample, sliced
-from quarry.llm.ngram_join import mixed_bits, runs, word_hashes
+from quarry.llm.ngram_join import runs, word_hashes
 
 BITS, PER_CLASS, MAX_CHARS, PART = 18, 2500, 12_000_000, 1 << 20
 #: The sign of each byte in a shape.
@@ -45,28 +45,50 @@ def shapes(raw: bytes) -> bytes:
     return c[np.diff(c, prepend=0) != 0].tobytes()
 
 
+def coded(h: np.ndarray, kind: int) -> np.ndarray:
+    """Numbers of features by hashes; kind tells the sequences apart."""
+    return ((h.view(np.uint64) ^ np.uint64(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def features_of(texts: list[str | None], most: int = 1 << 22):
+    """Of each text the numbers of the features that it has, each once. Texts are read in groups of about `most` bytes."""
+    group, size = [], 0
+    for text in texts:
+        group.append((text or "").encode())
+        size += len(group[-1])
+        if size >= most:
+            yield from group_features(group)
+            group, size = [], 0
+    yield from group_features(group)
+
+
+def group_features(raws: list[bytes]):
+    whole = b"\n".join(raws)
+    word, start = word_hashes(whole.lower())
+    shape = word_hashes(shapes(whole))[0]
+    first = np.searchsorted(start, np.cumsum([0, *[len(r) + 1 for r in raws]])).tolist()
+    again = np.zeros(len(word), bool)
+    again[1:] = word[1:] == word[:-1]
+    again[[k for k in first if k < len(word)]] = False  # the word before is another text's
+    shape = shape * np.uint64(2) + again
+    by_words = [(n, coded(runs(word, n), n)) for n in (1, 2)] + [(n, coded(runs(shape, n), 4 + n)) for n in (1, 2, 3, 4)]
+    last = np.zeros(1 << BITS, np.int32)
+    for raw, a, b in zip(raws, first, first[1:], strict=False):
+        codes = [codes[a : max(a, b - n + 1)] for n, codes in by_words]
+        for at in range(0, len(raw) - 2, PART):
+            c = np.frombuffer(raw, np.uint8, min(PART + 2, len(raw) - at), at).astype(np.uint32)
+            codes.append((((c[:-2] << 16 | c[1:-1] << 8 | c[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int32))
+        codes.append(coded(runs(seen_before(word[a:b]).astype(np.uint64), 8), 9))
+        line = np.array([zlib.crc32(x) for x in raw.split(b"\n") if x.strip()], np.uint64)
+        codes += [coded(runs(seen_before(line).astype(np.uint64), n), 9 + n) for n in (1, 3)]
+        every = np.concatenate(codes)
+        places = np.arange(len(every), dtype=np.int32)
+        last[every] = places  # of equal numbers the last one stays
+        yield every[last[every] == places]
+
+
 def features(text: str | None) -> np.ndarray:
-    """Numbers of the features that the text has, ascending."""
-    raw = (text or "").encode()
-    has = np.zeros(1 << BITS, bool)
-
-    def mark(h: np.ndarray, kind: int) -> None:
-        has[mixed_bits(h.view(np.uint64) + np.uint64(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - BITS)] = True
-
-    for at in range(0, len(raw) - 2, PART):
-        b = np.frombuffer(raw, np.uint8, min(PART + 2, len(raw) - at), at).astype(np.uint32)
-        has[((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)] = True
-    word, shape = word_hashes(raw.lower())[0], word_hashes(shapes(raw))[0]
-    for n in (1, 2):
-        mark(runs(word, n), n)
-    again = np.diff(word, prepend=np.zeros(1, np.uint64)) == 0
-    for n in (1, 2, 3, 4):
-        mark(runs(shape * np.uint64(2) + again.astype(np.uint64), n), 4 + n)
-    mark(runs(seen_before(word).astype(np.uint64), 8), 9)
-    line = np.array([zlib.crc32(x) for x in raw.split(b"\n") if x.strip()], np.uint64)
-    for n in (1, 3):
-        mark(runs(seen_before(line).astype(np.uint64), n), 9 + n)
-    return np.flatnonzero(has)
+    return next(features_of([text]))
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -124,8 +146,9 @@ class Model:
         v = self.value[x]
         return float(self.weight[x] @ v / max(1e-12, np.sqrt((v**2).sum())) + self.bias)
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(features(text)) + self.offset, -30, 30))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        margin = np.array([self.margin(x) for x in features_of(texts)], float)
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
 def constant(share: float) -> Model:
@@ -138,7 +161,7 @@ def fit(sample: list[tuple[str, int]], share: float) -> Model:
     y = np.array([1.0 if k else -1.0 for _, k in sample])
     if len(set(y)) < 2:
         return constant(0.5 if not len(y) else float(y[0] > 0))
-    rows = [features(t) for t, _ in sample]
+    rows = list(features_of([t for t, _ in sample]))
     back = np.array([zlib.crc32(t.encode()) % 4 == 0 for t, _ in sample])
     if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
         back[:] = False
@@ -166,7 +189,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
     def run(batches):
         m = packed.value
         for batch in sliced(batches):
-            score = np.array([m.score(t) for t in batch.column(1).to_pylist()], float)
+            score = m.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
@@ -180,6 +203,6 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
     def run(batches):
         m = packed.value
         for batch in sliced(batches):
-            yield batch.filter(pa.array([m.score(t) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(m.scores(batch.column(at).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, schema)

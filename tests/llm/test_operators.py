@@ -228,9 +228,13 @@ def test_dual_descent_is_at_the_optimum():
 @pytest.mark.parametrize("size", [3, 1000])
 def test_parts_of_quality_features(monkeypatch, size):
     text = "The cat, the cat!! " * 30 + "SAT | on\nSAT | on\n" * 5 + "\u00e9t\u00e9 1234"
-    whole = quality_nbsvm.features(text).tolist()
+    whole = sorted(quality_nbsvm.features(text).tolist())
+    assert len(set(whole)) == len(whole)
     monkeypatch.setattr(quality_nbsvm, "PART", size)
-    assert quality_nbsvm.features(text).tolist() == whole
+    assert sorted(quality_nbsvm.features(text).tolist()) == whole
+    texts = ["", None, "the cat", text, "the", " ", text * 2, "cat the cat the cat"]
+    for most in (1, 500, 1 << 20):
+        assert [x.tolist() for x in quality_nbsvm.features_of(texts, most)] == [quality_nbsvm.features(t).tolist() for t in texts]
     words = text.encode().lower().split()
     assert quality_nbsvm.shapes(b"Aaa BB12,, cc\n") == b"Aa A0, a\n"
     assert quality_nbsvm.seen_before(quality_nbsvm.word_hashes(text.lower().encode())[0]).tolist() == [w in words[:i] for i, w in enumerate(words)]
