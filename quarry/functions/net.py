@@ -83,11 +83,12 @@ def ipv6_compress(text: Column) -> Column:
 
 
 def url_parts(url: Column) -> Column:
-    """scheme, host, path, query and number of query pairs of an http or https URL; null for anything else."""
+    """scheme, host, path, query, number of query pairs, fragment and port (null if it isn't named) of an http or https URL; null for anything else."""
     query = F.try_parse_url(url, F.lit("QUERY"))
     parts = F.struct(
         F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).alias("scheme"), F.lower(F.try_parse_url(url, F.lit("HOST"))).alias("host"), F.try_parse_url(url, F.lit("PATH")).alias("path"), query.alias("query"),
         F.when(query.isNull() | (query == ""), 0).otherwise(F.size(F.split(query, "&"))).alias("pairs"), F.try_parse_url(url, F.lit("REF")).alias("fragment"),
+        F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), r":(\d+)$", 1).try_cast("int").alias("port"),
     )
     return F.when(url.rlike("(?i)^https?://"), parts)
 
@@ -99,12 +100,20 @@ def with_service(df: DataFrame, port: str) -> DataFrame:
     return out.fillna("unknown", ["service"])
 
 
+def is_domain(text: Column) -> Column:
+    """Two labels or more of letters, digits and inner hyphens, the last of letters alone, in 253 characters."""
+    return (F.length(text) <= 253) & text.rlike(r"^([A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}$")
+
+
 def spf_record(mx: bool, a: bool, ip4: Column, include: Column, rest: str = "~all") -> Column:
-    """v=spf1 with the terms asked for; ip4 and include are arrays."""
-    terms = [F.lit("v=spf1"), *[F.lit(k) for k, on in (("mx", mx), ("a", a)) if on]]
-    named = lambda k: lambda x: F.concat(F.lit(k + ":"), F.trim(x))
-    listed = [F.array_join(F.transform(F.coalesce(c, F.array().cast("array<string>")), named(k)), " ") for k, c in (("ip4", ip4), ("include", include))]
-    return F.concat_ws(" ", *terms, *[F.nullif(x, F.lit("")) for x in listed], F.lit(rest))
+    """v=spf1 with the terms asked for; ip4 (with a prefix of 0 to 32, if any) and include are arrays; null if one is wrong or over ten lookups are needed."""
+    none = F.array().cast("array<string>")
+    hosts = F.transform(F.coalesce(include, none), lambda d: F.regexp_replace(F.trim(d), "(?i)^include:", ""))
+    nets = F.transform(F.coalesce(ip4, none), lambda x: F.trim(x))
+    good = F.forall(hosts, is_domain) & F.forall(nets, lambda x: ipv4_number(F.substring_index(x, "/", 1)).isNotNull() & x.rlike(r"^[0-9.]+(/([0-9]|[12][0-9]|3[0-2]))?$")) & (F.size(hosts) + int(mx) + int(a) <= 10)
+    named = lambda c, k: F.transform(c, lambda x: F.concat(F.lit(k + ":"), x))
+    terms = F.concat(F.array(*map(F.lit, ["v=spf1", *(["mx"] if mx else []), *(["a"] if a else [])])), named(nets, "ip4"), named(hosts, "include"), F.array(F.lit(rest)))
+    return F.when(good, F.array_join(terms, " "))
 
 
 def dmarc_record(policy: Column, percent: Column, mail: Column) -> Column:
@@ -139,3 +148,18 @@ def user_agent(text: Column) -> Column:
     )
     device = F.when(low.contains("ipad"), "Tablet").when(low.rlike("mobile|iphone|android"), "Mobile").when(low.rlike("windows|macintosh|x11|linux"), "Desktop").otherwise("Unknown")
     return F.when(text.isNotNull(), F.struct(name.alias("browser"), system.alias("system"), device.alias("device")))
+
+
+def query_pairs(query: Column) -> Column:
+    """name and value of each pair of a query string, decoded as of a form; a part without = has an empty value."""
+    parts = F.filter(F.split(query, "&"), lambda p: p != "")
+    decode = lambda t: F.coalesce(F.try_url_decode(t), t)
+    return F.transform(parts, lambda p: F.struct(decode(F.substring_index(p, "=", 1)).alias("name"), decode(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("value")))
+
+
+def with_query(base: Column, pairs: Column) -> Column:
+    """A URL with pairs (name, value) as its query, before its fragment, after what query it has."""
+    code = lambda t: F.replace(F.url_encode(t), F.lit("+"), F.lit("%20"))
+    said = F.array_join(F.transform(pairs, lambda p: F.concat(code(p["name"]), F.lit("="), code(p["value"]))), "&")
+    head, fragment = F.substring_index(base, "#", 1), F.regexp_extract(base, "(?s)(#.*)$", 1)
+    return F.when(said == "", base).otherwise(F.concat(head, F.when(head.contains("?"), "&").otherwise("?"), said, fragment))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Capital numerals and units of amounts.
 NUMERALS, UNITS, GROUPS = "零壹贰叁肆伍陆柒捌玖", ["", "拾", "佰", "仟"], ["", "万", "亿", "兆"]
@@ -159,13 +163,73 @@ def unique_names(df: DataFrame, keys: list[str], name: str, order: list[Column])
     return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)))
 
 
-def output_name(pattern: str, fields: dict[str, Column]) -> Column:
-    """A file name from a pattern with {field}s: forbidden characters become -, runs of - _ . collapse, 120 characters at most."""
-    out = F.lit(pattern)
-    for k, v in fields.items():
-        out = F.replace(out, F.lit("{" + k + "}"), F.coalesce(v.cast("string"), F.lit("")))
-    out = F.regexp_replace(F.trim(out), r'[\\/:*?"<>|\x00-\x1f]', "-")
-    return F.substring(F.regexp_replace(out, r"([-_.])[-_.]+", "$1"), 1, 120)
+def safe_file_name(name: Column) -> Column:
+    """Forbidden and control characters as _, white space as single spaces, 120 characters at most, `document` if nothing is left."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(name, r'[\\/:*?"<>|\x00-\x1f\x7f-\u009f]', "_"), r"\s+", " "))
+    short = F.substring(clean, 1, 120)
+    return F.when(short == "", "document").otherwise(short)
+
+
+def output_name(pattern: str | None, name: Column, tool: str, extension: str, index: Column | None = None, total: Column | None = None, pages: Column | None = None, at: Column | None = None) -> Column:
+    """A file name from a pattern of {name} {tool} {index} {i} (two digits) {total} {range} {date} {time}, `{name}-{tool}` if there is none.
+
+    Runs of two or more of - _ . become one -, and these go from both ends; what is empty then is the name itself.
+    """
+    one, moment = F.lit(1), F.current_timestamp() if at is None else at
+    number = one if index is None else F.coalesce(index, one)
+    values = {
+        "name": name, "tool": F.lit(tool), "index": number.cast("string"), "i": F.when(number < 10, F.concat(F.lit("0"), number.cast("string"))).otherwise(number.cast("string")),
+        "total": (one if total is None else F.coalesce(total, one)).cast("string"), "range": F.lit("") if pages is None else F.coalesce(pages, F.lit("")), "date": F.date_format(moment, "yyyyMMdd"), "time": F.date_format(moment, "HHmmss"),
+    }
+    out = F.lit((pattern or "").strip() or "{name}-{tool}")
+    for k, v in values.items():
+        out = F.replace(out, F.lit("{" + k + "}"), v)
+    out = F.regexp_replace(F.regexp_replace(out, "[-_.]{2,}", "-"), "^[-_.]+|[-_.]+$", "")
+    return F.concat(safe_file_name(F.when(out == "", name).otherwise(out)), F.lit("." + extension))
+
+
+#: Sizes of identity photos (id, width and height in mm, width and height in pixels, dots an inch if not 300).
+PHOTO_SIZES = [
+    ("one-inch", 25, 35, 295, 413, None), ("small-one-inch", 22, 32, 260, 378, None), ("large-one-inch", 33, 48, 390, 567, None), ("small-two-inch", 33, 48, 390, 567, None), ("china-entry-exit", 33, 48, 390, 567, None),
+    ("china-visa", 33, 48, 390, 567, None), ("china-id-card", 26, 32, 358, 441, 350), ("china-driving-license", 22, 32, 260, 378, None), ("two-inch", 35, 49, 413, 579, None), ("large-two-inch", 35, 53, 413, 626, None),
+    ("china-law-qualification", 35, 53, 413, 626, None), ("three-by-four", 30, 40, 354, 472, None), ("uk-passport", 35, 45, 413, 531, None), ("schengen-visa", 35, 45, 413, 531, None), ("japan-visa", 35, 45, 413, 531, None),
+    ("india-passport", 35, 45, 413, 531, None), ("australia-passport", 35, 45, 413, 531, None), ("canada-passport", 50, 70, 591, 827, None), ("bangladesh-passport", 45, 55, 531, 650, None), ("bangladesh-visa", 38, 48, 449, 567, None), ("us-visa", 51, 51, 600, 600, None),
+]
+
+
+def with_photo_size(df: DataFrame, kind: str) -> DataFrame:
+    """df with width_mm, height_mm, width_px, height_px and dpi of a kind of identity photo; null where it isn't listed."""
+    known = df.sparkSession.createDataFrame([(*r[:5], r[5] or 300) for r in PHOTO_SIZES], "_kind string, width_mm int, height_mm int, width_px int, height_px int, dpi int")
+    return df.join(F.broadcast(known), F.col(kind) == F.col("_kind"), "left").drop("_kind")  # the fixed list
+
+
+def json_text(text: Column, indent: int | None = None) -> Column:
+    """JSON text minified, or with so many spaces a level (1 to 8); keys stay in order; null if it is no JSON."""
+
+    @F.pandas_udf(StringType())
+    def convert(values: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                pairs = json.loads(t)
+            except (TypeError, ValueError):
+                return None
+            return json.dumps(pairs, ensure_ascii=False, indent=None if indent is None else max(1, min(8, indent)), separators=(",", ":") if indent is None else (",", ": "))
+
+        return values.map(one)
+
+    return convert(text)
+
+
+def uuid_text(version: str = "v4", style: str = "plain", at_millis: Column | None = None) -> Column:
+    """A v4 (random), v7 (of a time in milliseconds, then random) or nil identifier; plain, upper, braces, urn or bare (without hyphens)."""
+    if version == "nil":
+        out = F.lit("-".join("0" * n for n in (8, 4, 4, 4, 12)))
+    elif version == "v7":
+        ms = F.lpad(F.lower(F.hex(F.unix_millis(F.current_timestamp()) if at_millis is None else at_millis)), 12, "0")
+        out = F.concat(F.substring(ms, 1, 8), F.lit("-"), F.substring(ms, 9, 4), F.lit("-7"), F.substring(F.uuid(), 16, 21))
+    else:
+        out = F.uuid()
+    return {"upper": F.upper(out), "braces": F.concat(F.lit("{"), out, F.lit("}")), "urn": F.concat(F.lit("urn:uuid:"), out), "bare": F.replace(out, F.lit("-"))}.get(style, out)
 
 
 def csv_line(cells: list[Column]) -> Column:

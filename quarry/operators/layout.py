@@ -57,6 +57,12 @@ def csv_rows(cell_rows: DataFrame) -> DataFrame:
     return rows.select("file_id", (F.row_number().over(Window.partitionBy("file_id").orderBy("page", "_i")) - 1).alias("seq"), "line")
 
 
+def csv_document(rows: DataFrame) -> DataFrame:
+    """file_id, text of csv_rows(): a byte order mark, then each line with CR and LF."""
+    one = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("_l"))
+    return one.select("file_id", F.concat(F.lit("\ufeff"), F.array_join(F.col("_l.line"), "\r\n"), F.lit("\r\n")).alias("text"))
+
+
 def csv_cells(values: Column) -> Column:
     """An array of cells as a CSV line."""
     return F.array_join(F.transform(values, lambda c: csv_line([c])), ",")

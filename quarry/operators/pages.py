@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.relational import selected_pages
+from quarry.operators.relational import keep_first, natural_key, selected_pages
 
 #: Sheet sizes in points (width, height).
 PRESETS = {"a4": (595.28, 841.89), "a5": (419.53, 595.28), "letter": (612.0, 792.0)}
@@ -180,3 +180,18 @@ def without_blank(ratios: DataFrame, tolerance: float = 2.0) -> DataFrame:
     rows = ratios.join(files, "file_id").withColumn("is_blank", F.coalesce(blank, F.lit(False)) & ~F.col("_whole")).drop("_whole")
     number = F.row_number().over(Window.partitionBy("file_id", "is_blank").orderBy("page"))
     return rows.withColumn("new_page", F.when(~F.col("is_blank"), number))
+
+
+def merge_plan(files: DataFrame, sheet: tuple[float, float] = PRESETS["a4"], per_sheet: int = 2, gap: float = 8, margin: float = 12) -> tuple[DataFrame, DataFrame]:
+    """Where the bills of each job (job, file_id, name, size, width, height) go when they are printed together, and how many repeats of a job were left out.
+
+    Files are repeats if their lower-cased names and sizes are equal; the first in natural order stays.
+    """
+    key = natural_key(F.col("name"))
+    keyed = files.withColumn("_same", F.concat(F.lower("name"), F.lit(":"), F.col("size").cast("string"))).withColumn("_k", key).withColumn("_n", F.octet_length("name"))
+    first = keep_first(keyed, [F.col("job"), F.col("_same")], [F.col("_k"), F.col("_n"), F.col("file_id")])
+    order = Window.partitionBy("job").orderBy("_k", "_n", "file_id")
+    placed_at = first.withColumn("_p", F.row_number().over(order) - 1)
+    spot = on_sheets(F.col("_p"), F.col("width"), F.col("height"), per_sheet, sheet, gap, margin, most=1.0)
+    dropped = keyed.groupBy("job").agg((F.count(F.lit(1)) - F.count_distinct("_same")).alias("repeats"))
+    return placed_at.select("job", "file_id", spot.alias("_s")).select("job", "file_id", "_s.*"), dropped

@@ -209,3 +209,25 @@ def recognized_tables(d, read):
 def csv_lines(d, read):
     odd = F.when(F.col("c_custkey") % 2 == 0, 'a "b"')
     return d.select("c_custkey", csv_line([F.concat_ws("; ", "c_name", "c_mktsegment"), F.col("c_nationkey"), odd]).alias("line"))
+
+
+@query("customer", f"WITH {PAGES_SQL} SELECT file_id, page, ((rotation + CASE WHEN page % 2 = 1 THEN 270 ELSE 0 END) % 360)::INTEGER AS rotation FROM p")
+def rotate_pages(d, read):
+    p = page_table(d)
+    named = F.array_contains(rel.selected_pages(F.lit("odd"), F.col("total")), F.col("page"))
+    return p.select("file_id", "page", pages.turned(F.col("rotation"), F.when(named, 270).otherwise(0)).alias("rotation"))
+
+
+@query("documents", f"""WITH {RUNS_SQL}, c AS (SELECT file_id, page, line, string_agg(CASE WHEN regexp_matches(text, '[",;]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END, ',' ORDER BY x, idx) AS t FROM runs WHERE page = 1 GROUP BY ALL)
+SELECT file_id, chr(65279) || string_agg(t, chr(13) || chr(10) ORDER BY line) || chr(13) || chr(10) AS text FROM c GROUP BY 1""")
+def csv_documents(d, read):
+    return layout.csv_document(layout.csv_rows(layout.cells(layout.clustered(run_table(d).where("page = 1")), -100.0)))
+
+
+@query("part", """
+WITH f AS (SELECT p_size AS job, p_partkey AS file_id, p_brand || '.pdf' AS name, p_partkey % 3 AS size FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY job, lower(name), size ORDER BY file_id) AS r, regexp_extract(name, '([0-9]+)', 1)::INTEGER AS n FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY n, file_id) - 1 AS p FROM k WHERE r = 1)
+SELECT job, file_id, (p // 2)::INTEGER AS sheet, (p % 2)::INTEGER AS slot FROM o""")
+def bill_merge_plan(d, read):
+    files = d.select(F.col("p_size").alias("job"), F.col("p_partkey").alias("file_id"), F.concat("p_brand", F.lit(".pdf")).alias("name"), (F.col("p_partkey") % 3).alias("size"), F.lit(300.0).alias("width"), F.lit(500.0).alias("height"))
+    return pages.merge_plan(files)[0].select("job", "file_id", "sheet", "slot")

@@ -160,9 +160,57 @@ def unique_file_names(d, read):
     return text.unique_names(files, ["p_size"], "f", [F.col("p_partkey")]).select("p_partkey", F.col("unique_name").alias("name"))
 
 
-@query("part", "SELECT p_partkey, replace(p_brand, '#', '#') || '-split-' || p_partkey || '-1-3' AS name FROM part")
+@query("part", "SELECT p_partkey, p_brand || '-split-' || lpad(p_size::VARCHAR, greatest(2, length(p_size::VARCHAR))::INTEGER, '0') || '_' || p_partkey || ' 20240102.pdf' AS name, p_brand || '-t.txt' AS plain FROM part")
 def output_names(d, read):
-    return d.select("p_partkey", text.output_name("{name}--{tool}-{index}:{range}", {"name": F.col("p_brand"), "tool": F.lit("split"), "index": F.col("p_partkey"), "range": F.lit("1-3")}).alias("name"))
+    at = F.lit("2024-01-02").cast("timestamp")
+    name = text.output_name("-{name}._{tool}--{i}_{total}  {date}_", F.col("p_brand"), "split", "pdf", F.col("p_size"), F.col("p_partkey"), at=at)
+    return d.select("p_partkey", name.alias("name"), text.output_name(None, F.col("p_brand"), "t", "txt").alias("plain"))
+
+
+@query("customer", "SELECT c_custkey, k AS kind, w AS width_mm, p AS width_px, i AS dpi FROM customer LEFT JOIN (VALUES (0, 'one-inch', 25, 295, 300), (1, 'us-visa', 51, 600, 300), (2, 'china-id-card', 26, 358, 350), (3, 'canada-passport', 50, 591, 300)) v(m, k, w, p, i) ON m = c_custkey % 5")
+def photo_sizes(d, read):
+    kinds = F.array(*map(F.lit, ["one-inch", "us-visa", "china-id-card", "canada-passport", "no-such"]))
+    sized = text.with_photo_size(d.withColumn("kind", F.element_at(kinds, (F.col("c_custkey") % 5 + 1).cast("int"))), "kind")
+    return sized.select("c_custkey", F.when(F.col("dpi").isNotNull(), F.col("kind")).alias("kind"), "width_mm", "width_px", "dpi")
+
+
+@query("events", "SELECT event_id, replace(props, ': ', ':') AS small, '{' || chr(10) || '   ' || props[2:-2] || chr(10) || '}' AS wide FROM events")
+def json_format(d, read):
+    return d.select("event_id", text.json_text(F.col("props")).alias("small"), text.json_text(F.col("props"), 3).alias("wide"))
+
+
+@query("events", "SELECT event_id, true AS v4, lpad(printf('%x', 1700000000000 + event_id), 12, '0')[1:8] || '-' || lpad(printf('%x', 1700000000000 + event_id), 12, '0')[9:12] || '-7' AS v7, '00000000000000000000000000000000' AS nil FROM events")
+def identifiers(d, read):
+    v7 = text.uuid_text("v7", at_millis=F.lit(1_700_000_000_000) + F.col("event_id"))
+    return d.select("event_id", text.uuid_text("v4", "upper").rlike("^[0-9A-F]{8}-[0-9A-F]{4}-4[0-9A-F]{3}-[89AB][0-9A-F]{3}-[0-9A-F]{12}$").alias("v4"), F.substring(v7, 1, 15).alias("v7"), text.uuid_text("nil", "bare").alias("nil"))
+
+
+@query("pages", r"""
+WITH q AS (SELECT page_id, url, unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS p FROM pages WHERE url LIKE '%?%')
+SELECT page_id, regexp_extract(p, '^([^=]*)', 1) AS name, regexp_extract(p, '=(.*)$', 1) AS value, url || '&k%20=' || page_id AS longer FROM q WHERE p <> ''""")
+def url_pairs(d, read):
+    longer = net.with_query(F.col("url"), F.array(F.struct(F.lit("k ").alias("name"), F.col("page_id").cast("string").alias("value"))))
+    pairs = d.select("page_id", longer.alias("longer"), F.explode(net.query_pairs(net.url_parts(F.col("url"))["query"])).alias("p"))
+    return pairs.select("page_id", "p.name", "p.value", "longer")
+
+
+@query("benchmark", f"SELECT item_id, sha256(unhex('{bytes(b ^ 0x5C for b in b'key'.ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in b'key'.ljust(64, bytes(1))).hex()}') || encode(text)))) AS mac, md5(unhex('{bytes(b ^ 0x5C for b in b'key'.ljust(64, bytes(1))).hex()}') || unhex(md5(unhex('{bytes(b ^ 0x36 for b in b'key'.ljust(64, bytes(1))).hex()}') || encode(text)))) AS mac_md5 FROM benchmark")
+def hmac_with_key(d, read):
+    t = enc.as_bytes(F.col("text"))
+    return d.select("item_id", enc.hmac(t, "key").alias("mac"), enc.hmac(t, "key", "md5").alias("mac_md5"))
+
+
+@query("orders", "SELECT o_orderkey, date_diff('month', a, b) - CASE WHEN a + to_months(date_diff('month', a, b)::INTEGER) > b THEN 1 ELSE 0 END AS months FROM (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey * 37 % 900)::INTEGER AS b FROM orders)")
+def date_breakdown(d, read):
+    a = utc("o_orderdate")
+    b = F.expr("cast(date_add(to_date(o_orderdate), cast(o_orderkey * 37 % 900 as int)) as timestamp)")
+    return d.select("o_orderkey", time.date_difference(b, a)["months_part"].cast("long").alias("months"))
+
+
+@query("orders", "SELECT o_orderkey, timezone('UTC', timezone('Europe/Berlin', o_orderdate + interval 12 hour)) AS berlin, timezone('UTC', timezone('America/New_York', o_orderdate + interval 12 hour)) AS new_york FROM orders")
+def local_instants(d, read):
+    noon = F.timestamp_seconds(F.unix_seconds(utc("o_orderdate")) + 43_200)
+    return d.select("o_orderkey", *[time.local_to_instant(noon, z).cast("timestamp_ntz").alias(k) for k, z in (("berlin", "Europe/Berlin"), ("new_york", "America/New_York"))])
 
 
 @query("events", """
