@@ -60,20 +60,43 @@ def add_months_at(ts: Column, months: Column) -> Column:
 
 
 def duration_hms(millis: Column) -> Column:
-    """HH:MM:SS of a duration; hours may exceed 24, seconds are rounded half up, a sign stands first."""
-    s = F.round(F.abs(millis) / 1000).cast("long")
+    """HH:MM:SS of a duration; hours may exceed 24, parts of a second are cut off, a minus sign stands before a negative one."""
+    s = F.floor(F.abs(millis) / 1000)
     h = F.floor(s / 3600)
-    return F.concat(F.when((millis < 0) & (s > 0), "-").otherwise(""), F.when(h < 10, F.concat(F.lit("0"), h.cast("string"))).otherwise(h.cast("string")), F.lit(":"), F.lpad((F.floor(s / 60) % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    return F.concat(F.when(millis < 0, "\u2212").otherwise(""), F.when(h < 10, F.concat(F.lit("0"), h.cast("string"))).otherwise(h.cast("string")), F.lit(":"), F.lpad((F.floor(s / 60) % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
 def duration_iso(millis: Column) -> Column:
-    """ISO 8601 duration in days, hours, minutes and seconds."""
-    s = F.floor(F.abs(millis) / 1000)
-    parts = [(F.floor(s / 86400), "D"), (F.floor(s / 3600) % 24, "H"), (F.floor(s / 60) % 60, "M"), (s % 60, "S")]
-    said = [F.when(n > 0, F.concat(n.cast("string"), F.lit(u))).otherwise("") for n, u in parts]
-    clock = F.concat(*said[1:])
-    out = F.concat(said[0], F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(""))
-    return F.concat(F.when((millis < 0) & (out != ""), "-").otherwise(""), F.lit("P"), F.when(out == "", "T0S").otherwise(out))
+    """ISO 8601 duration in days, hours, minutes and seconds; without days the seconds are always named, parts of them only if there are any."""
+    a = F.abs(millis)
+    s, part = F.floor(a / 1000), a % 1000
+    said = lambda n, u: F.when(n > 0, F.concat(n.cast("string"), F.lit(u))).otherwise("")
+    fraction = F.when(part > 0, F.concat(F.lit("."), F.regexp_replace(F.lpad(part.cast("string"), 3, "0"), "0+$", ""))).otherwise("")
+    days = F.floor(s / 86400)
+    second = F.when((s % 60 > 0) | (part > 0) | (days == 0), F.concat((s % 60).cast("string"), fraction, F.lit("S"))).otherwise("")
+    clock = F.concat(said(F.floor(s / 3600) % 24, "H"), said(F.floor(s / 60) % 60, "M"), second)
+    return F.when(a == 0, "PT0S").otherwise(F.concat(F.when(millis < 0, "-").otherwise(""), F.lit("P"), said(days, "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise("")))
+
+
+def calendar_span(a: Column, b: Column) -> Column:
+    """sign (1 if b is later), years, months, weeks, days, hours, minutes, seconds and millis from the earlier to the later instant: whole years first, then months, then what is left."""
+    low, high = F.least(a, b), F.greatest(a, b)
+    guess = F.floor(F.months_between(high, low)).cast("int")
+    whole = F.when(add_months_at(low, guess) > high, guess - 1).otherwise(guess)
+    years = F.floor(whole / 12).cast("int")
+    from_year = add_months_at(low, years * 12)  # a year that ends on a shorter month moves the day, as a step by step sum does
+    more = F.floor(F.months_between(high, from_year)).cast("int")
+    months = F.when(add_months_at(from_year, more) > high, more - 1).otherwise(more)
+    rest = F.unix_millis(high) - F.unix_millis(add_months_at(from_year, months))
+    days = F.floor(rest / 86_400_000)
+    parts = {"years": years, "months": months, "weeks": F.floor(days / 7), "days": days % 7, "hours": F.floor(rest / 3_600_000) % 24, "minutes": F.floor(rest / 60_000) % 60, "seconds": F.floor(rest / 1000) % 60, "millis": rest % 1000}
+    return F.struct(F.when(b > a, 1).when(b < a, -1).otherwise(0).alias("sign"), *[v.cast("int").alias(k) for k, v in parts.items()])
+
+
+def number_text(value: Column) -> Column:
+    """A number with at most two decimals, rounded half up, and commas between groups of three digits; what is under 0.005 is 0."""
+    fixed = F.format_number(F.round(F.abs(value).cast("decimal(38,12)"), 2), 2)
+    return F.when(F.isnan(value.cast("double")) | (F.abs(value) < 0.005) | (F.abs(value) == float("inf")), "0").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", "")))
 
 
 def relative_phrase(millis: Column) -> Column:

@@ -200,11 +200,21 @@ def hmac_with_key(d, read):
     return d.select("item_id", enc.hmac(t, "key").alias("mac"), enc.hmac(t, "key", "md5").alias("mac_md5"))
 
 
-@query("orders", "SELECT o_orderkey, date_diff('month', a, b) - CASE WHEN a + to_months(date_diff('month', a, b)::INTEGER) > b THEN 1 ELSE 0 END AS months FROM (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey * 37 % 900)::INTEGER AS b FROM orders)")
+@query("orders", """
+WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey * 37 % 900)::INTEGER AS b FROM orders),
+y AS (SELECT *, date_diff('year', a, b) - CASE WHEN a + to_years(date_diff('year', a, b)::INTEGER) > b THEN 1 ELSE 0 END AS years FROM o),
+m AS (SELECT *, a + to_years(years::INTEGER) AS c FROM y),
+n AS (SELECT *, date_diff('month', c, b) - CASE WHEN c + to_months(date_diff('month', c, b)::INTEGER) > b THEN 1 ELSE 0 END AS months FROM m),
+r AS (SELECT *, date_diff('day', (c + to_months(months::INTEGER))::DATE, b) AS rest FROM n)
+SELECT o_orderkey, years::INTEGER AS years, months::INTEGER AS months, (rest // 7)::INTEGER AS weeks, (rest % 7)::INTEGER AS days FROM r""")
 def date_breakdown(d, read):
-    a = utc("o_orderdate")
     b = F.expr("cast(date_add(to_date(o_orderdate), cast(o_orderkey * 37 % 900 as int)) as timestamp)")
-    return d.select("o_orderkey", time.date_difference(b, a)["months_part"].cast("long").alias("months"))
+    return d.select("o_orderkey", time.calendar_span(b, utc("o_orderdate")).alias("s")).select("o_orderkey", "s.years", "s.months", "s.weeks", "s.days")
+
+
+@query("customer", "SELECT c_custkey, regexp_replace(regexp_replace(CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:,.2f}', abs(c_acctbal)), '0+$', ''), '\\.$', '') AS said FROM customer WHERE abs(c_acctbal) >= 0.005")
+def number_texts(d, read):
+    return d.where("abs(c_acctbal) >= 0.005").select("c_custkey", time.number_text(F.col("c_acctbal")).alias("said"))
 
 
 @query("orders", "SELECT o_orderkey, timezone('UTC', timezone('Europe/Berlin', o_orderdate + interval 12 hour)) AS berlin, timezone('UTC', timezone('America/New_York', o_orderdate + interval 12 hour)) AS new_york FROM orders")
@@ -259,9 +269,10 @@ def parsed_instants(d, read):
     return d.select("event_id", time.parse_instant(written).cast("timestamp_ntz").alias("at"))
 
 
-@query("events", "SELECT event_id, (CASE WHEN s < 0 THEN '-' ELSE '' END) || 'P' || CASE WHEN abs(s) // 86400 > 0 THEN (abs(s) // 86400) || 'D' ELSE '' END || CASE WHEN abs(s) % 86400 > 0 THEN 'T' || CASE WHEN abs(s) // 3600 % 24 > 0 THEN (abs(s) // 3600 % 24) || 'H' ELSE '' END || CASE WHEN abs(s) // 60 % 60 > 0 THEN (abs(s) // 60 % 60) || 'M' ELSE '' END || CASE WHEN abs(s) % 60 > 0 THEN (abs(s) % 60) || 'S' ELSE '' END ELSE '' END AS iso FROM (SELECT event_id, event_id * 977 - 300000 + CASE WHEN event_id * 977 = 300000 THEN 1 ELSE 0 END AS s FROM events)")
+@query("events", "SELECT event_id, (CASE WHEN s < 0 THEN '-' ELSE '' END) || 'P' || CASE WHEN a // 86400 > 0 THEN (a // 86400) || 'D' ELSE '' END || CASE WHEN a % 86400 > 0 THEN 'T' || CASE WHEN a // 3600 % 24 > 0 THEN (a // 3600 % 24) || 'H' ELSE '' END || CASE WHEN a // 60 % 60 > 0 THEN (a // 60 % 60) || 'M' ELSE '' END || CASE WHEN a % 60 > 0 OR a < 86400 THEN (a % 60) || 'S' ELSE '' END ELSE '' END AS iso, (CASE WHEN s < 0 THEN chr(8722) ELSE '' END) || (CASE WHEN a < 36000 THEN '0' ELSE '' END) || (a // 3600) || ':' || lpad((a // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((a % 60)::VARCHAR, 2, '0') AS hms FROM (SELECT event_id, s, abs(s) AS a FROM (SELECT event_id, event_id * 977 - 300000 + CASE WHEN event_id * 977 = 300000 THEN 1 ELSE 0 END AS s FROM events))")
 def duration_iso(d, read):
-    return d.select("event_id", time.duration_iso((F.col("event_id") * 977 - 300_000) * 1000).alias("iso"))
+    ms = (F.col("event_id") * 977 - 300_000) * 1000
+    return d.select("event_id", time.duration_iso(ms).alias("iso"), time.duration_hms(ms).alias("hms"))
 
 
 @query("events", "SELECT user_id, regexp_replace(string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a), '$', '') AS pages FROM (SELECT user_id, min(p) AS a, max(p) AS b FROM (SELECT user_id, p, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS g FROM (SELECT DISTINCT user_id, event_id % 37 AS p FROM events)) GROUP BY user_id, g) GROUP BY user_id")

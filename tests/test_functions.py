@@ -28,7 +28,18 @@ def one(spark, column):
         (lambda: enc.totp(F.lit("GEZDGNBVGY3TQOJQGEZDGNBVGY3TQOJQ"), F.lit(59)), "287082"),
         (lambda: enc.encode_component(F.lit("a b~!'()*é")), "a%20b~!'()*%C3%A9"),
         (lambda: time.duration_hms(F.lit(3735000)), "01:02:15"),
+        (lambda: time.duration_hms(F.lit(-90061999)), "\u221225:01:01"),
         (lambda: time.duration_iso(F.lit(93784000)), "P1DT2H3M4S"),
+        (lambda: time.duration_iso(F.lit(3600000)), "PT1H0S"),
+        (lambda: time.duration_iso(F.lit(-172800500)), "-P2DT0.5S"),
+        (lambda: time.duration_iso(F.lit(86400000)), "P1D"),
+        (lambda: time.duration_iso(F.lit(0)), "PT0S"),
+        (lambda: time.number_text(F.lit(5356800000)), "5,356,800,000"),
+        (lambda: time.number_text(F.lit(-8.859)), "-8.86"),
+        (lambda: time.number_text(F.lit(46.296)), "46.3"),
+        (lambda: time.number_text(F.lit(2419.997)), "2,420"),
+        (lambda: time.number_text(F.lit(0.004)), "0"),
+        (lambda: F.to_json(time.calendar_span(F.lit("2024-02-29 10:00:00").cast("timestamp"), F.lit("2026-04-15 09:59:59.5").cast("timestamp"))), '{"sign":1,"years":2,"months":1,"weeks":2,"days":3,"hours":23,"minutes":59,"seconds":59,"millis":500}'),
         (lambda: time.relative_phrase(F.lit(-86400000)), "yesterday"),
         (lambda: time.relative_phrase(F.lit(8711999000)), "in 3 months"),
         (lambda: time.relative_phrase(F.lit(-8711999000)), "3 months ago"),
