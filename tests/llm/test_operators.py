@@ -506,3 +506,23 @@ def test_odd_inputs(spark):
     assert mix.columns == docs.columns and set(mix.collect()) <= set(docs.collect())
     for empty in (media.media_features(none), token_counts.count_tokens(none, queries.vocabulary()), packing.pack(none, queries.vocabulary()), mixing.mix_plan(none, [5, 2, 1]), mixing.mixed(none, [1]), outliers.quality_rules(none)):
         assert empty.collect() == []
+
+
+def test_a_very_long_text(spark):
+    """Three million characters in one row: whole counts and scores, equal to those of plain versions where these are quick."""
+    draw = random.Random(6)
+    words = [draw.choice(["tree", "Sun", "day,", "the", "rain"]) + str(draw.randrange(3000)) for _ in range(400_000)]
+    words[399_990] = "awful"
+    text = " ".join(words)
+    docs = spark.createDataFrame([(1, text, "en", "a"), (2, "the sun", "en", "a")], "doc_id long, text string, lang string, source string")
+    r = outliers.base_stats(docs).where("doc_id = 1").first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_stats(text)
+    sample = [(" ".join(draw.choice(["tree1", "sun2", "day3"]) for _ in range(20)) + (" awful" if k else ""), k) for k in (0, 1) * 30]
+    net = toxicity.train(sample, 0.5, epochs=4, least_steps=60)
+    some = toxicity.score_toxicity(docs, net).where("doc_id = 1").first().score
+    groups = list(toxicity.indexed([text]))
+    assert sum(len(i) for _, i, _ in groups) == len(toxicity.windows(400_000)) and len(groups) > 2 and some == pytest.approx(float(net.scores([text])[0]))
+    model = quality_nbsvm.fit(sample, 0.5)
+    assert quality_nbsvm.score_quality(docs, model).where("doc_id = 1").first().score == pytest.approx(float(model.scores([text])[0]))
+    profiles = langid.learn_profiles(docs, fold("doc_id", 5) != 99)
+    assert {r.lang_pred for r in langid.identify(docs, profiles).collect()} == {"en"}
