@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -232,6 +233,43 @@ def uuid_text(version: str = "v4", style: str = "plain", at_millis: Column | Non
     return {"upper": F.upper(out), "braces": F.concat(F.lit("{"), out, F.lit("}")), "urn": F.concat(F.lit("urn:uuid:"), out), "bare": F.replace(out, F.lit("-"))}.get(style, out)
 
 
+def flagged(pattern: str, flags: str) -> str:
+    """A pattern with the flags i, m and s; g, d and u change nothing here."""
+    if unknown := set(flags) - set("dgimsu"):
+        raise ValueError(f"unknown flags {sorted(unknown)}")
+    on = "".join(f for f in "ims" if f in flags)
+    return f"(?{on})" + pattern if on else pattern
+
+
+def regex_found(text: Column, pattern: str, flags: str = "", most: int = 1000) -> Column:
+    """n, first_at (from 0, null if there is none) and the first `most` matches of a pattern."""
+    p = F.lit(flagged(pattern, flags))
+    at = F.regexp_instr(text, p)
+    return F.when(text.isNotNull(), F.struct(F.regexp_count(text, p).alias("n"), F.when(at > 0, at - 1).alias("first_at"), F.slice(F.regexp_extract_all(text, p, F.lit(0)), 1, most).alias("found")))
+
+
+def regex_replaced(text: Column, pattern: str, replacement: str, flags: str = "") -> Column:
+    """All matches replaced; in the replacement $1, $12 (if there are so many groups), $<name>, $& and $$ mean what they do in a browser."""
+    groups, out, at = re.compile(pattern.replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!")), "", 0
+    while at < len(replacement):
+        rest = replacement[at:]
+        if m := re.match(r"\$\$", rest):
+            out += r"\$"
+        elif m := re.match(r"\$&", rest):
+            out += "$0"
+        elif groups.groupindex and (m := re.match(r"\$<([^>]*)>", rest)):
+            out += f"${{{m[1]}}}" if m[1] in groups.groupindex else ""
+        elif (m := re.match(r"\$([1-9][0-9]?)", rest)) and int(m[1][0]) <= groups.groups:
+            number = m[1] if int(m[1]) <= groups.groups else m[1][0]
+            m = re.match(r"\$" + number, rest)
+            out += f"${number}"
+        else:
+            m = re.match(r"(?s).", rest)
+            out += "\\" + m[0] if m[0] in "\\$" else m[0]
+        at += len(m[0])
+    return F.regexp_replace(text, flagged(pattern, flags), out)
+
+
 def csv_line(cells: list[Column]) -> Column:
     """Cells joined by commas; quoted where they hold a quote, comma, semicolon, tab or line break."""
     quoted = [F.when(c.rlike('[",\\n\\r;\\t]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in (F.coalesce(x.cast("string"), F.lit("")) for x in cells)]

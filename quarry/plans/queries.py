@@ -120,7 +120,7 @@ def binary_codec(d, read):
 
 @query("documents", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+ing'))::INTEGER AS n, md5(regexp_replace(text, '([0-9]+)', '<\\1>', 'g')) AS replaced FROM documents")
 def regex_test(d, read):
-    return d.select("doc_id", F.regexp_count("text", F.lit("[A-Za-z]+ing")).alias("n"), F.md5(F.regexp_replace("text", "([0-9]+)", "<$1>").cast("binary")).alias("replaced"))
+    return d.select("doc_id", text.regex_found(F.col("text"), "[A-Za-z]+ing")["n"].alias("n"), F.md5(text.regex_replaced(F.col("text"), "([0-9]+)", "<$1>").cast("binary")).alias("replaced"))
 
 
 @query("events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")

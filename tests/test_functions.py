@@ -92,6 +92,10 @@ def one(spark, column):
         (lambda: text.json_text(F.lit('{"b": 1, "a": [1, "é"]}')), '{"b":1,"a":[1,"é"]}'),
         (lambda: text.json_text(F.lit('{"b": [1]}'), 2), '{\n  "b": [\n    1\n  ]\n}'),
         (lambda: text.json_text(F.lit("{")), None),
+        (lambda: F.to_json(text.regex_found(F.lit("aB ab"), "ab", "gi")), '{"n":2,"first_at":0,"found":["aB","ab"]}'),
+        (lambda: text.regex_found(F.lit("x"), "ab")["first_at"], None),
+        (lambda: text.regex_replaced(F.lit("a1b2"), "([a-z])([0-9])", "$2$1[$&]$$$3\\\\"), "1a[a1]$$3\\\\2b[b2]$$3\\\\"),
+        (lambda: text.regex_replaced(F.lit("a1"), "(?<l>[a-z])([0-9])", "$<l>$12$<no>"), "aa2"),
         (lambda: text.uuid_text("nil", "urn"), "urn:uuid:00000000-0000-0000-0000-000000000000"),
         (lambda: text.uuid_text().rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), True),
         (lambda: net.spf_record(True, True, F.lit(None).cast("array<string>"), F.array(*[F.lit(f"h{k}.org") for k in range(9)])), None),
