@@ -212,7 +212,10 @@ def cron_next(df: DataFrame, keys: list[str], after: str, expression: str, count
     first = F.to_date("_t")
     found = lambda to: F.slice(F.filter(F.sequence(first, to), fits), 1, count + 1)
     rows = df.select(*keys, F.col(after).alias("_t")).where("_t is not null").withColumn("_near", found(F.date_add(first, 62)))
-    days = F.when(F.size("_near") > count, F.col("_near")).otherwise(found(F.add_months(first, months)))
+    # beyond two months: the months that fit, then their days
+    starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(months)), lambda k: F.add_months(F.trunc(first, "month"), k)), lambda x: F.month(x).isin(*mon))
+    far = F.filter(F.flatten(F.transform(starts, lambda x: F.sequence(x, F.last_day(x)))), lambda d: d.between(first, F.add_months(first, months)) & either(d))
+    days = F.when(F.size("_near") > count, F.col("_near")).otherwise(F.slice(far, 1, count + 1))
     rows = rows.withColumn("_days", days)
     # within a day: hours, then minutes, then seconds, as far as `count` times after _t need them
     numbers = lambda values: F.array(*map(F.lit, values))
