@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -23,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Shuffle files of a query go when it ends, not when the driver next collects its garbage.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and read back from a Parquet table in the shared folder. Not for use in parallel threads.
 
-    So lineage is cut, and a lost executor costs no recomputation. Tables that nothing reads any more go by release().
+    So lineage is cut, and a lost executor costs no recomputation. Tables that nothing reads any more go by release(),
+    those of a whole job by scratch(), and all others when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
@@ -49,28 +52,61 @@ def durable(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(TIDY, before)
+    at, files = hadoop_path(spark, path)
+    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    for names in _scopes:
+        names.append(path)
     return out
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """On leaving the scope, all tables go that durable() wrote in it; results that read them must have been used or written by then."""
+    names: list[str] = []
+    _scopes.append(names)
+    try:
+        yield
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not names]
+        for path in names:
+            at, files = hadoop_path(spark, path)
+            files.delete(at, True)
+            files.cancelDeleteOnExit(at)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes the files of tables that durable() gave. No DataFrame that reads them may be used afterwards."""
     for t in tables:
         if path := _paths.pop(t, None):
-            jvm = t.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            at, files = hadoop_path(t.sparkSession, path)
+            files.delete(at, True)
+            files.cancelDeleteOnExit(at)
 
 
-def sliced(batches, rows: int = 512):
-    """Arrow batches in parts of few rows, so a Python worker holds few texts at once; its unused memory is given back."""
+def sliced(batches, rows: int = 512, size: int = 16 << 20):
+    """Arrow batches in parts of few rows and bytes (but one row at least), so a Python worker holds few texts at once; its unused memory is given back."""
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-        del batch
+        wide = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type)]
+        upto = np.cumsum(sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in wide), np.zeros(batch.num_rows, np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            most = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right"))
+            end = min(at + rows, max(most, at + 1), batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+        del batch, wide
         pa.default_memory_pool().release_unused()
 
 
