@@ -67,8 +67,8 @@ def timezone_board(d, read):
 
 @query("orders", "SELECT o_orderkey, isoyear(o_orderdate)::INTEGER AS iso_year, weekofyear(o_orderdate)::INTEGER AS iso_week, strftime(o_orderdate, '%Y/%m/%d %a') AS said, o_orderdate + interval 1 month AS next_month FROM orders")
 def calendar_fields(d, read):
-    t = utc("o_orderdate")
-    return d.select("o_orderkey", F.extract(F.lit("YEAROFWEEK"), t).cast("int").alias("iso_year"), F.weekofyear(t).alias("iso_week"), F.date_format(t, "yyyy/MM/dd EEE").alias("said"), time.add_calendar(t, months=1).cast("timestamp_ntz").alias("next_month"))
+    day = time.day_of(utc("o_orderdate"))
+    return d.select("o_orderkey", F.extract(F.lit("YEAROFWEEK"), day).cast("int").alias("iso_year"), F.weekofyear(day).alias("iso_week"), F.date_format(day, "yyyy/MM/dd EEE").alias("said"), time.wall(time.add_calendar(utc("o_orderdate"), months=1)).alias("next_month"))
 
 
 @query("events", "SELECT event_id, (CASE WHEN s < 36000 THEN '0' ELSE '' END) || (s // 3600)::VARCHAR || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS hms FROM (SELECT event_id, event_id * 7 AS s FROM events)")
@@ -191,12 +191,19 @@ def natural_rank(d, read):
     return rel.natural_rank(d, "s_name", "s_suppkey").select("s_suppkey", "rank")
 
 
-@query("lineitem", "SELECT l_orderkey, l_linenumber, l_shipdate AS a, o_orderdate AS b, epoch_ms(l_shipdate) - epoch_ms(o_orderdate) AS millis, date_diff('day', o_orderdate, l_shipdate)::INTEGER AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("lineitem", """
+WITH RECURSIVE j AS (SELECT l_orderkey, l_linenumber, l_shipdate AS a, o_orderdate AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+p AS (SELECT DISTINCT a, b, least(a, b) AS low, greatest(a, b) AS high FROM j),
+y AS (SELECT a, b, low, high, 0 AS n FROM p UNION ALL SELECT a, b, low + interval 1 year, high, n + 12 FROM y WHERE low + interval 1 year <= high),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY n DESC) = 1),
+m AS (SELECT a, b, low, high, n FROM z UNION ALL SELECT a, b, low + interval 1 month, high, n + 1 FROM m WHERE low + interval 1 month <= high),
+r AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY n DESC) = 1)
+SELECT l_orderkey, l_linenumber, j.a, j.b, epoch_ms(j.a) - epoch_ms(j.b) AS millis, date_diff('day', j.b, j.a)::INTEGER AS days, n::INTEGER AS months_part, date_diff('day', low, high)::INTEGER AS days_part FROM j JOIN r ON r.a = j.a AND r.b = j.b""")
 def date_difference(d, read):
     o = read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("b"))
     j = d.select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("a")).join(o, "l_orderkey")
     s = time.date_difference(utc("b"), utc("a"))
-    return j.select("l_orderkey", "l_linenumber", "a", "b", s["millis"].alias("millis"), s["days"].alias("days"))
+    return j.select("l_orderkey", "l_linenumber", "a", "b", s.alias("s")).select("l_orderkey", "l_linenumber", "a", "b", "s.*")
 
 
 @query("customer", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import time
 from quarry.plans.flagship import flagship
 
 QUERIES = {"document_profile": flagship}
@@ -33,4 +34,5 @@ def query(table: str, sql: str | None = None):
 
 
 def utc(c: str):
-    return F.col(c).cast("timestamp")
+    """The instant of a column of times without zone, which are UTC."""
+    return time.from_wall(F.col(c))

@@ -130,15 +130,40 @@ def user_agents(d, read):
     return d.select("event_id", net.user_agent(agent).alias("u")).select("event_id", "u.*")
 
 
-@query("events", """
-WITH m AS (SELECT event_id, (event_id * event_id % 997 - 500) * (CASE event_id % 5 WHEN 0 THEN 700 WHEN 1 THEN 41000 WHEN 2 THEN 3000000 WHEN 3 THEN 47000000 ELSE 900000000 END)::BIGINT AS ms FROM events),
+PHRASE_SQL = ", ".join(f"CASE WHEN ms = 0 THEN '{now}' {named} WHEN ms < 0 THEN {before} ELSE {after} END AS {name}" for name, now, named, before, after in [
+    ("phrase", "now", "WHEN k = 1 AND unit = 'day' THEN CASE WHEN ms < 0 THEN 'yesterday' ELSE 'tomorrow' END WHEN k = 1 AND unit IN ('week', 'month', 'year') THEN CASE WHEN ms < 0 THEN 'last ' ELSE 'next ' END || unit", "k || ' ' || unit || s || ' ago'", "'in ' || k || ' ' || unit || s"),
+    ("counted", "in 0 seconds", "", "k || ' ' || unit || s || ' ago'", "'in ' || k || ' ' || unit || s"),
+    ("chinese", "现在", "WHEN k = 1 AND unit = 'day' THEN CASE WHEN ms < 0 THEN '昨天' ELSE '明天' END WHEN k = 1 AND unit = 'week' THEN CASE WHEN ms < 0 THEN '上周' ELSE '下周' END WHEN k = 1 AND unit = 'month' THEN CASE WHEN ms < 0 THEN '上个月' ELSE '下个月' END WHEN k = 1 AND unit = 'year' THEN CASE WHEN ms < 0 THEN '去年' ELSE '明年' END", "k || zh || '前'", "k || zh || '后'"),
+])
+
+
+@query("orders", f"""
+WITH m AS (SELECT o_orderkey, (o_orderkey * 37 % 101 - 50) * (o_orderkey % 13) * (CASE o_orderkey % 5 WHEN 0 THEN 300 WHEN 1 THEN 41000 WHEN 2 THEN 1000000 WHEN 3 THEN 17000000 ELSE 900000000 END)::BIGINT AS ms FROM orders),
 p AS (SELECT *, abs(ms) AS a FROM m), u AS (SELECT *, CASE WHEN a < 60000 THEN 'second' WHEN a < 3600000 THEN 'minute' WHEN a < 86400000 THEN 'hour' WHEN a < 604800000 THEN 'day' WHEN a < 2592000000 THEN 'week' WHEN a < 31536000000 THEN 'month' ELSE 'year' END AS unit FROM p),
-n AS (SELECT *, greatest(1, CASE unit WHEN 'second' THEN (a + 500) // 1000 WHEN 'minute' THEN (a + 30000) // 60000 WHEN 'hour' THEN (a + 1800000) // 3600000 WHEN 'day' THEN a // 86400000 WHEN 'week' THEN a // 604800000 WHEN 'month' THEN a // 2592000000 ELSE a // 31536000000 END) AS k FROM u)
-SELECT event_id, CASE WHEN unit = 'day' AND k = 1 AND ms < 0 THEN 'yesterday' WHEN unit = 'day' AND k = 1 THEN 'tomorrow' WHEN ms < 0 THEN k || ' ' || unit || CASE WHEN k > 1 THEN 's' ELSE '' END || ' ago' ELSE 'in ' || k || ' ' || unit || CASE WHEN k > 1 THEN 's' ELSE '' END END AS phrase FROM n""")
+n AS (SELECT *, greatest(1, CASE unit WHEN 'second' THEN (a + 500) // 1000 WHEN 'minute' THEN (a + 30000) // 60000 WHEN 'hour' THEN (a + 1800000) // 3600000 WHEN 'day' THEN a // 86400000 WHEN 'week' THEN a // 604800000 WHEN 'month' THEN a // 2592000000 ELSE a // 31536000000 END) AS k,
+  CASE unit WHEN 'second' THEN '秒' WHEN 'minute' THEN '分钟' WHEN 'hour' THEN '小时' WHEN 'day' THEN '天' WHEN 'week' THEN '周' WHEN 'month' THEN '个月' ELSE '年' END AS zh FROM u),
+t AS (SELECT *, CASE WHEN k = 1 THEN '' ELSE 's' END AS s FROM n)
+SELECT o_orderkey, {PHRASE_SQL} FROM t""")
 def relative_time(d, read):
-    m = F.col("event_id") % 5
-    ms = (F.col("event_id") * F.col("event_id") % 997 - 500) * F.when(m == 0, 700).when(m == 1, 41_000).when(m == 2, 3_000_000).when(m == 3, 47_000_000).otherwise(900_000_000)
-    return d.select("event_id", time.relative_phrase(ms).alias("phrase"))
+    k = F.col("o_orderkey")
+    ms = (k * 37 % 101 - 50) * (k % 13) * F.when(k % 5 == 0, 300).when(k % 5 == 1, 41_000).when(k % 5 == 2, 1_000_000).when(k % 5 == 3, 17_000_000).otherwise(900_000_000)
+    return d.select("o_orderkey", ms.alias("ms")).select("o_orderkey", time.relative_phrase(F.col("ms")).alias("phrase"), time.relative_phrase(F.col("ms"), named=False).alias("counted"), time.relative_phrase(F.col("ms"), "zh").alias("chinese"))
+
+
+@query("lineitem", """
+WITH t AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 977 + l_partkey * 31) * (CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN 60 ELSE 2000 END) * (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END) AS ms FROM lineitem),
+p AS (SELECT *, abs(ms) AS a, abs(ms) // 86400000 AS d, abs(ms) // 3600000 % 24 AS h, abs(ms) // 60000 % 60 AS m, abs(ms) // 1000 % 60 AS s, abs(ms) % 1000 AS f FROM t)
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN ms < 0 THEN '-' ELSE '' END || CASE WHEN a = 0 THEN '0 seconds' ELSE concat_ws(', ', CASE WHEN d > 0 THEN d || CASE WHEN d = 1 THEN ' day' ELSE ' days' END END, CASE WHEN h > 0 THEN h || CASE WHEN h = 1 THEN ' hour' ELSE ' hours' END END, CASE WHEN m > 0 THEN m || CASE WHEN m = 1 THEN ' minute' ELSE ' minutes' END END, CASE WHEN s > 0 THEN s || ' seconds' END, CASE WHEN f > 0 THEN f || CASE WHEN f = 1 THEN ' millisecond' ELSE ' milliseconds' END END) END AS words,
+  CASE WHEN ms < 0 THEN '负 ' ELSE '' END || CASE WHEN a = 0 THEN '0秒' ELSE concat_ws(' ', CASE WHEN d > 0 THEN d || '天' END, CASE WHEN h > 0 THEN h || '小时' END, CASE WHEN m > 0 THEN m || '分' END, CASE WHEN s > 0 THEN s || '秒' END, CASE WHEN f > 0 THEN f || '毫秒' END) END AS chinese,
+  CASE WHEN a >= 604800000 THEN (a + 302400000) // 604800000 || ' week' || CASE WHEN (a + 302400000) // 604800000 = 1 THEN '' ELSE 's' END WHEN a >= 86400000 THEN (a + 43200000) // 86400000 || ' day' || CASE WHEN (a + 43200000) // 86400000 = 1 THEN '' ELSE 's' END
+    WHEN a >= 3600000 THEN (a + 1800000) // 3600000 || ' hour' || CASE WHEN (a + 1800000) // 3600000 = 1 THEN '' ELSE 's' END WHEN a >= 60000 THEN (a + 30000) // 60000 || ' minute' || CASE WHEN (a + 30000) // 60000 = 1 THEN '' ELSE 's' END ELSE (a + 500) // 1000 || ' second' || CASE WHEN (a + 500) // 1000 = 1 THEN '' ELSE 's' END END AS spoken
+FROM p""")
+def duration_words(d, read):
+    n = F.col("l_linenumber")
+    ms = (F.col("l_orderkey") * 977 + F.col("l_partkey") * 31) * F.when(n % 3 == 0, 1).when(n % 3 == 1, 60).otherwise(2000) * F.when(n % 2 == 0, -1).otherwise(1)
+    t = d.select("l_orderkey", "l_linenumber", ms.alias("ms"))
+    return t.select("l_orderkey", "l_linenumber", time.duration_words(F.col("ms")).alias("words"), time.duration_words(F.col("ms"), "zh", " ").alias("chinese"), time.duration_spoken(F.col("ms")).alias("spoken"))
 
 
 @query("customer", "SELECT c_custkey, c_acctbal::DECIMAL(20,2) AS amount FROM customer")
@@ -201,26 +226,29 @@ def hmac_with_key(d, read):
 
 
 @query("orders", """
-WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey * 37 % 900)::INTEGER AS b FROM orders),
-y AS (SELECT *, date_diff('year', a, b) - CASE WHEN a + to_years(date_diff('year', a, b)::INTEGER) > b THEN 1 ELSE 0 END AS years FROM o),
-m AS (SELECT *, a + to_years(years::INTEGER) AS c FROM y),
-n AS (SELECT *, date_diff('month', c, b) - CASE WHEN c + to_months(date_diff('month', c, b)::INTEGER) > b THEN 1 ELSE 0 END AS months FROM m),
-r AS (SELECT *, date_diff('day', (c + to_months(months::INTEGER))::DATE, b) AS rest FROM n)
-SELECT o_orderkey, years::INTEGER AS years, months::INTEGER AS months, (rest // 7)::INTEGER AS weeks, (rest % 7)::INTEGER AS days FROM r""")
+WITH RECURSIVE o AS (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey * 37 % 900)::INTEGER AS b FROM orders),
+y AS (SELECT o_orderkey, a::TIMESTAMP AS a, b, 0 AS n FROM o UNION ALL SELECT o_orderkey, a + interval 1 year, b, n + 1 FROM y WHERE a + interval 1 year <= b),
+z AS (SELECT o_orderkey, a, b, n AS years FROM y QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY n DESC) = 1),
+m AS (SELECT *, 0 AS n FROM z UNION ALL SELECT o_orderkey, a + interval 1 month, b, years, n + 1 FROM m WHERE a + interval 1 month <= b),
+r AS (SELECT *, date_diff('day', a, b::TIMESTAMP) AS rest FROM m QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY n DESC) = 1)
+SELECT o_orderkey, years::INTEGER AS years, n::INTEGER AS months, (rest // 7)::INTEGER AS weeks, (rest % 7)::INTEGER AS days,
+  CASE WHEN years + n + rest = 0 THEN '0s' ELSE CASE WHEN o_orderkey * 37 % 900 > 0 THEN '-' ELSE '' END || concat_ws(' ', CASE WHEN years > 0 THEN years || 'y' END, CASE WHEN n > 0 THEN n || 'mo' END, CASE WHEN rest >= 7 THEN (rest // 7) || 'w' END, CASE WHEN rest % 7 > 0 THEN (rest % 7) || 'd' END) END AS said FROM r""")
 def date_breakdown(d, read):
-    b = F.expr("cast(date_add(to_date(o_orderdate), cast(o_orderkey * 37 % 900 as int)) as timestamp)")
-    return d.select("o_orderkey", time.calendar_span(b, utc("o_orderdate")).alias("s")).select("o_orderkey", "s.years", "s.months", "s.weeks", "s.days")
+    t = utc("o_orderdate")
+    later = time.instant(F.date_add(time.day_of(t), (F.col("o_orderkey") * 37 % 900).cast("int")))
+    spans = d.select("o_orderkey", time.calendar_span(later, time.instant(time.day_of(t))).alias("s"))
+    return spans.select("o_orderkey", "s.years", "s.months", "s.weeks", "s.days", time.span_text(F.col("s")).alias("said"))
 
 
-@query("customer", "SELECT c_custkey, regexp_replace(regexp_replace(CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:,.2f}', abs(c_acctbal)), '0+$', ''), '\\.$', '') AS said FROM customer WHERE abs(c_acctbal) >= 0.005")
+@query("customer", "SELECT c_custkey, CASE WHEN abs(c_acctbal) < 0.005 THEN '0' ELSE regexp_replace(regexp_replace(CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:,.2f}', abs(c_acctbal)), '0+$', ''), '\\.$', '') END AS said FROM customer")
 def number_texts(d, read):
-    return d.where("abs(c_acctbal) >= 0.005").select("c_custkey", time.number_text(F.col("c_acctbal")).alias("said"))
+    return d.select("c_custkey", time.number_text(F.col("c_acctbal")).alias("said"))
 
 
 @query("orders", "SELECT o_orderkey, timezone('UTC', timezone('Europe/Berlin', o_orderdate + interval 12 hour)) AS berlin, timezone('UTC', timezone('America/New_York', o_orderdate + interval 12 hour)) AS new_york FROM orders")
 def local_instants(d, read):
     noon = F.timestamp_seconds(F.unix_seconds(utc("o_orderdate")) + 43_200)
-    return d.select("o_orderkey", *[time.local_to_instant(noon, z).cast("timestamp_ntz").alias(k) for k, z in (("berlin", "Europe/Berlin"), ("new_york", "America/New_York"))])
+    return d.select("o_orderkey", *[time.wall(time.local_to_instant(noon, z)).alias(k) for k, z in (("berlin", "Europe/Berlin"), ("new_york", "America/New_York"))])
 
 
 @query("events", """
@@ -253,20 +281,34 @@ def format_tokens(d, read):
 
 @query("events", """
 WITH e AS (SELECT event_id, date_trunc('second', ts) AS t FROM events)
-SELECT event_id, CASE event_id % 6 WHEN 0 THEN date_trunc('day', t) - interval 1 day + interval 8 hour + interval 30 minute WHEN 1 THEN date_trunc('month', t) + interval 10 day WHEN 2 THEN t + interval 2 hour - interval 5 minute WHEN 3 THEN date_trunc('day', t) + interval 2 day WHEN 4 THEN date_trunc('quarter', t) - interval 1 year END AS at FROM e""")
+SELECT event_id, CASE event_id % 9 WHEN 0 THEN date_trunc('day', t) - interval 1 day + interval 8 hour + interval 30 minute WHEN 1 THEN date_trunc('month', t) + interval 10 day WHEN 2 THEN t + interval 2 hour - interval 5 minute WHEN 3 THEN date_trunc('day', t) + interval 2 day WHEN 4 THEN date_trunc('quarter', t) - interval 1 year
+  WHEN 6 THEN date_trunc('day', t) + interval 11 hour WHEN 7 THEN date_trunc('day', t) + interval 1 month - interval 1 day WHEN 8 THEN t + interval 1 year + interval 3 month END AS at FROM e""")
 def relative_instants(d, read):
-    said = F.element_at(F.array(*map(F.lit, ["yesterday 08:30", "month-start +1w +3d", "+2h -5m", "后天", "Quarter-Start -1y", "sometime"])), (F.col("event_id") % 6 + 1).cast("int"))
-    return d.select("event_id", time.relative_instant(said, F.date_trunc("second", utc("ts"))).cast("timestamp_ntz").alias("at"))
+    t = time.cut_to_second(utc("ts"))
+    said = F.element_at(F.array(*map(F.lit, ["yesterday 08:30", "month-start +1w +3d", "+2h -5m", "后天", "Quarter-Start -1y", "sometime", "today +2h 09:00"]), F.concat(time.day_of(t).cast("string"), F.lit(" +1M -1d")), F.concat(time.stamp(t), F.lit(" +3M +1y"))), (F.col("event_id") % 9 + 1).cast("int"))
+    return d.select("event_id", time.wall(time.relative_instant(said, t)).alias("at"))
 
 
 @query("events", """
-WITH e AS (SELECT event_id, date_trunc('second', ts) AS t FROM events)
-SELECT event_id, CASE WHEN event_id % 7 IN (4, 5) THEN date_trunc('day', t) WHEN event_id % 7 = 6 THEN NULL ELSE t END AS at FROM e""")
+WITH e AS (SELECT event_id, event_id % 23 AS k, ts, date_trunc('second', ts) AS t FROM events)
+SELECT event_id, CASE WHEN k IN (0, 2, 3, 8, 9, 11) THEN t WHEN k IN (1, 12) THEN date_trunc('millisecond', ts) WHEN k IN (4, 5, 6, 7, 10) THEN date_trunc('day', t) WHEN k = 13 THEN t - interval 8 hour WHEN k = 14 THEN t + interval 5 hour WHEN k = 15 THEN t - interval 330 minute
+  WHEN k = 16 THEN date_trunc('minute', t) + interval 8 hour WHEN k IN (17, 18) THEN t + interval 3 hour WHEN k = 19 THEN date_trunc('minute', t) WHEN k = 20 THEN ts END AS at FROM e""")
 def parsed_instants(d, read):
-    t, m = F.date_trunc("second", utc("ts")), F.col("event_id") % 7
-    written = F.when(m == 0, F.unix_seconds(t).cast("string")).when(m == 1, F.unix_millis(t).cast("string")).when(m == 2, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).when(m == 3, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(m == 4, F.date_format(t, "MM/dd/yyyy")).when(m == 5, F.date_format(t, "yyyyMMdd").substr(1, 4).isNull().cast("string")).otherwise("no time")
-    written = F.when(m == 5, F.date_format(t, "yyyy/MM/dd")).otherwise(written)
-    return d.select("event_id", time.parse_instant(written).cast("timestamp_ntz").alias("at"))
+    """Each form of a time: numbers, ISO, mail dates, offsets, years first and last, names of months; the last two are none."""
+    t = time.cut_to_second(utc("ts"))
+    day, clock = time.day_of(t), time.format_tokens(t, "HH:mm:ss")
+    said = lambda form: F.date_format(day, form)
+    seconds = F.unix_seconds(t).cast("string")
+    part = F.format_string("%03d", F.unix_millis(utc("ts")) % 1000)
+    month = F.element_at(F.array(*[F.lit(m.title()) for m in time.MONTHS]), F.month(day))
+    written = [
+        seconds, F.concat(seconds, F.lit("."), part), F.concat(day.cast("string"), F.lit(" "), clock), F.concat(day.cast("string"), F.lit("T"), clock, F.lit("Z")), said("yyyy/MM/dd"), said("dd.MM.yyyy"), said("dd-MM-yyyy"), F.concat_ws(" ", F.dayofmonth(day).cast("string"), F.substring(month, 1, 3), F.year(day).cast("string")),
+        F.concat(said("yyyy/MM/dd"), F.lit(" "), clock), F.concat(month, F.lit(" "), F.dayofmonth(day).cast("string"), F.lit(", "), F.year(day).cast("string"), F.lit(" "), clock), said("MM/dd/yyyy"), F.concat(day.cast("string"), F.lit("T"), clock), F.concat(day.cast("string"), F.lit(" "), clock, F.lit("."), part),
+        F.concat(said("EEE, d "), F.substring(month, 1, 3), said(" yyyy "), clock, F.lit(" +0800")), F.concat(said("d "), F.substring(month, 1, 3), said(" yyyy "), clock, F.lit(" EST")), F.concat(day.cast("string"), F.lit(" "), clock, F.lit(" +0530")),
+        F.concat(day.cast("string"), F.lit(" "), F.substring(clock, 1, 5), F.lit(" -0800")), F.concat(said("yyyy/MM/dd "), clock, F.lit(" -03:00")), F.concat(said("MM/dd/yyyy "), clock, F.lit(" -0300")), F.concat(day.cast("string"), F.lit("T"), F.substring(clock, 1, 5)), F.unix_micros(utc("ts")).cast("string"), F.lit("2024-02-30"), F.lit("no time"),
+    ]
+    texts = d.select("event_id", F.element_at(F.array(*written), (F.col("event_id") % len(written) + 1).cast("int")).alias("said"))
+    return texts.select("event_id", time.parse_instant(F.col("said")).alias("at")).select("event_id", time.wall(F.col("at")).alias("at"))
 
 
 @query("events", "SELECT event_id, (CASE WHEN s < 0 THEN '-' ELSE '' END) || 'P' || CASE WHEN a // 86400 > 0 THEN (a // 86400) || 'D' ELSE '' END || CASE WHEN a % 86400 > 0 THEN 'T' || CASE WHEN a // 3600 % 24 > 0 THEN (a // 3600 % 24) || 'H' ELSE '' END || CASE WHEN a // 60 % 60 > 0 THEN (a // 60 % 60) || 'M' ELSE '' END || CASE WHEN a % 60 > 0 OR a < 86400 THEN (a % 60) || 'S' ELSE '' END ELSE '' END AS iso, (CASE WHEN s < 0 THEN chr(8722) ELSE '' END) || (CASE WHEN a < 36000 THEN '0' ELSE '' END) || (a // 3600) || ':' || lpad((a // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((a % 60)::VARCHAR, 2, '0') AS hms FROM (SELECT event_id, s, abs(s) AS a FROM (SELECT event_id, event_id * 977 - 300000 + CASE WHEN event_id * 977 = 300000 THEN 1 ELSE 0 END AS s FROM events))")
