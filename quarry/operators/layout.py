@@ -6,7 +6,6 @@ aggregates. Pages without runs give nothing; runs of equal place stay in the ord
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,46 +144,46 @@ def document_text(pages: DataFrame, markers: bool = True) -> DataFrame:
     return d.select("file_id", F.regexp_replace(F.array_join(parts, "\n\n"), r"^\s+|\s+$", "").alias("text"))
 
 
-def recognized_tables(boxes: DataFrame, width: float = 0.0) -> DataFrame:
-    """file_id, page, row, column, text of recognised lines (file_id, page, idx, text, left, top, right, bottom).
+def recognized_tables(boxes: DataFrame, width: float | str = 0.0) -> DataFrame:
+    """file_id, page, row, column, text of recognised lines (file_id, page, idx, text, left, top, right, bottom); width: of all pages, or the name of a column.
 
-    A line joins the first row whose centre is within 0.55 of the greater height. Columns are running averages of left
+    A line joins the first row whose centre is within 0.55 of the greater height, which grows with it. Columns are running averages of left
     edges, apart by over 18 or 0.018 of the page width; a line takes the nearest, the next free one to its right if that is taken
-    and it stands that far off, or is joined to what is there. A page is a group of its own, of a few hundred lines.
+    and it stands that far off, or is joined to what is there. A page's lines are folded in one row of Spark, as its runs are.
     """
-    apart = max(18.0, 0.018 * width)
-
-    def place(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "left", "idx"], kind="stable")
-        rows: list[list] = []
-        for line in page.itertuples():
-            centre, tall = (line.top + line.bottom) / 2, line.bottom - line.top
-            for row in rows:
-                top, bottom = min(x.top for x in row), max(x.bottom for x in row)
-                if abs(centre - (top + bottom) / 2) <= max(tall, bottom - top) * 0.55:
-                    row.append(line)
-                    break
-            else:
-                rows.append([line])
-        columns: list[float] = []
-        for left in sorted(page["left"]):
-            near = next((k for k, c in enumerate(columns) if abs(c - left) <= apart), None)
-            if near is None:
-                columns.append(left)
-            else:
-                columns[near] = (columns[near] + left) / 2
-        columns.sort()
-        out = []
-        for k, row in enumerate(sorted(rows, key=lambda r: min(x.top for x in r))):
-            taken: dict[int, str] = {}
-            for line in sorted(row, key=lambda x: x.left):
-                at = min(range(len(columns)), key=lambda c: (abs(columns[c] - line.left), c))
-                free = next((c for c in range(at + 1, len(columns)) if c not in taken), None)
-                if at in taken and free is not None and line.left - columns[at] > apart:
-                    at = free
-                taken[at] = f"{taken[at]} {line.text.strip()}" if at in taken else line.text.strip()
-            out += [(page["file_id"].iloc[0], page["page"].iloc[0], k, c, t) for c, t in sorted(taken.items())]
-        return pd.DataFrame(out, columns=["file_id", "page", "row", "column", "text"])
-
-    some = boxes.where("trim(text) <> ''").select(F.col("file_id").cast("long").alias("file_id"), F.col("page").cast("int").alias("page"), "idx", "text", *[F.col(c).cast("double").alias(c) for c in ("left", "top", "right", "bottom")])
-    return some.groupBy("file_id", "page").applyInPandas(place, "file_id long, page int, row int, column int, text string")
+    some = boxes.where("trim(text) <> ''").withColumn("_w", F.col(width) if isinstance(width, str) else F.lit(width))
+    line = F.struct(*[F.col(c).cast("double").alias(c) for c in ("top", "left")], F.col("idx").cast("long").alias("idx"), F.col("bottom").cast("double").alias("bottom"), F.trim("text").alias("text"))
+    page = some.groupBy(F.col("file_id").cast("long").alias("file_id"), F.col("page").cast("int").alias("page")).agg(F.array_sort(F.collect_list(line)).alias("_l"), F.greatest(F.max("_w").cast("double") * 0.018, F.lit(18.0)).alias("_apart"))
+
+    def into_row(s: Column, r: Column) -> Column:
+        near = F.transform(s["a"], lambda a: F.abs((r["top"] + r["bottom"]) / 2 - (a["top"] + a["bottom"]) / 2) <= F.greatest(r["bottom"] - r["top"], a["bottom"] - a["top"]) * 0.55)
+        at = F.array_position(near, True).cast("int") - 1
+        grown = F.transform(s["a"], lambda a, i: F.when(i == at, F.struct(F.least(a["top"], r["top"]).alias("top"), F.greatest(a["bottom"], r["bottom"]).alias("bottom"))).otherwise(a))
+        new = F.array_append(s["a"], F.struct(r["top"].alias("top"), r["bottom"].alias("bottom")))
+        return F.struct(F.when(at >= 0, grown).otherwise(new).alias("a"), F.array_append(s["out"], F.when(at >= 0, at).otherwise(F.size(s["a"]))).alias("out"))
+
+    def into_column(s: Column, left: Column) -> Column:
+        at = F.array_position(F.transform(s, lambda c: F.abs(c - left) <= F.col("_apart")), True) - 1
+        return F.when(at >= 0, F.transform(s, lambda c, i: F.when(i == at, (c + left) / 2).otherwise(c))).otherwise(F.array_append(s, left))
+
+    empty = F.struct(F.array().cast("array<struct<top:double,bottom:double>>").alias("a"), F.array().cast("array<int>").alias("out"))
+    page = page.withColumn("_r", F.aggregate("_l", empty, into_row))
+    page = page.withColumn("_c", F.array_sort(F.aggregate(F.array_sort(F.col("_l.left")), F.array().cast("array<double>"), into_column)))
+    # rows by their tops, equal ones as they came
+    tops = F.array_sort(F.transform(F.col("_r.a"), lambda a, i: F.struct(a["top"].alias("top"), i.alias("i"))))
+    page = page.withColumn("_o", F.transform(tops, lambda t: t["i"]))
+    lines = page.select("file_id", "page", "_apart", "_c", "_o", F.explode(F.arrays_zip("_l", F.col("_r.out").alias("at"))).alias("_z"))
+    lines = lines.withColumn("row", F.array_position("_o", F.col("_z.at")).cast("int") - 1)
+    row = lines.groupBy("file_id", "page", "row", "_apart", "_c").agg(F.array_sort(F.collect_list(F.struct("_z._l.left", "_z._l.top", "_z._l.idx", "_z._l.text"))).alias("_l"))
+
+    def put(s: Column, r: Column) -> Column:
+        away = F.transform(F.col("_c"), lambda c: F.abs(c - r["left"]))
+        near = F.array_position(away, F.array_min(away)).cast("int") - 1
+        taken = lambda k: F.exists(s, lambda x: x["c"] == k)
+        free = F.get(F.filter(F.sequence(near + 1, F.size("_c")), lambda k: (k < F.size("_c")) & ~taken(k)), F.lit(0))
+        at = F.when(taken(near) & free.isNotNull() & (r["left"] - F.get(F.col("_c"), near) > F.col("_apart")), free).otherwise(near)
+        joined = F.transform(s, lambda x: F.when(x["c"] == at, F.struct(x["c"].alias("c"), F.concat(x["t"], F.lit(" "), r["text"]).alias("t"))).otherwise(x))
+        return F.when(taken(at), joined).otherwise(F.array_append(s, F.struct(at.alias("c"), r["text"].alias("t"))))
+
+    cells = F.aggregate("_l", F.array().cast("array<struct<c:int,t:string>>"), put)
+    return row.select("file_id", "page", "row", F.explode(cells).alias("_x")).select("file_id", "page", "row", F.col("_x.c").alias("column"), F.col("_x.t").alias("text"))

@@ -13,10 +13,15 @@ from quarry.plans.registry import query
 #: A customer is a file of 1 to 7 pages.
 PAGES_SQL = """p AS (SELECT c_custkey AS file_id, g::INTEGER AS page, (c_custkey % 7 + 1)::INTEGER AS total, 300.0::DOUBLE + (c_custkey * 13 + g * 31) % 500 AS width, 400.0::DOUBLE + (c_custkey * 7 + g * 57) % 700 AS height, (c_custkey % 4 * 90)::INTEGER AS rotation
   FROM customer, range(1, 8) r(g) WHERE g <= c_custkey % 7 + 1)"""
-#: A document's first words as runs: five a row in a staircase of up to 6 points, two pages of 4 rows.
-RUNS_SQL = r"""t AS (SELECT doc_id AS file_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')[1:40] AS w FROM documents),
-r AS (SELECT file_id, (i - 1) // 20 + 1 AS page, i - 1 AS idx, (i - 1) // 5 % 4 AS line, (i - 1) % 5 AS col, w[i] AS text FROM t, range(1, 41) g(i) WHERE i <= len(w)),
-runs AS (SELECT *, col * 60.0 + (file_id + idx) % 3 * 9 AS x, line * 30.0 + (idx * 7 + file_id) % 4 * 1.5 AS y, 40.0 AS wide FROM r)"""
+#: A document's words as runs: five a row in a staircase of up to 4.5 points, four rows a page, the second and fourth close below the row before.
+RUNS_SQL = r"""t AS (SELECT doc_id AS file_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+r AS (SELECT file_id, (i - 1) // 20 + 1 AS page, i - 1 AS idx, (i - 1) // 5 % 4 AS line, (i - 1) % 5 AS col, w[i] AS text FROM (SELECT file_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+runs AS (SELECT *, col * 60.0 + (file_id + idx) % 3 * 9 AS x, line // 2 * 60.0 + line % 2 * 16.0 + (idx * 7 + file_id) % 4 * 1.5 AS y, 40.0 AS wide FROM r)"""
+#: The runs' lines, and blocks of lines that stand near to each other.
+LINES_SQL = RUNS_SQL + """, o AS (SELECT *, lag(x + wide) OVER (PARTITION BY file_id, page, line ORDER BY x, idx) AS before, CASE WHEN idx < 5 THEN 24 ELSE 10 END AS size FROM runs),
+l AS (SELECT file_id, page, line, string_agg(CASE WHEN before IS NULL THEN '' WHEN x - before > greatest(size * 0.16, 1) THEN ' ' ELSE '' END || text, '' ORDER BY x, idx) AS text, min(y) AS y, max(size) AS size, min(idx) AS i, bool_and(idx BETWEEN 20 AND 24) AS bold FROM o GROUP BY ALL),
+g AS (SELECT *, coalesce(y - lag(y) OVER (PARTITION BY file_id, page ORDER BY line) > 12 * 1.45::DOUBLE, false)::INTEGER AS gap FROM l),
+lined AS (SELECT *, (sum(gap) OVER (PARTITION BY file_id, page ORDER BY line ROWS UNBOUNDED PRECEDING))::INTEGER AS block FROM g)"""
 
 
 def page_table(customers: DataFrame) -> DataFrame:
@@ -27,10 +32,11 @@ def page_table(customers: DataFrame) -> DataFrame:
 
 
 def run_table(documents: DataFrame) -> DataFrame:
-    words = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != ""), 1, 40)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
     d = documents.where("text is not null").select(F.col("doc_id").alias("file_id"), F.posexplode(words).alias("idx", "text"))
     i, k = F.col("idx"), F.col("file_id")
-    d = d.withColumn("page", F.floor(i / 20).cast("int") + 1).withColumn("x", (i % 5 * 60 + (k + i) % 3 * 9).cast("double")).withColumn("y", F.floor(i / 5) % 4 * 30 + (i * 7 + k) % 4 * 1.5)
+    line = F.floor(i / 5) % 4
+    d = d.withColumn("page", F.floor(i / 20).cast("int") + 1).withColumn("x", (i % 5 * 60 + (k + i) % 3 * 9).cast("double")).withColumn("y", F.floor(line / 2) * 60 + line % 2 * 16 + (i * 7 + k) % 4 * 1.5)
     return d.withColumns({"w": F.lit(40.0), "h": F.lit(12.0), "size": F.when(i < 5, 24.0).otherwise(10.0), "weight": F.when((i >= 20) & (i < 25), "bold").otherwise("normal")})
 
 
@@ -122,11 +128,16 @@ def pages_per_sheet(d, read):
     return page_table(d).select("file_id", "page", *[s[k].alias(k) for k in ("sheet", "slot", "x", "y", "scale")])
 
 
-@query("customer", f"""WITH {PAGES_SQL} , s AS (SELECT file_id, page, least(1.0::DOUBLE, 976.0::DOUBLE / least(width, 976), 1976.0::DOUBLE / least(height, 1976)) AS scale, width, height FROM p),
-o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY page) AS n FROM s)
-SELECT file_id, page, scale FROM o""")
+@query("customer", f"""WITH RECURSIVE {PAGES_SQL}, s AS (SELECT file_id, page, total, least(1.0::DOUBLE, 976.0::DOUBLE / width, 976.0::DOUBLE / height) AS scale, width, height FROM p),
+f AS (SELECT file_id, 0 AS page, 1 AS total, 0 AS sheet, 0 AS n, 0.0::DOUBLE AS along, 0.0::DOUBLE AS used, 0.0::DOUBLE AS band, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 1.0::DOUBLE AS scale FROM (SELECT DISTINCT file_id FROM p)
+  UNION ALL SELECT file_id, page, total, sheet + turns, CASE WHEN turns = 1 THEN 1 ELSE n + 1 END, along + w + 8, used, greatest(band, h), 12 + along, 12 + used, scale FROM (
+    SELECT file_id, page, total, scale, w, h, sheet, n, (CASE WHEN used + h > 976 AND n > 0 THEN 1 ELSE 0 END)::INTEGER AS turns, CASE WHEN used + h > 976 AND n > 0 THEN 0 ELSE used END AS used, CASE WHEN used + h > 976 AND n > 0 THEN 0 ELSE band END AS band, CASE WHEN used + h > 976 AND n > 0 THEN 0 ELSE along END AS along FROM (
+      SELECT s.file_id, s.page, s.total, s.scale, s.width * s.scale AS w, s.height * s.scale AS h, f.sheet, f.n, CASE WHEN f.n > 0 AND f.along + 8 + s.width * s.scale > 976 THEN f.used + f.band + 8 ELSE f.used END AS used, CASE WHEN f.n > 0 AND f.along + 8 + s.width * s.scale > 976 THEN 0 ELSE f.band END AS band, CASE WHEN f.n > 0 AND f.along + 8 + s.width * s.scale > 976 THEN 0 ELSE f.along END AS along
+      FROM f JOIN s ON s.file_id = f.file_id AND s.page = f.page + 1)))
+SELECT file_id, page::INTEGER AS page, sheet::INTEGER AS sheet, x, y, scale FROM f WHERE page > 0""")
 def shelf_scales(d, read):
-    return pages.on_shelves(page_table(d), ["file_id"], "page", (1000.0, 2000.0)).select("file_id", "page", "scale")
+    """Sheet, place and scale of each page on shelves of a sheet that holds several."""
+    return pages.on_shelves(page_table(d), ["file_id"], "page", (1000.0, 1000.0)).select("file_id", "page", "sheet", "x", "y", "scale")
 
 
 @query("customer", f"""WITH {PAGES_SQL}, i AS (SELECT *, CASE WHEN file_id % 11 = 0 AND page = 2 THEN NULL ELSE (file_id * 5 + page * 3) % 7 / 100.0 END AS ink FROM p),
@@ -172,17 +183,15 @@ def pdf_to_csv(d, read):
     return layout.csv_rows(layout.cells(layout.clustered(run_table(d)), -100.0)).select("file_id", "seq", "line")
 
 
-@query("documents", f"""WITH {RUNS_SQL}, o AS (SELECT *, lag(x + wide) OVER (PARTITION BY file_id, page, line ORDER BY x, idx) AS before, CASE WHEN idx < 5 THEN 24 ELSE 10 END AS size FROM runs)
-SELECT file_id, page, line::INTEGER AS row, string_agg(CASE WHEN before IS NULL THEN '' WHEN x - before > greatest(size * 0.16, 1) THEN ' ' ELSE '' END || text, '' ORDER BY x, idx) AS text, line::INTEGER AS block FROM o GROUP BY ALL""")
+@query("documents", f"""WITH {LINES_SQL} SELECT file_id, page, line::INTEGER AS row, text, block FROM lined""")
 def text_lines(d, read):
     return layout.lines(layout.clustered(run_table(d))).select("file_id", F.col("page").cast("long").alias("page"), "row", "text", "block")
 
 
-@query("documents", f"""WITH {RUNS_SQL}, o AS (SELECT *, lag(x + wide) OVER (PARTITION BY file_id, page, line ORDER BY x, idx) AS before, CASE WHEN idx < 5 THEN 24 ELSE 10 END AS size FROM runs),
-l AS (SELECT file_id, page, line, max(size) AS size, min(idx) AS i, length(string_agg(CASE WHEN before IS NULL THEN '' WHEN x - before > greatest(size * 0.16, 1) THEN ' ' ELSE '' END || text, '' ORDER BY x, idx)) AS n, bool_and(idx BETWEEN 20 AND 24) AS bold FROM o GROUP BY ALL),
-b AS (SELECT file_id, arg_max(size, (s, -f)) AS body FROM (SELECT file_id, size, sum(n) AS s, min(i) AS f FROM l GROUP BY 1, 2) GROUP BY 1)
-SELECT file_id, page, line::INTEGER AS block, CASE WHEN n <= 120 AND size / body >= 1.7 THEN 1 WHEN n <= 120 AND size / body >= 1.35 THEN 2 WHEN n <= 120 AND size / body >= 1.12 THEN 3 WHEN bold AND n <= 60 AND size / body >= 0.95 THEN 4 ELSE 0 END::INTEGER AS level
-FROM l JOIN b USING (file_id)""")
+@query("documents", f"""WITH {LINES_SQL}, s AS (SELECT file_id, arg_max(size, (n, -f)) AS body FROM (SELECT file_id, size, sum(length(text)) AS n, min(i) AS f FROM lined GROUP BY 1, 2) GROUP BY 1),
+b AS (SELECT file_id, page, block, count(*) AS lines, any_value(length(text)) AS n, arg_min(size, line) AS size, arg_min(bold, line) AS bold FROM lined GROUP BY ALL)
+SELECT file_id, page, block, CASE WHEN lines > 1 THEN 0 WHEN n <= 120 AND size / body >= 1.7 THEN 1 WHEN n <= 120 AND size / body >= 1.35 THEN 2 WHEN n <= 120 AND size / body >= 1.12 THEN 3 WHEN bold AND n <= 60 AND size / body >= 0.95 THEN 4 ELSE 0 END::INTEGER AS level
+FROM b JOIN s USING (file_id)""")
 def headings(d, read):
     return layout.blocks(layout.lines(layout.clustered(run_table(d)))).select("file_id", F.col("page").cast("long").alias("page"), "block", "level")
 
@@ -195,14 +204,12 @@ def extract_text(d, read):
     return layout.document_text(d.select(F.col("conv_id").alias("file_id"), (F.col("turn") + 1).alias("page"), "text")).select(F.col("file_id").alias("conv_id"), "text")
 
 
-@query("documents", f"""WITH {RUNS_SQL}, c AS (SELECT file_id, page, line AS row, col AS "column", text FROM runs)
-SELECT file_id, page::INTEGER AS page, row::INTEGER AS row, "column"::INTEGER AS "column", text FROM c WHERE page = 1 AND row < 2 AND file_id % 3 = 0""")
+@query("documents", f"""WITH {RUNS_SQL} SELECT file_id, page::INTEGER AS page, line::INTEGER AS row, col::INTEGER AS "column", text FROM runs""")
 def recognized_tables(d, read):
-    """Boxes of the runs of first pages, of which rows and columns stand apart; every third document has them."""
-    r = run_table(d).where("page = 1 and idx < 10 and file_id % 3 = 0")
-    boxes = r.select("file_id", "page", "idx", "text", (F.col("idx") % 5 * 60).alias("left"), "y", (F.col("x") + 40).alias("right"))
-    boxes = boxes.withColumn("top", F.col("y")).withColumn("bottom", F.col("y") + 12)
-    return layout.recognized_tables(boxes)
+    """Boxes of the runs, whose left edges waver by less than columns stand apart."""
+    r = run_table(d)
+    left = F.col("idx") % 5 * 60 + (F.col("idx") + F.col("file_id")) % 4 * 4
+    return layout.recognized_tables(r.select("file_id", "page", "idx", "text", left.alias("left"), (left + 40).alias("right"), F.col("y").alias("top"), (F.col("y") + 12).alias("bottom")))
 
 
 @query("customer", "SELECT c_custkey, chr(34) || c_name || '; ' || c_mktsegment || chr(34) || ',' || c_nationkey || ',' || CASE WHEN c_custkey % 2 = 0 THEN repeat(chr(34), 1) || 'a ' || repeat(chr(34), 2) || 'b' || repeat(chr(34), 3) ELSE '' END AS line FROM customer")
@@ -218,10 +225,12 @@ def rotate_pages(d, read):
     return p.select("file_id", "page", pages.turned(F.col("rotation"), F.when(named, 270).otherwise(0)).alias("rotation"))
 
 
-@query("documents", f"""WITH {RUNS_SQL}, c AS (SELECT file_id, page, line, string_agg(CASE WHEN regexp_matches(text, '[",;]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END, ',' ORDER BY x, idx) AS t FROM runs WHERE page = 1 GROUP BY ALL)
-SELECT file_id, chr(65279) || string_agg(t, chr(13) || chr(10) ORDER BY line) || chr(13) || chr(10) AS text FROM c GROUP BY 1""")
+@query("documents", f"""WITH {RUNS_SQL}, c AS (SELECT file_id, page, line, string_agg(CASE WHEN regexp_matches(text, '[",;]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END, ',' ORDER BY x, idx) AS t FROM runs GROUP BY ALL),
+n AS (SELECT *, count(DISTINCT page) OVER (PARTITION BY file_id) AS pages FROM c),
+f AS (SELECT file_id, page, line, t FROM n UNION ALL SELECT DISTINCT file_id, page, -1, '# page ' || page FROM n WHERE pages > 1 UNION ALL SELECT DISTINCT file_id, page, 99, '' FROM n WHERE pages > 1)
+SELECT file_id, chr(65279) || string_agg(t, chr(13) || chr(10) ORDER BY page, line) || chr(13) || chr(10) AS text FROM f GROUP BY 1""")
 def csv_documents(d, read):
-    return layout.csv_document(layout.csv_rows(layout.cells(layout.clustered(run_table(d).where("page = 1")), -100.0)))
+    return layout.csv_document(layout.csv_rows(layout.cells(layout.clustered(run_table(d)), -100.0)))
 
 
 @query("part", """
