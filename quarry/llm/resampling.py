@@ -20,11 +20,9 @@ result; an empty target counts as T = 0. Other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,38 +36,47 @@ DIGIT, SIGN = 14, 1 << 63
 KEY = ["score", "doc_id", "n_features"]
 
 
-@functools.lru_cache(1 << 18)
-def bucket(feature: bytes, buckets: int) -> int:
-    return zlib.crc32(feature) % buckets
+class Buckets(dict):
+    """The bucket of each feature; what is known is forgotten when there are MOST of them."""
 
+    MOST = 1 << 18
 
-def counted(text: bytes | None, longest: int, buckets: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """How many words there are; buckets of the text's features and how many features are in each (a bucket may come more than once)."""
+    def __init__(self, count: int):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, feature: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[feature] = k = zlib.crc32(feature) % self.count
+        return k
+
+
+def places(text: bytes | None, longest: int, known: Buckets) -> tuple[int, np.ndarray]:
+    """How many words a text has, and the buckets of its features."""
     if not text:
-        return 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n, tail, places, counts = 0, [], [], []
+        return 0, np.zeros(0, np.int64)
+    n, tail, out = 0, [], []
     for part in chunks(text):
         n += len(part)
-        found = Counter(part)
+        out.append(np.fromiter(map(known.__getitem__, part), np.int64, len(part)))
         if longest > 1:
             both = tail + part
             for k in range(2, longest + 1):  # runs that end in this part
-                found.update(b" ".join(both[i - k + 1 : i + 1]) for i in range(max(len(tail), k - 1), len(both)))
+                runs = [b" ".join(both[i - k + 1 : i + 1]) for i in range(max(len(tail), k - 1), len(both))]
+                out.append(np.fromiter(map(known.__getitem__, runs), np.int64, len(runs)))
             tail = both[-(longest - 1) :]
-        places.append(np.fromiter((bucket(w, buckets) for w in found), np.int64, len(found)))
-        counts.append(np.fromiter(found.values(), np.int64, len(found)))
-    return n, np.concatenate(places), np.concatenate(counts)
+    return n, np.concatenate(out)
 
 
 def bucket_counts(texts: DataFrame, longest: int, buckets: int) -> np.ndarray:
     """Features in each bucket, of all rows of texts (text)."""
 
     def run(batches):
-        total = np.zeros(buckets, np.int64)
+        total, known = np.zeros(buckets, np.int64), Buckets(buckets)
         for batch in sliced(batches):
             for text in batch.column(0):
-                _, places, counts = counted(text.as_py(), longest, buckets)
-                np.add.at(total, places, counts)
+                total += np.bincount(places(text.as_py(), longest, known)[1], minlength=buckets)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["bucket", "n"])
 
@@ -96,12 +103,13 @@ def scored(docs: DataFrame, gain: np.ndarray, longest: int = 1, seed: int = 2024
     buckets = len(gain)
 
     def run(batches):
+        known = Buckets(buckets)
         for batch in sliced(batches):
             ids, out = batch.column(0).to_pylist(), []
             for doc_id, text in zip(ids, batch.column(1), strict=True):
-                n, places, counts = counted(text.as_py(), longest, buckets)
-                weight = int(gain[places] @ counts)
-                out.append((n, int(counts.sum()), weight, weight + noise(doc_id, seed)))
+                n, at = places(text.as_py(), longest, known)
+                weight = int(gain[at].sum())
+                out.append((n, len(at), weight, weight + noise(doc_id, seed)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], pa.int64()) for k in range(4))], ["doc_id", "n_words", "n_features", "weight", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
