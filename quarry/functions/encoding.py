@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64 as _b64
 import hashlib
 import hmac as _hmac
+import math
 
 import pandas as pd
 from pyspark.sql import Column
@@ -90,14 +91,25 @@ def radix(data: Column, alphabet: str) -> Column:
 
     @F.pandas_udf(StringType())
     def convert(values: pd.Series) -> pd.Series:
+        base = len(alphabet)
+
+        def digits(n: int, count: int) -> str:
+            """`count` digits of n; halves are taken apart first, so a long text takes far less than the square of its length."""
+            if count <= 32:
+                out = []
+                for _ in range(count):
+                    n, k = divmod(n, base)
+                    out.append(alphabet[k])
+                return "".join(reversed(out))
+            high, low = divmod(n, base ** (count // 2))
+            return digits(high, count - count // 2) + digits(low, count // 2)
+
         def one(b):
             if b is None:
                 return None
-            n, out = int.from_bytes(b, "big"), []
-            while n:
-                n, k = divmod(n, len(alphabet))
-                out.append(alphabet[k])
-            return alphabet[0] * (len(b) - len(b.lstrip(b"\0"))) + "".join(reversed(out))
+            n = int.from_bytes(b, "big")
+            most = int(n.bit_length() / math.log2(base)) + 2
+            return alphabet[0] * (len(b) - len(b.lstrip(b"\0"))) + digits(n, most).lstrip(alphabet[0])
 
         return values.map(one)
 
@@ -170,26 +182,41 @@ def totp(secret: Column, at_second: Column, digits: int = 6, period: int = 30, a
     return code(secret, at_second)
 
 
-def from_radix(text: Column, alphabet: str) -> Column:
-    """Bytes of text that radix() wrote; null if it has other characters. 32 signs by bits, any other number as one big number."""
+def from_radix(text: Column, alphabet: str, crockford: bool = False) -> Column:
+    """Bytes of a number in an alphabet, white space left out; null if it is empty or has other characters.
+
+    32 signs are read by bits, in small letters too, without hyphens and `=`; bits that are over must be 0 and fewer than
+    a sign's. crockford: I and L are 1, O is 0. Any other number of signs is one big number, in small letters
+    too if the alphabet has capitals or small letters only.
+    """
+    by_bits, fold = len(alphabet) == 32, len(alphabet) == len(set(alphabet.lower()))
 
     @F.pandas_udf(BinaryType())
     def convert(values: pd.Series) -> pd.Series:
-        place = {c: k for k, c in enumerate(alphabet)}
+        base, place = len(alphabet), {c: k for k, c in enumerate(alphabet)}
+        if fold:
+            place |= {f(c): k for c, k in list(place.items()) for f in (str.upper, str.lower)}
+        if by_bits and crockford:
+            place |= {c: place["1"] for c in "IiLl"} | {c: place["0"] for c in "Oo"}
+
+        def number(digits: list[int]) -> int:
+            if len(digits) <= 32:
+                n = 0
+                for k in digits:
+                    n = n * base + k
+                return n
+            half = len(digits) // 2
+            return number(digits[:-half]) * base**half + number(digits[-half:])
 
         def one(t):
-            if t is None or any(c not in place for c in t):
+            bare = None if t is None else "".join(c for c in t if c not in " \t\n\f\r" and not (by_bits and c in "-="))
+            if not bare or any(c not in place for c in bare):
                 return None
-            if len(alphabet) == 32:
-                n = 0
-                for c in t:
-                    n = n * 32 + place[c]
-                size = len(t) * 5 // 8
-                return (n >> (len(t) * 5 - size * 8)).to_bytes(size, "big")
-            n = 0
-            for c in t:
-                n = n * len(alphabet) + place[c]
-            return b"\0" * (len(t) - len(t.lstrip(alphabet[0]))) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+            n = number([place[c] for c in bare])
+            if by_bits:
+                over = len(bare) * 5 % 8
+                return None if over >= 5 or n & ((1 << over) - 1) else (n >> over).to_bytes(len(bare) * 5 // 8, "big")
+            return b"\0" * (len(bare) - len(bare.lstrip(alphabet[0]))) + n.to_bytes((n.bit_length() + 7) // 8, "big")
 
         return values.map(one)
 
@@ -210,25 +237,35 @@ def from_binary_text(bits: Column) -> Column:
 
 
 #: Characters that have a name in HTML text.
-ENTITIES = {"&": "amp", "<": "lt", ">": "gt", '"': "quot", "'": "apos", "\u00a0": "nbsp", "\u00a9": "copy", "\u00ae": "reg", "\u2122": "trade", "\u20ac": "euro", "\u00a3": "pound", "\u00a5": "yen", "\u00a2": "cent"}
+ENTITIES = {
+    "&": "amp", "<": "lt", ">": "gt", '"': "quot", "'": "apos", "\u00a0": "nbsp", "\u00a1": "excl", "£": "pound", "¥": "yen", "§": "sect", "©": "copy", "®": "reg", "°": "deg", "±": "plusmn", "·": "middot",
+    "×": "times", "÷": "divide", "–": "ndash", "—": "mdash", "‘": "lsquo", "’": "rsquo", "“": "ldquo", "”": "rdquo", "†": "dagger", "•": "bull", "…": "hellip", "‰": "permil", "€": "euro", "™": "trade",
+}
 
 
 def escape_html(text: Column, numeric: bool = False) -> Column:
-    """Named entities of the characters that have one, or all of them and everything beyond ASCII as numbers."""
-    if not numeric:
-        for c, name in ENTITIES.items():
-            text = F.replace(text, F.lit(c), F.lit(f"&{name};"))
-        return text
-    units = F.regexp_extract_all(text, F.lit(r"(?s)(.)"), F.lit(1))
+    """All but printable ASCII as numbers, and, unless numeric, the characters that have a name by it."""
+    named = [] if numeric else list(ENTITIES.items())
+    for c, name in named:
+        text = F.replace(text, F.lit(c), F.lit(f"&{name};"))
+    others = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)([^\x20-\x7e])"), F.lit(1)))
     number = lambda u: F.conv(F.hex(F.encode(u, "UTF-32")), 16, 10)
-    return F.array_join(F.transform(units, lambda u: F.when(u.isin(*"&<>\"'") | (u > "\x7f"), F.concat(F.lit("&#"), number(u), F.lit(";"))).otherwise(u)), "")
+    return F.aggregate(others, text, lambda s, u: F.replace(s, u, F.concat(F.lit("&#"), number(u), F.lit(";"))))
 
 
 def unescape_html(text: Column) -> Column:
-    """Characters of named entities; those of & last, so that nothing is read twice."""
-    for c, name in reversed(ENTITIES.items()):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(c))
-    return text
+    """Characters of named and numeric entities; what stands between & and the next ; and is neither stays. Null if a number is no character."""
+    tokens = F.regexp_extract_all(text, F.lit(r"(?s)(&[^;]*;|[^&]+|&)"), F.lit(1))
+    names = F.create_map(*[F.lit(x) for c, name in ENTITIES.items() for x in (f"&{name};", c)])
+    digits = lambda t, k: F.regexp_extract(t, r"^&#(?:[xX]([0-9A-Fa-f]+)|([0-9]+));$", k)
+
+    def one(t: Column) -> Column:
+        code = F.coalesce(F.conv(digits(t, 1), 16, 10), F.conv(digits(t, 2), 10, 10)).try_cast("long")
+        good = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        return F.when(t.rlike(r"^&#(?:[xX][0-9A-Fa-f]+|[0-9]+);$"), F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(F.coalesce(F.try_element_at(names, t), t))
+
+    said = F.transform(tokens, one)
+    return F.when(~F.exists(said, lambda t: t.isNull()), F.array_join(said, ""))
 
 
 def jwt_parts(token: Column) -> Column:

@@ -24,11 +24,11 @@ def roll_to_workday(d, read):
     return d.select("o_orderkey", rel.rolled(F.to_date("o_orderdate"), HOLIDAYS).alias("rolled"))
 
 
-@query("orders", f"""WITH {REST_SQL}, o AS (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 25)::INTEGER AS b FROM orders WHERE o_orderkey % 10 < 5),
+@query("orders", f"""WITH {REST_SQL}, o AS (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 25)::INTEGER AS b FROM orders),
 d AS (SELECT o_orderkey, day, w.day - (row_number() OVER (PARTITION BY o_orderkey ORDER BY day))::INTEGER AS g FROM o JOIN w ON day BETWEEN a AND b)
 SELECT o_orderkey, min(day) AS first, max(day) AS last, count(*) AS length FROM d GROUP BY o_orderkey, g""")
 def workday_ranges(d, read):
-    o = d.where("o_orderkey % 10 < 5").select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.expr("date_add(to_date(o_orderdate), cast(o_orderkey % 25 as int))").alias("b"))
+    o = d.select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.expr("date_add(to_date(o_orderdate), cast(o_orderkey % 25 as int))").alias("b"))
     return rel.work_ranges(o, ["o_orderkey"], "a", "b", HOLIDAYS)
 
 
@@ -55,12 +55,17 @@ cron_query("cron_day_or_week", "0,30 6 L * 5L", "g = last_day(g) OR dayofweek(g)
 
 
 @query("documents", """
-WITH c AS (SELECT doc_id, encode(left(text, 1)) AS b FROM documents WHERE text <> ''), b AS (SELECT doc_id, substr(sha1(b::VARCHAR), 1, 0) || lower(hex(b)) AS h FROM c)
-SELECT doc_id, h AS hex, true AS b32_back, true AS b58_back, true AS b36_back FROM b""")
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, md5(coalesce(text, '')) AS m FROM documents),
+bits AS (SELECT doc_id, list_aggregate(list_transform(string_split(h, ''), lambda x: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][(strpos('0123456789ABCDEF', x))::BIGINT]), 'string_agg', '') AS b FROM t WHERE h <> ''),
+signs AS (SELECT doc_id, list_aggregate(list_transform(regexp_extract_all(b, '.{1,5}'), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_position(five, rpad(g, 5, '0')), 1)), 'string_agg', '') AS s
+  FROM bits, (SELECT list(lpad(bin(i), 5, '0') ORDER BY i) AS five FROM range(32) r(i))),
+n AS (SELECT doc_id, m, ('0x' || m)::UHUGEINT AS v, '' AS s FROM t UNION ALL SELECT doc_id, m, v // 58, substr('123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz', (v % 58 + 1)::BIGINT, 1) || s FROM n WHERE v > 0)
+SELECT t.doc_id, coalesce(signs.s, '') AS b32, repeat('1', (length(t.m) - length(ltrim(t.m, '0'))) // 2) || n.s AS b58, CASE WHEN t.t <> '' THEN t.t END AS b32_back, CASE WHEN t.t <> '' THEN t.t END AS b36_back
+FROM t JOIN n USING (doc_id) LEFT JOIN signs USING (doc_id) WHERE n.v = 0""")
 def radix_round_trip(d, read):
-    b = enc.as_bytes(F.substring("text", 1, 1))
-    back = lambda a: (enc.from_radix(enc.radix(b, a), a) == b)
-    return d.where("text <> ''").select("doc_id", enc.to_hex(b).alias("hex"), back(enc.BASE32).alias("b32_back"), back(enc.BASE58).alias("b58_back"), back(enc.BASE36).alias("b36_back"))
+    """Whole texts in base 32 and back, small letters read too, and in base 36 and back; their digests in base 58."""
+    t = d.select("doc_id", enc.as_bytes(F.coalesce("text", F.lit(""))).alias("b")).withColumn("b32", enc.radix(F.col("b"), enc.BASE32))
+    return t.select("doc_id", "b32", enc.radix(F.unhex(F.md5("b")), enc.BASE58).alias("b58"), enc.from_radix(F.lower("b32"), enc.BASE32).cast("string").alias("b32_back"), enc.from_radix(enc.radix(F.col("b"), enc.BASE36), enc.BASE36).cast("string").alias("b36_back"))
 
 
 @query("customer", """
@@ -74,13 +79,22 @@ def radix_numbers(d, read):
     return d.select("c_custkey", enc.radix(b, enc.BASE36).alias("base36"), enc.radix(b, enc.BASE58).alias("base58"))
 
 
-@query("benchmark", r"""
-SELECT item_id, list_aggregate([CASE WHEN unicode(c) < 128 THEN c ELSE '\u' || lower(printf('%04X', unicode(c))) END for c in string_split(text, '')], 'string_agg', '') AS escaped, true AS back,
-  replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') AS html FROM benchmark""")
+#: Each character that has a name, with the name, as text of the SQL.
+NAMED_SQL = ", ".join(f"({ord(c)}, '{name}')" for c, name in enc.ENTITIES.items())
+
+
+@query("documents", rf"""
+WITH names AS (SELECT map_from_entries(list((c, n))) AS named FROM (VALUES {NAMED_SQL}) v(c, n)),
+t AS (SELECT doc_id, '€' || chr((160 + doc_id % 700)::INTEGER) || coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, t, string_split(t, '') AS c FROM t)
+SELECT doc_id, list_aggregate(list_transform(c, lambda x: CASE WHEN unicode(x) < 128 THEN x WHEN unicode(x) < 65536 THEN '\u' || lower(printf('%04X', unicode(x))) ELSE '\u' || lower(printf('%04X', 55296 + (unicode(x) - 65536) // 1024)) || '\u' || lower(printf('%04X', 56320 + (unicode(x) - 65536) % 1024)) END), 'string_agg', '') AS escaped, t AS back,
+  list_aggregate(list_transform(c, lambda x: CASE WHEN named[unicode(x)] IS NOT NULL THEN '&' || named[unicode(x)] || ';' WHEN unicode(x) BETWEEN 32 AND 126 THEN x ELSE '&#' || unicode(x) || ';' END), 'string_agg', '') AS html, t AS html_back FROM c, names""")
 def unicode_escape(d, read):
-    e, t = enc.escape_unicode(F.col("text")), F.col("text")
-    html = enc.escape_html(t)
-    return d.select("item_id", e.alias("escaped"), (enc.unescape_unicode(e) == t).alias("back"), html.alias("html"))
+    """Whole texts, behind two characters that aren't ASCII, escaped in two ways and read again."""
+    code = F.lpad(F.hex(160 + F.col("doc_id") % 700), 8, "0")
+    t = d.select("doc_id", F.concat(F.lit("€"), F.decode(F.unhex(code), "UTF-32"), F.coalesce("text", F.lit(""))).alias("t"))
+    t = t.withColumn("escaped", enc.escape_unicode(F.col("t"))).withColumn("html", enc.escape_html(F.col("t")))
+    return t.select("doc_id", "escaped", enc.unescape_unicode(F.col("escaped")).alias("back"), "html", enc.unescape_html(F.col("html")).alias("html_back"))
 
 
 @query("nation", "SELECT n_nationkey, n_name AS back, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE 'é' END AS other FROM nation")
@@ -89,12 +103,12 @@ def binary_decode(d, read):
 
 
 @query("customer", """
-SELECT c_custkey, '0000:0000:0000:' || lpad(printf('%x', c_custkey), 4, '0') || ':0000:0000:' || lpad(printf('%x', c_custkey * 7 % 65536), 4, '0') || ':0001' AS full_form,
-  CASE WHEN c_custkey = 0 THEN '::1' ELSE '::' || printf('%x', c_custkey) || ':0:0:' || printf('%x', c_custkey * 7 % 65536) || ':1' END AS short FROM customer WHERE c_custkey < 65536""")
+SELECT c_custkey, '0000:0000:0000:' || lpad(printf('%x', c_custkey % 65536), 4, '0') || ':0000:0000:' || lpad(printf('%x', c_custkey * 7 % 65536), 4, '0') || ':0001' AS full_form,
+  CASE WHEN c_custkey % 65536 = 0 THEN '::1' ELSE '::' || printf('%x', c_custkey % 65536) || ':0:0:' || printf('%x', c_custkey * 7 % 65536) || ':1' END AS short FROM customer""")
 def ipv6_convert(d, read):
     h = lambda c: F.lower(F.hex(c))
-    written = F.concat(F.lit("0:0::"), h(F.col("c_custkey")), F.lit(":00:0:"), h(F.col("c_custkey") * 7 % 65536), F.lit(":1"))
-    return d.where("c_custkey < 65536").select("c_custkey", net.ipv6_expand(written).alias("full_form"), net.ipv6_compress(written).alias("short"))
+    written = F.concat(F.lit("0:0::"), h(F.col("c_custkey") % 65536), F.lit(":00:0:"), h(F.col("c_custkey") * 7 % 65536), F.lit(":1"))
+    return d.select("c_custkey", net.ipv6_expand(written).alias("full_form"), net.ipv6_compress(written).alias("short"))
 
 
 @query("customer", "SELECT c_custkey, 'v=spf1 mx' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' ip4:10.0.0.' || c_custkey % 256 END || ' include:' || lower(c_mktsegment) || '.example ~all' AS spf, 'v=DMARC1; p=' || CASE c_custkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'reject' ELSE 'quarantine' END || '; pct=' || least(100, c_custkey % 130) || CASE WHEN c_custkey % 2 = 0 THEN '; rua=mailto:a' || c_custkey || '@x.example' ELSE '' END AS dmarc FROM customer")
