@@ -81,17 +81,9 @@ def from_hex(text: Column) -> Column:
 
 def radix(data: Column, alphabet: str) -> Column:
     """Big-endian number of the bytes in an alphabet of 32 (by bits) or any other size (leading zero bytes kept as its first digit)."""
-    if len(alphabet) == 32:
-        bits = F.hex(data)
-        for k in range(16):
-            bits = F.replace(bits, F.lit(f"{k:X}"), F.lit("".join("yz"[int(x)] for x in f"{k:04b}")))
-        groups = F.regexp_extract_all(F.rpad(bits, (F.ceil(F.length(bits) / 5) * 5).cast("int"), "y"), F.lit("(.{5})"), F.lit(1))
-        digit = lambda g: F.substring(F.lit(alphabet), F.conv(F.translate(g, "yz", "01"), 2, 10).cast("int") + 1, F.lit(1))
-        return F.array_join(F.transform(groups, digit), "")
-
     @F.pandas_udf(StringType())
     def convert(values: pd.Series) -> pd.Series:
-        base = len(alphabet)
+        base, signs = len(alphabet), str.maketrans(BASE32, alphabet) if len(alphabet) == 32 else {}
 
         def digits(n: int, count: int) -> str:
             """`count` digits of n; halves are taken apart first, so a long text takes far less than the square of its length."""
@@ -107,6 +99,8 @@ def radix(data: Column, alphabet: str) -> Column:
         def one(b):
             if b is None:
                 return None
+            if base == 32:
+                return _b64.b32encode(b).decode().rstrip("=").translate(signs)
             n = int.from_bytes(b, "big")
             most = int(n.bit_length() / math.log2(base)) + 2
             return alphabet[0] * (len(b) - len(b.lstrip(b"\0"))) + digits(n, most).lstrip(alphabet[0])
