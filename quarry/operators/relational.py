@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.schedules import schedule_runs
+
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key. An aggregate of the least row, combined before the shuffle, so a hot key is no single sort."""
@@ -140,93 +142,20 @@ def work_ranges(df: DataFrame, keys: list[str], start: str, end: str, holidays:
     return runs.withColumn("length", (F.datediff("last", "first") + 1).cast("long"))
 
 
-#: Schedules with a name, and names of months and weekdays.
-MACROS = {"@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0", "@daily": "0 0 * * *", "@hourly": "0 * * * *"}
+#: Names of months and weekdays in a schedule.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 WEEKDAYS = ["sun", "mon", "tue", "wed", "thu", "fri", "sat"]
 
 
-def cron_values(field: str, low: int, high: int, names: list[str] | None = None) -> list[int]:
-    """Values of a schedule field: * ? a a-b a,b with /n; names stand for numbers from `low` on."""
-    out: set[int] = set()
-    for k, name in enumerate(names or []):
-        field = re.sub(rf"(?i)\b{name}\b", str(low + k), field)
-    for part in field.split(","):
-        span, _, step = part.partition("/")
-        if span in ("*", "?"):
-            a, b = low, high
-        elif "-" in span:
-            a, b = map(int, span.split("-"))
-        else:
-            a = int(span)
-            b = high if step else a
-        if not (low <= a <= b <= high) or step and int(step) < 1:
-            raise ValueError(f"{part} is outside {low} to {high}")
-        out.update(range(a, b + 1, int(step or 1)))
-    return sorted(out)
-
-
-def cron_day(field: str, of_month: bool):
-    """A condition on a date for the day field of a schedule, or None if it fits all. Of the month: values, L, LW, nW; of the week: values (7 is Sunday), L (the last Saturday), nL, n#k."""
-    f = field.upper()
-    last = lambda d: F.dayofmonth(F.last_day(d))
-    if f in ("*", "?"):
-        return None
-    if of_month and f == "L":
-        return lambda d: F.dayofmonth(d) == last(d)
-    if of_month and f == "LW":
-        return lambda d: d == F.date_sub(F.last_day(d), F.greatest(weekday(F.last_day(d)) - 5, F.lit(0)) + F.when(weekday(F.last_day(d)) == 0, 2).otherwise(0))
-    if of_month and (m := re.fullmatch(r"(\d+)W", f)):
-
-        def nearest(d: Column) -> Column:
-            t = F.least(F.lit(int(m[1])), last(d))
-            w = weekday(F.date_add(F.trunc(d, "month"), t - 1))
-            return F.dayofmonth(d) == F.when(w == 6, F.when(t > 1, t - 1).otherwise(t + 2)).when(w == 0, F.when(t < last(d), t + 1).otherwise(t - 2)).otherwise(t)
-
-        return nearest
-    if not of_month and (m := re.fullmatch(r"([0-7]?)L", f)):
-        which = int(m[1] or 6) % 7
-        return lambda d: (weekday(d) == which) & (F.dayofmonth(d) + 7 > last(d))
-    if not of_month and (m := re.fullmatch(r"([0-7])#([1-5])", f)):
-        return lambda d: (weekday(d) == int(m[1]) % 7) & (F.floor((F.dayofmonth(d) - 1) / 7) + 1 == int(m[2]))
-    values = cron_values(field, 1, 31) if of_month else sorted({x % 7 for x in cron_values(re.sub(r"\b7\b", "7", field), 0, 7, WEEKDAYS)})
-    return lambda d: (F.dayofmonth(d) if of_month else weekday(d)).isin(*values)
-
-
-def cron_next(df: DataFrame, keys: list[str], after: str, expression: str, count: int = 5, months: int = 96) -> DataFrame:
-    """keys, run, n of the first `count` runs after each row's time, within so many months, of a schedule of five fields
-    (minute hour day month weekday), with seconds as sixth, or of a named one.
-
-    If both day and weekday are limited, either suffices. Days are looked for within the row, first in the next
-    two months, and beyond them only where these have too few; at most count + 1 days a row become times.
-    """
-    fields = MACROS.get(expression.strip().lower(), expression).split()
-    if len(fields) not in (5, 6):
-        raise ValueError(f"{expression} has {len(fields)} fields")
-    minute, hour, day, month, week = fields[:5]
-    seconds = cron_values(fields[5], 0, 59) if len(fields) == 6 else [0]
-    m, h, mon = cron_values(minute, 0, 59), cron_values(hour, 0, 23), cron_values(month, 1, 12, MONTHS)
-    by_day, by_week = cron_day(day, True), cron_day(week, False)
-    either = (lambda d: by_day(d) | by_week(d)) if by_day and by_week else by_day or by_week or (lambda d: F.lit(True))
-    fits = lambda d: F.month(d).isin(*mon) & either(d)
-    first = F.to_date("_t")
-    found = lambda to: F.slice(F.filter(F.sequence(first, to), fits), 1, count + 1)
-    rows = df.select(*keys, F.col(after).alias("_t")).where("_t is not null").withColumn("_near", found(F.date_add(first, 62)))
-    # beyond two months: the months that fit, then their days
-    starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(months)), lambda k: F.add_months(F.trunc(first, "month"), k)), lambda x: F.month(x).isin(*mon))
-    far = F.filter(F.flatten(F.transform(starts, lambda x: F.sequence(x, F.last_day(x)))), lambda d: d.between(first, F.add_months(first, months)) & either(d))
-    days = F.when(F.size("_near") > count, F.col("_near")).otherwise(F.slice(far, 1, count + 1))
-    rows = rows.withColumn("_days", days)
-    # within a day: hours, then minutes, then seconds, as far as `count` times after _t need them
-    numbers = lambda values: F.array(*map(F.lit, values))
-    since = F.when(F.to_date("_t") == F.col("_d"), F.unix_seconds("_t") - F.unix_date("_d").cast("long") * 86400).otherwise(-1)
-    rows = rows.select(*keys, "_t", F.explode("_days").alias("_d")).withColumn("_s", since)
-    hours = F.slice(F.filter(numbers(h), lambda x: x * 3600 + 3599 > F.col("_s")), 1, count + 1)
-    minutes = F.slice(F.filter(F.flatten(F.transform(hours, lambda x: F.transform(numbers(m), lambda y: x * 60 + y))), lambda x: x * 60 + 59 > F.col("_s")), 1, count + 1)
-    times = F.slice(F.filter(F.flatten(F.transform(minutes, lambda x: F.transform(numbers(seconds), lambda y: x * 60 + y))), lambda x: x > F.col("_s")), 1, count)
-    rows = rows.select(*keys, F.col("_d"), F.explode(times).alias("_at")).withColumn("run", F.timestamp_seconds(F.unix_date("_d").cast("long") * 86400 + F.col("_at")))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("run")))
-    return rows.where(F.col("n") <= count).select(*keys, "run", "n")
+def cron_next(df: DataFrame, keys: list[str], after: str, expression: str, count: int = 5) -> DataFrame:
+    """keys, run, n of the first `count` runs in UTC after each row's time of one schedule, in which names of months and weekdays may stand; see schedules.py for a column of schedules."""
+    fields = expression.split()
+    for place, names, low in ((3, MONTHS, 1), (4, WEEKDAYS, 0)):
+        for k, name in enumerate(names):
+            if place < len(fields):
+                fields[place] = re.sub(rf"(?i)\b{name}\b", str(low + k), fields[place])
+    rows = df.select(*keys, F.col(after).alias("_after")).withColumns({"_expression": F.lit(" ".join(fields)), "_zone": F.lit("UTC"), "_count": F.lit(count)})
+    return schedule_runs(rows, keys, "_expression", "_after", "_zone", "_count").select(*keys, "run", "n")
 
 
 def weighted_mode(df: DataFrame, keys: list[str], value: Column, weight: Column, order: Column | None = None) -> DataFrame:

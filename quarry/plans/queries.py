@@ -182,8 +182,8 @@ WITH u AS (SELECT user_id, min(ts) AS t FROM events GROUP BY 1), d AS (SELECT us
 r AS (SELECT user_id, t, day + to_minutes(m) AS run FROM d, (VALUES (540), (570), (1020), (1050)) x(m) WHERE dayofweek(day) BETWEEN 1 AND 5)
 SELECT user_id, run, n FROM (SELECT user_id, run::TIMESTAMP AS run, row_number() OVER (PARTITION BY user_id ORDER BY run)::INTEGER AS n FROM r WHERE run > t) WHERE n <= 5""")
 def cron_next(d, read):
-    first = d.groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("t"))
-    return rel.cron_next(first, ["user_id"], "t", "*/30 9,17 * * 1-5").withColumn("run", F.col("run").cast("timestamp_ntz"))
+    first = d.groupBy("user_id").agg(F.min("ts").alias("t")).withColumn("t", utc("t"))
+    return rel.cron_next(first, ["user_id"], "t", "*/30 9,17 * * 1-5").withColumn("run", time.wall(F.col("run")))
 
 
 @query("supplier", "SELECT s_suppkey, row_number() OVER (ORDER BY regexp_extract(s_name, '([0-9]+)$', 1)::BIGINT)::INTEGER AS rank FROM supplier")

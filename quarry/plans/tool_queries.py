@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import encoding as enc
 from quarry.functions import fields, net, text, time
 from quarry.operators import relational as rel
+from quarry.operators import schedules, zones
 from quarry.plans.registry import query, utc
 
 HOLIDAYS = ["1996-01-01", "1996-05-01", "1996-12-25", "1997-01-01", "1997-12-25", "1998-01-01", "1998-05-01"]
@@ -40,8 +41,8 @@ SELECT c_custkey, run, n FROM (SELECT c_custkey, run::TIMESTAMP AS run, (row_num
 
 def cron_query(name: str, expression: str, days: str, times: str, count: int):
     def run(d, read):
-        at = F.expr("timestamp_seconds(unix_seconds(timestamp'2023-01-15 10:20:30Z') + (c_custkey % 900) * 86400)")
-        return rel.cron_next(d.select("c_custkey", at.alias("t")), ["c_custkey"], "t", expression, count).withColumn("run", F.col("run").cast("timestamp_ntz"))
+        at = F.timestamp_seconds(F.lit(1_673_778_030) + F.col("c_custkey") % 900 * 86_400)  # from 2023-01-15 10:20:30 on
+        return rel.cron_next(d.select("c_custkey", at.alias("t")), ["c_custkey"], "t", expression, count).withColumn("run", time.wall(F.col("run")))
 
     run.__name__ = name
     query("customer", CRON_SQL.format(days=days, times=times, count=count))(run)
@@ -54,6 +55,91 @@ cron_query("cron_second_monday", "0 12 * jan-jun 1#2 30", "month(g) <= 6 AND day
 cron_query("cron_day_or_week", "0,30 6 L * 5L", "g = last_day(g) OR dayofweek(g) = 5 AND month(g + interval 7 day) <> month(g)", "(21600), (23400)", 5)
 
 
+#: Schedules: an expression, the days of its runs as a condition on a day g, and the seconds of the day.
+SCHEDULES = [
+    ("0 9 * * 1-5", "dayofweek(g) BETWEEN 1 AND 5", [32400]),
+    ("30 2 * * *", "true", [9000]),
+    ("15,45 1-2 * 3,10,11 0", "month(g) IN (3, 10, 11) AND dayofweek(g) = 0", [4500, 6300, 8100, 9900]),
+    ("0 0 29 2 *", "month(g) = 2 AND day(g) = 29", [0]),
+    ("15 8 LW * *", "g = (SELECT max(x) FROM generate_series(last_day(g) - 6, last_day(g), interval 1 day) y(x) WHERE dayofweek(x) BETWEEN 1 AND 5)", [29700]),
+    ("0 12 * 1-6 1#2 30", "month(g) <= 6 AND dayofweek(g) = 1 AND day(g) BETWEEN 8 AND 14", [43230]),
+    ("0,30 6 L * 5L", "g = last_day(g) OR dayofweek(g) = 5 AND month(g + interval 7 day) <> month(g)", [21600, 23400]),
+    ("@Weekly", "dayofweek(g) = 0", [0]),
+    ("*/20 23 13-31/9 */5 7", "month(g) IN (1, 6, 11) AND (day(g) IN (13, 22, 31) OR dayofweek(g) = 0)", [82800, 84000, 85200]),
+    ("0 0 30 2 *", "false", [0]),
+    ("60 * * * *", "false", [0]),
+    ("0 4 1W * ?", "g = (SELECT CASE dayofweek(f) WHEN 6 THEN f + interval 2 day WHEN 0 THEN f + interval 1 day ELSE f END FROM (SELECT date_trunc('month', g) AS f))", [14400]),
+]
+SCHEDULE_ZONES = ["America/New_York", "Europe/Berlin", "UTC", "Asia/Kolkata", "Australia/Lord_Howe"]
+#: A clock's change to summer time leaves wall times out, which aren't runs; of a wall time that is shown twice the first is.
+SCHEDULE_SQL = f"""
+WITH d AS (SELECT g::DATE AS g FROM generate_series(DATE '2022-12-31', DATE '2033-12-31', interval 1 day) r(g)),
+s AS ({" UNION ALL ".join(f"SELECT {k} AS s, g, unnest({seconds}) AS sec FROM d WHERE {days}" for k, (_, days, seconds) in enumerate(SCHEDULES))}),
+w AS (SELECT s, zone, g + to_seconds(sec) AS wall FROM s, (SELECT unnest({SCHEDULE_ZONES}) AS zone)),
+i AS (SELECT s, zone, wall, timezone('UTC', least(timezone(zone, wall), CASE WHEN timezone(zone, timezone(zone, wall) - interval 1 hour) = wall THEN timezone(zone, wall) - interval 1 hour ELSE timezone(zone, wall) END, CASE WHEN timezone(zone, timezone(zone, wall) - interval 30 minute) = wall THEN timezone(zone, wall) - interval 30 minute ELSE timezone(zone, wall) END)) AS run FROM w WHERE timezone(zone, timezone(zone, wall)) = wall),
+c AS (SELECT o_orderkey, o_orderkey % {len(SCHEDULES)} AS s, {SCHEDULE_ZONES}[o_orderkey // 7 % {len(SCHEDULE_ZONES)} + 1] AS zone, TIMESTAMP '2023-01-15 10:20:30' + to_days((o_orderkey % 900)::INTEGER) AS t, o_orderkey % 4 + 1 AS many FROM orders),
+n AS (SELECT s, zone, wall, run, row_number() OVER (PARTITION BY s, zone ORDER BY run) AS k FROM i),
+f AS (SELECT c.*, (SELECT min(k) FROM n WHERE n.s = c.s AND n.zone = c.zone AND n.run > c.t) AS k FROM c)
+SELECT o_orderkey, (n.k - f.k + 1)::INTEGER AS n, n.run::TIMESTAMP AS run, strftime(n.wall, '%Y-%m-%d %H:%M:%S') AS local FROM f JOIN n ON n.s = f.s AND n.zone = f.zone AND n.k >= f.k AND n.k < f.k + many WHERE n.wall::DATE <= timezone(f.zone, timezone('UTC', f.t))::DATE + interval 96 month"""
+
+
+@query("orders", SCHEDULE_SQL)
+def schedule_runs(d, read):
+    """An expression, a zone, a start and a number of runs for each order."""
+    k = F.col("o_orderkey")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    rows = d.select("o_orderkey", pick([x[0] for x in SCHEDULES], k % len(SCHEDULES)).alias("expression"), pick(SCHEDULE_ZONES, F.floor(k / 7) % len(SCHEDULE_ZONES)).alias("zone"), F.timestamp_seconds(F.lit(1_673_778_030) + k % 900 * 86_400).alias("start"), (k % 4 + 1).alias("runs"))
+    return schedules.schedule_runs(rows, ["o_orderkey"], "expression", "start", "zone", "runs").withColumn("run", time.wall(F.col("run")))
+
+
+STATUSES = [("0 9 * * 1-5", "UTC", "ok"), (" @DAILY ", None, "ok"), ("* * * * * 59", "", "ok"), ("@reboot", "UTC", "reboot"), ("", "UTC", "expression"), (None, "UTC", "expression"), ("1 2 3", "UTC", "fields"), ("60 * * * *", "UTC", "minute"), ("* 5-3 * * *", "UTC", "hour"), ("* * 32W * *", "UTC", "day"), ("* * 1,L * *", "UTC", "day"), ("* * * 0 *", "UTC", "month"), ("* * * ? *", "UTC", "month"), ("* * * * 8", "UTC", "weekday"), ("* * * * 1#6", "UTC", "weekday"), ("* * * * 7L", "UTC", "ok"), ("* * * * * */0", "UTC", "second"), ("0 9 * * *", "Mars/Base", "zone"), ("x 9 * * *", "Mars/Base", "zone")]
+
+
+@query("lineitem", f"SELECT l_orderkey, l_linenumber, {[x[2] for x in STATUSES]}[(l_orderkey * 7 + l_linenumber) % {len(STATUSES)} + 1] AS status FROM lineitem")
+def schedule_statuses(d, read):
+    pick = lambda at: F.get(F.array(*[F.lit(x[at]) for x in STATUSES]), ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % len(STATUSES)).cast("int"))
+    return schedules.schedule_status(d.select("l_orderkey", "l_linenumber", pick(0).alias("x"), pick(1).alias("z")), ["l_orderkey", "l_linenumber"], "x", "z")
+
+
+BOARDS = [["Asia/Shanghai", "America/New_York", " ", "Europe/London", "Nowhere"], ["Nowhere", "Australia/Lord_Howe", "UTC", "Asia/Kolkata", "US/Pacific"], ["Pacific/Auckland", "America/Sao_Paulo"]]
+
+
+@query("orders", f"""
+WITH c AS (SELECT o_orderkey, o_orderdate + to_minutes((o_orderkey * 37 % 1440)::INTEGER) AS t, {BOARDS}[o_orderkey % {len(BOARDS)} + 1] AS z FROM orders),
+l AS (SELECT o_orderkey, t, unnest(list_filter(z, lambda x: trim(x) <> '')) AS zone, unnest(range(1, len(list_filter(z, lambda x: trim(x) <> '')) + 1)) AS line FROM c),
+k AS (SELECT *, zone <> 'Nowhere' AS valid, CASE WHEN zone <> 'Nowhere' THEN zone ELSE 'UTC' END AS zz FROM l),
+m AS (SELECT *, timezone(zz, timezone('UTC', t)) AS local FROM k),
+o AS (SELECT *, date_diff('minute', t, local) AS minutes, date_diff('minute', date_trunc('year', local), timezone(zz, timezone('UTC', date_trunc('year', local)))) AS jan, date_diff('minute', date_trunc('year', local) + interval 6 month, timezone(zz, timezone('UTC', date_trunc('year', local) + interval 6 month))) AS jul FROM m),
+b AS (SELECT *, minutes > least(jan, jul) AS dst, count(*) FILTER (valid) OVER (PARTITION BY o_orderkey ORDER BY line) AS number, first(CASE WHEN valid THEN minutes END IGNORE NULLS) OVER w AS base, first(CASE WHEN valid THEN local END IGNORE NULLS) OVER w AS base_local FROM o WINDOW w AS (PARTITION BY o_orderkey ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, minutes - base AS away, date_diff('day', base_local::DATE, local::DATE) AS shift FROM b)
+SELECT o_orderkey, line::INTEGER AS line, zone, CASE WHEN valid THEN number::INTEGER END AS number, CASE WHEN valid THEN strftime(local, '%Y-%m-%d %H:%M:%S') END AS local, CASE WHEN valid THEN dayofweek(local)::INTEGER END AS weekday,
+  CASE WHEN valid THEN 'UTC' || CASE WHEN minutes < 0 THEN '-' ELSE '+' END || lpad((abs(minutes) // 60)::VARCHAR, 2, '0') || ':' || lpad((abs(minutes) % 60)::VARCHAR, 2, '0') END AS "offset",
+  CASE WHEN valid THEN CASE zone WHEN 'America/New_York' THEN CASE WHEN dst THEN 'EDT' ELSE 'EST' END WHEN 'US/Pacific' THEN CASE WHEN dst THEN 'PDT' ELSE 'PST' END WHEN 'UTC' THEN 'UTC' ELSE 'GMT' || CASE WHEN minutes < 0 THEN '-' ELSE '+' END || (abs(minutes) // 60) || CASE WHEN minutes % 60 <> 0 THEN ':' || lpad((abs(minutes) % 60)::VARCHAR, 2, '0') ELSE '' END END END AS abbreviation,
+  CASE WHEN valid THEN dst END AS dst, CASE WHEN valid THEN CASE WHEN away = 0 THEN 'base' ELSE CASE WHEN away > 0 THEN '+' ELSE '−' END || (abs(away) // 60) || CASE WHEN abs(away) % 60 = 30 THEN '.5' WHEN abs(away) % 60 = 45 THEN '.75' ELSE '' END || ' h' END END AS delta,
+  CASE WHEN valid THEN CASE WHEN shift = 0 THEN 'same day' ELSE CASE WHEN shift > 0 THEN '+' ELSE '−' END || abs(shift) || CASE WHEN abs(shift) = 1 THEN ' day' ELSE ' days' END END END AS day_shift
+FROM e""")
+def zone_boards(d, read):
+    """An instant and a list of zones for each order; some lines are empty, or no zone."""
+    k = F.col("o_orderkey")
+    at = F.timestamp_micros(F.unix_micros(utc("o_orderdate")) + k * 37 % 1440 * 60_000_000)
+    rows = d.select("o_orderkey", at.alias("at"), F.get(F.array(*[F.array(*map(F.lit, b)) for b in BOARDS]), (k % len(BOARDS)).cast("int")).alias("zones"))
+    return zones.board(rows, ["o_orderkey"], "at", "zones")
+
+
+@query("orders", """
+WITH w AS (SELECT o_orderkey, ['Europe/Berlin', 'America/New_York', 'Australia/Lord_Howe'][o_orderkey % 3 + 1] AS zone, o_orderdate + to_minutes((o_orderkey % 32 * 10)::INTEGER) AS wall FROM orders),
+t AS (SELECT *, timezone(zone, wall) AS a FROM w),
+c AS (SELECT *, list_filter([a - interval 1 hour, a - interval 30 minute, a, a + interval 30 minute, a + interval 1 hour], lambda x: timezone(zone, x) = wall) AS fits FROM t),
+g AS (SELECT *, (SELECT min(k) FROM range(1, 181) r(k) WHERE len(fits) = 0 AND timezone(zone, timezone(zone, wall + to_minutes(k::INTEGER))) = wall + to_minutes(k::INTEGER)) AS later FROM c)
+SELECT o_orderkey, zone, timezone('UTC', CASE WHEN len(fits) > 0 THEN list_min(fits) ELSE timezone(zone, wall + to_minutes(later::INTEGER)) END) AS instant, CASE len(fits) WHEN 0 THEN 'skipped' WHEN 1 THEN 'once' ELSE 'twice' END AS state FROM g""")
+def wall_times(d, read):
+    """Wall times of the first hours of each order's day, which clocks may skip or show twice."""
+    k = F.col("o_orderkey")
+    zone = F.get(F.array(F.lit("Europe/Berlin"), F.lit("America/New_York"), F.lit("Australia/Lord_Howe")), (k % 3).cast("int"))
+    rows = d.select("o_orderkey", zone.alias("zone"), (F.unix_seconds(utc("o_orderdate")) + k % 32 * 600).alias("wall"))
+    return zones.resolved(rows, "zone", "wall").select("o_orderkey", "zone", time.wall(F.timestamp_seconds("instant")).alias("instant"), "state")
+
+
 @query("documents", """
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, md5(coalesce(text, '')) AS m FROM documents),
 bits AS (SELECT doc_id, list_aggregate(list_transform(string_split(h, ''), lambda x: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][(strpos('0123456789ABCDEF', x))::BIGINT]), 'string_agg', '') AS b FROM t WHERE h <> ''),
