@@ -41,7 +41,7 @@ from quarry.llm.common import WORD, durable, release, sliced
 
 WORDS, PERCENT = 5, 75
 SAMPLE_EVERY, COMMON_AT, MOST_COMMON = 16, 4, 1_000_000
-BUCKET_ROWS, BLOCK, BLOCK_SHINGLES, GROUP_SHINGLES, BLOOM_WORDS = 200_000, 256, 1 << 20, 1 << 17, 1 << 17
+BUCKET_ROWS, BLOCK, BLOCK_SHINGLES, GROUP_SHINGLES, BLOOM_WORDS = 200_000, 256, 1 << 20, 1 << 17, 1 << 21
 LIKE_SIZE, CELL_SIZE, TURNS, PART, BASE = 1.15, 1.03, 3, 1 << 18, 0xD1342543DE82EF95
 SPACE_BYTES = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"]
 IS_SPACE = np.isin(np.arange(256), [c[0] for c in SPACE_BYTES])
@@ -285,7 +285,7 @@ def enough(counts: DataFrame, percent: int) -> DataFrame:
 
 
 def needed_filter(nodes: DataFrame) -> np.ndarray:
-    """A bounded filter of the distinct nodes (k): 64-bit words with three bits a node."""
+    """A filter of the distinct nodes (k): 64-bit words with three bits a node, 16 bits for each up to 8 million nodes, 16 MB at most; of more nodes more others pass."""
     count, words = nodes.count(), 64
     while words * 4 < count and words < BLOOM_WORDS:
         words *= 2

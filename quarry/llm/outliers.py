@@ -185,16 +185,18 @@ def quality_rules(docs: DataFrame, least_words: int = 50, repeat_percent: int =
     group = F.to_json(F.struct("lang", "source")).alias("_g")  # nulls are left out, so they are a group of their own
     stats = durable(stats.select("*", group, *[v.alias(f"x{i}") for i, v in enumerate(vector())]))
     good = stats.where(~F.col("base_failed")).select("_g", *[f"x{i}" for i in range(4)])
-    large = durable(good.groupBy("_g").count().where(F.col("count") >= least).select("_g"))
-    # all texts together are one more group, of the empty name
-    rows = durable(good.join(sent(large), "_g").unionByName(good.withColumn("_g", F.lit(""))))
+    sizes = durable(good.groupBy("_g").count())
+    large, small = sizes.where(F.col("count") >= least).select("_g"), not sizes.where(F.col("count") < least).isEmpty()
+    rows = good.join(sent(large), "_g")
+    # if a group is small, all texts together are one more group, of the empty name
+    rows = durable(rows.unionByName(good.withColumn("_g", F.lit(""))) if small else rows)
     found = durable(estimates(rows, "_g", part))
-    every = found.where(F.col("_g") == "").first()  # a row of 15 numbers
+    every = found.where(F.col("_g") == "").first() if small else None  # a row of 15 numbers
     judged = stats.join(sent(found).where(F.col("_g") != "").select("_g", "_m", "_scale"), "_g", "left")
     if every:
         other = F.struct(*[F.lit(every["_m"][k]).alias(k) for k in PARAMS])
         judged = judged.withColumn("_m", F.coalesce("_m", other)).withColumn("_scale", F.coalesce("_scale", F.lit(every["_scale"])))
     judged = judged.withColumn("distance", distance() / F.col("_scale"))
-    release(large, rows)
+    release(sizes, rows)
     stays = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(~F.col("base_failed"), F.col("distance")).alias("distance"), stays.alias("kept"))

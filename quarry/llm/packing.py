@@ -4,7 +4,8 @@ Documents are cut into pieces of at most `size` tokens. Full pieces are sequence
 are dealt at random (seeded) into shards of about `shard_rows` pieces; each shard starts from best fit
 decreasing, then tries to empty its least filled bins: a piece moves to the fullest other bin that takes
 it, or is exchanged one for one or one for two (or two for one) such that the other bin gets fuller. Each
-step increases the sum of squared fills, so the search ends. A shard wastes at most part of one bin.
+step increases the sum of squared fills. The search of a shard ends when it finds no step, or after TRIALS steps; it tries pairs
+among the PAIR_ITEMS first pieces of a bin, and one for two with the OPEN_BINS bins of most room, so it may miss a step.
 
 Null or empty text is a document of the single separator token. Repeated rows are packed as often as they
 occur; rows with equal or null doc_id stay apart because shards are dealt without looking at keys.

@@ -80,9 +80,12 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     probe = probe.join(F.broadcast(durable(table)), "block", "left")  # at most MAX_BLOCKS rows
     hit = reduce(lambda a, b: a & b, [F.col(f"b{k}").bitwiseAND(m) == m for k, m in enumerate(lanes("_key"))])
     maybe = F.col("_key").isNotNull() & F.col("_said").isNull() & F.coalesce(hit, F.lit(False))
-    probe = probe.select("page_id", "host", "path", "rule", "_said", F.when(maybe, F.col("_key")).alias("_key"))
-    # the listed keys among the possible hits, once each: a table, so Spark can split the join of a hot URL, or send a small one
-    found = durable(probe.where("_key is not null").select("_key").distinct().join(keys, "_key", "left_semi"))
+    probe = probe.select("page_id", "host", "path", "rule", F.coalesce("_said", F.lit("allow")).alias("verdict"), F.when(maybe, F.col("_key")).alias("_key"))
+    # possible hits alone are joined, by few columns: one row a key tells which are listed, and Spark can split the join of a hot URL
+    hits = durable(probe.where("_key is not null"))
+    found = durable(hits.select("_key").distinct().join(keys, "_key", "left_semi"))
     release(keys)
-    every = probe.join(found.withColumn("listed", F.lit(True)), "_key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    return every.select("page_id", "host", "path", "rule", F.coalesce("_said", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
+    judged = hits.join(found.withColumn("listed", F.lit(True)), "_key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    judged = judged.withColumn("verdict", F.when(F.col("listed"), "block").otherwise(F.col("verdict")))
+    out = ["page_id", "host", "path", "rule", "verdict", "listed"]
+    return probe.where("_key is null").withColumn("listed", F.lit(False)).select(*out).unionByName(judged.select(*out))
