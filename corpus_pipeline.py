@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import mixing, ngram_join, packing, quality_nbsvm, toxicity
-from quarry.llm.common import durable, fold, table
+from quarry.llm.common import durable, fold, release, table
 from quarry.llm.queries import EPOCHS, SEED, WEIGHTS, vocabulary
 
 
@@ -46,8 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written as Parquet and read again as the next one's documents."""
+    """Each stage's result is written as Parquet and read again as the next one's documents; it goes once the next is written, the last when the driver ends."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        docs, before = durable(stage(spark, docs, sf_dir)), docs
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
