@@ -59,7 +59,7 @@ MAIL_ZONES = {"GMT": 0, "UT": 0, "UTC": 0, "Z": 0, "EST": -300, "EDT": -240, "CS
 
 _YMD, _CLOCK, _FULL, _OFFSET = r"(\d{4})-(\d{1,2})-(\d{1,2})", r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?", r"(\d{1,2}):(\d{1,2}):(\d{1,2}(?:\.\d+)?)", r"([+-]\d{2}:?\d{2})"
 _SHORT, _LONG = "|".join(m[:3] for m in MONTHS), "|".join(f"{m}|{m[:3]}" for m in MONTHS)
-#: Forms of a time, tried in this order: a pattern, and its groups in the order year, month, day, hour, minute, second, offset. `none` is a group that isn't there.
+#: Forms of a time, tried in this order: a pattern, and its groups in the order year, month, day, hour, minute, second, offset; `either`: a month over 12 is the day.
 FORMS = [
     (rf"^{_YMD}[Tt ](\d{{2}}):(\d{{2}}):(\d{{2}}(?:\.\d+)?)([Zz]|[+-]\d{{2}}:\d{{2}})$", "$1|$2|$3|$4|$5|$6|$7"),
     (rf"^(?i:(?:mon|tue|wed|thu|fri|sat|sun)\s*,\s*)?(\d{{1,2}})\s+((?i:{_SHORT}))\s+(\d{{2}}|\d{{4}})\s+{_CLOCK}\s+((?i:{'|'.join(MAIL_ZONES)})|[+-]\d{{4}})$", "$3|$2|$1|$4|$5|$6|$7"),
@@ -70,7 +70,7 @@ FORMS = [
     (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})(?: +{_CLOCK})?$", "$1|$2|$3|$4|$5|$6|"),
     (rf"^(\d{{1,2}}) +((?i:{_SHORT})) +(\d{{4}})(?: +{_FULL})?$", "$3|$2|$1|$4|$5|$6|"),
     (rf"^((?i:{_LONG})) +(\d{{1,2}}), *(\d{{4}})(?: +{_FULL})?$", "$3|$1|$2|$4|$5|$6|"),
-    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?: +{_FULL})?$", "$3|$1|$2|$4|$5|$6|"),
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?: +{_FULL})?$", "$3|$1|$2|$4|$5|$6||either"),
     (r"^(\d{1,2})[.-](\d{1,2})[.-](\d{4})$", "$3|$2|$1||||"),
 ]
 
@@ -94,11 +94,11 @@ def parse_instant(text: Column, unit: str = "auto", zone: str | None = None) ->
     parts = F.lit(None).cast("string")
     for pattern, order in reversed(FORMS):
         parts = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, order)).otherwise(parts)
-    return F.coalesce(counted, bound(F.split(parts, r"\|"), lambda p: dated(p, zone)))
+    return F.coalesce(counted, bound(F.split(parts, r"\|", -1), lambda p: dated(p, zone)))
 
 
 def dated(p: Column, zone: str | None) -> Column:
-    """The instant of the parts year, month, day, hour, minute, second, offset, as texts; empty ones are 0."""
+    """The instant of the parts year, month, day, hour, minute, second, offset, as texts; empty ones are 0. An eighth, `either`, lets a month over 12 be the day."""
     part = lambda k: F.get(p, F.lit(k))
     number = lambda k: F.coalesce(part(k).try_cast("int"), F.lit(0))
     named = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.lower(F.substring(part(1), 1, 3)))
@@ -106,13 +106,15 @@ def dated(p: Column, zone: str | None) -> Column:
     month = F.when(named > 0, named.cast("int")).otherwise(number(1))
     clock = [number(3), number(4), F.coalesce(F.substring(part(5), 1, 9).try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))]
     made = lambda m, d: F.try_make_timestamp_ntz(year, m, d, *clock)
-    # a month over 12 may be a day, where both are numbers before the year
-    shown = F.when((named <= 0) & (number(1) > 12), made(number(2), number(1))).otherwise(made(month, number(2)))
+    shown = F.when((F.get(p, F.lit(7)) == "either") & (number(1) > 12), made(number(2), number(1))).otherwise(made(month, number(2)))
     minutes = F.create_map(*[x for k, v in MAIL_ZONES.items() for x in (F.lit(k), F.lit(v))])
     away = F.when(part(6).rlike("^[+-]"), F.concat(F.substring(part(6), 1, 1), F.lit("1")).cast("int") * (F.substring(part(6), 2, 2).try_cast("int") * 60 + F.substring(part(6), -2, 2).try_cast("int"))).otherwise(F.try_element_at(minutes, F.upper(part(6))))
-    plain = from_wall(shown)
-    local = local_to_instant(plain, zone) if zone else plain
-    return F.when(F.coalesce(part(6), F.lit("")) == "", local).otherwise(F.timestamp_micros(F.unix_micros(plain) - away.cast("long") * 60_000_000))
+
+    def moved(plain: Column) -> Column:
+        local = local_to_instant(plain, zone) if zone else plain
+        return F.when(F.coalesce(part(6), F.lit("")) == "", local).otherwise(F.timestamp_micros(F.unix_micros(plain) - away.cast("long") * 60_000_000))
+
+    return bound(bound(shown, from_wall), moved)
 
 
 def epochs(ts: Column) -> Column:
@@ -131,18 +133,18 @@ def local_to_instant(shown: Column, zone: str) -> Column:
     Offsets are asked a day before and after, so that there is at most one change between them. For a table of zones see
     operators/zones.py.
     """
-    us = F.unix_micros(shown)
-    near = lambda by: offset_seconds(F.timestamp_micros(us + by), zone) * 1_000_000
 
-    def resolved(o: Column) -> Column:
-        before, after = F.get(o, F.lit(0)), F.get(o, F.lit(1))
+    def resolved(x: Column) -> Column:
+        us, before, after = x["us"], x["before"], x["after"]
         fits = lambda off: offset_seconds(F.timestamp_micros(us - off), zone) * 1_000_000 == off
         # a gap is passed by whole minutes: as many as the clocks skip from the wall time on
         steps = F.transform(F.sequence(F.lit(1), F.lit(180)), lambda k: us + k.cast("long") * 60_000_000 - after)
-        later = F.get(F.filter(steps, lambda x: offset_seconds(F.timestamp_micros(x), zone) * 1_000_000 == after), F.lit(0))
+        later = F.get(F.filter(steps, lambda t: offset_seconds(F.timestamp_micros(t), zone) * 1_000_000 == after), F.lit(0))
         return F.when(fits(before), us - before).when(fits(after), us - after).otherwise(later)
 
-    return F.timestamp_micros(bound(F.array(near(-DAY), near(DAY)), resolved))
+    near = lambda us, by: (offset_seconds(F.timestamp_micros(us + by), zone) * 1_000_000)
+    offsets = lambda us: F.struct(us.alias("us"), near(us, -DAY).alias("before"), near(us, DAY).alias("after"))
+    return F.timestamp_micros(bound(bound(F.unix_micros(shown), offsets), resolved))
 
 
 def period_bounds(ts: Column, unit: str) -> Column:
@@ -196,7 +198,7 @@ def calendar_span(a: Column, b: Column) -> Column:
         r = s["rest"]
         days = whole(r, 86_400_000)
         named = {"years": s["years"], "months": s["months"], "weeks": F.floor(days / 7), "days": days % 7, "hours": whole(r, 3_600_000) % 24, "minutes": whole(r, 60_000) % 60, "seconds": whole(r, 1000) % 60, "millis": r % 1000}
-        return F.when(s["rest"].isNotNull(), F.struct(s["sign"].cast("int").alias("sign"), *[v.cast("int").alias(k) for k, v in named.items()]))
+        return F.when(s["sign"].isNotNull(), F.struct(s["sign"].cast("int").alias("sign"), *[v.cast("int").alias(k) for k, v in named.items()]))
 
     return bound(bound(bound(bound(ends, from_low), by_years), by_months), parts)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarry.functions import encoding as enc
 from quarry.functions import net, text, time
 from quarry.operators import relational as rel
+from quarry.operators import schedules
 
 
 def one(spark, column):
@@ -41,6 +42,26 @@ def one(spark, column):
         (lambda: time.number_text(F.lit(0.004)), "0"),
         (lambda: F.to_json(time.calendar_span(F.lit("2024-02-29 10:00:00").cast("timestamp"), F.lit("2026-04-15 09:59:59.5").cast("timestamp"))), '{"sign":1,"years":2,"months":1,"weeks":2,"days":3,"hours":23,"minutes":59,"seconds":59,"millis":500}'),
         (lambda: time.relative_phrase(F.lit(-86400000)), "yesterday"),
+        (lambda: time.relative_phrase(F.lit(-8 * 86400000)), "last week"),
+        (lambda: time.relative_phrase(F.lit(0)), "now"),
+        (lambda: time.relative_phrase(F.lit(40 * 86400000), "zh"), "下个月"),
+        (lambda: time.relative_phrase(F.lit(8711999000), "zh"), "3个月后"),
+        (lambda: time.relative_phrase(F.lit(86400000), named=False), "in 1 day"),
+        (lambda: time.duration_words(F.lit(-90061001)), "-1 day, 1 hour, 1 minute, 1 seconds, 1 millisecond"),
+        (lambda: time.duration_words(F.lit(3735000), "zh"), "1小时2分15秒"),
+        (lambda: time.duration_spoken(F.lit(5400000)), "2 hours"),
+        (lambda: time.duration_spoken(F.lit(-9 * 86400000), "zh"), "1周"),
+        (lambda: time.span_text(F.lit(None).cast("struct<sign:int,years:int,months:int,weeks:int,days:int,hours:int,minutes:int,seconds:int,millis:int>")), None),
+        (lambda: enc.unescape_html(F.lit("&lt;&#x26;&#38;&foo; &amp; &nbsp;&#128512;&")), "<&&&foo; & \u00a0\U0001f600&"),
+        (lambda: enc.unescape_html(F.lit("a &foo &amp; b")), "a &foo &amp; b"),
+        (lambda: enc.unescape_html(F.lit("&#xD800;")), None),
+        (lambda: enc.escape_html(F.lit("5 € ≠ '\n'")), "5 &euro; &#8800; &apos;&#10;&apos;"),
+        (lambda: enc.from_radix(F.lit("mzxw-6ytb oi=="), enc.BASE32).cast("string"), "foobar"),
+        (lambda: enc.from_radix(F.lit("cSqpyrk5e1lo"[:8] + "e1"), enc.BASE32_CROCKFORD, True) == enc.from_radix(F.lit("CSQPYRK5E1"), enc.BASE32_CROCKFORD), True),
+        (lambda: enc.from_radix(F.lit("iLoO"), enc.BASE32_CROCKFORD, True) == enc.from_radix(F.lit("1100"), enc.BASE32_CROCKFORD), True),
+        (lambda: enc.from_radix(F.lit("MZ1"), enc.BASE32), None),
+        (lambda: enc.from_radix(F.lit("118WR"), enc.BASE58), b"\0\0\x1c\xe7"),
+        (lambda: enc.from_radix(F.lit("ZIK0ZJ"), enc.BASE36) == enc.from_radix(F.lit("zik0zj"), enc.BASE36), True),
         (lambda: time.relative_phrase(F.lit(8711999000)), "in 3 months"),
         (lambda: time.relative_phrase(F.lit(-8711999000)), "3 months ago"),
         (lambda: F.date_format(time.parse_instant(F.lit("1700000000123")), "yyyy-MM-dd HH:mm:ss.SSS"), "2023-11-14 22:13:20.123"),
@@ -179,10 +200,7 @@ def test_cron(spark, expression, runs):
     assert [r.run for r in got] == runs
 
 
-def test_cron_fields():
-    assert rel.cron_values("*/20", 0, 59) == [0, 20, 40]
-    assert rel.cron_values("1-3,7", 0, 7) == [1, 2, 3, 7]
-    assert rel.cron_values("jan-Mar", 1, 12, rel.MONTHS) == [1, 2, 3]
-    for bad in ("61", "*/0"):
-        with pytest.raises(ValueError):
-            rel.cron_values(bad, 0, 59)
+def test_cron_fields(spark):
+    bits = lambda *k: sum(1 << x for x in k)
+    for field, low, high, want in [("*/20", 0, 59, bits(0, 20, 40)), ("1-3,7", 0, 7, bits(1, 2, 3, 7)), (" 5/2 ", 0, 9, bits(5, 7, 9)), ("61", 0, 59, None), ("*/0", 0, 59, None), ("3-1", 0, 59, None), ("", 0, 59, None), ("1,", 0, 59, None), ("99999999999", 0, 59, None), ("a", 0, 59, None)]:
+        assert one(spark, schedules.field_mask(F.lit(field), low, high)) == want
