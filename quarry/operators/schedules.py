@@ -206,9 +206,9 @@ def schedule_runs(df: DataFrame, keys: list[str], expression: str, after: str, z
         d = d.join(F.broadcast(plans), "_x")
     else:
         d = d.withColumn("_plan", planned(parsed(F.col("_x")), F.date_from_unix_date(whole(F.col("_s") - 86_400, 86_400).cast("int")), HORIZON + 2))
-    d = d.where(F.col("_plan.error").isNull()).join(sent(zone_arrays(d, "zone", "_s")), "zone")
+    d = d.join(sent(zone_arrays(d, "zone", "_s")), "zone")
     ahead = F.filter("stretches", lambda z: z["ends"] * 1_000_000 > F.col("_t"))
-    found = bound(F.struct(F.col("_plan").alias("plan"), ahead.alias("ahead")), lambda x: runs(x["plan"], F.col("_t"), x["ahead"], F.col("_c")))
+    found = bound(F.struct(F.col("_plan").alias("plan"), ahead.alias("ahead")), lambda x: F.when(x["plan"]["error"].isNull(), runs(x["plan"], F.col("_t"), x["ahead"], F.col("_c"))))  # no filter: Spark would ask it of each row's expression, before the join
     d = d.withColumn("_r", found).select(*keys, "stretches", F.posexplode_outer("_r").alias("_n", "_at")).where("_at is not null")  # outer: else Spark asks for the size of the runs first, and finds them twice
     offset = F.get(F.filter("stretches", lambda z: F.col("_at") < z["ends"]), F.lit(0))["offset"]
     day, clock = F.date_from_unix_date(whole(F.col("_at") + offset, 86_400).cast("int")), F.pmod(F.col("_at") + offset, F.lit(86_400))
