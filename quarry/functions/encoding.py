@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from quarry.functions.net import bound
+
 #: Block sizes in bytes of the digests.
 BLOCK_BYTES = {"md5": 64, "sha1": 64, "sha256": 64, "sha384": 128, "sha512": 128}
 #: Alphabets.
@@ -274,12 +276,15 @@ def jwt_parts(token: Column) -> Column:
 
 def jwt_status(token: Column, secret: str, now: Column, leeway: int = 0) -> Column:
     """valid, expired, not-yet-valid or invalid-signature of a token signed by HS256, HS384 or HS512; null for anything else. Time claims count before the signature does."""
-    parts, compact = jwt_parts(token), F.regexp_replace(token, r"\s+", "")
-    signed, mac = F.substring_index(compact, ".", 2), F.substring_index(compact, ".", -1)
-    said = F.lower(parts["alg"])
-    right = F.lit(False)
-    for a in ("256", "384", "512"):
-        right = right | ((said == "hs" + a) & (hmac(as_bytes(signed), secret, "sha" + a) == F.lower(F.hex(from_base64(mac)))))
     held = max(0, min(3600, leeway))
-    late, early = F.coalesce(now - held > parts["exp"], F.lit(False)), F.coalesce(now + held < parts["nbf"], F.lit(False))
-    return F.when(said.isin("hs256", "hs384", "hs512"), F.when(late, "expired").when(early, "not-yet-valid").when(right, "valid").otherwise("invalid-signature"))
+
+    def status(x: Column) -> Column:
+        parts, said = x["parts"], F.lower(x["parts"]["alg"])
+        signed, mac = F.substring_index(x["compact"], ".", 2), F.lower(F.hex(from_base64(F.substring_index(x["compact"], ".", -1))))
+        right = F.lit(False)
+        for a in ("256", "384", "512"):
+            right = right | ((said == "hs" + a) & (hmac(as_bytes(signed), secret, "sha" + a) == mac))
+        late, early = F.coalesce(now - held > parts["exp"], F.lit(False)), F.coalesce(now + held < parts["nbf"], F.lit(False))
+        return F.when(said.isin("hs256", "hs384", "hs512"), F.when(late, "expired").when(early, "not-yet-valid").when(right, "valid").otherwise("invalid-signature"))
+
+    return bound(F.struct(jwt_parts(token).alias("parts"), F.regexp_replace(token, r"\s+", "").alias("compact")), status)

@@ -426,4 +426,4 @@ def range_texts(d, read):
 def color_hsl(d, read):
     m = F.col("p_partkey") % 4
     c = text.rgb(F.when(m == 0, "#F00").when(m == 1, "00ff00").when(m == 2, "rgb(0, 0, 255)").otherwise("#808080"))
-    return d.select("p_partkey", text.hsl(c["r"], c["g"], c["b"]).alias("x")).select("p_partkey", "x.*")
+    return d.select("p_partkey", net.bound(c, lambda c: text.hsl(c["r"], c["g"], c["b"])).alias("x")).select("p_partkey", "x.*")
