@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64 as _b64
 import hashlib
-import hmac as _hmac
 import math
 
 import pandas as pd
@@ -156,28 +155,6 @@ def matches_expected(data: Column, expected: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.exists(tokens, hit))
 
 
-def totp(secret: Column, at_second: Column, digits: int = 6, period: int = 30, algorithm: str = "sha1") -> Column:
-    """Time-based code of a base32 secret (spaces, = and small letters allowed) at a Unix time; null for a secret that is none."""
-
-    @F.pandas_udf(StringType())
-    def code(secrets: pd.Series, seconds: pd.Series) -> pd.Series:
-        def one(s, t):
-            if s is None or pd.isna(t):
-                return None
-            bare = "".join(s.split()).upper().rstrip("=")
-            try:
-                key = _b64.b32decode(bare + "=" * (-len(bare) % 8))
-            except ValueError:
-                return None
-            mac = _hmac.new(key, int(t // period).to_bytes(8, "big", signed=True), algorithm).digest()
-            at = mac[-1] & 15
-            return str((int.from_bytes(mac[at : at + 4], "big") & 0x7FFFFFFF) % 10**digits).zfill(digits)
-
-        return pd.Series([one(s, t) for s, t in zip(secrets, seconds, strict=True)], dtype=object)
-
-    return code(secret, at_second)
-
-
 def from_radix(text: Column, alphabet: str, crockford: bool = False) -> Column:
     """Bytes of a number in an alphabet, white space left out; null if it is empty or has other characters.
 

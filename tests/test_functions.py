@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import encoding as enc
-from quarry.functions import net, text, time
+from quarry.functions import codes, net, text, time
 from quarry.operators import relational as rel
 from quarry.operators import schedules
 
@@ -26,7 +26,7 @@ def one(spark, column):
         (lambda: enc.from_hex(F.lit(r"\x68 0x69")).cast("string"), "hi"),
         (lambda: enc.to_hex(F.lit(b"hi"), " ", "0x"), "0x68 0x69"),
         (lambda: enc.escape_unicode(F.lit("aé😀")), "a\\u00e9\\ud83d\\ude00"),
-        (lambda: enc.totp(F.lit("GEZDGNBVGY3TQOJQGEZDGNBVGY3TQOJQ"), F.lit(59)), "287082"),
+        (lambda: codes.totp(F.lit("GEZDGNBVGY3TQOJQGEZDGNBVGY3TQOJQ"), F.lit(59)), "287082"),
         (lambda: enc.encode_component(F.lit("a b~!'()*é")), "a%20b~!'()*%C3%A9"),
         (lambda: time.duration_hms(F.lit(3735000)), "01:02:15"),
         (lambda: time.duration_hms(F.lit(-90061999)), "\u221225:01:01"),
@@ -98,8 +98,8 @@ def one(spark, column):
         (lambda: enc.escape_html(F.lit("<é&😀>"), True), "<&#233;&&#128512;>"),
         (lambda: enc.unescape_html(F.lit("&lt;a&gt; &amp;lt; &copy;")), "<a> &lt; ©"),
         (lambda: enc.from_binary_text(F.lit("01101000 01101001")), "hi"),
-        (lambda: enc.totp(F.lit("not base32!"), F.lit(59)), None),
-        (lambda: enc.totp(F.lit("GEZDGNBVGY3TQOJQGEZDGNBVGY3TQOJQ"), F.lit(1111111109), 8), "07081804"),
+        (lambda: codes.totp(F.lit("not base32!"), F.lit(59)), None),
+        (lambda: codes.totp(F.lit("GEZDGNBVGY3TQOJQGEZDGNBVGY3TQOJQ"), F.lit(1111111109), 8), "07081804"),
         (lambda: enc.jwt_parts(F.lit("e30.e30"))["alg"], None),
         (lambda: enc.jwt_parts(F.lit("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.x"))["sub"], "1"),
         (lambda: enc.jwt_parts(F.lit("bm8.eyJzdWIiOiIxIn0.x"))["sub"], None),

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans import flow_queries, page_queries, queries, tool_queries  # noqa: F401  they register
+from quarry.plans import flow_queries, page_queries, queries, record_queries, tool_queries  # noqa: F401  they register
 from quarry.plans.registry import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
