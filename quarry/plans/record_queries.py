@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import codes, encoding, matches
+from quarry.functions import codes, encoding, matches, passwords
 from quarry.operators import archive
 from quarry.plans.registry import query
 
@@ -106,3 +106,15 @@ WITH {ARCHIVE_SQL}, r AS (SELECT position, row_number() OVER (PARTITION BY asked
 SELECT position, path, CASE WHEN reason IS NOT NULL THEN 'failed' WHEN late THEN 'skipped' ELSE 'copied' END AS outcome, CASE WHEN reason IS NULL AND NOT late THEN asked END AS target, CASE WHEN late THEN 'target exists' ELSE reason END AS reason FROM v LEFT JOIN r USING (position)""")
 def archive_skips(d, read):
     return archive.archive_plan(*archive_inputs(d, read), "/scan", conflict="skip")
+
+
+def password_sql(length: int, groups: list[str]) -> str:
+    draw = "('0x' || sha256(c_name || ':draw:' || i)[1:12])::BIGINT"
+    one = lambda signs: f"'{signs}'[{draw} % {len(signs)} + 1]"
+    cases = " ".join(f"WHEN {k} THEN {one(g)}" for k, g in enumerate(groups))
+    return f"SELECT c_custkey, array_to_string(list_transform(list_sort(list_transform(range(0, {length}), lambda i: {{'at': sha256(c_name || ':place:' || i), 'c': CASE i {cases} ELSE {one(''.join(groups))} END}})), lambda x: x.c), '') AS password FROM customer"
+
+
+@query("customer", password_sql(16, ["ABCDEFGHJKLMNPQRSTUVWXYZ", "abcdefghijkmnopqrstuvwxyz", "23456789", "!@#$%^&*()-_=+[]{};:,.<>?/~"]))
+def seeded_passwords(d, read):
+    return d.select("c_custkey", passwords.password(F.col("c_name"), 16, exclude="O0l1I").alias("password"))
