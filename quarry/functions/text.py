@@ -67,7 +67,7 @@ def hsl(r: Column, g: Column, b: Column) -> Column:
 
 
 def amount_in_words(amount: Column) -> Column:
-    """An amount with at most two decimals in capital numerals: groups of four digits with 万, 亿, 兆; 整 where there are no cents."""
+    """An amount with at most two decimals in capital numerals: groups of four digits with 万, 亿, 兆; 零元 where there is no whole one, 整 where there are no cents."""
     cents = F.round(F.abs(amount) * 100).cast("decimal(20,0)")
     whole, rest = F.floor(cents / 100).cast("decimal(18,0)").cast("string"), (cents % 100).cast("int")
     n = F.length(whole)
@@ -87,10 +87,8 @@ def amount_in_words(amount: Column) -> Column:
     text = F.regexp_replace(text, "零$", "")
     jiao, fen = F.floor(rest / 10).cast("int"), rest % 10
     numeral = lambda d: F.substring(F.lit(NUMERALS), d + 1, F.lit(1))
-    head = F.when(whole == "0", F.lit("")).otherwise(F.concat(text, F.lit("元")))
-    tail = F.when(rest == 0, F.lit("整")).otherwise(
-        F.concat(F.when(jiao > 0, F.concat(numeral(jiao), F.lit("角"))).when(whole != "0", F.lit("零")).otherwise(F.lit("")), F.when(fen > 0, F.concat(numeral(fen), F.lit("分"))).otherwise(F.lit("")))
-    )
+    head = F.when(whole == "0", F.lit("零元")).otherwise(F.concat(text, F.lit("元")))
+    tail = F.when(rest == 0, F.lit("整")).otherwise(F.concat(F.when(jiao > 0, F.concat(numeral(jiao), F.lit("角"))).otherwise(F.lit("零")), F.when(fen > 0, F.concat(numeral(fen), F.lit("分"))).otherwise(F.lit(""))))
     tail = F.when((rest > 0) & (fen == 0), F.concat(tail, F.lit("整"))).otherwise(tail)
     return F.concat(F.when((amount < 0) & (cents > 0), "负").otherwise(""), F.when(cents == 0, F.lit("零元整")).otherwise(F.concat(head, tail)))
 

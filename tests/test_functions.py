@@ -75,6 +75,10 @@ def one(spark, column):
         (lambda: text.amount_in_words(F.lit("10000").cast("decimal(18,2)")), "壹万元整"),
         (lambda: text.amount_in_words(F.lit("-100203.5").cast("decimal(18,2)")), "负壹拾万零贰佰零叁元伍角整"),
         (lambda: text.amount_in_words(F.lit("0").cast("decimal(18,2)")), "零元整"),
+        (lambda: text.amount_in_words(F.lit("0.29").cast("decimal(18,2)")), "零元贰角玖分"),
+        (lambda: text.amount_in_words(F.lit("-0.05").cast("decimal(18,2)")), "负零元零伍分"),
+        (lambda: text.amount_of_words(text.amount_in_words(F.lit("-0.05").cast("decimal(18,2)"))).cast("string"), "-0.05"),
+        (lambda: text.amount_of_words(text.amount_in_words(F.lit("0.30").cast("decimal(18,2)"))).cast("string"), "0.30"),
         (lambda: text.change_case(F.lit("fooBar baz-1X"), "snake"), "foo_bar_baz_1_x"),
         (lambda: text.change_case(F.lit("fooBar baz"), "camel"), "fooBarBaz"),
         (lambda: F.to_json(text.rgb(F.lit("#0fA"))), '{"r":0,"g":255,"b":170}'),
