@@ -1,13 +1,18 @@
 """Text runs of pages (file_id, page, idx, text, x, y, w, h, size, weight) to rows, lines, cells, blocks and table text.
 
-A page's runs are folded together in one row of Spark: a page has a few hundred. What follows is windows and
-aggregates. Pages without runs give nothing; runs of equal place stay in the order of idx.
+A page's runs stand together in one row of Spark, as an array `runs`: a page has a few hundred. folded() makes such rows of a table of runs, by
+its only shuffle; who has pages in rows already (the words of a text) passes them to the page_ functions, which need none. A file's own
+sums and numbers take one shuffle of rows of pages or blocks. Pages without runs give nothing; runs of equal place stay in the order of idx.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from quarry.functions.text import csv_line
 from quarry.operators.relational import weighted_mode
@@ -22,38 +27,205 @@ HEADINGS = [(1, 1.7), (2, 1.35), (3, 1.12)]
 RUN = ["idx", "text", "x", "y", "w", "h", "size", "weight"]
 
 
+def structs(**types) -> ArrayType:
+    out = StructType()
+    for name, kind in types.items():
+        out = out.add(name, kind)
+    return ArrayType(out)
+
+
+def run_struct(d: DataFrame) -> Column:
+    """A run of a row of d, places as doubles; its row too, if d has it."""
+    return F.struct(F.col("idx").cast("long").alias("idx"), "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "size")], "weight", *(["row"] if "row" in d.columns else []))
+
+
+def folded(runs: DataFrame) -> DataFrame:
+    """file_id, page, runs: a row a page."""
+    return runs.groupBy("file_id", "page").agg(F.collect_list(run_struct(runs)).alias("runs"))
+
+
+def flat(lists: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """The structs of all lists one after the other, with the number of the list that each is of."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)), lists.flatten()
+
+
+def numbers(run: pa.StructArray, name: str) -> np.ndarray:
+    """A field as numbers; null as one that nothing is near to."""
+    return run.field(name).to_numpy(zero_copy_only=False)
+
+
+def nested(of: np.ndarray, count: int, values: pa.Array) -> pa.ListArray:
+    """Values as `count` lists, given the number of the list of each, in order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(count + 1)), pa.int32()), values)
+
+
+def placed(page: np.ndarray, run: pa.StructArray) -> np.ndarray:
+    """The row of each run: by y, then x, each joins the first row whose first run is nearer in y than 0.55 of the lesser height, or 2."""
+    if run.type.get_field_index("row") >= 0:
+        return numbers(run, "row").astype(np.int64)
+    y, h = numbers(run, "y"), numbers(run, "h")
+    order = np.lexsort((numbers(run, "idx"), numbers(run, "x"), y, page))
+    out, now, starts = [], -1, []
+    for p, top, height in zip(page[order].tolist(), y[order].tolist(), h[order].tolist(), strict=True):
+        if p != now:
+            now, starts = p, []
+        for k, (a, b) in enumerate(starts):
+            if abs(a - top) < max((height if height < b else b) * 0.55, 2.0):
+                break
+        else:
+            k = len(starts)
+            starts.append((top, height))
+        out.append(k)
+    rows = np.empty(len(out), np.int64)
+    rows[order] = out
+    return rows
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _rows(runs: pa.Array) -> pa.Array:
+    page, run = flat(runs)
+    return nested(page, len(runs), pa.array(placed(page, run), pa.int32()))
+
+
+def in_rows(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StructArray]:
+    """Pages, rows, whether a run is its row's first, and runs, all in the order of pages, rows, x and idx."""
+    page, run = flat(runs)
+    row = placed(page, run)
+    order = np.lexsort((numbers(run, "idx"), numbers(run, "x"), row, page))
+    page, row = page[order], row[order]
+    first = np.ones(len(page), bool)
+    first[1:] = (page[1:] != page[:-1]) | (row[1:] != row[:-1])
+    return page, row, first, run.take(pa.array(order))
+
+
+def cut(runs: pa.Array, gap: float) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """The page and the row number of each row, and the texts of its cells."""
+    page, row, first, run = in_rows(runs)
+    new = first.copy()
+    new[1:] |= numbers(run, "x")[1:] - (numbers(run, "x") + numbers(run, "w"))[:-1] > gap
+    starts, lines = np.flatnonzero(new), np.flatnonzero(first)
+    text = pc.fill_null(run.field("text"), "")
+    if len(starts) < len(page):
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(page)), pa.int32()), text), " ")
+    return page[lines], row[lines], pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(starts, lines), len(starts)), pa.int32()), pc.utf8_trim(text, " "))
+
+
+def _cells(gap: float):
+    @F.arrow_udf(structs(row=IntegerType(), texts=ArrayType(StringType())))
+    def of(runs: pa.Array) -> pa.Array:
+        page, row, texts = cut(runs, gap)
+        return nested(page, len(runs), pa.StructArray.from_arrays([pa.array(row, pa.int32()), texts], ["row", "texts"]))
+
+    return of
+
+
+def _csv_lines(gap: float):
+    @F.arrow_udf(ArrayType(StringType()))
+    def of(runs: pa.Array) -> pa.Array:
+        """Cells are quoted as csv_line() does."""
+        page, _, texts = cut(runs, gap)
+        text = texts.values
+        quoted = pc.binary_join_element_wise('"', pc.replace_substring(text, '"', '""'), '"', "")
+        text = pc.if_else(pc.match_substring_regex(text, '[",\n\r;\t]'), quoted, text)
+        return nested(page, len(runs), pc.binary_join(pa.ListArray.from_arrays(texts.offsets, text), ","))
+
+    return of
+
+
+#: The signs of CJK and white space at a text's end or begin, as Arrow's expressions have them.
+_SIGN = r"(?s:[\t\n\x0B\f\r \p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}])"
+
+
+@F.arrow_udf(structs(row=IntegerType(), text=StringType(), **dict.fromkeys(("x", "y", "h", "size"), DoubleType()), weight=StringType(), block=IntegerType()))
+def _lines(runs: pa.Array) -> pa.Array:
+    page, row, first, run = in_rows(runs)
+    x, y, h, size, idx = (numbers(run, c) for c in ("x", "y", "h", "size", "idx"))
+    text = run.field("text")
+    heads, tails = (pc.fill_null(pc.match_substring_regex(text, p), False).to_pylist() for p in (f"^{_SIGN}", f"{_SIGN}$"))
+    said, out = text.to_pylist(), []
+    right, full, closed = -1e300, False, False
+    for begins, t, left, end, least, head, tail in zip(first.tolist(), said, x.tolist(), (x + numbers(run, "w")).tolist(), np.maximum(size * 0.16, 1.0).tolist(), heads, tails, strict=True):
+        if begins:
+            right, full, closed = -1e300, False, False
+        if full and left - right > least and not closed and not head:
+            out.append(" ")
+            closed = True
+        else:
+            out.append("")
+        if t:
+            full, closed = True, tail
+        right = end if end > right else right
+    lines = np.flatnonzero(first)
+    cuts = np.append(lines, len(page))
+    parts = pc.binary_join_element_wise(pa.array(out, pa.string()), text, "")
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), parts), "")
+    # a row stands where its first run by y, x and idx does
+    line = np.repeat(np.arange(len(lines)), np.diff(cuts))
+    top = np.lexsort((idx, x, y, line))[lines] if len(lines) else lines
+    y, h, p = y[top], h[top], page[lines]
+    gap = np.zeros(len(lines), np.int64)
+    gap[1:] = (p[1:] == p[:-1]) & (y[1:] - y[:-1] > np.maximum(h[1:], h[:-1]) * 1.45)
+    sums = np.cumsum(gap)
+    block = sums - sums[np.searchsorted(p, p)] if len(p) else sums
+    at = pa.array(lines)
+    fields = [pa.array(row[lines], pa.int32()), joined, pa.array(x[lines]), pa.array(y), pa.array(h), pa.array(size[lines]), run.field("weight").take(at), pa.array(block, pa.int32())]
+    return nested(p, len(runs), pa.StructArray.from_arrays(fields, ["row", "text", "x", "y", "h", "size", "weight", "block"]))
+
+
 def clustered(runs: DataFrame) -> DataFrame:
     """runs with `row` (from 0, downwards): by y, then x, each joins the first row whose first run is nearer in y than 0.55 of the lesser height, or 2."""
-    page = runs.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "idx", *[c for c in RUN if c not in ("y", "x", "idx")]))).alias("_r"))
-    anchors = "array<struct<y:double,h:double>>"
-    start = F.struct(F.array().cast(anchors).alias("a"), F.array().cast("array<int>").alias("out"))
+    return page_rows(folded(runs))
 
-    def put(s: Column, r: Column) -> Column:
-        near = F.transform(s["a"], lambda a: F.abs(a["y"] - r["y"]) < F.greatest(F.least(a["h"], r["h"]) * 0.55, F.lit(2.0)))
-        at = F.array_position(near, True).cast("int")
-        new = F.concat(s["a"], F.array(F.struct(r["y"].cast("double").alias("y"), r["h"].cast("double").alias("h"))))
-        return F.struct(F.when(at > 0, s["a"]).otherwise(new).alias("a"), F.array_append(s["out"], F.when(at > 0, at - 1).otherwise(F.size(s["a"]))).alias("out"))
 
-    page = page.withColumn("_o", F.aggregate("_r", start, put, lambda s: s["out"]))
-    return page.select("file_id", "page", F.explode(F.arrays_zip("_r", "_o")).alias("_z")).select("file_id", "page", F.col("_z._o").alias("row"), *[F.col(f"_z._r.{c}").alias(c) for c in RUN])
+def page_rows(pages: DataFrame) -> DataFrame:
+    """clustered() of pages."""
+    d = pages.withColumn("_o", _rows("runs")).select("file_id", "page", F.explode(F.arrays_zip("runs", "_o")).alias("_z"))
+    return d.select("file_id", "page", F.col("_z._o").alias("row"), *[F.col(f"_z.runs.{c}").alias(c) for c in RUN])
 
 
 def cells(rows: DataFrame, gap: float = 8.0) -> DataFrame:
     """file_id, page, row, cell, text of clustered runs: a new cell starts where the gap to the run before exceeds `gap`; else runs are joined by a space."""
-    row = Window.partitionBy("file_id", "page", "row").orderBy("x", "idx")
-    d = rows.withColumn("_new", F.when(F.col("x") - F.lag(F.col("x") + F.col("w")).over(row) > gap, 1).otherwise(0)).withColumn("cell", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    d = d.groupBy("file_id", "page", "row", "cell").agg(F.array_sort(F.collect_list(F.struct("x", "idx", "text"))).alias("_t"))
-    return d.select("file_id", "page", "row", "cell", F.trim(F.array_join(F.col("_t.text"), " ")).alias("text"))
+    return page_cells(folded(rows), gap)
+
+
+def page_cells(pages: DataFrame, gap: float = 8.0) -> DataFrame:
+    """cells() of pages."""
+    return pages.select("file_id", "page", F.explode(_cells(gap)("runs")).alias("_r")).select("file_id", "page", F.col("_r.row").alias("row"), F.posexplode("_r.texts").alias("cell", "text"))
 
 
 def csv_rows(cell_rows: DataFrame) -> DataFrame:
     """file_id, seq (from 0), line: a file's table rows as CSV lines; with `# page n` before and an empty line after each page if it has more than one."""
     line = cell_rows.groupBy("file_id", "page", "row").agg(F.array_sort(F.collect_list(F.struct("cell", "text"))).alias("_c")).withColumn("line", csv_cells(F.col("_c.text")))
-    pages = line.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("_l"))
-    pages = pages.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("file_id"))).withColumn("_l", F.col("_l.line"))
-    framed = F.when(F.col("_n") > 1, F.concat(F.array(F.concat(F.lit("# page "), F.col("page").cast("string"))), F.col("_l"), F.array(F.lit("")))).otherwise(F.col("_l"))
-    rows = pages.select("file_id", "page", F.posexplode(framed).alias("_i", "line"))
-    return rows.select("file_id", (F.row_number().over(Window.partitionBy("file_id").orderBy("page", "_i")) - 1).alias("seq"), "line")
+    return framed_lines(framed(line.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("_l")).withColumn("_l", F.col("_l.line"))))
+
+
+def framed(pages: DataFrame) -> DataFrame:
+    """file_id, page, _l, _before: a page's lines within their frame, and how many lines of its file are before them."""
+    file = Window.partitionBy("file_id")
+    d = pages.repartition("file_id").withColumn("_n", F.count(F.lit(1)).over(file))
+    d = d.withColumn("_l", F.when(F.col("_n") > 1, F.concat(F.array(F.concat(F.lit("# page "), F.col("page").cast("string"))), F.col("_l"), F.array(F.lit("")))).otherwise(F.col("_l")))
+    return d.withColumn("_before", F.sum(F.size("_l")).over(file.orderBy("page").rowsBetween(Window.unboundedPreceding, 0)) - F.size("_l"))
+
+
+def framed_lines(frames: DataFrame) -> DataFrame:
+    return frames.select("file_id", "_before", F.posexplode("_l").alias("_i", "line")).select("file_id", (F.col("_before") + F.col("_i")).cast("int").alias("seq"), "line")
+
+
+def page_lines_of_csv(pages: DataFrame, gap: float) -> DataFrame:
+    """file_id, page, _l: the CSV lines of each page."""
+    return pages.select("file_id", "page", _csv_lines(gap)("runs").alias("_l")).where(F.size("_l") > 0)
+
+
+def page_csv_rows(pages: DataFrame, gap: float = 8.0) -> DataFrame:
+    """csv_rows() of the cells of pages."""
+    return framed_lines(framed(page_lines_of_csv(pages, gap)))
+
+
+def page_csv_document(pages: DataFrame, gap: float = 8.0) -> DataFrame:
+    """csv_document() of the cells of pages."""
+    d = framed(page_lines_of_csv(pages, gap)).select("file_id", "page", F.array_join("_l", "\r\n").alias("_t"))
+    one = d.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("page", "_t"))).alias("_p"))
+    return one.select("file_id", F.concat(F.lit("\ufeff"), F.array_join(F.col("_p._t"), "\r\n"), F.lit("\r\n")).alias("text"))
 
 
 def csv_document(rows: DataFrame) -> DataFrame:
@@ -72,21 +244,13 @@ def lines(rows: DataFrame) -> DataFrame:
 
     Runs are joined with a space where the gap exceeds 0.16 of the size, and 1, unless white space or a CJK sign stands there.
     """
-    one = F.struct("x", "idx", *[c for c in RUN if c not in ("x", "idx")])
-    d = rows.groupBy("file_id", "page", "row").agg(F.array_sort(F.collect_list(one)).alias("_r"), F.min_by(F.struct("y", "h"), F.struct("y", "x", "idx")).alias("_a"))
-    start = F.struct(F.lit("").alias("t"), F.lit(-1e300).alias("right"))
-    tail, head = F.lit(rf"(?s)(\s|{CJK})$"), F.lit(rf"(?s)^(\s|{CJK})")
+    return page_lines(folded(rows))
 
-    def put(s: Column, r: Column) -> Column:
-        space = (s["t"] != "") & (r["x"] - s["right"] > F.greatest(r["size"] * 0.16, F.lit(1.0))) & ~F.regexp_like(s["t"], tail) & ~F.regexp_like(r["text"], head)
-        return F.struct(F.concat(s["t"], F.when(space, " ").otherwise(""), r["text"]).alias("t"), F.greatest(s["right"], (r["x"] + r["w"]).cast("double")).alias("right"))
 
-    d = d.withColumn("text", F.regexp_replace(F.aggregate("_r", start, put, lambda s: s["t"]), r"^\s+|\s+$", ""))
-    first = F.col("_r")[0]
-    d = d.select("file_id", "page", "row", "text", first["x"].alias("x"), F.col("_a.y").alias("y"), F.col("_a.h").alias("h"), first["size"].alias("size"), first["weight"].alias("weight"))
-    down = Window.partitionBy("file_id", "page").orderBy("row")
-    gap = F.col("y") - F.lag("y").over(down) > F.greatest(F.col("h"), F.lag("h").over(down)) * 1.45
-    return d.withColumn("_g", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("block", F.sum("_g").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_g")
+def page_lines(pages: DataFrame) -> DataFrame:
+    """lines() of pages."""
+    d = pages.select("file_id", "page", F.inline(_lines("runs")))
+    return d.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
 
 
 def joined_text(parts: Column) -> Column:
@@ -110,7 +274,36 @@ def blocks(page_lines: DataFrame) -> DataFrame:
     A lone line of up to 120 characters is a heading by its size against the file's text (10 if there is none), or if
     bold and of up to 60; blocks with bullets on at least 60 per cent of their lines are lists.
     """
-    d = page_lines.groupBy("file_id", "page", "block").agg(F.array_sort(F.collect_list(F.struct("row", "text", "size", "weight"))).alias("_l")).join(body_sizes(page_lines), "file_id", "left")
+    return judged(page_lines.groupBy("file_id", "page", "block").agg(F.array_sort(F.collect_list(F.struct("row", "text", "size", "weight"))).alias("_l")))
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """blocks() of the lines of pages."""
+    lined = pages.select("file_id", "page", _lines("runs").alias("_r"))
+    trim = F.transform("_r", lambda r: F.struct(r["row"].alias("row"), F.regexp_replace(r["text"], r"^\s+|\s+$", "").alias("text"), r["size"].alias("size"), r["weight"].alias("weight"), r["block"].alias("block")))
+    # a page's last line is in its last block
+    d = lined.where(F.size("_r") > 0).withColumn("_r", trim).select("file_id", "page", "_r", F.explode(F.sequence(F.lit(0), F.element_at("_r", -1)["block"])).alias("block"))
+    return judged(d.select("file_id", "page", "block", F.filter("_r", lambda r: r["block"] == F.col("block")).alias("_l")))
+
+
+def with_body_sizes(d: DataFrame) -> DataFrame:
+    """Blocks (file_id, page, block, _l) with `mode`, as body_sizes() has it of their lines.
+
+    Blocks are dealt by file once, with a row more for each size of a block's lines beside that of its first, and sums are windows; so lines are made once.
+    """
+    sizes = F.transform("_l", lambda x: F.struct(F.round(x["size"]).alias("v"), F.length(x["text"]).alias("w"), x["row"].alias("row")))
+    d = d.withColumn("_s", sizes)
+    each = F.transform(F.array_distinct(F.col("_s.v")), lambda v: F.struct(v.alias("v"), F.aggregate(F.filter("_s", lambda x: x["v"].eqNullSafe(v)), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["w"], F.lit(0))).alias("w"), F.get(F.filter("_s", lambda x: x["v"].eqNullSafe(v)), F.lit(0))["row"].alias("row")))
+    d = d.withColumn("_s", each).select("file_id", "page", "block", F.posexplode("_s").alias("_i", "_s"), "_l")
+    d = d.select("file_id", "page", "block", "_i", F.col("_s.v").alias("_v"), F.col("_s.w").alias("_w"), F.col("_s.row").alias("_row"), F.when(F.col("_i") == 0, F.col("_l")).alias("_l")).repartition("file_id")
+    same = Window.partitionBy("file_id", "_v")
+    d = d.withColumn("_w", F.sum("_w").over(same)).withColumn("_o", F.min(F.struct("page", "_row")).over(same))
+    return d.withColumn("mode", F.min(F.struct((-F.col("_w")).alias("w"), F.col("_o").alias("o"), F.col("_v").alias("v"))).over(Window.partitionBy("file_id"))["v"]).where("_i = 0").select("file_id", "page", "block", "_l", "mode")
+
+
+def judged(d: DataFrame) -> DataFrame:
+    """blocks() of file_id, page, block, _l (its lines in order)."""
+    d = with_body_sizes(d)
     texts, first = F.col("_l.text"), F.col("_l")[0]
     d = d.withColumn("text", joined_text(texts)).withColumn("_ratio", first["size"] / F.greatest(F.coalesce("mode", F.lit(10.0)), F.lit(1.0)))
     level = F.lit(0)
@@ -149,41 +342,70 @@ def recognized_tables(boxes: DataFrame, width: float | str = 0.0) -> DataFrame:
 
     A line joins the first row whose centre is within 0.55 of the greater height, which grows with it. Columns are running averages of left
     edges, apart by over 18 or 0.018 of the page width; a line takes the nearest, the next free one to its right if that is taken
-    and it stands that far off, or is joined to what is there. A page's lines are folded in one row of Spark, as its runs are.
+    and it stands that far off, or is joined to what is there. A page's lines stand together in one row of Spark, as its runs do.
     """
     some = boxes.where("trim(text) <> ''").withColumn("_w", F.col(width) if isinstance(width, str) else F.lit(width))
-    line = F.struct(*[F.col(c).cast("double").alias(c) for c in ("top", "left")], F.col("idx").cast("long").alias("idx"), F.col("bottom").cast("double").alias("bottom"), F.trim("text").alias("text"))
-    page = some.groupBy(F.col("file_id").cast("long").alias("file_id"), F.col("page").cast("int").alias("page")).agg(F.array_sort(F.collect_list(line)).alias("_l"), F.greatest(F.max("_w").cast("double") * 0.018, F.lit(18.0)).alias("_apart"))
-
-    def into_row(s: Column, r: Column) -> Column:
-        near = F.transform(s["a"], lambda a: F.abs((r["top"] + r["bottom"]) / 2 - (a["top"] + a["bottom"]) / 2) <= F.greatest(r["bottom"] - r["top"], a["bottom"] - a["top"]) * 0.55)
-        at = F.array_position(near, True).cast("int") - 1
-        grown = F.transform(s["a"], lambda a, i: F.when(i == at, F.struct(F.least(a["top"], r["top"]).alias("top"), F.greatest(a["bottom"], r["bottom"]).alias("bottom"))).otherwise(a))
-        new = F.array_append(s["a"], F.struct(r["top"].alias("top"), r["bottom"].alias("bottom")))
-        return F.struct(F.when(at >= 0, grown).otherwise(new).alias("a"), F.array_append(s["out"], F.when(at >= 0, at).otherwise(F.size(s["a"]))).alias("out"))
-
-    def into_column(s: Column, left: Column) -> Column:
-        at = F.array_position(F.transform(s, lambda c: F.abs(c - left) <= F.col("_apart")), True) - 1
-        return F.when(at >= 0, F.transform(s, lambda c, i: F.when(i == at, (c + left) / 2).otherwise(c))).otherwise(F.array_append(s, left))
-
-    empty = F.struct(F.array().cast("array<struct<top:double,bottom:double>>").alias("a"), F.array().cast("array<int>").alias("out"))
-    page = page.withColumn("_r", F.aggregate("_l", empty, into_row))
-    page = page.withColumn("_c", F.array_sort(F.aggregate(F.array_sort(F.col("_l.left")), F.array().cast("array<double>"), into_column)))
+    line = F.struct(F.col("idx").cast("long").alias("idx"), F.col("text"), *[F.col(c).cast("double").alias(c) for c in ("left", "top", "bottom")])
+    page = some.groupBy(F.col("file_id").cast("long").alias("file_id"), F.col("page").cast("int").alias("page")).agg(F.collect_list(line).alias("boxes"), F.max("_w").cast("double").alias("width"))
+    return page_tables(page)
+
+
+def page_tables(pages: DataFrame) -> DataFrame:
+    """recognized_tables() of pages (file_id, page, boxes: an array of idx, text, left, top, bottom; width)."""
+    d = pages.select("file_id", "page", F.inline(_tables("boxes", F.greatest(F.col("width") * 0.018, F.lit(18.0)))))
+    return d.select("file_id", "page", "row", "column", "text")
+
+
+def table_of(lines: list[tuple], apart: float) -> list[tuple[int, int, str]]:
+    """row, column and text of the lines (top, left, idx, bottom, text) of a page, in order."""
+    tops, bottoms, held = [], [], []
+    for line in lines:
+        top, bottom = line[0], line[3]
+        for k, (a, b) in enumerate(zip(tops, bottoms, strict=True)):
+            if abs((top + bottom) / 2 - (a + b) / 2) <= max(bottom - top, b - a) * 0.55:
+                tops[k], bottoms[k] = min(a, top), max(b, bottom)
+                held[k].append(line)
+                break
+        else:
+            tops.append(top)
+            bottoms.append(bottom)
+            held.append([line])
+    columns: list[float] = []
+    for left in sorted(x[1] for x in lines):
+        for k, c in enumerate(columns):
+            if abs(c - left) <= apart:
+                columns[k] = (c + left) / 2
+                break
+        else:
+            columns.append(left)
+    columns.sort()
+    out = []
     # rows by their tops, equal ones as they came
-    tops = F.array_sort(F.transform(F.col("_r.a"), lambda a, i: F.struct(a["top"].alias("top"), i.alias("i"))))
-    page = page.withColumn("_o", F.transform(tops, lambda t: t["i"]))
-    lines = page.select("file_id", "page", "_apart", "_c", "_o", F.explode(F.arrays_zip("_l", F.col("_r.out").alias("at"))).alias("_z"))
-    lines = lines.withColumn("row", F.array_position("_o", F.col("_z.at")).cast("int") - 1)
-    row = lines.groupBy("file_id", "page", "row", "_apart", "_c").agg(F.array_sort(F.collect_list(F.struct("_z._l.left", "_z._l.top", "_z._l.idx", "_z._l.text"))).alias("_l"))
-
-    def put(s: Column, r: Column) -> Column:
-        away = F.transform(F.col("_c"), lambda c: F.abs(c - r["left"]))
-        near = F.array_position(away, F.array_min(away)).cast("int") - 1
-        taken = lambda k: F.exists(s, lambda x: x["c"] == k)
-        free = F.get(F.filter(F.sequence(near + 1, F.size("_c")), lambda k: (k < F.size("_c")) & ~taken(k)), F.lit(0))
-        at = F.when(taken(near) & free.isNotNull() & (r["left"] - F.get(F.col("_c"), near) > F.col("_apart")), free).otherwise(near)
-        joined = F.transform(s, lambda x: F.when(x["c"] == at, F.struct(x["c"].alias("c"), F.concat(x["t"], F.lit(" "), r["text"]).alias("t"))).otherwise(x))
-        return F.when(taken(at), joined).otherwise(F.array_append(s, F.struct(at.alias("c"), r["text"].alias("t"))))
-
-    cells = F.aggregate("_l", F.array().cast("array<struct<c:int,t:string>>"), put)
-    return row.select("file_id", "page", "row", F.explode(cells).alias("_x")).select("file_id", "page", "row", F.col("_x.c").alias("column"), F.col("_x.t").alias("text"))
+    for row, k in enumerate(sorted(range(len(tops)), key=tops.__getitem__)):
+        cells: dict[int, str] = {}
+        for _, left, _, _, text in sorted(held[k], key=lambda x: (x[1], x[0], x[2], x[4])):
+            at = min(range(len(columns)), key=lambda c: abs(columns[c] - left))
+            if at in cells and left - columns[at] > apart:
+                at = next((c for c in range(at + 1, len(columns)) if c not in cells), at)
+            cells[at] = f"{cells[at]} {text}" if at in cells else text
+        out += [(row, c, t) for c, t in cells.items()]
+    return out
+
+
+@F.arrow_udf(structs(row=IntegerType(), column=IntegerType(), text=StringType()))
+def _tables(boxes: pa.Array, apart: pa.Array) -> pa.Array:
+    page, box = flat(boxes)
+    text = pc.utf8_trim(box.field("text"), " ")
+    keep = pc.fill_null(pc.not_equal(text, ""), False).to_numpy(zero_copy_only=False)
+    top, left, idx, bottom = (numbers(box, c) for c in ("top", "left", "idx", "bottom"))
+    order = np.lexsort((bottom, idx, left, top, page))
+    order = order[keep[order]]
+    lines = list(zip(top[order].tolist(), left[order].tolist(), idx[order].tolist(), bottom[order].tolist(), text.take(pa.array(order)).to_pylist(), strict=True))
+    cuts = np.searchsorted(page[order], np.arange(len(boxes) + 1))
+    said, ends = [], [0]
+    for k, gap in enumerate(apart.to_pylist()):
+        said += table_of(lines[cuts[k] : cuts[k + 1]], gap)
+        ends.append(len(said))
+    row, column, text = zip(*said, strict=True) if said else ((), (), ())
+    values = pa.StructArray.from_arrays([pa.array(row, pa.int32()), pa.array(column, pa.int32()), pa.array(text, pa.string())], ["row", "column", "text"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)

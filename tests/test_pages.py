@@ -31,6 +31,26 @@ def test_lines_and_cells(spark):
     assert (joined("ab-", "cd"), joined("中文", "续"), joined("ab", "cd")) == ("abcd", "中文续", "ab cd")
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_pages_are_not_shuffled(spark):
+    """Pages in rows pass all steps there; a file's own sums take one shuffle, and give what runs in a table give."""
+    rows = [(f, p, k, t, x, y, 10.0, 10.0, size, "normal") for f in (1, 2) for p in (1, 2) for k, (t, x, y, size) in enumerate([(" a,", 0.0, 0.0, 24.0), ("b", 12.0, 3.0, 24.0), ("", 30.0, 1.0, 10.0), ("c", 0.0, 40.0, 9.0), ('"', 40.0, 44.0, 9.0), ("中", 52.0, 41.0, 9.0)])]
+    runs = spark.createDataFrame(rows, RUN)
+    pages = spark.createDataFrame([(f, p, [r[2:] for r in rows if r[:2] == (f, p)]) for f in (1, 2) for p in (1, 2)], f"file_id long, page int, runs array<struct<{', '.join(f'{c}: {t}' for c, t in (x.split() for x in RUN.split(', ')[2:]))}>>")
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect()))
+    cells = layout.cells(layout.clustered(runs), 8.0)
+    lines = layout.lines(layout.clustered(runs))
+    for a, b, n in [(layout.page_cells(pages, 8.0), cells, 0), (layout.page_lines(pages), lines, 0), (layout.page_blocks(pages), layout.blocks(lines), 1), (layout.page_csv_rows(pages, 8.0), layout.csv_rows(cells), 1), (layout.page_csv_document(pages, 8.0), layout.csv_document(layout.csv_rows(cells)), 1)]:
+        assert shuffles(a) == n and same(a, b)
+    assert [r.text for r in lines.where("file_id = 1 and page = 1").orderBy("row").collect()] == ["a,b", 'c "中']
+    assert layout.page_csv_document(pages, 8.0).where("file_id = 2").first().text == "\ufeff" + "\r\n".join(f'# page {p}\r\n"a, b"\r\nc,""" 中"\r\n' for p in (1, 2)) + "\r\n"
+    sizes = layout.with_body_sizes(lines.groupBy("file_id", "page", "block").agg(F.array_sort(F.collect_list(F.struct("row", "text", "size", "weight"))).alias("_l")))
+    assert same(sizes.select("file_id", "mode").distinct(), layout.body_sizes(lines))
+
+
 def test_blocks_and_markdown(spark):
     rows = [("Title", 0.0, 0.0, 50.0, 24.0, "normal"), ("body text here", 0.0, 30.0, 80.0, 10.0, "normal"), ("1. first", 0.0, 60.0, 40.0, 10.0, "normal"), ("2. second", 0.0, 72.0, 40.0, 10.0, "normal"), ("Bold words", 0.0, 100.0, 40.0, 10.0, "bold"), ("more bold", 0.0, 112.0, 40.0, 10.0, "bold")]
     flow = layout.blocks(layout.lines(layout.clustered(runs(spark, rows))))
