@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64 as _b64
+import functools
 import hashlib
+import itertools
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +18,8 @@ from quarry.functions.net import bound
 
 #: Block sizes in bytes of the digests.
 BLOCK_BYTES = {"md5": 64, "sha1": 64, "sha256": 64, "sha384": 128, "sha512": 128}
+#: Digits that are read or said in one piece; longer numbers are halved.
+LEAF = 48
 #: Alphabets.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE32_CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -85,17 +90,22 @@ def radix(data: Column, alphabet: str) -> Column:
     @F.pandas_udf(StringType())
     def convert(values: pd.Series) -> pd.Series:
         base, signs = len(alphabet), str.maketrans(BASE32, alphabet) if len(alphabet) == 32 else {}
+        # digits are said some at a time, by a table
+        step = 3 if base <= 36 else 2
+        said, part = ["".join(x) for x in itertools.product(alphabet, repeat=step)], base**step
+        power = functools.cache(lambda k: base**k)
 
         def digits(n: int, count: int) -> str:
             """`count` digits of n; halves are taken apart first, so a long text takes far less than the square of its length."""
-            if count <= 32:
+            if count <= LEAF:
                 out = []
-                for _ in range(count):
-                    n, k = divmod(n, base)
-                    out.append(alphabet[k])
-                return "".join(reversed(out))
-            high, low = divmod(n, base ** (count // 2))
-            return digits(high, count - count // 2) + digits(low, count // 2)
+                for _ in range(-(-count // step)):
+                    n, k = divmod(n, part)
+                    out.append(said[k])
+                return "".join(reversed(out))[-count:]
+            low = LEAF << ((count - 1) // LEAF).bit_length() - 1
+            high, rest = divmod(n, power(low))
+            return digits(high, count - low) + digits(rest, low)
 
         def one(b):
             if b is None:
@@ -124,11 +134,11 @@ def decode_component(text: Column, form: bool = False) -> Column:
     return F.try_url_decode(text if form else F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
-def escape_unicode(text: Column) -> Column:
+@F.pandas_udf(StringType())
+def escape_unicode(text: pd.Series) -> pd.Series:
     r"""\uXXXX of each UTF-16 unit beyond ASCII."""
-    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
-    one = lambda u: F.when(u < "0080", F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
-    return F.array_join(F.transform(units, one), "")
+    said = functools.cache(lambda c: "".join(f"\\u{u:04x}" for u in memoryview(c.encode("utf-16-le")).cast("H")))
+    return text.map(lambda t: None if t is None else re.sub("[^\x00-\x7f]", lambda m: said(m[0]), t))
 
 
 def binary_text(text: Column) -> Column:
@@ -172,20 +182,24 @@ def from_radix(text: Column, alphabet: str, crockford: bool = False) -> Column:
         if by_bits and crockford:
             place |= {c: place["1"] for c in "IiLl"} | {c: place["0"] for c in "Oo"}
 
-        def number(digits: list[int]) -> int:
-            if len(digits) <= 32:
-                n = 0
-                for k in digits:
-                    n = n * base + k
-                return n
-            half = len(digits) // 2
-            return number(digits[:-half]) * base**half + number(digits[-half:])
+        skipped = str.maketrans("", "", " \t\n\f\r" + ("-=" if by_bits else ""))
+        # signs as int() knows them, up to 36 of them
+        plain = str.maketrans({c: BASE36[k] for c, k in place.items()}) if base <= 36 else None
+        power = functools.cache(lambda k: base**k)
+
+        def number(t: str) -> int:
+            if base & (base - 1) == 0 and plain:
+                return int(t, base)
+            if len(t) <= LEAF:
+                return int(t, base) if plain else functools.reduce(lambda n, c: n * base + place[c], t, 0)
+            low = LEAF << ((len(t) - 1) // LEAF).bit_length() - 1
+            return number(t[:-low]) * power(low) + number(t[-low:])
 
         def one(t):
-            bare = None if t is None else "".join(c for c in t if c not in " \t\n\f\r" and not (by_bits and c in "-="))
-            if not bare or any(c not in place for c in bare):
+            bare = None if t is None else t.translate(skipped)
+            if not bare or not place.keys() >= set(bare):
                 return None
-            n = number([place[c] for c in bare])
+            n = number(bare.translate(plain) if plain else bare)
             if by_bits:
                 over = len(bare) * 5 % 8
                 return None if over >= 5 or n & ((1 << over) - 1) else (n >> over).to_bytes(len(bare) * 5 // 8, "big")
@@ -196,10 +210,15 @@ def from_radix(text: Column, alphabet: str, crockford: bool = False) -> Column:
     return convert(text)
 
 
-def unescape_unicode(text: Column) -> Column:
-    r"""Inverse of escape_unicode(): \uXXXX units become characters, everything else stays."""
-    units = F.regexp_extract_all(text, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|.)"), F.lit(1))
-    return F.decode(F.unhex(F.array_join(F.transform(units, lambda u: F.when(u.rlike(r"^\\u[0-9A-Fa-f]{4}$"), F.substring(u, 3, 4)).otherwise(F.hex(F.encode(u, "UTF-16BE")))), "")), "UTF-16BE")
+@F.pandas_udf(StringType())
+def unescape_unicode(text: pd.Series) -> pd.Series:
+    r"""Inverse of escape_unicode(): \uXXXX units become characters, everything else stays; half of a pair becomes U+FFFD."""
+
+    def one(t):
+        units = None if t is None else re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), t)
+        return units if units is None or not re.search("[\ud800-\udfff]", units) else units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+    return text.map(one)
 
 
 def from_binary_text(bits: Column) -> Column:
@@ -218,27 +237,40 @@ ENTITIES = {
 
 def escape_html(text: Column, numeric: bool = False) -> Column:
     """All but printable ASCII as numbers, and, unless numeric, the characters that have a name by it."""
-    named = [] if numeric else list(ENTITIES.items())
-    for c, name in named:
-        text = F.replace(text, F.lit(c), F.lit(f"&{name};"))
-    others = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)([^\x20-\x7e])"), F.lit(1)))
-    number = lambda u: F.conv(F.hex(F.encode(u, "UTF-32")), 16, 10)
-    return F.aggregate(others, text, lambda s, u: F.replace(s, u, F.concat(F.lit("&#"), number(u), F.lit(";"))))
 
+    @F.pandas_udf(StringType())
+    def escape(texts: pd.Series) -> pd.Series:
+        said = functools.cache(lambda c: f"&#{ord(c)};" if numeric or c not in ENTITIES else f"&{ENTITIES[c]};")
+        signs = re.compile(r"[^\x20-\x7e]" if numeric else r"""[^\x20-\x7e]|[&<>"']""")
+        return texts.map(lambda t: None if t is None else signs.sub(lambda m: said(m[0]), t))
 
-def unescape_html(text: Column) -> Column:
-    """Characters of named and numeric entities; what stands between & and the next ; and is neither stays. Null if a number is no character."""
-    tokens = F.regexp_extract_all(text, F.lit(r"(?s)(&[^;]*;|[^&]+|&)"), F.lit(1))
-    names = F.create_map(*[F.lit(x) for c, name in ENTITIES.items() for x in (f"&{name};", c)])
-    digits = lambda t, k: F.regexp_extract(t, r"^&#(?:[xX]([0-9A-Fa-f]+)|([0-9]+));$", k)
+    return escape(text)
 
-    def one(t: Column) -> Column:
-        code = F.coalesce(F.conv(digits(t, 1), 16, 10), F.conv(digits(t, 2), 10, 10)).try_cast("long")
-        good = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-        return F.when(t.rlike(r"^&#(?:[xX][0-9A-Fa-f]+|[0-9]+);$"), F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(F.coalesce(F.try_element_at(names, t), t))
 
-    said = F.transform(tokens, one)
-    return F.when(~F.exists(said, lambda t: t.isNull()), F.array_join(said, ""))
+@F.pandas_udf(StringType())
+def unescape_html(text: pd.Series) -> pd.Series:
+    """Characters of named and numeric entities; what stands between & and the next ; and is neither stays. Null if a number is no character."""
+    names = {f"&{name};": c for c, name in ENTITIES.items()}
+    number = re.compile(r"&#(?:[xX]0*([0-9A-Fa-f]+)|0*([0-9]+));")
+
+    @functools.lru_cache(10_000)
+    def said(t):
+        found = number.fullmatch(t)
+        if not found:
+            return names.get(t, t)
+        digits = found[1] or found[2]
+        code = 0 if len(digits) > 7 else int(digits, 16 if found[1] else 10)
+        return chr(code) if 0 < code < 0xD800 or 0xDFFF < code <= 0x10FFFF else None
+
+    def one(t):
+        if t is None or "&" not in t:
+            return t
+        # what stands between two hits is at an even place
+        parts = re.split("(&[^;]*;)", t)
+        parts[1::2] = map(said, parts[1::2])
+        return None if None in parts else "".join(parts)
+
+    return text.map(one)
 
 
 def jwt_parts(token: Column) -> Column:

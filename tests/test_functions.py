@@ -26,6 +26,12 @@ def one(spark, column):
         (lambda: enc.from_hex(F.lit(r"\x68 0x69")).cast("string"), "hi"),
         (lambda: enc.to_hex(F.lit(b"hi"), " ", "0x"), "0x68 0x69"),
         (lambda: enc.escape_unicode(F.lit("aé😀")), "a\\u00e9\\ud83d\\ude00"),
+        (lambda: enc.unescape_unicode(F.lit("\\\\u0041\\ud83d\\ude00\\ud800x")), "\\A😀\ufffdx"),
+        (lambda: enc.escape_html(F.lit("a&\x00é€'😀")), "a&amp;&#0;&#233;&euro;&apos;&#128512;"),
+        (lambda: enc.escape_html(F.lit("<é>"), True), "<&#233;>"),
+        (lambda: enc.unescape_html(F.lit("&lt;&x&#0000000233;& &#xE9;;&")), "<&x&#0000000233;& &#xE9;;&"),
+        (lambda: enc.unescape_html(F.lit("&#0000000233;&#55296;")), None),
+        (lambda: F.hex(enc.from_radix(enc.radix(F.lit(b"\0ab" * 100), enc.BASE58), enc.BASE58)), (b"\0ab" * 100).hex().upper()),
         (lambda: codes.totp(F.lit("GEZDGNBVGY3TQOJQGEZDGNBVGY3TQOJQ"), F.lit(59)), "287082"),
         (lambda: enc.encode_component(F.lit("a b~!'()*é")), "a%20b~!'()*%C3%A9"),
         (lambda: time.duration_hms(F.lit(3735000)), "01:02:15"),
