@@ -13,16 +13,17 @@ CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
 def hmac_by_key(message: Column, key: Column, algorithm: str = "sha256") -> Column:
-    """HMAC in hex of binary data with a binary key of each row: the key's hex, filled up to a block, is changed 32 bits at a time into the two pads."""
+    """HMAC in hex of binary data with a binary key of each row: the key, filled up to a block, is changed a byte at a time into the two pads."""
     size = BLOCK_BYTES[algorithm]
     short = F.when(F.octet_length(key) > size, F.unhex(digest(key, algorithm))).otherwise(key)
-    filled = F.regexp_extract_all(F.rpad(F.hex(short), 2 * size, "0"), F.lit("(.{8})"), F.lit(1))
+    filled = F.decode(F.unhex(F.rpad(F.hex(short), 2 * size, "0")), "ISO-8859-1")
 
-    def pad(parts: Column, byte: int) -> Column:
-        every = int.from_bytes(bytes([byte] * 4), "big")
-        return F.unhex(F.array_join(F.transform(parts, lambda w: F.lpad(F.hex(F.conv(w, 16, 10).cast("long").bitwiseXOR(F.lit(every))), 8, "0")), ""))
+    def pad(k: Column, byte: int) -> Column:
+        # translate() leaves out what becomes the character 0, so that one goes by a sign that no byte stands for
+        after = "".join(chr(b ^ byte) for b in range(256)).replace("\0", "\u0100")
+        return F.encode(F.replace(F.translate(k, "".join(map(chr, range(256))), after), F.lit("\u0100"), F.lit("\0")), "ISO-8859-1")
 
-    return bound(filled, lambda parts: digest(F.concat(pad(parts, 0x5C), F.unhex(digest(F.concat(pad(parts, 0x36), message), algorithm))), algorithm))
+    return bound(filled, lambda k: digest(F.concat(pad(k, 0x5C), F.unhex(digest(F.concat(pad(k, 0x36), message), algorithm))), algorithm))
 
 
 def from_base32(text: Column) -> Column:

@@ -154,3 +154,12 @@ def test_archive_plan(spark):
     assert [skipped[i] for i in range(5, 16)] == [r[4:] for r in rows[5:16]]
     with pytest.raises(ValueError, match="unknown conflict"):
         archive.archive_plan(manifest, listing, existing, "/s", "x")
+
+
+def test_pads_of_all_bytes(spark):
+    """A key's bytes that the pads turn into 0, and all others."""
+    keys = [bytes(range(k, k + 64)) for k in (0, 64, 128, 192)] + [b"\x5c\x36\x00", b"", bytes(range(256))]
+    df = spark.createDataFrame([(bytearray(k),) for k in keys], "k binary")
+    for name in ("sha1", "sha512"):
+        got = df.select("k", codes.hmac_by_key(F.lit(b"m"), F.col("k"), name).alias("v")).collect()
+        assert all(r.v == hmac.new(bytes(r.k), b"m", getattr(hashlib, name)).hexdigest() for r in got)
