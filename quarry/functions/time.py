@@ -251,22 +251,32 @@ SPOKEN_UNITS = {"second": "秒", "minute": "分钟", "hour": "小时", "day": "
 
 def duration_words(millis: Column, locale: str = "en", gap: str | None = None) -> Column:
     """A duration as its parts that aren't 0, joined by `gap`; by default a comma in English and nothing in Chinese."""
-    a, zh = F.abs(millis), locale == "zh"
-    parts = [whole(a, 86_400_000), whole(a, 3_600_000) % 24, whole(a, 60_000) % 60, whole(a, 1000) % 60, a % 1000]
+    zh = locale == "zh"
     plural = lambda n, u: F.lit(u) if zh or u.endswith("s") else F.when(n == 1, u).otherwise(u + "s")
-    said = F.concat_ws(gap or ("" if zh else ", "), *[F.when(n > 0, F.concat(n.cast("string"), F.lit("" if zh else " "), plural(n, u))) for n, u in zip(parts, WORD_UNITS[locale], strict=True)])
-    sign = F.when(millis < 0, "负 " if zh else "-").otherwise("")
-    return F.when(millis.isNotNull(), F.concat(sign, F.when(said == "", "0秒" if zh else "0 seconds").otherwise(said)))
+
+    def say(m: Column) -> Column:
+        parts = [whole(m["a"], 86_400_000), whole(m["a"], 3_600_000) % 24, whole(m["a"], 60_000) % 60, whole(m["a"], 1000) % 60, m["a"] % 1000]
+        part = lambda u: lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("" if zh else " "), plural(n, u)))
+        said = [bound(n, part(u)) for n, u in zip(parts, WORD_UNITS[locale], strict=True)]
+        sign = F.when(m["m"] < 0, "负 " if zh else "-").otherwise("")
+        return F.when(m["m"].isNotNull(), F.concat(sign, F.when(m["a"] == 0, "0秒" if zh else "0 seconds").otherwise(F.concat_ws(gap or ("" if zh else ", "), *said))))
+
+    # as one expression of the row it makes a method that is too long for the compiler
+    return bound(F.struct(millis.alias("m"), F.abs(millis).alias("a")), say)
 
 
 def duration_spoken(millis: Column, locale: str = "en") -> Column:
     """A duration without its sign in the largest unit up to weeks that it fills, rounded half up."""
-    a, out = F.abs(millis), None
-    for unit in ("second", "minute", "hour", "day", "week"):
-        n = F.round(a / MILLIS[unit]).cast("long")
-        said = F.concat(n.cast("string"), F.lit(SPOKEN_UNITS[unit])) if locale == "zh" else F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
-        out = said if out is None else F.when(a >= MILLIS[unit], said).otherwise(out)
-    return out
+    rounded = lambda unit: lambda n: F.concat(n.cast("string"), F.lit(SPOKEN_UNITS[unit])) if locale == "zh" else F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
+
+    def say(a: Column) -> Column:
+        out = None
+        for unit in ("second", "minute", "hour", "day", "week"):
+            said = bound(F.round(a / MILLIS[unit]).cast("long"), rounded(unit))
+            out = said if out is None else F.when(a >= MILLIS[unit], said).otherwise(out)
+        return out
+
+    return bound(F.abs(millis), say)
 
 
 def number_text(value: Column) -> Column:
