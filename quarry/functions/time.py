@@ -173,26 +173,37 @@ def calendar_span(a: Column, b: Column) -> Column:
     """
     number = lambda d: F.year(d) * 12 + F.month(d)
     length = lambda d: F.dayofmonth(F.last_day(d))
-    at = lambda s, d: F.unix_date(d).cast("long") * DAY + s["clock"]
-    ends = F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), F.when(b > a, 1).when(b < a, -1).when(a == b, 0).alias("sign"))
+
+    def ends(x: Column) -> Column:  # the instants may be long expressions: each is named once
+        low, high = F.unix_micros(F.least(x["a"], x["b"])), F.unix_micros(F.greatest(x["a"], x["b"]))
+        return F.struct(low.alias("low"), high.alias("high"), F.when(x["b"] > x["a"], 1).when(x["b"] < x["a"], -1).when(x["a"] == x["b"], 0).alias("sign"))
 
     def from_low(e: Column) -> Column:
-        low = day_of(e["low"])
-        return F.struct(low.alias("low"), clock_of(e["low"]).alias("clock"), day_of(e["high"]).alias("to"), F.unix_micros(e["high"]).alias("high"), e["sign"].alias("sign"))
+        # `to`: the last day that, at the low end's time of day, isn't past the high end
+        clock = F.pmod(e["low"], F.lit(DAY))
+        date = lambda us: F.date_from_unix_date((us / DAY).cast("int"))
+        low, to = e["low"] - clock, e["high"] - clock
+        return F.struct(date(low).alias("low"), date(to - F.pmod(to, F.lit(DAY))).alias("to"), to.alias("high"), e["sign"].alias("sign"))
 
     def by_years(s: Column) -> Column:
         # after a year the 29th of February is the 28th, in leap years too
         from_ = F.when((F.month(s["low"]) == 2) & (F.dayofmonth(s["low"]) == 29), F.date_sub(s["low"], 1)).otherwise(s["low"])
         n = F.year(s["to"]) - F.year(s["low"])
-        n = F.when((n > 0) & (at(s, F.add_months(from_, 12 * n)) > s["high"]), n - 1).otherwise(n)
-        return F.struct(F.when(n > 0, F.add_months(from_, 12 * n)).otherwise(s["low"]).alias("low"), n.alias("years"), *[s[k].alias(k) for k in ("clock", "to", "high", "sign")])
+        n = F.when((n > 0) & (F.add_months(from_, 12 * n) > s["to"]), n - 1).otherwise(n)
+
+        def moved(y: Column) -> Column:
+            low = F.when(y > 0, F.add_months(from_, 12 * y)).otherwise(s["low"])
+            return F.struct(low.alias("low"), y.alias("years"), *[s[k].alias(k) for k in ("to", "high", "sign")])
+
+        return bound(bound(n, moved), lambda x: F.struct(F.dayofmonth(x["low"]).alias("day"), F.date_sub(x["low"], F.dayofmonth(x["low"]) - 1).alias("first"), *[x[k].alias(k) for k in ("years", "to", "high", "sign")]))
 
     def by_months(s: Column) -> Column:
-        passed = lambda n: F.when(n < 1, F.dayofmonth(s["low"])).otherwise(F.least(F.dayofmonth(s["low"]), F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: length(F.add_months(F.trunc(s["low"], "month"), k))))))
-        stepped = lambda n: F.date_add(F.add_months(F.trunc(s["low"], "month"), n), passed(n) - 1)
-        most = number(s["to"]) - number(s["low"])
-        n = F.when((most > 0) & (at(s, stepped(most)) > s["high"]), most - 1).otherwise(most)
-        return bound(n, lambda m: F.struct(m.alias("months"), whole(s["high"] - at(s, stepped(m)), 1000).alias("rest"), s["years"].alias("years"), s["sign"].alias("sign")))
+        # no month cuts off a day up to the 28th
+        passed = lambda n: F.when((n < 1) | (s["day"] <= 28), s["day"]).otherwise(F.least(s["day"], F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: length(F.add_months(s["first"], k))))))
+        stepped = lambda n: F.date_add(F.add_months(s["first"], n), passed(n) - 1)
+        most = number(s["to"]) - number(s["first"])
+        n = bound(most, lambda m: F.when((m > 0) & (stepped(m) > s["to"]), m - 1).otherwise(m))
+        return bound(n, lambda m: F.struct(m.alias("months"), whole(s["high"] - F.unix_date(stepped(m)).cast("long") * DAY, 1000).alias("rest"), s["years"].alias("years"), s["sign"].alias("sign")))
 
     def parts(s: Column) -> Column:
         r = s["rest"]
@@ -200,13 +211,19 @@ def calendar_span(a: Column, b: Column) -> Column:
         named = {"years": s["years"], "months": s["months"], "weeks": F.floor(days / 7), "days": days % 7, "hours": whole(r, 3_600_000) % 24, "minutes": whole(r, 60_000) % 60, "seconds": whole(r, 1000) % 60, "millis": r % 1000}
         return F.when(s["sign"].isNotNull(), F.struct(s["sign"].cast("int").alias("sign"), *[v.cast("int").alias(k) for k, v in named.items()]))
 
-    return bound(bound(bound(bound(ends, from_low), by_years), by_months), parts)
+    return bound(bound(bound(bound(bound(F.struct(a.alias("a"), b.alias("b")), ends), from_low), by_years), by_months), parts)
 
 
 def date_difference(a: Column, b: Column) -> Column:
     """Signed milliseconds, whole days between dates, and the calendar breakdown in months and days of the later minus the earlier, stepwise as in calendar_span()."""
-    span = bound(calendar_span(a, b), lambda s: F.struct((s["years"] * 12 + s["months"]).alias("months"), (s["weeks"] * 7 + s["days"]).alias("days")))
-    return F.struct((F.unix_millis(b) - F.unix_millis(a)).alias("millis"), F.datediff(day_of(b), day_of(a)).alias("days"), span["months"].alias("months_part"), span["days"].alias("days_part"))
+
+    def parts(x: Column) -> Column:
+        s, a, b = x["span"], x["ends"]["a"], x["ends"]["b"]
+        months, days = s["years"] * 12 + s["months"], s["weeks"] * 7 + s["days"]
+        return F.struct((F.unix_millis(b) - F.unix_millis(a)).alias("millis"), F.datediff(day_of(b), day_of(a)).alias("days"), months.alias("months_part"), days.alias("days_part"))
+
+    ends = F.struct(a.alias("a"), b.alias("b"))
+    return bound(bound(ends, lambda x: F.struct(x.alias("ends"), calendar_span(x["a"], x["b"]).alias("span"))), parts)
 
 
 #: Short names of the units of a span, largest first.

@@ -168,3 +168,13 @@ def test_schedules_without_rows(far):
     df = far.createDataFrame([], "k int, e string, t timestamp")
     assert schedules.schedule_runs(df, ["k"], "e", "t").collect() == []
     assert rel.cron_next(df, ["k"], "t", "0 0 * jan mon").collect() == []
+
+
+def test_spans_name_their_instants_once(spark):
+    a, b = F.timestamp_seconds(F.col("first_mark")), F.timestamp_seconds(F.col("last_mark"))
+    for c in (time.calendar_span(a, b), time.date_difference(a, b)):
+        assert str(c).count("first_mark") == 1 and str(c).count("last_mark") == 1
+    # days that shorter months cut off, and those that none does
+    for low, high, want in (("2024-01-31", "2024-05-30", (4, 1)), ("2023-12-29", "2024-03-28", (2, 28)), ("2024-01-28", "2024-03-27", (1, 28)), ("2024-01-30", "2024-02-29", (1, 0)), ("2023-05-05", "2023-05-04", (0, 1))):
+        r = spark.range(1).select(time.date_difference(F.lit(f"{low}T00:00:00Z").cast("timestamp"), F.lit(f"{high}T00:00:00Z").cast("timestamp")).alias("d")).first().d
+        assert (r.months_part, r.days_part) == want, (low, high, r)
