@@ -91,6 +91,21 @@ def release(*tables: DataFrame) -> None:
             files.cancelDeleteOnExit(at)
 
 
+#: Bytes of a batch that a task sends to its Python worker, and Spark's own bound.
+BATCH_BYTES, SPARKS_BYTES, BATCH_KEY = 4 << 20, f"{64 << 20}b", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow() by small batches: a batch of texts stands in the executor's memory outside the heap, with room to grow, and again in the worker's.
+
+    The bound is a setting of the session, which Spark reads when the result is computed, so it stays; another one that the user has set is kept.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_KEY) == SPARKS_BYTES:
+        spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def sliced(batches, rows: int = 512, size: int = 16 << 20):
     """Arrow batches in parts of few rows and bytes (but one row at least), so a Python worker holds few texts at once; its unused memory is given back."""
     import numpy as np

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, durable, release, sliced
+from quarry.llm.common import WORD, durable, mapped, release, sliced
 
 WORDS, PERCENT = 5, 75
 SAMPLE_EVERY, COMMON_AT, MOST_COMMON = 16, 4, 1_000_000
@@ -194,7 +194,7 @@ def base_rows(docs: DataFrame, words: int, every: int) -> DataFrame:
                 some.append(s if pick else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(some, pa.list_(pa.int64()))], ["doc_id", "h", "n", "node", "some"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n long, node long, some array<long>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")), run, "doc_id long, h long, n long, node long, some array<long>")
 
 
 def prefix_rows(docs: DataFrame, sent, late: bool, words: int, percent: int) -> DataFrame:
@@ -225,7 +225,7 @@ def prefix_rows(docs: DataFrame, sent, late: bool, words: int, percent: int) ->
             count = [len(g) for g in grams]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), count)), pa.array(np.repeat(np.array(kinds, np.int32), count))], ["gram", "node", "kind"])
 
-    return docs.select("text").mapInArrow(run, "gram long, node long, kind int")
+    return mapped(docs.select("text"), run, "gram long, node long, kind int")
 
 
 def columns(batch: pa.Table, *names: str) -> list[np.ndarray]:
@@ -317,7 +317,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return docs.select("text").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+    return mapped(docs.select("text"), run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:

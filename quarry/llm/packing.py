@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import durable, sliced
+from quarry.llm.common import durable, mapped, sliced
 from quarry.llm.token_counts import encoder
 
 #: A shard takes time, not space: shards are dealt to as many tasks, not by their bytes.
@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame
             n = np.array(number, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(n.astype(np.int32)), pa.array(n * size), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, shard_rows: int = SHARD_ROWS, seed: int = 7) -> DataFrame:

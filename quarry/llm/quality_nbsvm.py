@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import labelled_sample, sliced
+from quarry.llm.common import labelled_sample, mapped, sliced
 from quarry.llm.ngram_join import runs, word_hashes
 
 BITS, PER_CLASS, MAX_CHARS, PART = 18, 2500, 12_000_000, 1 << 20
@@ -192,7 +192,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
             score = m.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -205,4 +205,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
         for batch in sliced(batches):
             yield batch.filter(pa.array(m.scores(batch.column(at).to_pylist()) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import labelled_sample, sliced
+from quarry.llm.common import labelled_sample, mapped, sliced
 from quarry.llm.quality_nbsvm import logistic_fit
 
 WORD_BITS, CHAR_BITS, WIDE, HIDDEN, WIDTH, STRIDE, BATCH = 16, 14, 8, 8, 40, 20, 1024
@@ -321,7 +321,7 @@ def score_toxicity(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFra
             score = sent.value.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
@@ -333,4 +333,4 @@ def drop_toxic(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
         for batch in sliced(batches):
             yield batch.filter(pa.array(sent.value.scores(batch.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

@@ -6,7 +6,7 @@ from itertools import combinations
 
 import corpus_pipeline as P
 from quarry.llm import ngram_join
-from quarry.llm.common import durable, table
+from quarry.llm.common import BATCH_BYTES, BATCH_KEY, durable, mapped, table
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -43,3 +43,24 @@ def test_stages_and_run(spark):
     for r in packed:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) + 1
+
+
+def test_batches_of_texts_are_small(spark):
+    before = spark.conf.get(BATCH_KEY)
+    try:
+        spark.conf.unset(BATCH_KEY)
+        docs = spark.range(40, numPartitions=1).selectExpr("id", "repeat(chr(97 + id % 26), 1000000) AS text")
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]})
+
+        got = mapped(docs, sizes, "rows long, size long").collect()
+        assert sum(r["rows"] for r in got) == 40 and max(r["size"] for r in got) < 2 * BATCH_BYTES
+        spark.conf.set(BATCH_KEY, "1m")
+        mapped(docs, sizes, "rows long, size long")
+        assert spark.conf.get(BATCH_KEY) == "1m"
+    finally:
+        spark.conf.set(BATCH_KEY, before)
