@@ -33,20 +33,31 @@ def stem_and_extension(name: Column) -> tuple[Column, Column]:
     return F.substring(name, F.lit(1), F.length(name) - F.length(extension)), extension
 
 
-def free_numbers(asked: DataFrame, taken: DataFrame, block: int = BLOCK) -> DataFrame:
-    """asked (name, j from 1) with `number`: the j-th of 2, 3, 4 .. that isn't among taken (name, k) of the same name.
+def gates(taken: DataFrame, block: int = BLOCK) -> DataFrame:
+    """name, _j, _i of taken (name, k from 2): every j above _j of the free numbers of a name, 2, 3, 4 .., passes at least _i numbers that are taken.
 
-    The i-th number taken, k, is passed by every j above k - 1 - i; so how many are passed is the largest such i, found by a
-    running maximum over both tables, in blocks of values: neither a name asked for often nor one with many numbers is one task.
+    The i-th number taken, k, is passed by every j above k - 1 - i.
     """
-    held = numbered(taken.where("k >= 2").select("name", "k").distinct(), ["name"], "k", "i", block)
-    gates = held.groupBy("name", (F.col("k") - 1 - F.col("i")).alias("j")).agg(F.max("i").alias("_i")).withColumn("_gate", F.lit(1))
-    both = asked.withColumn("_i", F.lit(None).cast("long")).withColumn("_gate", F.lit(0)).unionByName(gates, allowMissingColumns=True).withColumn("_b", F.floor(F.col("j") / block))
-    most = both.groupBy("name", "_b").agg(F.max("_i").alias("_m"))
-    carry = most.withColumn("_past", F.max("_m").over(Window.partitionBy("name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
-    inside = F.max("_i").over(Window.partitionBy("name", "_b").orderBy("j", "_gate").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    passed = both.withColumn("_in", inside).join(carry, ["name", "_b"])
-    return passed.where("_gate = 0").withColumn("number", F.col("j") + 1 + F.coalesce(F.col("_in"), F.col("_past"), F.lit(0))).drop("_i", "_gate", "_b", "_in", "_past")
+    held = numbered(taken.select("name", "k").distinct(), ["name"], "k", "i", block)
+    return held.groupBy("name", (F.col("k") - 1 - F.col("i")).alias("_j")).agg(F.max("i").alias("_i"))
+
+
+def groups_and_gates(groups: DataFrame, passed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """groups (name, _b, _low, _high) with _past, the numbers passed by all of a group's j (above _low, up to _high), and those gates that only a part of a group passes, with its _b, as rows with _gate 1.
+
+    Groups of a name follow each other in _b and j. Both come from running maxima over both tables, in blocks of values: neither a name
+    with many groups nor one with many gates is one task. A group gets fewer gates than it has j.
+    """
+    both = groups.withColumn("_j", F.col("_low") + 1).withColumn("_gate", F.lit(0)).unionByName(passed.withColumn("_gate", F.lit(1)), allowMissingColumns=True).withColumn("_v", F.floor(F.col("_j") / block))
+    most = both.groupBy("name", "_v").agg(*[F.max(c).alias(f"_m{c}") for c in ("_i", "_b", "_high")])
+    before = Window.partitionBy("name").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    carry = most.select("name", "_v", *[F.max(f"_m{c}").over(before).alias(f"_past{c}") for c in ("_i", "_b", "_high")])
+    inside = Window.partitionBy("name", "_v").orderBy("_j", "_gate").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = both.withColumns({f"_in{c}": F.max(c).over(inside) for c in ("_i", "_b", "_high")}).join(carry, ["name", "_v"])
+    last = {c: F.coalesce(f"_in{c}", f"_past{c}") for c in ("_i", "_b", "_high")}
+    # a group's first j passes the gates before it; a gate lies in the group that began last
+    told = told.select("name", "_gate", "_j", "_low", last["_b"].alias("_b"), last["_high"].alias("_high"), F.when(F.col("_gate") == 1, F.col("_i")).otherwise(F.coalesce(last["_i"], F.lit(0))).alias("_i"))
+    return told.where("_gate = 0 or _j < _high")
 
 
 def free_names(df: DataFrame, name: str, position: str, existing: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -55,19 +66,34 @@ def free_names(df: DataFrame, name: str, position: str, existing: DataFrame, blo
     A number is the least that gives a name which neither exists, nor is asked for by a row, nor was given to an earlier one. So names are
     unique, and a name with a number that some row asks for itself stays that row's. position: an integer that differs between
     rows; the earlier one goes first. existing: a column of names, repeats and nulls allowed. Rows with a null name get null.
+
+    df is read twice: for the counts of its names in blocks of positions, and for its rows, which are shuffled once, by name and block; the numbers
+    taken that lie in a block's range are laid among its rows.
     """
     there = existing.select(F.col(existing.columns[0]).alias("name")).where("name is not null").distinct().withColumn("_there", F.lit(True))
-    rows = numbered(df.where(F.col(name).isNotNull()).withColumn("name_", F.col(name)), ["name_"], position, "_r", block)
-    asked = rows.select(F.col("name_").alias("name"), F.col(position).alias("_p"), "_r").join(there, "name", "left")
-    asked = asked.withColumn("j", F.col("_r") - F.when(F.col("_there"), 0).otherwise(1)).drop("_r", "_there")
-    every = there.select("name").unionByName(asked.select("name").distinct())
+    cut = df.withColumn("_b", F.floor(F.col(position) / block))
+    counts = cut.groupBy(F.col(name).alias("name"), "_b").agg(F.count("*").alias("_n")).where("name is not null")
+    every = there.select("name", F.lit(1).cast("long").alias("_n")).unionByName(counts.groupBy("name").agg(F.sum("_n").alias("_n")))
     stem, extension = stem_and_extension(F.col("name"))
     number = r"(?s)^(.+) \(([1-9][0-9]{0,17})\)$"
-    taken = every.select(F.concat(F.regexp_extract(stem, number, 1), extension).alias("name"), F.regexp_extract(stem, number, 2).try_cast("long").alias("k")).where("k >= 2")
-    given = free_numbers(asked.where("j > 0"), taken, block)
-    said = given.select("_p", F.concat(stem, F.lit(" ("), F.col("number").cast("string"), F.lit(")"), extension).alias("_said"))
-    out = df.join(said, df[position] == said["_p"], "left")
-    return out.withColumn("free_name", F.when(F.col(name).isNotNull(), F.coalesce(F.col("_said"), F.col(name)))).drop("_p", "_said")
+    counted = lambda c: F.when(F.col("_n") > 0, c)  # noqa: E731  with the count, or Spark would ask each row for its stem and number before they are counted
+    k = counted(F.regexp_extract(stem, number, 2)).try_cast("long")
+    taken = every.select(counted(F.concat(F.regexp_extract(stem, number, 1), extension)).alias("name"), k.alias("k")).where("k >= 2")
+    # the rows of a group have the j from _low + 1 to _high in the order of their positions; 0 keeps its name, another one gets the j-th free number
+    high = F.sum("_n").over(Window.partitionBy("name").orderBy("_b")) - F.when(F.col("_there"), 0).otherwise(1)
+    groups = counts.join(there, "name", "left").withColumn("_high", high).withColumn("_low", F.col("_high") - F.col("_n")).select("name", "_b", "_low", "_high")
+    told = groups_and_gates(groups, gates(taken, block), block)
+    begins = told.where("_gate = 0").select(F.col("name").alias("_name"), F.col("_b").alias("_group"), "_low", F.col("_i").alias("_past"), stem.alias("_stem"), extension.alias("_extension"))
+    laid = told.where("_gate = 1").select(F.col("name").alias(name), "_b", "_j", "_i", "_gate")
+    rows = cut.withColumn("_gate", F.lit(0)).unionByName(laid, allowMissingColumns=True)
+    group = Window.partitionBy("_b", name)
+    rows = rows.withColumn("_r", F.row_number().over(group.orderBy("_gate", position)))
+    rows = rows.join(begins, (F.col("_b") == F.col("_group")) & (F.col(name) == F.col("_name")), "left").withColumn("_j", F.coalesce("_j", F.col("_low") + F.col("_r")))
+    inside = F.max("_i").over(group.orderBy("_j", "_gate").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_in", inside).where("_gate = 0")
+    free = F.col("_j") + 1 + F.coalesce("_in", "_past")
+    said = F.when(F.col("_j") > 0, F.concat("_stem", F.lit(" ("), free.cast("string"), F.lit(")"), "_extension")).otherwise(F.col(name))
+    return rows.select(*df.columns, said.alias("free_name"))
 
 
 def safe_path(path: Column) -> Column:
@@ -78,9 +104,8 @@ def safe_path(path: Column) -> Column:
     parts = F.filter(F.split(F.translate(path, "\\", "/"), "/", -1), lambda p: p != "")
 
     def clean(p: Column) -> Column:
-        bare = F.substring(F.regexp_replace(F.regexp_replace(p, r'[<>:"|?*\x00-\x1f\x7f-\u009f]', "_"), "[ .]+$", ""), 1, 120)
-        named = F.when(bare == "", "_").otherwise(bare)
-        return F.when(named.rlike(DEVICES), F.concat(F.lit("_"), named)).otherwise(named)
+        bare = F.substring(F.rtrim(F.regexp_replace(p, r'[<>:"|?*\x00-\x1f\x7f-\u009f]', "_"), F.lit(" .")), 1, 120)
+        return bound(bare, lambda b: F.when(b == "", "_").when(b.rlike(DEVICES), F.concat(F.lit("_"), b)).otherwise(b))
 
     good = (path != "") & (F.octet_length(path) <= 2048) & ~path.rlike(r"^[/\\]|^[\x00-\x7f]:")
     return F.when(good, bound(parts, lambda x: F.when(F.size(x).between(1, 24) & ~F.exists(x, lambda p: p.isin(".", "..")), F.array_join(F.transform(x, clean), "/"))))
@@ -95,7 +120,8 @@ def archive_plan(manifest: DataFrame, listing: DataFrame, existing: DataFrame, r
     earlier row's is skipped; with rename it gets a free name. Null counts as not so.
     """
     now = listing.select(F.col("path").alias("_path"), F.lower("sha256").alias("_sha"), F.col("length").alias("_length"), F.col("kind").alias("_kind"))
-    rows = manifest.where("enabled").select("position", "path", "relative_path", F.lower("sha256").alias("sha256")).join(now, F.col("path") == F.col("_path"), "left")
+    # a safe path is found before the join: after it, each use of the name would find it again
+    rows = manifest.where("enabled").select("position", "path", safe_path(F.col("relative_path")).alias("_safe"), F.lower("sha256").alias("sha256")).join(now, F.col("path") == F.col("_path"), "left")
     folder = root.rstrip("/") + "/"
     wrong = [
         (F.col("path").startswith("/"), "not absolute"),
@@ -105,10 +131,10 @@ def archive_plan(manifest: DataFrame, listing: DataFrame, existing: DataFrame, r
         (F.col("_length") <= MAX_BYTES, "too large"),
         (F.col("sha256").rlike("^[0-9a-f]{64}$"), "no digest"),
         (F.col("sha256") == F.col("_sha"), "changed"),
-        (safe_path(F.col("relative_path")).isNotNull(), "unsafe target"),
+        (F.col("_safe").isNotNull(), "unsafe target"),
     ]
     reason = F.coalesce(*[F.when(~F.coalesce(good, F.lit(False)), F.lit(why)) for good, why in wrong])
-    judged = rows.withColumn("reason", reason).withColumn("asked", F.when(F.col("reason").isNull(), safe_path(F.col("relative_path")))).select("position", "path", "asked", "reason")
+    judged = rows.withColumn("reason", reason).withColumn("asked", F.when(F.col("reason").isNull(), F.col("_safe"))).select("position", "path", "asked", "reason")
     if conflict == "rename":
         named = free_names(judged, "asked", "position", existing, block)
         return named.select("position", "path", F.when(F.col("reason").isNull(), "copied").otherwise("failed").alias("outcome"), F.col("free_name").alias("target"), "reason")

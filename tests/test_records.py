@@ -127,6 +127,19 @@ def test_free_names(spark, block):
     assert {r["free_name"] for r in archive.free_names(df.where("n = 'a.pdf'").limit(1), "n", "p", there.limit(0)).collect()} == {"a.pdf"}
 
 
+def test_free_names_reads_its_rows_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(k):
+        read.add(1)
+        return (k, f"a ({k % 4}).pdf", "x" * k)
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(40), 2).map(seen), "p long, n string, other string")
+    got = archive.free_names(df, "n", "p", spark.createDataFrame([("a (3).pdf",)], "e string")).collect()
+    assert [r["free_name"] for r in sorted(got, key=lambda r: r["p"])] == plain_free([f"a ({k % 4}).pdf" for k in range(40)], ["a (3).pdf"])
+    assert read.value <= 80  # once for counts, once for the rows
+
+
 def test_safe_path(spark):
     cases = {
         "a/b.pdf": "a/b.pdf", "a\\b//c. .": "a/b/c", "": None, "/a": None, "\\a": None, "c:x": None, "a/../b": None, "./a": None, "...": "_", "con.txt": "_con.txt", "COM1": "_COM1", "COM0": "COM0", "conx": "conx", "a?b\x01": "a_b_",
