@@ -1,7 +1,7 @@
 """Flows of blocks (file_id, block, kind, level, ordered, bold, text, items, src, page): Markdown texts read into them, chapters, HTML and RTF written of them.
 
 Kinds are heading, paragraph, list, image and page_break. A file's lines and blocks are ordered by windows over the file, so files are
-dealt to tasks, and a file's text that is written is one row. Null texts are read as empty ones and have no blocks.
+dealt to tasks, by one shuffle of their texts, which all that follows keeps to; a file's text that is written is one row. Null texts are read as empty ones and have no blocks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space as Markdown's readers take it, and the lines that aren't plain text.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 FENCE, RULE = r"^```[0-9A-Za-z_]*$", r"^(?:-{3,}|\*{3,}|_{3,})$"
 HEADING, IMAGE = rf"^(#{{1,6}}){SPACE}+(.*)$", r"^!\[([^\]]*)\]\(([^)]+)\)$"
@@ -25,7 +26,7 @@ RTF_HEAD = "{\\rtf1\\ansi\\ansicpg1252\\deff0\\deflang1033\n{\\fonttbl{\\f0\\fro
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def markdown_blocks(files: DataFrame) -> DataFrame:
@@ -34,13 +35,12 @@ def markdown_blocks(files: DataFrame) -> DataFrame:
     Lines between fences are a paragraph as they stand; whether a line is in one is told by the number of fences before it. Lines of text and quotes
     that follow each other are a paragraph, bullets that follow each other a list, as long as all are numbered or none is.
     """
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     down = Window.partitionBy("file_id").orderBy("_k")
-    d = files.select("file_id", F.posexplode(F.split(text, "\n", -1)).alias("_k", "_raw"))
-    line, t = F.regexp_replace("_raw", rf"{SPACE}+$", ""), trimmed(F.col("_raw"))
-    d = d.withColumns({"_line": line, "_t": t}).withColumn("_fence", F.col("_t").rlike(FENCE))
+    d = files.select("file_id", text.alias("_text")).repartition("file_id").select("file_id", F.posexplode(F.split("_text", "\n", -1)).alias("_k", "_raw"))
+    d = d.withColumn("_fence", F.col("_raw").contains("```") & trimmed(F.col("_raw")).rlike(FENCE))
     inside = F.coalesce(F.sum(F.col("_fence").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
-    d = d.withColumn("_in", inside)
+    d = d.withColumn("_in", inside).withColumns({"_line": F.rtrim("_raw", F.lit(SPACES)), "_t": trimmed(F.col("_raw"))})
     mark = F.regexp_extract("_line", BULLET, 1)
     kind = F.when(F.col("_fence"), F.when(F.col("_in"), "close").otherwise("open")).when(F.col("_in"), "code").when(F.col("_t") == "", "blank").when(F.col("_t").rlike(RULE), "page_break").when(F.col("_line").rlike(HEADING), "heading").when(F.col("_t").rlike(IMAGE), "image")
     d = d.withColumn("_kind", kind.when(mark.rlike("^[0-9]"), "ordered").when(mark != "", "plain").otherwise("text"))
@@ -49,15 +49,17 @@ def markdown_blocks(files: DataFrame) -> DataFrame:
     quoted = F.regexp_extract("_line", QUOTE, 1)
     said = F.when(F.col("_kind") == "code", F.col("_raw")).when(F.col("_kind") == "heading", trimmed(F.regexp_extract("_line", HEADING, 2))).when(F.col("_kind") == "image", F.regexp_extract("_t", IMAGE, 1)).when(F.col("_kind").isin("ordered", "plain"), trimmed(F.regexp_extract("_line", BULLET, 2)))
     said = said.when(F.col("_kind") == "text", F.when(F.col("_line").rlike(QUOTE), trimmed(quoted)).otherwise(F.col("_t")))
-    d = d.withColumn("_said", said)
-    one = F.struct("_k", "_kind", "_said", "_line", "_t")
+    # of a block's first line only a heading's level and an image's source are held, not its text again
+    level = F.when(F.col("_kind") == "heading", F.length(F.regexp_extract("_line", HEADING, 1)))
+    src = F.when(F.col("_kind") == "image", trimmed(F.regexp_extract("_t", IMAGE, 2)))
+    one = F.struct("_k", "_kind", said.alias("_said"), level.alias("_level"), src.alias("_src"))
     b = d.groupBy("file_id", "_b").agg(F.array_sort(F.collect_list(one)).alias("_l")).withColumn("_first", F.get("_l", F.lit(0)))
     first, texts = F.col("_first._kind"), F.filter(F.col("_l._said"), lambda x: x.isNotNull())
     code, a_list = first == "open", first.isin("ordered", "plain")
     joined = F.when(code, F.array_join(texts, "\n")).when(first == "text", trimmed(F.array_join(texts, " "))).when(first.isin("heading", "image"), F.get(texts, F.lit(0)))
     b = b.select(
         "file_id", "_b", F.when(code | (first == "text"), "paragraph").when(a_list, "list").otherwise(first).alias("kind"), code.alias("code"),
-        F.when(first == "heading", F.length(F.regexp_extract("_first._line", HEADING, 1))).alias("level"), F.when(a_list, first == "ordered").alias("ordered"), joined.alias("text"), F.when(a_list, texts).alias("items"), F.when(first == "image", trimmed(F.regexp_extract("_first._t", IMAGE, 2))).alias("src"),
+        F.col("_first._level").alias("level"), F.when(a_list, first == "ordered").alias("ordered"), joined.alias("text"), F.when(a_list, texts).alias("items"), F.col("_first._src").alias("src"),
     ).where("kind <> 'paragraph' or code or text <> ''")
     return b.withColumn("block", F.row_number().over(Window.partitionBy("file_id").orderBy("_b")) - 1).select("file_id", "block", "kind", "level", "ordered", "code", "text", "items", "src")
 
@@ -93,20 +95,30 @@ def chapters(flow: DataFrame, by: str = "heading") -> DataFrame:
     by page: a chapter begins where the page is another than that of the block before; page 0 is named by the chapter's number. Page breaks are left
     out, but a file that has nothing else is one chapter of them.
     """
+    return chapters_by(flow, [by]).drop("way")
+
+
+def chapters_by(flow: DataFrame, ways: list[str]) -> DataFrame:
+    """way, file_id, chapter, title, blocks of chapters() by each of some ways; the flow is read once."""
     down = Window.partitionBy("file_id").orderBy("block")
-    d = flow.where("kind <> 'page_break'")
-    if by == "heading":
-        d = d.withColumn("_new", (F.col("kind") == "heading") & (F.col("level") <= 2)).withColumn("_own", ~F.col("_new"))
-    else:
-        d = d.withColumn("_new", F.coalesce(F.col("page") != F.lag("page").over(down), F.lit(True))).withColumn("_own", F.lit(True))
-    d = d.withColumn("_c", F.sum(F.col("_new").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    held = F.array_sort(F.collect_list(F.when(F.col("_own"), F.col("block")))).alias("blocks")
-    title = F.max(F.when(F.col("_new"), F.col("text"))) if by == "heading" else F.min("page")
-    c = d.groupBy("file_id", "_c").agg(held, title.alias("_title")).withColumn("chapter", F.row_number().over(Window.partitionBy("file_id").orderBy("_c")))
-    page = F.concat(F.lit(PAGE_TITLE[0]), F.when(F.col("_title") == 0, F.col("chapter")).otherwise(F.col("_title")).cast("string"), F.lit(PAGE_TITLE[1])) if by != "heading" else None
-    c = c.select("file_id", "chapter", (F.when(F.col("_c") == 0, UNTITLED).otherwise(F.col("_title")) if by == "heading" else page).alias("title"), "blocks")
-    bare = flow.groupBy("file_id").agg(F.array_sort(F.collect_list("block")).alias("blocks"), F.bool_and(F.col("kind") == "page_break").alias("_bare")).where("_bare")
-    return c.unionByName(bare.select("file_id", F.lit(1).alias("chapter"), F.lit(UNTITLED).alias("title"), "blocks"))
+    to_here = down.rowsBetween(Window.unboundedPreceding, 0)
+    no_break, page = F.col("kind") != "page_break", F.col("page") if "page" in ways else F.lit(None).cast("int")
+    d = flow.select("file_id", "block", "kind", "level", F.when(F.col("kind") == "heading", F.col("text")).alias("_text"), page.alias("page"))
+    d = d.withColumn("_bare", ~F.coalesce(F.bool_or(no_break).over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(False))).where(no_break | F.col("_bare"))
+    begins = {"heading": (F.col("kind") == "heading") & (F.col("level") <= 2), "page": ~F.col("_bare") & F.coalesce(F.col("page") != F.lag("page").over(down), F.lit(True))}
+    d = d.withColumns({f"_new_{w}": begins[w] for w in ways})
+    d = d.withColumns({f"_c_{w}": F.coalesce(F.sum(F.col(f"_new_{w}").cast("int")).over(to_here), F.lit(0)) for w in ways})
+    new = F.col("_new_heading")
+    each = {
+        "heading": lambda: [F.when(~new, F.col("block")).alias("_own"), F.when(new, F.col("_text")).alias("_text")],
+        "page": lambda: [F.col("block").alias("_own"), F.lit(None).cast("string").alias("_text")],
+    }
+    d = d.select("file_id", "_bare", "page", F.explode(F.array(*[F.struct(F.lit(w).alias("way"), F.col(f"_c_{w}").alias("_c"), *each[w]()) for w in ways])).alias("_w")).select("file_id", "_bare", "page", "_w.*")
+    c = d.groupBy("file_id", "way", "_c").agg(F.array_sort(F.collect_list("_own")).alias("blocks"), F.max("_text").alias("_text"), F.min("page").alias("_page"), F.first("_bare").alias("_bare"))
+    c = c.withColumn("chapter", F.row_number().over(Window.partitionBy("file_id", "way").orderBy("_c")))
+    named = F.concat(F.lit(PAGE_TITLE[0]), F.when(F.col("_page") == 0, F.col("chapter")).otherwise(F.col("_page")).cast("string"), F.lit(PAGE_TITLE[1]))
+    title = F.when(F.col("_bare") | (F.col("way") == "heading") & (F.col("_c") == 0), UNTITLED).when(F.col("way") == "heading", F.col("_text")).otherwise(named)
+    return c.select("way", "file_id", "chapter", title.alias("title"), "blocks")
 
 
 def html_text(text: Column) -> Column:

@@ -60,8 +60,7 @@ bare AS (SELECT file_id, 1 AS chapter, '正文' AS title, array_to_string(list(b
 @query("documents", f"WITH {BLOCKS_SQL}, {CHAPTERS_SQL} SELECT 'heading' AS way, * FROM by_heading UNION ALL SELECT 'heading', * FROM bare UNION ALL SELECT 'page', * FROM by_page UNION ALL SELECT 'page', * FROM bare")
 def flow_chapters(d, read):
     flow = paged(flows.markdown_blocks(texts(d)))
-    both = [flows.chapters(flow, way).select(F.lit(way).alias("way"), "file_id", "chapter", "title", F.array_join("blocks", " ").alias("blocks")) for way in ("heading", "page")]
-    return both[0].unionByName(both[1])
+    return flows.chapters_by(flow, ["heading", "page"]).select("way", "file_id", "chapter", "title", F.array_join("blocks", " ").alias("blocks"))
 
 
 _H = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"

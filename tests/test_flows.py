@@ -49,6 +49,23 @@ def test_chapters(spark):
     assert said("page") == [(1, 1, "第 1 页", [0]), (1, 2, "第 1 页", [1, 2]), (1, 3, "第 2 页", [3, 4]), (1, 4, "第 3 页", [6, 7]), (2, 1, "正文", [0, 1])]
 
 
+def test_texts_are_read_and_shuffled_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(k):
+        read.add(1)
+        return (k, f"# a{k}\r\u3000\r\n> b \u2003\n---" if k else "---")
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(8), 2).map(seen), "file_id int, text string")
+    flow = flows.markdown_blocks(df).withColumn("page", F.lit(1)).withColumn("bold", F.lit(False))
+    both = flows.chapters_by(flow, ["heading", "page"])
+    got = sorted(tuple(r) for r in both.where("file_id < 2").collect())
+    assert got == [("heading", 0, 1, "正文", [0]), ("heading", 1, 1, "a1", [1]), ("page", 0, 1, "正文", [0]), ("page", 1, 1, "第 1 页", [0, 1])]
+    assert read.value == 8
+    for one in (both, flows.html(flow), flows.rtf(flow)):
+        assert str(one._jdf.queryExecution().executedPlan().toString()).count("Exchange ") == 1
+
+
 def test_html_and_rtf(spark):
     text = {r.file_id: r.text for r in flows.html(flow(spark)).collect()}[1]
     body = text.split("<body>\n")[1]
