@@ -13,7 +13,8 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.time import day_of, offset_seconds, stamp, whole
+from quarry.functions.net import bound
+from quarry.functions.time import offset_seconds, whole
 
 #: A time beyond all others, seconds of a bin, and rows up to which a table is sent.
 FOREVER, BIN, MOST_SENT = 1 << 42, 1 << 24, 200_000
@@ -112,45 +113,61 @@ def abbreviation(zone: Column, minutes: Column, dst: Column) -> Column:
     return F.coalesce(F.get(F.try_element_at(own, zone), F.when(dst, 1).otherwise(0)), plain)
 
 
+def yearly(table: DataFrame, span: tuple[int, int]) -> DataFrame:
+    """Stretches around a span, cut where the local year changes: zone, starts, ends, offset, minutes (whole ones), offset_text, dst, abbreviation; see board()."""
+    first, last = (int(d[:4]) for d in years_around(span))
+    begins = lambda y: F.unix_date(F.make_date(y, F.lit(1), F.lit(1))).cast("long") * 86_400
+    years = lambda zones: zones.select("zone", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("_year"))
+    # the lesser offset of January and July, by zone and year
+    halves = years(table.select("zone").distinct()).withColumn("_h", F.explode(F.array(*[F.unix_date(F.make_date("_year", F.lit(m), F.lit(1))).cast("long") * 86_400 for m in (1, 7)])))
+    least = in_stretch(halves, table, "zone", "_h", "starts", "ends", (span[0] - 3 * 31_622_400, span[1] + 4 * 31_622_400)).groupBy("zone", "_year").agg(F.min("_z_offset").alias("_least"))
+    cut = table.join(least, "zone")
+    low = F.when(F.col("_year") == first, F.col("starts")).otherwise(F.greatest("starts", begins(F.col("_year")) - F.col("offset")))
+    high = F.when(F.col("_year") == last, F.col("ends")).otherwise(F.least("ends", begins(F.col("_year") + 1) - F.col("offset")))
+    cut = cut.select("zone", low.alias("starts"), high.alias("ends"), "offset", "_least").where("starts < ends").withColumn("minutes", whole(F.col("offset"), 60))
+    cut = cut.withColumn("dst", F.col("minutes") > whole(F.col("_least"), 60))
+    said = F.concat(F.lit("UTC"), offset_text(F.col("minutes")))
+    return cut.select("zone", "starts", "ends", "offset", "minutes", said.alias("offset_text"), "dst", abbreviation(F.col("zone"), F.col("minutes"), F.col("dst")).alias("abbreviation"))
+
+
 def board(requests: DataFrame, keys: list[str], at: str, zones: str) -> DataFrame:
     """A row for each line of a list of zones (an array of names) against an instant: keys, line (from 1, without empty ones), zone, number (among the
     known ones; null for an unknown zone, as is all that follows), local, weekday (0 is Sunday), offset, abbreviation, dst, delta and day_shift against the first known zone.
 
     dst: the offset is over the lesser of those of the local year's first of January and of July (UTC). delta: hours, or `base`.
-    A list has few lines; rows meet their list's first zone by a window over the keys.
+    A list has few lines. Its first known zone and the numbers of its lines are told in its row, so no line is shuffled; what depends
+    on the zone and the local year alone is told once, in the table of stretches.
     """
     spark = requests.sparkSession
-    line = F.posexplode(F.filter(F.transform(zones, lambda z: F.trim(z)), lambda z: z != ""))
-    d = requests.select(*keys, F.unix_seconds(at).alias("_t"), line.alias("_p", "zone")).withColumn("line", F.col("_p") + 1).drop("_p")
-    known = known_zones(spark).join(d.select("zone").distinct(), "zone", "left_semi")
-    span = span_of(d, "_t")
-    first, last = years_around(span)
-    table = stretches(known, first, last)
-    d = in_stretch(d, table, "zone", "_t", "starts", "ends", span).withColumnRenamed("_z_offset", "_o").drop("_z_starts", "_z_ends")
-    # the lesser offset of January and July, by zone and year
-    halves = known.select("zone", F.explode(F.sequence(F.lit(int(first[:4])), F.lit(int(last[:4])))).alias("_year"))
-    halves = halves.withColumn("_h", F.explode(F.array(*[F.unix_date(F.make_date("_year", F.lit(m), F.lit(1))).cast("long") * 86_400 for m in (1, 7)])))
-    least = in_stretch(halves, table, "zone", "_h", "starts", "ends", (span[0] - 3 * 31_622_400, span[1] + 4 * 31_622_400)).groupBy(F.col("zone").alias("_z"), "_year").agg(F.min("_z_offset").alias("_least"))
-    local = F.timestamp_seconds(F.col("_t") + F.col("_o"))
-    d = d.withColumn("_y", F.year(day_of(local))).join(sent(least), (F.col("zone") == F.col("_z")) & (F.col("_y") == F.col("_year")), "left")
-    listed = Window.partitionBy(*keys).orderBy("line")
-    valid = F.col("_o").isNotNull()
-    d = d.withColumn("number", F.when(valid, F.count(F.when(valid, 1)).over(listed.rowsBetween(Window.unboundedPreceding, 0)).cast("int")))
-    whole_list = listed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.withColumn("_base", F.first("_o", ignorenulls=True).over(whole_list))
-    minutes, away = whole(F.col("_o"), 60), whole(F.col("_o"), 60) - whole(F.col("_base"), 60)
-    dst = minutes > whole(F.col("_least"), 60)
-    hours = F.regexp_replace(F.regexp_replace(F.format_number(F.abs(away) / 60, 2), "0+$", ""), r"\.$", "")
-    shift = whole(F.col("_t") + F.col("_o"), 86_400) - whole(F.col("_t") + F.col("_base"), 86_400)
-    said = {
-        "local": stamp(local),
-        "weekday": F.dayofweek(day_of(local)) - 1,
-        "offset": F.concat(F.lit("UTC"), offset_text(minutes)),
-        "abbreviation": abbreviation(F.col("zone"), minutes, dst),
-        "dst": dst,
-        "delta": F.when(away == 0, "base").otherwise(F.concat(F.when(away > 0, "+").otherwise("−"), hours, F.lit(" h"))),
-        "day_shift": F.when(shift == 0, "same day").otherwise(F.concat(F.when(shift > 0, "+").otherwise("−"), F.abs(shift).cast("string"), F.when(F.abs(shift) == 1, " day").otherwise(" days"))),
-    }
-    return d.select(*keys, "line", "zone", "number", *[F.when(valid, v).alias(k) for k, v in said.items()])
-
-
+    named = lambda z: z.isin(sorted(zoneinfo.available_timezones()))
+    lists = requests.select(*keys, F.unix_seconds(at).alias("_t"), F.filter(F.transform(zones, lambda z: F.trim(z)), lambda z: z != "").alias("_zs"))
+    known = known_zones(spark).join(lists.select(F.explode("_zs").alias("zone")).distinct(), "zone", "left_semi")
+    span = span_of(lists, "_t")
+    table = stretches(known, *years_around(span))
+    lists = lists.withColumn("_known", F.filter(F.sequence(F.lit(0), F.greatest(F.size("_zs") - 1, F.lit(0))), lambda p: F.coalesce(named(F.get("_zs", p)), F.lit(False))))
+    lists = lists.withColumn("_first", F.get("_zs", F.get("_known", F.lit(0))))
+    lists = in_stretch(lists, table, "_first", "_t", "starts", "ends", span).withColumnRenamed("_z_offset", "_base").drop("_z_starts", "_z_ends")
+    lines = lists.select(*keys, "_t", "_base", "_known", F.posexplode("_zs").alias("_p", "zone"))
+    d = in_stretch(lines, yearly(table, span), "zone", "_t", "starts", "ends", span)
+    o, valid = F.col("_z_offset"), F.col("_z_offset").isNotNull()
+    minutes = F.col("_z_minutes")
+    d = d.select(*keys, (F.col("_p") + 1).alias("line"), "zone", "_t", F.when(valid, F.array_position("_known", F.col("_p")).cast("int")).alias("number"), (F.col("_t") + o).alias("_s"), (F.col("_t") + F.col("_base")).alias("_sb"), (minutes - whole(F.col("_base"), 60)).alias("_away"), *[F.col(f"_z_{c}").alias(c) for c in ("offset_text", "abbreviation", "dst")])
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+
+    def said(x: Column) -> Column:
+        shift, away, clock, day = x["day"] - x["base_day"], x["away"], x["clock"], F.date_from_unix_date(x["day"].cast("int"))
+        far, part = x["far"], x["far"] % 100
+        hours = F.concat(whole(far, 100).cast("string"), F.when(part == 0, "").when(part % 10 == 0, F.concat(F.lit("."), whole(part, 10).cast("string"))).otherwise(F.concat(F.lit("."), two(part))))
+        return F.struct(
+            F.concat(day.cast("string"), F.lit(" "), two(whole(clock, 3600)), F.lit(":"), two(whole(clock, 60) % 60), F.lit(":"), two(clock % 60)).alias("local"),
+            (F.dayofweek(day) - 1).alias("weekday"),
+            F.when(away == 0, "base").otherwise(F.concat(F.when(away > 0, "+").otherwise("−"), hours, F.lit(" h"))).alias("delta"),
+            F.when(shift == 0, "same day").otherwise(F.concat(F.when(shift > 0, "+").otherwise("−"), F.abs(shift).cast("string"), F.when(F.abs(shift) == 1, " day").otherwise(" days"))).alias("day_shift"),
+        )
+
+    # bound: written out in the join's own method, these texts make it too long for the JVM's compiler
+    far = whole(F.abs("_away") * 100 + 30, 60)  # hundredths of an hour; no minute lies between two of them
+    parts = F.struct(whole(F.col("_s"), 86_400).alias("day"), whole(F.col("_sb"), 86_400).alias("base_day"), F.pmod("_s", F.lit(86_400)).cast("int").alias("clock"), F.col("_away").alias("away"), far.alias("far"))
+    known = F.col("number").isNotNull()
+    d = d.withColumn("_w", F.when(known, bound(parts, said)))
+    return d.select(*keys, "line", "zone", "number", "_w.local", "_w.weekday", F.col("offset_text").alias("offset"), "abbreviation", "dst", "_w.delta", "_w.day_shift")
