@@ -135,6 +135,13 @@ def by_word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbers(rows: list[tuple[int, int]]):
+    """Pairs as an Arrow table: Spark takes it as it is, a list would be read by Python workers of their own on the executors, beside those of mapInArrow()."""
+    import pyarrow as pa
+
+    return pa.table({"doc_id": pa.array([a for a, _ in rows], pa.int64()), "label": pa.array([b for _, b in rows], pa.int32())})
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, max_chars: int) -> list[tuple[str, int]]:
     """At most per_class texts of each class (0 and 1), of max_chars characters in sum, drawn by a seeded hash of doc_id, in a stable order.
 
@@ -158,7 +165,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
         if used[r["label"]] + r["n"] <= max_chars:
             used[r["label"]] += r["n"]
             taken.append((r["doc_id"], r["label"]))
-    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, label int") if taken else None
+    wanted = docs.sparkSession.createDataFrame(numbers(taken), "doc_id long, label int") if taken else None
     found = rows.join(F.broadcast(wanted), ["doc_id", "label"]).select("_h", "doc_id", "label", "text").collect() if taken else []
     release(rows)
     return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["_h"], r["doc_id"], r["label"]))]

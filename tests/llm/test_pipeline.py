@@ -4,9 +4,11 @@ import re
 from collections import Counter
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from quarry.llm import ngram_join
-from quarry.llm.common import BATCH_BYTES, BATCH_KEY, durable, mapped, table
+from quarry.llm.common import BATCH_BYTES, BATCH_KEY, durable, labelled_sample, mapped, table
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -45,6 +47,16 @@ def test_stages_and_run(spark):
     assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) + 1
 
 
+def test_a_sample_needs_no_python_workers(spark, monkeypatch):
+    """A list of rows would be read by Python workers of the RDD kind, which stay beside those of mapInArrow()."""
+    given, create = [], spark.createDataFrame
+    docs, labels = create([(k, f"text {k}") for k in range(9)], "doc_id long, text string"), create([(k, k % 2) for k in range(9)], "doc_id long, quality int")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: given.append(create(data, *a, **k)) or given[-1])
+    got = labelled_sample(docs, labels, "quality", F.lit(True), 3, 1000)
+    assert len(given) == 1 and not any("Python" in line for line in given[0]._jdf.queryExecution().toRdd().toDebugString().split("\n"))
+    assert len(got) == 6 and all(int(t.split()[1]) % 2 == k for t, k in got)
+
+
 def test_batches_of_texts_are_small(spark):
     before = spark.conf.get(BATCH_KEY)
     try:
