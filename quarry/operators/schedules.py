@@ -3,8 +3,9 @@
 An expression has five fields (minute, hour, day, month, weekday), or six with seconds at the end, or is one of MACROS. Its fields become
 bit masks by Column expressions, and a month's days that fit are a mask too; if there are at most MOST_PLANS expressions, this is done once for each, in a
 table that is sent to all tasks, else in each row. The runs are looked for within the row: by months up to HORIZON after the start that have a day
-that fits, then by days, hours, minutes and seconds, and no further than the number of runs asks for. So no row is shuffled, and any expression
-may be as frequent as it likes. Wall times become instants by the stretches of their zone (see zones.py): one that the
+that fits, then by days, hours, minutes and seconds, and no further than the number of runs asks for. That takes long for a row's size, so rows with the
+same expression, zone, start and count share their runs if there are few such, in a table of MOST_SHARED runs at most that is sent to all tasks; else
+rows are dealt to tasks by number. No row is shuffled by its expression, which may be as frequent as it likes. Wall times become instants by the stretches of their zone (see zones.py): one that the
 clocks skip is no run, and of one that they show twice the first is.
 """
 
@@ -19,7 +20,7 @@ from quarry.functions.net import bound
 from quarry.functions.time import whole
 from quarry.operators.zones import known_zones, sent, span_of, stretches, walls, years_around
 
-HORIZON, MOST_RUNS, SPARE, MOST_PLANS = 96, 50, 24, 5000
+HORIZON, MOST_RUNS, SPARE, MOST_PLANS, MOST_SHARED, TASK_ROWS = 96, 50, 24, 5000, 1_000_000, 100_000
 #: Schedules with a name, the zone of a schedule without one, and the number of runs of one without.
 MACROS = {"@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0", "@daily": "0 0 * * *", "@hourly": "0 * * * *"}
 ZONE, RUNS = "Asia/Shanghai", 5
@@ -195,9 +196,26 @@ def schedule_runs(df: DataFrame, keys: list[str], expression: str, after: str, z
     many = F.least(F.greatest(F.round(F.coalesce(F.col(count), F.lit(RUNS))), F.lit(1)), F.lit(MOST_RUNS)).cast("int") if count else F.lit(RUNS)
     named = F.coalesce(F.nullif(F.trim(zone), F.lit("")), F.lit(ZONE)) if zone else F.lit(ZONE)
     d = df.select(*keys, F.col(expression).alias("_x"), F.unix_micros(after).alias("_t"), many.alias("_c"), named.alias("zone")).where("_t is not null").withColumn("_s", whole(F.col("_t"), 1_000_000))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if d.rdd.getNumPartitions() < cores:  # a row takes long for its size: a table of few partitions is dealt out first
-        d = d.repartition(cores)
+    asked = ["_x", "zone", "_t", "_c"]
+    rows, kinds, most = d.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*asked)), F.coalesce(F.max("_c"), F.lit(0))).first()
+    if 2 * kinds <= rows and kinds * most <= MOST_SHARED:
+        shared = found_runs(d.select(*asked, "_s").distinct(), kinds).select(*asked, "_r")
+        d = d.join(F.broadcast(shared), asked)
+    else:
+        d = found_runs(d, rows)
+    d = d.select(*keys, F.posexplode_outer("_r").alias("_n", "_run")).select(*keys, "_n", "_run.*").where("_at is not null")  # outer: else Spark asks for the size of the runs first, and finds them twice
+    shown = F.col("_at") + F.col("_offset")
+    day, clock = F.date_from_unix_date(whole(shown, 86_400).cast("int")), F.pmod(shown, F.lit(86_400))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    local = F.concat(day.cast("string"), F.lit(" "), two(whole(clock, 3600)), F.lit(":"), two(whole(clock, 60) % 60), F.lit(":"), two(clock % 60))
+    return d.select(*keys, (F.col("_n") + 1).alias("n"), F.timestamp_seconds("_at").alias("run"), local.alias("local"))
+
+
+def found_runs(d: DataFrame, rows: int) -> DataFrame:
+    """d (_x, zone, _t, _c, _s; about so many rows) with _r: the runs (_at) with the offsets that they are shown by (_offset), null for none; rows of unknown zones are left out."""
+    tasks = max(d.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    if d.rdd.getNumPartitions() < tasks:  # a row takes long for its size
+        d = d.repartition(tasks)
     kinds, (low, high) = d.select("_x").distinct(), span_of(d, "_s")
     if kinds.count() <= MOST_PLANS:
         # what a row needs of its expression doesn't depend on the row: a table of the expressions' months
@@ -208,10 +226,12 @@ def schedule_runs(df: DataFrame, keys: list[str], expression: str, after: str, z
         d = d.withColumn("_plan", planned(parsed(F.col("_x")), F.date_from_unix_date(whole(F.col("_s") - 86_400, 86_400).cast("int")), HORIZON + 2))
     d = d.join(sent(zone_arrays(d, "zone", "_s")), "zone")
     ahead = F.filter("stretches", lambda z: z["ends"] * 1_000_000 > F.col("_t"))
-    found = bound(F.struct(F.col("_plan").alias("plan"), ahead.alias("ahead")), lambda x: F.when(x["plan"]["error"].isNull(), runs(x["plan"], F.col("_t"), x["ahead"], F.col("_c"))))  # no filter: Spark would ask it of each row's expression, before the join
-    d = d.withColumn("_r", found).select(*keys, "stretches", F.posexplode_outer("_r").alias("_n", "_at")).where("_at is not null")  # outer: else Spark asks for the size of the runs first, and finds them twice
-    offset = F.get(F.filter("stretches", lambda z: F.col("_at") < z["ends"]), F.lit(0))["offset"]
-    day, clock = F.date_from_unix_date(whole(F.col("_at") + offset, 86_400).cast("int")), F.pmod(F.col("_at") + offset, F.lit(86_400))
-    two = lambda n: F.lpad(n.cast("string"), 2, "0")
-    local = F.concat(day.cast("string"), F.lit(" "), two(whole(clock, 3600)), F.lit(":"), two(whole(clock, 60) % 60), F.lit(":"), two(clock % 60))
-    return d.select(*keys, (F.col("_n") + 1).alias("n"), F.timestamp_seconds("_at").alias("run"), local.alias("local"))
+
+    def with_offset(at: Column, zone: Column) -> Column:
+        return F.struct(at.alias("_at"), F.get(F.filter(zone, lambda z: at < z["ends"]), F.lit(0))["offset"].alias("_offset"))
+
+    def found(x: Column) -> Column:
+        return F.when(x["plan"]["error"].isNull(), F.transform(runs(x["plan"], F.col("_t"), x["ahead"], F.col("_c")), lambda at: with_offset(at, x["ahead"])))
+
+    # no filter: Spark would ask it of each row's expression, before the join
+    return d.withColumn("_r", bound(F.struct(F.col("_plan").alias("plan"), ahead.alias("ahead")), found))

@@ -164,6 +164,22 @@ def test_schedules_as_data(far, monkeypatch, most):
     assert [(r.k, r.n, r.run) for r in got] == [(k, n + 1, t) for k, (*_, runs) in enumerate(SCHEDULES) for n, t in enumerate(runs)]
 
 
+def test_equal_schedules_share_their_runs(far, monkeypatch):
+    """Runs are found once for rows that ask the same, and rows that don't are dealt to tasks by number."""
+    asked, found = [], schedules.found_runs
+    monkeypatch.setattr(schedules, "found_runs", lambda d, rows: asked.append((d.count(), (out := found(d, rows)).select("_t").rdd.getNumPartitions())) or out)
+    monkeypatch.setattr(schedules, "TASK_ROWS", 20)
+    rows = [(100 * j + k, e, z, micros(t), c) for j in range(40) for k, (e, z, t, c, _) in enumerate(SCHEDULES)]
+    rows += [(9000 + j, e, z, None if e else 0, 1) for j in range(40) for e, z in (("* * * * *", "UTC"), (None, "UTC"))]
+    want = sorted((100 * j + k, n + 1, t) for j in range(40) for k, (*_, runs) in enumerate(SCHEDULES) for n, t in enumerate(runs))
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(schedules, "MOST_SHARED", most)
+        df = far.createDataFrame(rows, "k int, e string, z string, t long, c int").withColumn("t", F.timestamp_micros("t"))
+        got = schedules.schedule_runs(df, ["k"], "e", "t", "z", "c").select("k", "n", time.stamp(F.col("run")).alias("run")).collect()
+        assert sorted(map(tuple, got)) == want
+    assert asked[0][0] <= len(SCHEDULES) + 1 and asked[1][0] == 40 * (len(SCHEDULES) + 1) and asked[1][1] >= asked[1][0] / 20
+
+
 def test_schedules_without_rows(far):
     df = far.createDataFrame([], "k int, e string, t timestamp")
     assert schedules.schedule_runs(df, ["k"], "e", "t").collect() == []
