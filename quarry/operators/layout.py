@@ -59,48 +59,60 @@ def nested(of: np.ndarray, count: int, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(count + 1)), pa.int32()), values)
 
 
-def placed(page: np.ndarray, run: pa.StructArray) -> np.ndarray:
+def downwards(page: np.ndarray, run: pa.StructArray) -> np.ndarray:
+    """The order of runs by page, y, x and idx."""
+    return np.lexsort((numbers(run, "idx"), numbers(run, "x"), numbers(run, "y"), page))
+
+
+def placed(page: np.ndarray, run: pa.StructArray, down: np.ndarray | None = None) -> np.ndarray:
     """The row of each run: by y, then x, each joins the first row whose first run is nearer in y than 0.55 of the lesser height, or 2."""
     if run.type.get_field_index("row") >= 0:
         return numbers(run, "row").astype(np.int64)
-    y, h = numbers(run, "y"), numbers(run, "h")
-    order = np.lexsort((numbers(run, "idx"), numbers(run, "x"), y, page))
-    out, now, starts = [], -1, []
-    for p, top, height in zip(page[order].tolist(), y[order].tolist(), h[order].tolist(), strict=True):
-        if p != now:
-            now, starts = p, []
-        for k, (a, b) in enumerate(starts):
-            if abs(a - top) < max((height if height < b else b) * 0.55, 2.0):
-                break
-        else:
-            k = len(starts)
-            starts.append((top, height))
-        out.append(k)
-    rows = np.empty(len(out), np.int64)
-    rows[order] = out
+    left = downwards(page, run) if down is None else down
+    rows, row = np.empty(len(left), np.int64), 0
+    p, y, h = page[left], numbers(run, "y")[left], numbers(run, "h")[left]
+    # of all pages at once: what is left of a page begins its next row, and all that is near to that joins it
+    while len(left):
+        begins = changes(p)
+        first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        reach = np.where(h < h[first], h, h[first]) * 0.55
+        joins = begins | (np.abs(y[first] - y) < np.where(reach < 2.0, 2.0, reach))
+        rows[left[joins]] = row
+        left, p, y, h = (v[~joins] for v in (left, p, y, h))
+        row += 1
     return rows
 
 
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Whether a value differs from the one before it, in any of the keys; the first does."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
+
+
 @F.arrow_udf(ArrayType(IntegerType()))
 def _rows(runs: pa.Array) -> pa.Array:
     page, run = flat(runs)
     return nested(page, len(runs), pa.array(placed(page, run), pa.int32()))
 
 
-def in_rows(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StructArray]:
-    """Pages, rows, whether a run is its row's first, and runs, all in the order of pages, rows, x and idx."""
-    page, run = flat(runs)
-    row = placed(page, run)
-    order = np.lexsort((numbers(run, "idx"), numbers(run, "x"), row, page))
-    page, row = page[order], row[order]
-    first = np.ones(len(page), bool)
-    first[1:] = (page[1:] != page[:-1]) | (row[1:] != row[:-1])
-    return page, row, first, run.take(pa.array(order))
+def across(page: np.ndarray, row: np.ndarray, run: pa.StructArray) -> np.ndarray | None:
+    """The order of runs by pages, rows, x and idx; None if they stand in it."""
+    x, idx = numbers(run, "x"), numbers(run, "idx")
+    later = (x[1:] > x[:-1]) | (x[1:] == x[:-1]) & (idx[1:] >= idx[:-1])
+    if np.all((page[1:] != page[:-1]) | (row[1:] > row[:-1]) | (row[1:] == row[:-1]) & later):
+        return None
+    return np.lexsort((idx, x, row, page))
 
 
 def cut(runs: pa.Array, gap: float) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
     """The page and the row number of each row, and the texts of its cells."""
-    page, row, first, run = in_rows(runs)
+    page, run = flat(runs)
+    row = placed(page, run)
+    order = across(page, row, run)
+    if order is not None:
+        page, row, run = page[order], row[order], run.take(pa.array(order))
+    first = changes(page, row)
     new = first.copy()
     new[1:] |= numbers(run, "x")[1:] - (numbers(run, "x") + numbers(run, "w"))[:-1] > gap
     starts, lines = np.flatnonzero(new), np.flatnonzero(first)
@@ -136,40 +148,70 @@ def _csv_lines(gap: float):
 _SIGN = r"(?s:[\t\n\x0B\f\r \p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}])"
 
 
-@F.arrow_udf(structs(row=IntegerType(), text=StringType(), **dict.fromkeys(("x", "y", "h", "size"), DoubleType()), weight=StringType(), block=IntegerType()))
-def _lines(runs: pa.Array) -> pa.Array:
-    page, row, first, run = in_rows(runs)
-    x, y, h, size, idx = (numbers(run, c) for c in ("x", "y", "h", "size", "idx"))
-    text = run.field("text")
-    heads, tails = (pc.fill_null(pc.match_substring_regex(text, p), False).to_pylist() for p in (f"^{_SIGN}", f"{_SIGN}$"))
-    said, out = text.to_pylist(), []
-    right, full, closed = -1e300, False, False
-    for begins, t, left, end, least, head, tail in zip(first.tolist(), said, x.tolist(), (x + numbers(run, "w")).tolist(), np.maximum(size * 0.16, 1.0).tolist(), heads, tails, strict=True):
-        if begins:
-            right, full, closed = -1e300, False, False
-        if full and left - right > least and not closed and not head:
-            out.append(" ")
-            closed = True
-        else:
-            out.append("")
-        if t:
-            full, closed = True, tail
-        right = end if end > right else right
-    lines = np.flatnonzero(first)
-    cuts = np.append(lines, len(page))
-    parts = pc.binary_join_element_wise(pa.array(out, pa.string()), text, "")
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), parts), "")
+def spaced(run: pa.StructArray, lines: np.ndarray) -> np.ndarray:
+    """Whether a space stands before a run, given the places of the lines' first ones: where the gap to all before it in its line is wide enough,
+    a text was there, and neither a space nor a sign that needs none stands between them."""
+    at, x, text = np.arange(len(run)), numbers(run, "x"), run.field("text")
+    begin = np.repeat(lines, np.diff(np.append(lines, len(run))))
+    # the right end of the runs up to here, by steps of 1, 2, 4 and so on
+    right, step = np.fmax(x + numbers(run, "w"), -1e300), 1
+    while (there := np.flatnonzero(at - begin >= step)).size:
+        right[there] = np.maximum(right[there], right[there - step])
+        step *= 2
+    wide = np.zeros(len(run), bool)
+    wide[1:] = x[1:] - right[:-1] > np.maximum(numbers(run, "size") * 0.16, 1.0)[1:]
+    known = lambda v: pc.fill_null(v, False).to_numpy(zero_copy_only=False)
+    head, tail = (known(pc.match_substring_regex(text, p)) for p in (f"^{_SIGN}", f"{_SIGN}$"))
+    filled = known(pc.greater(pc.binary_length(text), 0))
+    # the last run with a text before this one
+    last = np.full(len(run), -1)
+    last[1:] = np.maximum.accumulate(np.where(filled, at, -1))[:-1]
+    space = wide & (last >= begin) & ~tail[last] & ~head
+    # runs without text may have taken it
+    taken = np.cumsum(space & ~filled)
+    space[1:] &= taken[:-1] == taken[last[1:]]
+    return space
+
+
+def lined(runs: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array], np.ndarray]:
+    """The page of each line, its fields, and whether it begins a block."""
+    page, run = flat(runs)
+    down = downwards(page, run)
+    row = placed(page, run, down)
+    rank = np.empty(len(down), np.int64)
+    rank[down] = np.arange(len(down))
+    y, h = numbers(run, "y"), numbers(run, "h")
+    order = across(page, row, run)
+    if order is not None:
+        page, row, rank, run = page[order], row[order], rank[order], run.take(pa.array(order))
+    lines = np.flatnonzero(changes(page, row))
+    parts = pc.binary_join_element_wise(pc.if_else(pa.array(spaced(run, lines)), " ", ""), run.field("text"), "")
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(lines, len(page)), pa.int32()), parts), "")
     # a row stands where its first run by y, x and idx does
-    line = np.repeat(np.arange(len(lines)), np.diff(cuts))
-    top = np.lexsort((idx, x, y, line))[lines] if len(lines) else lines
+    top = down[np.minimum.reduceat(rank, lines)] if len(lines) else lines
     y, h, p = y[top], h[top], page[lines]
-    gap = np.zeros(len(lines), np.int64)
-    gap[1:] = (p[1:] == p[:-1]) & (y[1:] - y[:-1] > np.maximum(h[1:], h[:-1]) * 1.45)
-    sums = np.cumsum(gap)
-    block = sums - sums[np.searchsorted(p, p)] if len(p) else sums
+    begins = changes(p)
+    begins[1:] |= y[1:] - y[:-1] > np.maximum(h[1:], h[:-1]) * 1.45
+    block = np.cumsum(begins) - 1
+    block -= block[np.searchsorted(p, p)] if len(p) else 0
     at = pa.array(lines)
-    fields = [pa.array(row[lines], pa.int32()), joined, pa.array(x[lines]), pa.array(y), pa.array(h), pa.array(size[lines]), run.field("weight").take(at), pa.array(block, pa.int32())]
-    return nested(p, len(runs), pa.StructArray.from_arrays(fields, ["row", "text", "x", "y", "h", "size", "weight", "block"]))
+    fields = {"row": pa.array(row[lines], pa.int32()), "text": pc.utf8_trim(text, " \t\n\x0b\f\r"), "x": pa.array(numbers(run, "x")[lines]), "y": pa.array(y), "h": pa.array(h), "size": pa.array(numbers(run, "size")[lines]), "weight": run.field("weight").take(at), "block": pa.array(block, pa.int32())}
+    return p, fields, begins
+
+
+@F.arrow_udf(structs(row=IntegerType(), text=StringType(), **dict.fromkeys(("x", "y", "h", "size"), DoubleType()), weight=StringType(), block=IntegerType()))
+def _lines(runs: pa.Array) -> pa.Array:
+    page, fields, _ = lined(runs)
+    return nested(page, len(runs), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+@F.arrow_udf(structs(block=IntegerType(), _l=structs(row=IntegerType(), text=StringType(), size=DoubleType(), weight=StringType())))
+def _blocks(runs: pa.Array) -> pa.Array:
+    page, fields, begins = lined(runs)
+    starts = np.flatnonzero(begins)
+    names = ["row", "text", "size", "weight"]
+    held = pa.ListArray.from_arrays(pa.array(np.append(starts, len(page)), pa.int32()), pa.StructArray.from_arrays([fields[c] for c in names], names))
+    return nested(page[starts], len(runs), pa.StructArray.from_arrays([fields["block"].take(pa.array(starts)), held], ["block", "_l"]))
 
 
 def clustered(runs: DataFrame) -> DataFrame:
@@ -247,10 +289,17 @@ def lines(rows: DataFrame) -> DataFrame:
     return page_lines(folded(rows))
 
 
+def told(pages: DataFrame, of) -> DataFrame:
+    """file_id, page and the fields of what a function tells of a page's runs, null where that is nothing.
+
+    The function has its column and `outer`, so that one that makes the runs is called together with it, and neither is called once more to see whether there is a row.
+    """
+    return pages.select("file_id", "page", of("runs").alias("_o")).select("file_id", "page", F.inline_outer("_o"))
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
     """lines() of pages."""
-    d = pages.select("file_id", "page", F.inline(_lines("runs")))
-    return d.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    return told(pages, _lines).where("row is not null")
 
 
 def joined_text(parts: Column) -> Column:
@@ -279,45 +328,41 @@ def blocks(page_lines: DataFrame) -> DataFrame:
 
 def page_blocks(pages: DataFrame) -> DataFrame:
     """blocks() of the lines of pages."""
-    lined = pages.select("file_id", "page", _lines("runs").alias("_r"))
-    trim = F.transform("_r", lambda r: F.struct(r["row"].alias("row"), F.regexp_replace(r["text"], r"^\s+|\s+$", "").alias("text"), r["size"].alias("size"), r["weight"].alias("weight"), r["block"].alias("block")))
-    # a page's last line is in its last block
-    d = lined.where(F.size("_r") > 0).withColumn("_r", trim).select("file_id", "page", "_r", F.explode(F.sequence(F.lit(0), F.element_at("_r", -1)["block"])).alias("block"))
-    return judged(d.select("file_id", "page", "block", F.filter("_r", lambda r: r["block"] == F.col("block")).alias("_l")))
+    return judged(told(pages, _blocks).where("block is not null"))
 
 
 def with_body_sizes(d: DataFrame) -> DataFrame:
-    """Blocks (file_id, page, block, _l) with `mode`, as body_sizes() has it of their lines.
+    """Blocks (file_id, page, block, _l, and more) with `mode`, as body_sizes() has it of their lines.
 
     Blocks are dealt by file once, with a row more for each size of a block's lines beside that of its first, and sums are windows; so lines are made once.
     """
     sizes = F.transform("_l", lambda x: F.struct(F.round(x["size"]).alias("v"), F.length(x["text"]).alias("w"), x["row"].alias("row")))
-    d = d.withColumn("_s", sizes)
-    each = F.transform(F.array_distinct(F.col("_s.v")), lambda v: F.struct(v.alias("v"), F.aggregate(F.filter("_s", lambda x: x["v"].eqNullSafe(v)), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["w"], F.lit(0))).alias("w"), F.get(F.filter("_s", lambda x: x["v"].eqNullSafe(v)), F.lit(0))["row"].alias("row")))
-    d = d.withColumn("_s", each).select("file_id", "page", "block", F.posexplode("_s").alias("_i", "_s"), "_l")
-    d = d.select("file_id", "page", "block", "_i", F.col("_s.v").alias("_v"), F.col("_s.w").alias("_w"), F.col("_s.row").alias("_row"), F.when(F.col("_i") == 0, F.col("_l")).alias("_l")).repartition("file_id")
+    of = lambda v: F.filter("_s", lambda x: x["v"].eqNullSafe(v))
+    each = F.transform(F.array_distinct(F.col("_s.v")), lambda v: F.struct(v.alias("v"), F.aggregate(of(v), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["w"], F.lit(0))).alias("w"), F.get(of(v), F.lit(0))["row"].alias("row")))
+    more = [c for c in d.columns if c not in ("file_id", "page")]
+    # a block has a line; without `outer` its sizes would be made once more to see that
+    s = d.withColumn("_s", sizes).withColumn("_s", each).select("file_id", "page", *more, F.posexplode_outer("_s").alias("_i", "_s"))
+    s = s.select("file_id", "page", *[F.when(F.col("_i") == 0, F.col(c)).alias(c) for c in more], "_i", F.col("_s.v").alias("_v"), F.col("_s.w").alias("_w"), F.struct("page", F.col("_s.row").alias("row")).alias("_o")).repartition("file_id")
     same = Window.partitionBy("file_id", "_v")
-    d = d.withColumn("_w", F.sum("_w").over(same)).withColumn("_o", F.min(F.struct("page", "_row")).over(same))
-    return d.withColumn("mode", F.min(F.struct((-F.col("_w")).alias("w"), F.col("_o").alias("o"), F.col("_v").alias("v"))).over(Window.partitionBy("file_id"))["v"]).where("_i = 0").select("file_id", "page", "block", "_l", "mode")
+    s = s.select("file_id", "page", *more, "_i", F.struct((-F.sum("_w").over(same)).alias("w"), F.min("_o").over(same).alias("o"), F.col("_v").alias("v")).alias("_m"))
+    return s.withColumn("mode", F.min("_m").over(Window.partitionBy("file_id"))["v"]).where("_i = 0").select(*d.columns, "mode")
 
 
 def judged(d: DataFrame) -> DataFrame:
-    """blocks() of file_id, page, block, _l (its lines in order)."""
-    d = with_body_sizes(d)
+    """blocks() of file_id, page, block, _l (its lines in order). What lines tell is taken from them before blocks are dealt by file, so that only what is asked for is dealt."""
     texts, first = F.col("_l.text"), F.col("_l")[0]
-    d = d.withColumn("text", joined_text(texts)).withColumn("_ratio", first["size"] / F.greatest(F.coalesce("mode", F.lit(10.0)), F.lit(1.0)))
-    level = F.lit(0)
-    level = F.when((first["weight"] == "bold") & (F.col("_ratio") >= 0.95) & (F.length("text") <= 60), 4).otherwise(level)
+    bold, bullets = F.forall(F.col("_l.weight"), lambda w: w == "bold"), F.filter(texts, lambda t: t.rlike(BULLET))
+    d = with_body_sizes(d.withColumns({"text": joined_text(texts), "_size": first["size"], "_bold": first["weight"] == "bold", "_chars": F.length(first["text"]), "_n": F.size("_l"), "bold": bold, "_bullets": bullets}))
+    ratio = F.col("_size") / F.greatest(F.coalesce("mode", F.lit(10.0)), F.lit(1.0))
+    level = F.when(F.col("_bold") & (ratio >= 0.95) & (F.col("_chars") <= 60), 4).otherwise(0)
     for k, least in reversed(HEADINGS):
-        level = F.when(F.col("_ratio") >= least, k).otherwise(level)
-    level = F.when((F.length("text") <= 120) & (F.size("_l") == 1), level).otherwise(0)
-    bullets = F.filter(texts, lambda t: t.rlike(BULLET))
-    bold = F.forall(F.col("_l.weight"), lambda w: w == "bold")
-    many = F.size(bullets) >= F.greatest(F.size("_l") * 0.6, F.lit(1.0))
-    d = d.withColumn("level", level).withColumn("bold", bold & (F.col("level") == 0)).withColumn("kind", F.when(F.col("level") > 0, "heading").when(~F.col("bold") & many, "list").otherwise("paragraph"))
+        level = F.when(ratio >= least, k).otherwise(level)
+    level = F.when((F.col("_n") == 1) & (F.col("_chars") <= 120), level).otherwise(0)
+    many = F.size("_bullets") >= F.greatest(F.col("_n") * 0.6, F.lit(1.0))
+    d = d.withColumn("level", level).withColumn("bold", F.col("bold") & (F.col("level") == 0)).withColumn("kind", F.when(F.col("level") > 0, "heading").when(~F.col("bold") & many, "list").otherwise("paragraph"))
     a_list = F.col("kind") == "list"
-    items = F.when(a_list, F.transform(bullets, lambda t: F.trim(F.regexp_replace(t, BULLET, ""))))
-    ordered = F.when(a_list, F.exists(bullets, lambda t: t.rlike(NUMBERED)))
+    items = F.when(a_list, F.transform("_bullets", lambda t: F.trim(F.regexp_replace(t, BULLET, ""))))
+    ordered = F.when(a_list, F.exists("_bullets", lambda t: t.rlike(NUMBERED)))
     return d.select("file_id", "page", "block", "kind", "level", ordered.alias("ordered"), "bold", "text", items.alias("items"))
 
 

@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from quarry.functions.fields import invoice_fields
 from quarry.operators import layout, pages
 from quarry.sources.files import file_digests, scan_files
@@ -51,6 +54,51 @@ def test_pages_are_not_shuffled(spark):
     assert same(sizes.select("file_id", "mode").distinct(), layout.body_sizes(lines))
 
 
+def test_headings_tell_lines_once(spark):
+    """Runs and their blocks come from one call of Python, which isn't made again to see whether there is a block, and no text is dealt by file."""
+    plan = __spark_entry__.queries()["headings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    calls = [x for x in plan.splitlines() if "ArrowEvalPython" in x]
+    assert len(calls) == 1 and "_blocks(_runs(" in calls[0]
+    dealt = plan.splitlines()[[k for k, x in enumerate(plan.splitlines()) if "hashpartitioning(file_id" in x][0] + 1]
+    assert "_chars" in dealt and "_l#" not in dealt and "text#" not in dealt
+
+
+def plain_lines(runs):
+    """row, text, y, block of the runs (idx, text, x, y, w, h, size, weight) of a page, one run after the other."""
+    starts, held = [], []
+    for r in sorted(runs, key=lambda r: (r[3], r[2], r[0])):
+        k = next((k for k, s in enumerate(starts) if abs(s[3] - r[3]) < max(min(s[5], r[5]) * 0.55, 2.0)), len(starts))
+        if k == len(starts):
+            starts.append(r)
+            held.append([])
+        held[k].append(r)
+    out, block = [], 0
+    for k, row in enumerate(held):
+        said, right, full, closed = "", -1e300, False, False
+        for _, t, x, _, w, _, size, _ in sorted(row, key=lambda r: (r[2], r[0])):
+            if full and x - right > max(size * 0.16, 1.0) and not closed and not (t and t[0] in " 中"):
+                said, closed = said + " ", True
+            said += t
+            if t:
+                full, closed = True, t[-1] in " 中"
+            right = max(right, x + w)
+        block += k > 0 and starts[k][3] - starts[k - 1][3] > max(starts[k][5], starts[k - 1][5]) * 1.45
+        out.append((k, said.strip(" "), starts[k][3], block))
+    return out
+
+
+def test_lines_of_odd_runs(spark):
+    """Rows and spaces of all pages at once are those of one run after the other: runs without text, that overlap, at equal places, in any order."""
+    r = random.Random(4)
+    pages = [[(k, r.choice(["", "", "a", "b-", "中", "x中", "中x", " ", "q ", " q"]), r.randrange(9) * 5.0, r.randrange(6) * r.choice([1.5, 9.0]), r.choice([0.0, 4.0, 12.0]), r.choice([3.0, 10.0]), r.choice([6.0, 24.0]), "normal") for k in r.sample(range(n), n)] for n in (1, 2, 5, 40) for _ in range(20)]
+    d = spark.createDataFrame([(1, p, page) for p, page in enumerate([*pages, []])], f"file_id long, page int, runs array<struct<{', '.join(f'{c}: {t}' for c, t in (x.split() for x in RUN.split(', ')[2:]))}>>")
+    got = {}
+    for x in layout.page_lines(d).orderBy("page", "row").collect():
+        got.setdefault(x.page, []).append((x.row, x.text, x.y, x.block))
+    assert got == {p: plain_lines(page) for p, page in enumerate(pages)}
+    assert {(x.page, x.block) for x in layout.page_blocks(d).collect()} == {(p, x[3]) for p, page in got.items() for x in page}
+
+
 def test_blocks_and_markdown(spark):
     rows = [("Title", 0.0, 0.0, 50.0, 24.0, "normal"), ("body text here", 0.0, 30.0, 80.0, 10.0, "normal"), ("1. first", 0.0, 60.0, 40.0, 10.0, "normal"), ("2. second", 0.0, 72.0, 40.0, 10.0, "normal"), ("Bold words", 0.0, 100.0, 40.0, 10.0, "bold"), ("more bold", 0.0, 112.0, 40.0, 10.0, "bold")]
     flow = layout.blocks(layout.lines(layout.clustered(runs(spark, rows))))
